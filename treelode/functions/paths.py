@@ -158,6 +158,11 @@ def is_safe_request_path(path: str) -> bool:
     )
 
 
+def is_safe_request(path: Column) -> Column:
+    """The same rule as a Column."""
+    return ~path.rlike(r"\A\z|\A/|\.\./|\A\.\.\z|/\.\.\z|\\")
+
+
 def is_indexable_root(path: str) -> bool:
     """Refuse file-system roots, temporary trees and bare home directories."""
     if path in ("", "/", "/root"):

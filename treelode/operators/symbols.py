@@ -1,8 +1,9 @@
 """Symbol outlines and raw imports for seven language groups.
 
-The parsers are line-oriented.  What crosses lines (doc strings, block comments, Go
-import blocks, PHP braces, a Rust test attribute on the previous line) is a small
-state machine, written here as running windows over one sort of each file's lines.
+The parsers are line-oriented and table-driven: a line is recognised by its head (the
+declaration prefix), which decides the kind.  What crosses lines (doc strings, block
+comments, Go import blocks, PHP braces, a Rust test attribute on the previous line) is a
+small state machine, written as running windows over one sort of each file's lines.
 Only lines that can change a state or declare a symbol enter that sort, and a file is
 bounded by the corpus size limit, so no window partition grows with the corpus.
 """
@@ -14,261 +15,153 @@ from pyspark.sql import functions as F
 
 from treelode.functions import paths
 from treelode.functions.text import (
+    IDENT,
     after_first,
     contains_any,
     contains_fold,
-    ident_after,
     ident_after_token,
-    ltrim_blank,
+    null_if_empty,
     php_namespace_path,
     php_strip_alias,
     python_module,
     python_module_path,
-    ruby_method_name,
-    starts_any,
+    quote_java,
     string_literal,
     trim_blank,
 )
 from treelode.operators.lines import file_stats, lines
 
-BLOCK_COMMENT_LANGS = ("typescript", "javascript", "go_lang", "rust", "zig")
-PARSED_LANGS = BLOCK_COMMENT_LANGS + ("python", "ruby", "php")
-
-# Declaration prefixes per language.
-TS_FUNCTION = ("function ", "export function ", "async function ", "export async function ")
-TS_EXPORT = ("export const ", "export let ", "export var ")
-RUST_FN = (
-    "fn ", "pub fn ", "pub(crate) fn ", "pub(super) fn ", "async fn ", "pub async fn ",
-    "unsafe fn ", "pub unsafe fn ", "pub(crate) async fn ", "pub(crate) unsafe fn ",
-    "pub unsafe extern ",
-)
-RUST_STRUCT = ("struct ", "pub struct ", "pub(crate) struct ")
-RUST_ENUM = ("enum ", "pub enum ", "pub(crate) enum ")
-RUST_TRAIT = ("trait ", "pub trait ", "pub(crate) trait ", "unsafe trait ", "pub unsafe trait ")
-RUST_TYPE = ("type ", "pub type ", "pub(crate) type ")
-RUST_CONST = ("const ", "pub const ", "pub(crate) const ", "static ", "pub static ", "pub(crate) static ")
-RUST_USE = ("use ", "pub use ", "pub(crate) use ")
-RUST_MOD = ("mod ", "pub mod ", "pub(crate) mod ")
-PHP_CONST = ("const ", "public const ", "protected const ", "private const ")
-PHP_CLASS = (
-    ("interface ", "interface_def"), ("trait ", "trait_def"), ("enum ", "enum_def"),
-    ("class ", "class_def"), ("abstract class ", "class_def"), ("final class ", "class_def"),
-    ("readonly class ", "class_def"),
+# Declaration heads and the symbol kind each one declares.
+HEADS = {
+    "zig": {
+        "pub fn ": "function", "fn ": "function", "pub const ": "constant", "const ": "constant",
+        "test ": "test_decl",
+    },
+    "python": {"def ": "function", "class ": "struct_def", "import ": "import", "from ": "import"},
+    "typescript": {
+        "function ": "function", "export function ": "function", "async function ": "function",
+        "export async function ": "function", "export const ": "constant", "export let ": "constant",
+        "export var ": "constant",
+    },
+    "rust": {
+        "fn ": "function", "pub fn ": "function", "pub(crate) fn ": "function", "pub(super) fn ": "function",
+        "async fn ": "function", "pub async fn ": "function", "unsafe fn ": "function",
+        "pub unsafe fn ": "function", "pub(crate) async fn ": "function", "pub(crate) unsafe fn ": "function",
+        "pub unsafe extern ": "function",
+        "struct ": "struct_def", "pub struct ": "struct_def", "pub(crate) struct ": "struct_def",
+        "enum ": "enum_def", "pub enum ": "enum_def", "pub(crate) enum ": "enum_def",
+        "trait ": "trait_def", "pub trait ": "trait_def", "pub(crate) trait ": "trait_def",
+        "unsafe trait ": "trait_def", "pub unsafe trait ": "trait_def",
+        "impl ": "impl_block", "impl<": "impl_block", "unsafe impl ": "impl_block",
+        "type ": "type_alias", "pub type ": "type_alias", "pub(crate) type ": "type_alias",
+        "const ": "constant", "pub const ": "constant", "pub(crate) const ": "constant",
+        "static ": "constant", "pub static ": "constant", "pub(crate) static ": "constant",
+        "macro_rules!": "macro_def",
+        "use ": "import", "pub use ": "import", "pub(crate) use ": "import",
+        "mod ": "import", "pub mod ": "import", "pub(crate) mod ": "import",
+    },
+    "go_lang": {
+        "func ": "function", "func (": "function", "type ": "struct_def", "import ": "import",
+        "const ": "constant", "var ": "variable",
+    },
+    "php": {
+        "interface ": "interface_def", "trait ": "trait_def", "enum ": "enum_def", "class ": "class_def",
+        "abstract class ": "class_def", "final class ": "class_def", "readonly class ": "class_def",
+        "const ": "constant", "public const ": "constant", "protected const ": "constant",
+        "private const ": "constant",
+    },
+    "ruby": {
+        "def ": "function", "def self.": "function", "class ": "struct_def", "module ": "struct_def",
+        "require ": "import", "require_relative ": "import",
+    },
+}
+HEADS["javascript"] = HEADS["typescript"]
+
+# Heads whose symbol is named by the whole line.
+WHOLE_LINE = (
+    "test ", "import ", "from ", "use ", "pub use ", "pub(crate) use ", "require ", "require_relative ",
 )
+PARSED_LANGS = tuple(HEADS)
+
+# Lines that matter besides those with a head, as regexes over the trimmed line.
+_MARKS = {
+    "zig": r"/\*|\*/",
+    "python": "\"\"\"|'''",
+    "typescript": r"import |require\(|/\*|\*/",
+    "rust": r"\A#\[t|/\*|\*/",
+    "go_lang": "[\"']|\\A\\)|/\\*|\\*/",
+    "php": r"[{}]|function |\Ause |/\*|\*/",
+    "ruby": r"\A=(?:begin|end)",
+}
+_MARKS["javascript"] = _MARKS["typescript"]
 
 # A line's effect on the "inside a comment" state.
 LEAVE, ENTER, TOGGLE = 0, 1, 2
 
-_ENTRY = "struct<name: string, kind: string, detail: string, imports: array<string>>"
-
-
-def _entry(name: Column, kind, detail: Column | None, imports: Column | None = None) -> Column:
-    """A symbol struct, null where the line yields no name."""
-    kind = F.lit(kind) if isinstance(kind, str) else kind
-    none = F.array().cast("array<string>")
-    made = F.struct(
-        name.alias("name"),
-        kind.alias("kind"),
-        (F.lit(None).cast("string") if detail is None else detail).alias("detail"),
-        (none if imports is None else F.coalesce(imports, none)).alias("imports"),
-    )
-    return F.when(name.isNotNull(), made.cast(_ENTRY))
+_OPENS = r"(?s)\A/\*(?!.*\*/)"
+_REOPENS = r"(?s)\A(?>.*?\*/)[ \t]*/\*(?!.*\*/)"
+_PHP_OPENS = r"(?s)\A(?=/\*)(?!.*\*/)"
+_PHP_REOPENS = r"(?s)\A(?>.*?\*/)[ \t]*(?=/\*)(?!(?>/\*).*\*/)(?!/\*/)"
+_AFTER_CLOSE = r"(?s)\A(?>.*?\*/)[ \t]*(.*)\z"
+_LEADING_COMMENT = r"(?s)\A/\*(?>.*?\*/)[ \t]*"
 
+_ENTRY = "struct<name: string, kind: string, detail: string, imports: array<string>>"
+_NO_IMPORTS = "cast(array() as array<string>)"
 
-def _single(value: Column) -> Column:
-    return F.when(value.isNotNull(), F.array(value))
 
+def _heads_regex(lang: str) -> str:
+    longest_first = sorted(HEADS[lang], key=len, reverse=True)
+    return "\\A(?:%s)" % "|".join(quote_java(h) for h in longest_first)
 
-# ── comment state ────────────────────────────────────────────────────────────
 
+def _by_lang(values: dict[str, str]) -> Column:
+    """Constant per language.  Lines of one file are adjacent, so a regex chosen this way
+    is compiled once per file, not once per line."""
+    expr = None
+    for lang, value in values.items():
+        hit = F.col("lang") == lang
+        expr = F.when(hit, F.lit(value)) if expr is None else expr.when(hit, F.lit(value))
+    return expr.otherwise(F.lit("\\z\\A."))
 
-def _opens(text: Column) -> Column:
-    """Starts a block comment that does not close on the same line."""
-    return F.startswith(text, F.lit("/*")) & ~F.contains(F.substring(text, F.lit(3), F.length(text)), F.lit("*/"))
 
+def _find(text: Column, pattern: Column) -> Column:
+    """Text of the first match of a pattern that is itself a column; empty if none."""
+    return F.call_function("regexp_extract", text, pattern, F.lit(0))
 
-def _comment_action(lang: Column, line: Column, body: Column) -> Column:
-    quotes = F.regexp_count(body, F.lit('"""')) + F.regexp_count(body, F.lit("'''"))
-    python = F.when(quotes == 1, TOGGLE).when(quotes >= 2, LEAVE)
-    ruby = F.when(F.startswith(line, F.lit("=begin")), ENTER).when(F.startswith(line, F.lit("=end")), LEAVE)
 
+def _comment_action() -> Column:
+    lang, body = F.col("lang"), F.col("body")
+    quotes = F.regexp_count(body, F.lit("\"\"\"|'''"))
     closes = F.contains(body, F.lit("*/"))
-    tail = ltrim_blank(after_first(body, "*/"))
-    from_out, from_in = _opens(body), ~closes | _opens(tail)
+    opens = F.when(lang == "php", body.rlike(_PHP_OPENS)).otherwise(body.rlike(_OPENS))
+    reopens = F.when(lang == "php", body.rlike(_PHP_REOPENS)).otherwise(body.rlike(_REOPENS))
     block = (
-        F.when(from_out & from_in, ENTER)
-        .when(~from_out & ~from_in, LEAVE)
-        .when(from_out & ~from_in, TOGGLE)
+        F.when(closes & ~reopens, F.when(opens, TOGGLE).otherwise(LEAVE))
+        .when(opens, ENTER)
     )
-    php_reopens = F.startswith(tail, F.lit("/*")) & ~F.contains(tail, F.lit("*/"))
-    php = F.when(F.startswith(body, F.lit("/*")) & ~closes, ENTER).when(closes & ~php_reopens, LEAVE)
     return (
-        F.when(lang == "python", python)
-        .when(lang == "ruby", ruby)
-        .when(lang == "php", php)
-        .otherwise(block)
-    )
-
-
-def _visible_text(lang: Column, inside: Column, body: Column, action: Column) -> Column:
-    """What the parser of the language sees of a line; null when it is skipped."""
-    closed = ltrim_blank(after_first(body, "*/"))
-    closes = F.contains(body, F.lit("*/"))
-
-    def without_leading_comment(text: Column) -> Column:
-        rest = F.substring(text, F.lit(3), F.length(text))
-        after = ltrim_blank(after_first(rest, "*/"))
-        return (
-            F.when(~F.startswith(text, F.lit("/*")), text)
-            .when(F.contains(rest, F.lit("*/")) & (after != ""), after)
+        F.when(lang == "python", F.when(quotes == 1, TOGGLE).when(quotes >= 2, LEAVE))
+        .when(
+            lang == "ruby",
+            F.when(F.col("flush"), F.when(F.startswith(body, F.lit("=begin")), ENTER).when(F.startswith(body, F.lit("=end")), LEAVE)),
         )
-
-    block = F.when(~inside, without_leading_comment(body)).when(
-        closes & (closed != ""), without_leading_comment(closed)
-    )
-    php_tail = trim_blank(closed)
-    php_text = F.when(~inside, body).when(closes & (php_tail != ""), php_tail)
-    php = F.when(~starts_any(php_text, ["<?php", "//", "#", "/*"]), php_text)
-    return (
-        F.when(lang == "python", F.when(~inside & action.isNull(), body))
-        .when(lang == "ruby", F.when(~inside & ~action.eqNullSafe(ENTER), body))
-        .when(lang == "php", F.when(php != "", php))
-        .otherwise(block)
+        .when(contains_any(body, ["/*", "*/"]), block)
     )
 
 
-def _may_matter(lang: Column, body: Column) -> Column:
-    """Superset of the lines that declare something, per language."""
-    zig = starts_any(body, ["pub fn ", "fn ", "pub const ", "const ", "test "])
-    python = starts_any(body, ["def ", "class ", "import ", "from "])
-    ts = contains_any(body, ["import ", "require("]) | starts_any(body, TS_FUNCTION + TS_EXPORT)
-    rust = body.rlike(r"\A(?:pub|fn |async |unsafe |struct |enum |trait |impl[ <]|type |const |static |macro_rules!|use |mod |#\[t)")
-    go = body.rlike(r"\A(?:func |type |import |const |var |\))") | body.rlike("[\"']")
-    ruby = starts_any(body, ["def ", "class ", "module ", "require ", "require_relative "])
-    php = body.rlike(r"[{}]|function |class |interface |trait |enum |const |use ")
-    return (
-        F.when(lang == "zig", zig)
-        .when(lang == "python", python)
-        .when(lang.isin("typescript", "javascript"), ts)
-        .when(lang == "rust", rust)
-        .when(lang == "go_lang", go)
-        .when(lang == "ruby", ruby)
+def _visible_text() -> Column:
+    """What the parser of the language sees of a line; null when it is skipped."""
+    lang, body, inside, act = F.col("lang"), F.col("body"), F.col("inside"), F.col("act")
+    base = F.when(~inside, body).when(
+        F.contains(body, F.lit("*/")), F.regexp_extract(body, _AFTER_CLOSE, 1)
+    )
+    block = F.when(~base.rlike(_OPENS), F.regexp_replace(base, _LEADING_COMMENT, ""))
+    php = F.when(~base.rlike(r"\A(?:<\?php|//|#|/\*)"), base)
+    return null_if_empty(
+        F.when(lang == "python", F.when(~inside & act.isNull(), body))
+        .when(lang == "ruby", F.when(~inside & ~act.eqNullSafe(F.lit(ENTER)), body))
         .when(lang == "php", php)
-        .otherwise(F.lit(False))
-    )
-
-
-# ── per-line grammars ────────────────────────────────────────────────────────
-
-
-def _zig(s: Column) -> Column:
-    fn = F.when(F.startswith(s, F.lit("pub fn ")), ident_after(s, 7)).when(
-        F.startswith(s, F.lit("fn ")), ident_after(s, 3)
-    )
-    const = F.when(F.startswith(s, F.lit("pub const ")), ident_after(s, 10)).when(
-        F.startswith(s, F.lit("const ")), ident_after(s, 6)
-    )
-    kind = (
-        F.when(F.contains(s, F.lit("struct {")), "struct_def")
-        .when(F.contains(s, F.lit("enum {")), "enum_def")
-        .when(contains_any(s, ["union {", "union(enum) {"]), "union_def")
-        .when(F.contains(s, F.lit("@import")), "import")
-        .otherwise("constant")
-    )
-    imports = F.when(kind == "import", _single(string_literal(s)))
-    test = F.when(F.startswith(s, F.lit("test ")), s)
-    return F.array(F.coalesce(_entry(fn, "function", s), _entry(const, kind, s, imports), _entry(test, "test_decl", None)))
-
-
-def _python(s: Column) -> Column:
-    fn = F.when(F.startswith(s, F.lit("def ")), ident_after(s, 4))
-    cls = F.when(F.startswith(s, F.lit("class ")), ident_after(s, 6))
-    imp = F.when(starts_any(s, ["import ", "from "]), s)
-    imports = _single(python_module_path(python_module(s)))
-    return F.array(
-        F.coalesce(_entry(fn, "function", s), _entry(cls, "struct_def", s), _entry(imp, "import", None, imports))
-    )
-
-
-def _typescript(s: Column) -> Column:
-    fn = F.when(starts_any(s, TS_FUNCTION), ident_after_token(s, "function "))
-    exported = F.lit(None).cast("string")
-    for prefix in reversed(TS_EXPORT):
-        exported = F.when(F.startswith(s, F.lit(prefix)), ident_after(s, len(prefix))).otherwise(exported)
-    imp = F.when(contains_any(s, ["import ", "require("]), s)
-    return F.array(
-        F.coalesce(_entry(fn, "function", s), _entry(exported, "constant", s)),
-        _entry(imp, "import", None, _single(string_literal(s))),
-    )
-
-
-def _rust(s: Column, follows_test: Column) -> Column:
-    fn = F.when(starts_any(s, RUST_FN), ident_after_token(s, "fn "))
-    fn_kind = F.when(follows_test, "test_decl").otherwise("function")
-    impl = (
-        F.when(F.startswith(s, F.lit("unsafe impl ")), ident_after(s, 12))
-        .when(F.startswith(s, F.lit("impl<")) & F.contains(s, F.lit("> ")), ident_after_token(s, "> "))
-        .when(starts_any(s, ["impl ", "impl<"]), ident_after(s, 5))
-    )
-    const = F.when(
-        starts_any(s, RUST_CONST),
-        F.when(F.contains(s, F.lit("static ")), ident_after_token(s, "static ")).otherwise(
-            ident_after_token(s, "const ")
-        ),
-    )
-    macro = F.when(F.startswith(s, F.lit("macro_rules!")), ident_after(s, 13))
-    use = F.when(starts_any(s, RUST_USE), s)
-    mod = F.when(starts_any(s, RUST_MOD), ident_after_token(s, "mod "))
-    return F.array(
-        F.coalesce(
-            _entry(fn, fn_kind, s),
-            _entry(F.when(starts_any(s, RUST_STRUCT), ident_after_token(s, "struct ")), "struct_def", s),
-            _entry(F.when(starts_any(s, RUST_ENUM), ident_after_token(s, "enum ")), "enum_def", s),
-            _entry(F.when(starts_any(s, RUST_TRAIT), ident_after_token(s, "trait ")), "trait_def", s),
-            _entry(impl, "impl_block", s),
-            _entry(F.when(starts_any(s, RUST_TYPE), ident_after_token(s, "type ")), "type_alias", s),
-            _entry(const, "constant", s),
-            _entry(macro, "macro_def", s),
-            _entry(use, "import", None, _single(s)),
-            _entry(mod, "import", None, _single(mod)),
-        )
-    )
-
-
-def _go(s: Column, in_imports: Column) -> Column:
-    listed = F.when(~F.startswith(s, F.lit(")")) & string_literal(s).isNotNull(), s)
-    receiver = F.when(
-        F.startswith(s, F.lit("func (")) & F.contains(s, F.lit(") ")), ident_after_token(s, ") ")
-    ).otherwise(ident_after(s, 5))
-    outside = F.coalesce(
-        _entry(F.when(F.startswith(s, F.lit("func ")), receiver), "function", s),
-        _entry(F.when(F.startswith(s, F.lit("type ")), ident_after(s, 5)), "struct_def", s),
-        _entry(F.when(F.startswith(s, F.lit("import ")), s), "import", None, _single(string_literal(s))),
-        _entry(F.when(F.startswith(s, F.lit("const ")), ident_after(s, 6)), "constant", s),
-        _entry(F.when(F.startswith(s, F.lit("var ")), ident_after(s, 4)), "variable", s),
-    )
-    return F.array(
-        F.when(in_imports, _entry(listed, "import", None, _single(string_literal(s)))).when(
-            s != "import (", outside
-        )
-    )
-
-
-def _ruby(s: Column) -> Column:
-    head = F.when(F.startswith(s, F.lit("def self.")), F.substring(s, F.lit(10), F.length(s))).otherwise(
-        F.substring(s, F.lit(5), F.length(s))
-    )
-    fn = F.when(F.startswith(s, F.lit("def ")), ruby_method_name(head))
-    cls = F.when(F.startswith(s, F.lit("class ")), ident_after(s, 6)).when(
-        F.startswith(s, F.lit("module ")), ident_after(s, 7)
-    )
-    req = F.when(starts_any(s, ["require ", "require_relative "]), s)
-    return F.array(
-        F.coalesce(
-            _entry(fn, "function", s),
-            _entry(cls, "struct_def", s),
-            _entry(req, "import", None, _single(string_literal(s))),
-        )
+        .otherwise(block)
     )
 
 
@@ -276,38 +169,18 @@ def _php_is_use(s: Column) -> Column:
     return F.startswith(s, F.lit("use ")) & F.contains(s, F.lit("\\"))
 
 
-def _php_class(s: Column) -> tuple[Column, Column]:
-    name, kind = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for prefix, tag in reversed(PHP_CLASS):
-        found = ident_after(s, len(prefix))
-        hit = F.startswith(s, F.lit(prefix)) & found.isNotNull()
-        name, kind = F.when(hit, found).otherwise(name), F.when(hit, F.lit(tag)).otherwise(kind)
-    return name, kind
-
-
-def _php(s: Column, in_class: Column) -> Column:
+def _php_imports(s: Column) -> Column:
+    """Paths of a ``use`` statement, one per item of a ``{a, b}`` group."""
     statement = F.substring_index(s, ";", 1)
-    use_body = trim_blank(F.substring(statement, F.lit(5), F.length(statement)))
-    use = F.when(_php_is_use(s) & (use_body != ""), statement)
-    base = F.substring_index(use_body, "{", 1)
-    grouped = F.filter(
-        F.transform(F.split(F.substring_index(after_first(use_body, "{"), "}", 1), ",", -1), trim_blank),
+    body = trim_blank(F.substring(statement, F.lit(5), F.length(statement)))
+    base = F.substring_index(body, "{", 1)
+    items = F.filter(
+        F.transform(F.split(F.substring_index(after_first(body, "{"), "}", 1), ",", -1), trim_blank),
         lambda item: item != "",
     )
-    imports = F.when(
-        F.contains(use_body, F.lit("{")),
-        F.transform(grouped, lambda item: php_namespace_path(F.concat(base, php_strip_alias(item)))),
-    ).otherwise(F.array(php_namespace_path(php_strip_alias(use_body))))
-
-    name, kind = _php_class(s)
-    const = F.lit(None).cast("string")
-    for prefix in reversed(PHP_CONST):
-        found = ident_after(s, len(prefix))
-        const = F.when(F.startswith(s, F.lit(prefix)) & (found != "class"), found).otherwise(const)
-    fn = F.when(F.contains(s, F.lit("function ")), ident_after_token(s, "function "))
-    fn_kind = F.when(in_class, "method").otherwise("function")
-    declared = F.coalesce(_entry(name, kind, s), _entry(const, "constant", s), _entry(fn, fn_kind, s))
-    return F.array(F.when(_php_is_use(s), _entry(use, "import", None, imports)).otherwise(declared))
+    grouped = F.transform(items, lambda item: php_namespace_path(F.concat(base, php_strip_alias(item))))
+    single = F.array(php_namespace_path(php_strip_alias(body)))
+    return F.when(body != "", F.when(F.contains(body, F.lit("{")), grouped).otherwise(single))
 
 
 def _php_braces(s: Column) -> Column:
@@ -334,11 +207,34 @@ def _php_braces(s: Column) -> Column:
             quote.alias("quote"), escaped.alias("escaped"), delta.alias("delta"), lowest.alias("lowest")
         )
 
-    folded = F.aggregate(F.filter(F.split(marks, ""), lambda c: c != ""), start, step)
-    return F.struct(folded["delta"].alias("delta"), folded["lowest"].alias("lowest"))
+    return F.aggregate(F.filter(F.split(marks, ""), lambda c: c != ""), start, step)
+
+
+def _name() -> Column:
+    """Declared name of a line with a head; null when no identifier follows."""
+    s, head, lang = F.col("s"), F.col("head"), F.col("lang")
+    rest = (
+        F.when(head == "pub unsafe extern ", F.when(F.contains(s, F.lit("fn ")), after_first(s, "fn ")))
+        .when((head == "impl<") & F.contains(s, F.lit("> ")), after_first(s, "> "))
+        .when((lang == "rust") & (F.col("kind") == "constant") & F.contains(s, F.lit("static ")), after_first(s, "static "))
+        .when(head == "func (", F.when(F.contains(s, F.lit(") ")), after_first(s, ") ")))
+        .when(head == "macro_rules!", F.substring(s, F.lit(14), F.length(s)))
+        .otherwise(F.substring(s, F.length(head) + 1, F.length(s)))
+    )
+    pattern = F.when((lang == "ruby") & (F.col("kind") == "function"), F.lit("\\A%s[?!=]?" % IDENT)).otherwise(
+        F.lit("\\A" + IDENT)
+    )
+    return F.when(F.col("whole"), s).otherwise(null_if_empty(_find(rest, pattern)))
 
 
-# ── the plan ─────────────────────────────────────────────────────────────────
+def _imports() -> Column:
+    s, lang = F.col("s"), F.col("lang")
+    one = (
+        F.when(lang == "python", python_module_path(python_module(s)))
+        .when(lang == "rust", F.col("name"))
+        .otherwise(string_literal(s))
+    )
+    return F.when(one.isNotNull(), F.array(one))
 
 
 def annotate(files: DataFrame, also_keep: Column | None = None) -> DataFrame:
@@ -346,81 +242,159 @@ def annotate(files: DataFrame, also_keep: Column | None = None) -> DataFrame:
 
     ``also_keep`` is a predicate over ``line``; its rows are kept as well and marked
     ``wanted``, so a search can be combined with the outline in the same pass.
-    Result: path, line_num, line, wanted, entries (only non-null elements).
+    Result: path, line_num, line (null unless wanted), wanted, entries.
     """
-    lang, body, act = F.col("lang"), F.col("body"), F.col("act")
+    lang, s, head, kind = F.col("lang"), F.col("s"), F.col("head"), F.col("kind")
+    body, act, inside = F.col("body"), F.col("act"), F.col("inside")
     wanted = F.lit(False) if also_keep is None else also_keep
+    parsed = lang.isin(*PARSED_LANGS)
+    sources = files.withColumn("lang", paths.language(F.col("path")))
+    if also_keep is None:
+        sources = sources.filter(parsed)
+    matters = _by_lang({k: _heads_regex(k) + "|" + _MARKS[k] for k in HEADS})
     rows = (
-        lines(files.withColumn("lang", paths.language(F.col("path"))), keep=("path", "lang"))
-        .withColumn("wanted", wanted)
-        .filter(lang.isin(*PARSED_LANGS) | F.col("wanted"))
-        .withColumn("body", trim_blank(F.col("line")))
-        .withColumn("act", F.when(lang.isin(*PARSED_LANGS), _comment_action(lang, F.col("line"), body)))
+        lines(sources, keep=("path", "lang"))
+        .select("path", "lang", "line_num", "line", trim_blank(F.col("line")).alias("body"), wanted.alias("wanted"))
+        .filter(F.col("wanted") | (_find(body, matters) != ""))
+        .select(
+            "path", "lang", "line_num", "body", "wanted",
+            F.startswith("line", F.lit("=")).alias("flush"),
+            F.when(F.col("wanted"), F.col("line")).alias("line"),
+        )
     )
-    has_close = lang.isin(*BLOCK_COMMENT_LANGS, "php") & contains_any(body, ["/*", "*/"])
-    rows = rows.filter(act.isNotNull() | has_close | _may_matter(lang, body) | F.col("wanted"))
 
     order = Window.partitionBy("path").orderBy("line_num")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
 
     # Inside-a-comment state: parity of toggles since the last line that fixed it.
-    toggles = F.sum((act == TOGGLE).cast("int")).over(so_far)
-    rows = rows.withColumn("toggles", F.coalesce(toggles, F.lit(0)))
+    rows = rows.repartition("path").withColumn("act", _comment_action())
+    rows = rows.select(
+        "*",
+        F.coalesce(F.sum((act == TOGGLE).cast("int")).over(so_far), F.lit(0)).alias("toggles"),
+        F.coalesce(F.lag("line_num").over(order), F.lit(0)).alias("prev_num"),
+    )
     fixed = F.last(F.when(act.isin(LEAVE, ENTER), act + F.col("toggles")), ignorenulls=True).over(before)
-    prior = F.col("toggles") - (act.eqNullSafe(F.lit(TOGGLE))).cast("int")
+    prior = F.col("toggles") - act.eqNullSafe(F.lit(TOGGLE)).cast("int")
     rows = rows.withColumn("inside", ((F.coalesce(fixed, F.lit(0)) + prior) % 2) == 1)
-    rows = rows.withColumn("s", F.when(lang.isin(*PARSED_LANGS), _visible_text(lang, F.col("inside"), body, act)))
-    s = F.col("s")
-
-    # Go import blocks: the last opening or closing line among the visible ones.
+    rows = rows.withColumn("s", F.when(parsed, _visible_text()))
+    rows = rows.withColumn("head", _find(s, _by_lang({k: _heads_regex(k) for k in HEADS})))
+    rows = rows.withColumn("kind", _head_kind())
+
+    # A PHP class line needs a name; braces count on every other statement but ``use``.
+    php = lang == "php"
+    class_kinds = ("interface_def", "trait_def", "enum_def", "class_def")
+    php_class = php & kind.isin(*class_kinds) & F.substring(s, F.length(head) + 1, F.lit(1)).rlike("[A-Za-z0-9_]")
+    rows = rows.withColumn("braces", F.when(php & s.rlike("[{}]") & ~_php_is_use(s), _php_braces(s)))
+    rows = rows.withColumn("class_line", F.coalesce(php_class, F.lit(False)).cast("int"))
+
+    # Rust: lines hidden between two kept rows are exactly those inside a comment, so the
+    # position of a row among the visible lines is known.
+    gap = F.when(inside, F.col("line_num") - F.col("prev_num") - 1).otherwise(0)
+    hidden = F.when(lang == "rust", gap + (s.isNull() & (inside | (body != ""))).cast("int")).otherwise(0)
     go_mark = F.when(lang == "go_lang", F.when(s == "import (", 1).when(F.startswith(s, F.lit(")")), 0))
-    in_imports = F.coalesce(F.last(go_mark, ignorenulls=True).over(before) == 1, F.lit(False))
-
-    # Rust test attributes: the previous visible line.  Lines hidden between two kept
-    # rows are exactly those inside a comment, so positions among visible lines follow.
-    gap = F.col("line_num") - F.coalesce(F.lag("line_num").over(order), F.lit(0)) - 1
-    hidden = F.when(F.col("inside"), gap).otherwise(0) + s.isNull().cast("int")
-    rows = rows.withColumn("hidden", F.when(lang == "rust", hidden).otherwise(0))
-    rows = rows.withColumn("seen", F.col("line_num") - F.sum("hidden").over(so_far))
+    rows = rows.select(
+        "*",
+        F.coalesce(F.last(go_mark, ignorenulls=True).over(before) == 1, F.lit(False)).alias("in_imports"),
+        (F.col("line_num") - F.sum(hidden).over(so_far)).alias("seen"),
+        F.coalesce(F.sum("braces.delta").over(before), F.lit(0)).alias("depth"),
+        F.sum("class_line").over(so_far).alias("class_no"),
+    )
     is_attr = (lang == "rust") & ((s == "#[test]") | F.startswith(s, F.lit("#[tokio::test")))
     last_attr = F.last(F.when(is_attr, F.col("seen")), ignorenulls=True).over(before)
-    follows_test = F.coalesce(last_attr == F.col("seen") - 1, F.lit(False))
+    rows = rows.withColumn("follows_test", F.coalesce(last_attr == F.col("seen") - 1, F.lit(False)))
 
     # PHP classes: open until a closing brace falls back to the depth they began at.
-    counted = (lang == "php") & s.isNotNull() & ~_php_is_use(s)
-    braces = F.when(counted & s.rlike("[{}]"), _php_braces(s))
-    class_line = counted & _php_class(s)[0].isNotNull()
-    rows = rows.withColumn("in_imports", in_imports).withColumn("follows_test", follows_test)
-    rows = rows.withColumn("braces", braces).withColumn("class_line", F.coalesce(class_line, F.lit(False)))
-    rows = rows.withColumn("depth", F.coalesce(F.sum("braces.delta").over(before), F.lit(0)))
-    rows = rows.withColumn("class_no", F.sum(F.col("class_line").cast("int")).over(so_far))
-    rows = rows.withColumn("low", F.col("depth") + F.col("braces.lowest"))
     within = Window.partitionBy("path", "class_no").orderBy("line_num")
-    opened_at = F.first("depth").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    lowest = F.min("low").over(within.rowsBetween(Window.unboundedPreceding, -1))
-    in_class = (F.col("class_no") > 0) & F.coalesce(lowest > opened_at, F.lit(True))
-    rows = rows.withColumn("in_class", in_class)
-
-    parsed = (
-        F.when(lang == "zig", _zig(s))
-        .when(lang == "python", _python(s))
-        .when(lang.isin("typescript", "javascript"), _typescript(s))
-        .when(lang == "rust", _rust(s, F.col("follows_test")))
-        .when(lang == "go_lang", _go(s, F.col("in_imports")))
-        .when(lang == "ruby", _ruby(s))
-        .when(lang == "php", _php(s, F.col("in_class")))
+    rows = rows.withColumn("low", F.col("depth") + F.col("braces.lowest"))
+    rows = rows.select(
+        "*",
+        F.first("depth").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("opened_at"),
+        F.min("low").over(within.rowsBetween(Window.unboundedPreceding, -1)).alias("lowest"),
+    )
+    return _with_entries(rows).select("path", "line_num", "line", "wanted", "entries")
+
+
+def _head_kind() -> Column:
+    """Kind of (lang, head); null for a line without a head."""
+    expr = None
+    for lang, heads in HEADS.items():
+        pairs = [F.lit(x) for item in heads.items() for x in item]
+        found = F.try_element_at(F.create_map(*pairs), F.col("head"))
+        hit = F.col("lang") == lang
+        expr = F.when(hit, found) if expr is None else expr.when(hit, found)
+    return F.when(F.col("head") != "", expr)
+
+
+def _with_entries(rows: DataFrame) -> DataFrame:
+    lang, s, head, kind, name = (F.col(c) for c in ("lang", "s", "head", "kind", "name"))
+    php, go = lang == "php", lang == "go_lang"
+    in_class = (F.col("class_no") > 0) & F.coalesce(F.col("lowest") > F.col("opened_at"), F.lit(True))
+
+    # A line inside a Go import block is an import when it quotes something.
+    listed = go & F.col("in_imports")
+    rows = rows.withColumn(
+        "kind",
+        F.when(listed, F.when(~F.startswith(s, F.lit(")")) & string_literal(s).isNotNull(), F.lit("import")))
+        .when(go & (s == "import ("), F.lit(None).cast("string"))
+        .when(php & _php_is_use(s), F.lit("import"))
+        .when((lang == "zig") & (kind == "constant"), _zig_const_kind(s))
+        .when((lang == "rust") & (kind == "function") & F.col("follows_test"), F.lit("test_decl"))
+        .otherwise(kind),
+    )
+    rows = rows.withColumn("whole", listed | head.isin(*WHOLE_LINE))
+    named = F.when(php & (kind == "import"), F.when(_php_imports(s).isNotNull(), F.substring_index(s, ";", 1))).otherwise(
+        F.when(kind.isNotNull(), _name())
+    )
+    rows = rows.withColumn("name", named)
+    # PHP falls back to a function anywhere on a line that declares nothing else.
+    nameless = php & F.coalesce(kind != "import", F.lit(True)) & (name.isNull() | ((kind == "constant") & (name == "class")))
+    fallback = nameless & F.contains(s, F.lit("function "))
+    rows = rows.select(
+        "path", "line_num", "line", "wanted", "lang", "s", "head",
+        F.when(fallback, ident_after_token(s, "function ")).when(~nameless, name).alias("name"),
+        F.when(fallback, F.when(in_class, "method").otherwise("function")).otherwise(kind).alias("kind"),
+    )
+    rows = rows.withColumn("is_import", kind == "import")
+    bare = F.col("is_import") & ~((lang == "zig") & (head != "test "))
+    imports = F.when(php & F.col("is_import"), _php_imports(s)).when(F.col("is_import"), _imports())
+    primary = F.when(
+        name.isNotNull() & kind.isNotNull(),
+        F.struct(
+            name.alias("name"), kind.alias("kind"),
+            F.when(~bare & (kind != "test_decl") | (lang == "rust") & ~bare, s).alias("detail"),
+            F.coalesce(imports, F.expr(_NO_IMPORTS)).alias("imports"),
+        ).cast(_ENTRY),
+    )
+    # TypeScript imports are found anywhere on a line, in addition to a declaration.
+    quoted = string_literal(s)
+    secondary = F.when(
+        lang.isin("typescript", "javascript") & contains_any(s, ["import ", "require("]),
+        F.struct(
+            s.alias("name"), F.lit("import").alias("kind"), F.lit(None).cast("string").alias("detail"),
+            F.coalesce(F.when(quoted.isNotNull(), F.array(quoted)), F.expr(_NO_IMPORTS)).alias("imports"),
+        ).cast(_ENTRY),
+    )
+    return rows.withColumn("entries", F.array_compact(F.array(primary, secondary)))
+
+
+def _zig_const_kind(s: Column) -> Column:
+    return (
+        F.when(F.contains(s, F.lit("struct {")), "struct_def")
+        .when(F.contains(s, F.lit("enum {")), "enum_def")
+        .when(contains_any(s, ["union {", "union(enum) {"]), "union_def")
+        .when(F.contains(s, F.lit("@import")), "import")
+        .otherwise("constant")
     )
-    entries = F.when(s.isNotNull(), F.filter(parsed, lambda e: e.isNotNull()))
-    return rows.select("path", "line_num", "line", "wanted", entries.alias("entries"))
 
 
 def declarations(files: DataFrame) -> DataFrame:
     """One row per symbol with its raw imports; ``ord`` is the order within its line."""
     return (
         annotate(files)
-        .filter(F.size("entries") > 0)
-        .select("path", "line_num", F.posexplode("entries").alias("ord", "e"))
+        # The outer form keeps Catalyst from repeating the parse in an inferred filter.
+        .select("path", "line_num", F.posexplode_outer("entries").alias("ord", "e"))
+        .filter("ord IS NOT NULL")
         .select("path", "line_num", "ord", "e.name", "e.kind", "e.detail", "e.imports")
     )
 
