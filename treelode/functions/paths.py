@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from treelode.functions.text import contains_any, ends_any, starts_any
+from treelode.functions.text import contains_any, ends_any, sql_map, starts_any
 
 # File suffixes per language, tested in this order.
 LANGUAGE_SUFFIXES = (
@@ -110,11 +110,11 @@ def matches_any_include(path: Column, rel: Column, patterns) -> Column:
 
 
 def language(path: Column) -> Column:
-    expr = None
-    for name, suffixes in LANGUAGE_SUFFIXES:
-        cond = ends_any(path, suffixes)
-        expr = F.when(cond, name) if expr is None else expr.when(cond, name)
-    return expr.otherwise("unknown")
+    """Language by suffix.  Every suffix is one dot and a name, so the text from the last
+    dot on decides."""
+    by_suffix = {suffix: name for name, suffixes in LANGUAGE_SUFFIXES for suffix in suffixes}
+    found = F.try_element_at(F.expr(sql_map(by_suffix)), F.regexp_extract(path, r"\.[^.]*\z", 0))
+    return F.coalesce(found, F.lit("unknown"))
 
 
 def has_skip_dir(path: Column) -> Column:

@@ -38,6 +38,16 @@ def quote_java(text: str) -> str:
     return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
+def sql_text(text: str) -> str:
+    """SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_map(values: dict[str, str]) -> str:
+    """SQL map literal; a large constant crosses to the JVM as one piece of text."""
+    return "map(" + ", ".join(f"{sql_text(k)}, {sql_text(v)}" for k, v in values.items()) + ")"
+
+
 def trim_blank(col: Column) -> Column:
     """Trim spaces and tabs only (carriage returns stay)."""
     return F.trim(col, F.lit(" \t"))

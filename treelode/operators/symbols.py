@@ -26,6 +26,8 @@ from treelode.functions.text import (
     python_module,
     python_module_path,
     quote_java,
+    sql_map,
+    sql_text,
     string_literal,
     trim_blank,
 )
@@ -95,6 +97,8 @@ _MARKS = {
 }
 _MARKS["javascript"] = _MARKS["typescript"]
 
+NOTHING = r"\z\A."  # a regex that never matches
+
 # A line's effect on the "inside a comment" state.
 LEAVE, ENTER, TOGGLE = 0, 1, 2
 
@@ -117,11 +121,8 @@ def _heads_regex(lang: str) -> str:
 def _by_lang(values: dict[str, str]) -> Column:
     """Constant per language.  Lines of one file are adjacent, so a regex chosen this way
     is compiled once per file, not once per line."""
-    expr = None
-    for lang, value in values.items():
-        hit = F.col("lang") == lang
-        expr = F.when(hit, F.lit(value)) if expr is None else expr.when(hit, F.lit(value))
-    return expr.otherwise(F.lit("\\z\\A."))
+    cases = " ".join(f"WHEN {sql_text(lang)} THEN {sql_text(value)}" for lang, value in values.items())
+    return F.expr(f"CASE lang {cases} ELSE {sql_text(NOTHING)} END")
 
 
 def _find(text: Column, pattern: Column) -> Column:
@@ -317,13 +318,8 @@ def annotate(files: DataFrame, also_keep: Column | None = None) -> DataFrame:
 
 def _head_kind() -> Column:
     """Kind of (lang, head); null for a line without a head."""
-    expr = None
-    for lang, heads in HEADS.items():
-        pairs = [F.lit(x) for item in heads.items() for x in item]
-        found = F.try_element_at(F.create_map(*pairs), F.col("head"))
-        hit = F.col("lang") == lang
-        expr = F.when(hit, found) if expr is None else expr.when(hit, found)
-    return F.when(F.col("head") != "", expr)
+    cases = " ".join(f"WHEN {sql_text(lang)} THEN try_element_at({sql_map(heads)}, head)" for lang, heads in HEADS.items())
+    return F.expr(f"CASE WHEN head != '' THEN CASE lang {cases} END END")
 
 
 def _with_entries(rows: DataFrame) -> DataFrame:
