@@ -184,31 +184,22 @@ def _php_imports(s: Column) -> Column:
     return F.when(body != "", F.when(F.contains(body, F.lit("{")), grouped).otherwise(single))
 
 
-def _php_braces(s: Column) -> Column:
-    """struct(delta, lowest): brace balance of a line outside its string literals.
-
-    ``lowest`` is the lowest running balance seen right after a closing brace.
-    Everything but quotes, braces and escaped quotes is dropped first, so the fold
-    below runs over a handful of characters.
-    """
-    marks = F.regexp_replace(s, r"""(?s)(\\['"{}\\])|\\.|[^'"{}\\]""", "$1")
-    start = F.expr("named_struct('quote', '', 'escaped', false, 'delta', 0, 'lowest', cast(null as int))")
-
-    def step(acc: Column, ch: Column) -> Column:
-        in_string = acc["quote"] != ""
-        quote = (
-            F.when(in_string & ~acc["escaped"] & (ch == acc["quote"]), F.lit(""))
-            .when(~in_string & ch.isin("'", '"'), ch)
-            .otherwise(acc["quote"])
-        )
-        escaped = in_string & ~acc["escaped"] & (ch == "\\")
-        delta = acc["delta"] + F.when(in_string, 0).when(ch == "{", 1).when(ch == "}", -1).otherwise(0)
-        lowest = F.when(~in_string & (ch == "}"), F.least(acc["lowest"], delta)).otherwise(acc["lowest"])
-        return F.struct(
-            quote.alias("quote"), escaped.alias("escaped"), delta.alias("delta"), lowest.alias("lowest")
-        )
-
-    return F.aggregate(F.filter(F.split(marks, ""), lambda c: c != ""), start, step)
+# struct(delta, lowest) of a line ``s``: brace balance outside string literals, and the
+# lowest running balance right after a closing brace.  Everything but quotes, braces and
+# escaped quotes is dropped first, so the fold runs over a handful of characters.
+_PHP_BRACES = """
+aggregate(
+  filter(split(regexp_replace(s, %s, '$1'), ''), c -> c != ''),
+  named_struct('quote', '', 'escaped', false, 'delta', 0, 'lowest', cast(null as int)),
+  (a, c) -> named_struct(
+    'quote', CASE WHEN a.quote != '' AND NOT a.escaped AND c = a.quote THEN ''
+                  WHEN a.quote = '' AND c IN ('\\'', '"') THEN c ELSE a.quote END,
+    'escaped', a.quote != '' AND NOT a.escaped AND c = '\\\\',
+    'delta', a.delta + CASE WHEN a.quote != '' THEN 0 WHEN c = '{' THEN 1 WHEN c = '}' THEN -1 ELSE 0 END,
+    'lowest', CASE WHEN a.quote = '' AND c = '}' THEN least(a.lowest, a.delta - 1) ELSE a.lowest END
+  )
+)
+""" % sql_text(r"""(?s)(\\['"{}\\])|\\.|[^'"{}\\]""")
 
 
 def _name() -> Column:
@@ -286,7 +277,7 @@ def annotate(files: DataFrame, also_keep: Column | None = None) -> DataFrame:
     php = lang == "php"
     class_kinds = ("interface_def", "trait_def", "enum_def", "class_def")
     php_class = php & kind.isin(*class_kinds) & F.substring(s, F.length(head) + 1, F.lit(1)).rlike("[A-Za-z0-9_]")
-    rows = rows.withColumn("braces", F.when(php & s.rlike("[{}]") & ~_php_is_use(s), _php_braces(s)))
+    rows = rows.withColumn("braces", F.when(php & s.rlike("[{}]") & ~_php_is_use(s), F.expr(_PHP_BRACES)))
     rows = rows.withColumn("class_line", F.coalesce(php_class, F.lit(False)).cast("int"))
 
     # Rust: lines hidden between two kept rows are exactly those inside a comment, so the
@@ -339,7 +330,8 @@ def _with_entries(rows: DataFrame) -> DataFrame:
         .otherwise(kind),
     )
     rows = rows.withColumn("whole", listed | head.isin(*WHOLE_LINE))
-    named = F.when(php & (kind == "import"), F.when(_php_imports(s).isNotNull(), F.substring_index(s, ";", 1))).otherwise(
+    rows = rows.withColumn("php_imports", F.when(php & (kind == "import"), _php_imports(s)))
+    named = F.when(php & (kind == "import"), F.when(F.col("php_imports").isNotNull(), F.substring_index(s, ";", 1))).otherwise(
         F.when(kind.isNotNull(), _name())
     )
     rows = rows.withColumn("name", named)
@@ -347,13 +339,13 @@ def _with_entries(rows: DataFrame) -> DataFrame:
     nameless = php & F.coalesce(kind != "import", F.lit(True)) & (name.isNull() | ((kind == "constant") & (name == "class")))
     fallback = nameless & F.contains(s, F.lit("function "))
     rows = rows.select(
-        "path", "line_num", "line", "wanted", "lang", "s", "head",
+        "path", "line_num", "line", "wanted", "lang", "s", "head", "php_imports",
         F.when(fallback, ident_after_token(s, "function ")).when(~nameless, name).alias("name"),
         F.when(fallback, F.when(in_class, "method").otherwise("function")).otherwise(kind).alias("kind"),
     )
     rows = rows.withColumn("is_import", kind == "import")
     bare = F.col("is_import") & ~((lang == "zig") & (head != "test "))
-    imports = F.when(php & F.col("is_import"), _php_imports(s)).when(F.col("is_import"), _imports())
+    imports = F.when(php, F.col("php_imports")).when(F.col("is_import"), _imports())
     primary = F.when(
         name.isNotNull() & kind.isNotNull(),
         F.struct(

@@ -7,6 +7,8 @@ make, listed below by hand; nothing here parses source text.
 from __future__ import annotations
 
 from treelode.functions import paths
+from treelode.functions.wyhash import SECRET, hash_bytes
+from treelode.operators.pairs import LAYOUT_PAIRS, LETTER_PAIRS
 from treelode.plans import adapters, catalogue as cat
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -244,6 +246,114 @@ PAIRS = (
     "counted AS (SELECT CAST('0x' || x AS INTEGER) AS a, CAST('0x' || y AS INTEGER) AS b, count(*) AS n FROM pr GROUP BY x, y)"
 )
 
+# Wyhash of 1 to 16 bytes with 128-bit integers.  ``state`` is the mix of the first two
+# secrets, and a, b are the two 64-bit words read from the input.
+S0, S1 = SECRET[0], SECRET[1]
+STATE0 = (S0 * S1 & 2**64 - 1) ^ (S0 * S1 >> 64)
+U64 = "18446744073709551616::UHUGEINT"
+
+
+def wyhash(a: str, b: str, length: str) -> str:
+    """Scalar subquery giving the hash as UHUGEINT."""
+    return (
+        f"(SELECT xor(r % {U64}, r // {U64}) FROM (SELECT xor(xor(q % {U64}, {S0}::UHUGEINT), ({length})::UHUGEINT) * "
+        f"xor(q // {U64}, {S1}::UHUGEINT) AS r FROM (SELECT xor({a}, {S1}::UHUGEINT) * xor({b}, {STATE0}::UHUGEINT) AS q)))"
+    )
+
+
+def word(at: str) -> str:
+    """Four bytes, little-endian, from the hex list ``g`` (0-based position)."""
+    parts = " || ".join(f"g[CAST({at} AS INTEGER) + {k}]" for k in (4, 3, 2, 1))
+    return f"CAST(CAST('0x' || {parts} AS UBIGINT) AS UHUGEINT)"
+
+
+_QUARTER = "((n // 8) * 4)"
+_FOUR = "4294967296::UHUGEINT"
+_LETTERS = ", ".join(lit(p.encode().hex()) for p in LETTER_PAIRS)
+_LAYOUT = ", ".join(lit(p.encode().hex()) for p in LAYOUT_PAIRS)
+NGRAMS = (
+    "hx AS (SELECT lpad(format('{:x}', v), 2, '0') AS x, v FROM range(256) t(v)), "
+    "pw AS (SELECT p, CAST(least(65535, (CASE WHEN p IN (" + _LETTERS + ") THEN 4096 WHEN p IN (" + _LAYOUT + ") THEN 2048 ELSE 65024 END) "
+    f"+ CAST({wyhash('w', '0::UHUGEINT', '2')} % 256 AS INTEGER)) AS INTEGER) AS wt FROM "
+    # Two bytes: the second one is also the last one.
+    "(SELECT l.x || r.x AS p, CAST(l.v * 65536 + r.v * 256 + r.v AS UHUGEINT) AS w FROM hx l, hx r)), "
+    f"hexed AS (SELECT path, regexp_extract_all(lower(hex(encode({fold('text')}))), '..') AS b FROM docs), "
+    "prs AS (SELECT path, len(b) - 1 AS m, unnest(range(0, len(b) - 1)) AS i, unnest(b[1:len(b) - 1]) AS x, unnest(b[2:len(b)]) AS y FROM hexed WHERE len(b) >= 3), "
+    "wts AS (SELECT path, m, i, wt FROM prs JOIN pw ON pw.p = x || y), "
+    "nb AS (SELECT path, m, i, wt, lag(wt) OVER (PARTITION BY path ORDER BY i) AS before, lead(wt) OVER (PARTITION BY path ORDER BY i) AS after FROM wts), "
+    "bounds AS (SELECT path, i FROM nb WHERE i = 0 OR i = m - 1 OR (wt > before AND wt > after)), "
+    "spans AS (SELECT path, i AS s, lead(i) OVER (PARTITION BY path ORDER BY i) + 2 AS e FROM bounds), "
+    "sized AS (SELECT path, s, e, e - s AS n FROM spans WHERE e IS NOT NULL AND e - s >= 3), "
+    "cut AS (SELECT path, s, n FROM sized WHERE n <= 16 "
+    "UNION ALL SELECT path, s + 16 * unnest(range(0, n // 16)), 16 FROM sized WHERE n > 16 "
+    "UNION ALL SELECT path, e - greatest(n % 16, 3), greatest(n % 16, 3) FROM sized WHERE n > 16 AND n % 16 > 0), "
+    "byte AS (SELECT path, unnest(range(0, len(b))) AS i, unnest(b) AS x FROM hexed), "
+    "gr AS (SELECT DISTINCT c.path, c.n, list(y.x ORDER BY y.i) AS g FROM "
+    "(SELECT path, s, n, unnest(range(s, s + n)) AS i FROM (SELECT DISTINCT path, s, n FROM cut)) c "
+    "JOIN byte y ON y.path = c.path AND y.i = c.i GROUP BY c.path, c.s, c.n), "
+    "ab AS (SELECT path, n, CASE WHEN n = 3 THEN CAST(CAST('0x' || g[1] || g[2] || g[3] AS UBIGINT) AS UHUGEINT) "
+    f"ELSE {word('0')} * {_FOUR} + {word(_QUARTER)} END AS a, "
+    f"CASE WHEN n = 3 THEN 0::UHUGEINT ELSE {word('n - 4')} * {_FOUR} + {word('n - 4 - ' + _QUARTER)} END AS b FROM gr), "
+    f"hs AS (SELECT path, {wyhash('a', 'b', 'n')} AS h FROM ab), "
+    "ngram AS (SELECT DISTINCT path, CAST(CASE WHEN h >= 9223372036854775808::UHUGEINT THEN CAST(h AS HUGEINT) - 18446744073709551616::HUGEINT ELSE CAST(h AS HUGEINT) END AS BIGINT) AS hash FROM hs)"
+)
+
+
+def covering() -> str:
+    q = cat.TRIGRAM_QUERY.lower().encode()
+    found = {hash_bytes(q[i:i + n]) for n in range(3, min(16, len(q)) + 1) for i in range(len(q) - n + 1)}
+    return ", ".join(str(h - 2**64 if h >= 2**63 else h) for h in sorted(found))
+
+
+# ── fuzzy path score ─────────────────────────────────────────────────────────
+
+
+def fuzzy_part(tag: str, query: str) -> str:
+    """One alignment as a chain of relations, one per query character.
+
+    Along the path, the best gap ending at a cell is a running maximum, because opening
+    one gap from an aligned cell always beats chaining two.
+    """
+    rows = [
+        f"{tag}0 AS (SELECT path, j, ch, base, len, CAST(0 AS DOUBLE) AS h, CAST(-3 AS DOUBLE) AS up, 0 AS used, "
+        "16 + CASE WHEN j = 0 OR prev IN ('/', '_', '-', '.', chr(92)) THEN 8 ELSE 0 END + CASE WHEN j >= base THEN 6 ELSE 0 END "
+        "+ CASE WHEN j = 0 OR j = base THEN 6 ELSE 0 END AS place FROM chars)"
+    ]
+    for i, c in enumerate(query, start=1):
+        prev = f"{tag}{i - 1}"
+        follow = "0" if i == 1 else "CASE WHEN j > 0 AND dh > h * 0.5 THEN 4 ELSE 0 END"
+        rows.append(
+            f"{tag}{i}a AS (SELECT *, coalesce(lag(h) OVER (PARTITION BY path ORDER BY j), 0) AS dh FROM {prev}), "
+            f"{tag}{i}b AS (SELECT *, greatest(h - 3, up - 1) AS up2, CASE WHEN lower(ch) = {lit(c.lower())} "
+            f"THEN place + CASE WHEN ch = {lit(c)} THEN 2 ELSE 0 END + {follow} ELSE -8 END AS gain FROM {tag}{i}a), "
+            f"{tag}{i}c AS (SELECT *, greatest(0, dh + gain, up2) AS m FROM {tag}{i}b), "
+            f"{tag}{i}d AS (SELECT path, j, ch, base, len, place, up2 AS up, used, greatest(m, coalesce(max(m + j) OVER "
+            "(PARTITION BY path ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1000) - j - 2) AS h "
+            f"FROM {tag}{i}c), "
+            f"{tag}{i} AS (SELECT path, j, ch, base, len, place, up, h, CASE WHEN max(h) OVER (PARTITION BY path) > 0 THEN {i} ELSE used END AS used FROM {tag}{i}d)"
+        )
+    n = len(query)
+    rows.append(
+        f"{tag} AS (SELECT path, CAST(max(h) / CAST(CAST(sqrt(max(len)) AS FLOAT) AS DOUBLE) AS FLOAT) AS score FROM {tag}{n} "
+        f"GROUP BY path HAVING max(h) > 0 AND max(used) >= {(n + 1) // 2} AND max(h) >= {n} * 16 * 0.3)"
+    )
+    return ", ".join(rows)
+
+
+def fuzzy() -> str:
+    """The registered query has two parts and one extension; no name is an entry point."""
+    one, two, ext = cat.FUZZY.split(" ")
+    return (
+        f"WITH {DOCS}, named AS (SELECT path FROM docs WHERE ends_with(path, {lit(ext[1:])})), "
+        "chars AS (SELECT path, j, substr(path, CAST(j + 1 AS INTEGER), 1) AS ch, CASE WHEN j > 0 THEN substr(path, CAST(j AS INTEGER), 1) ELSE '' END AS prev, "
+        "length(path) - length(regexp_extract(path, '([^/]*)$', 1)) AS base, length(path) AS len FROM "
+        "(SELECT path, unnest(range(0, length(path))) AS j FROM named)), "
+        f"{fuzzy_part('p', one)}, {fuzzy_part('q', two)} "
+        "SELECT p.path, round(CAST(CAST(CAST(p.score AS DOUBLE) + CAST(q.score AS DOUBLE) AS FLOAT) AS DOUBLE), 4) AS score "
+        "FROM p JOIN q ON q.path = p.path"
+    )
+
+
 # ── path filters ─────────────────────────────────────────────────────────────
 
 SITE = (
@@ -325,6 +435,10 @@ ORACLES: dict[str, str] = {
     "pair_weights": f"WITH {DOCS}, {PAIRS}, every AS (SELECT CAST(r // 256 AS INTEGER) AS a, CAST(r % 256 AS INTEGER) AS b FROM range(65536) t(r)) "
     "SELECT e.a, e.b, CAST(coalesce(65024 - (c.n * 60928) // (SELECT max(n) FROM counted), 65024) AS INTEGER) AS w "
     "FROM every e LEFT JOIN counted c ON c.a = e.a AND c.b = e.b",
+    "ngram_postings": f"WITH {DOCS}, {NGRAMS} SELECT path, hash FROM ngram",
+    "ngram_candidates": f"WITH {DOCS}, {NGRAMS} SELECT DISTINCT path FROM ngram WHERE hash IN ({covering()})",
+    "fuzzy_paths": fuzzy(),
+    "fuzzy_top": fuzzy() + " ORDER BY CAST(CAST(p.score AS DOUBLE) + CAST(q.score AS DOUBLE) AS FLOAT) DESC, p.path LIMIT 50",
     "extract_lines": f"WITH {DOCS}, {lines_of('docs')} SELECT path, line_num, lpad(CAST(line_num AS VARCHAR), 5, ' ') || ' | ' || line AS line "
     f"FROM ln WHERE line_num BETWEEN {cat.LINE_RANGE[0]} AND {cat.LINE_RANGE[1]}",
     "compact_lines": f"WITH {code_files()}, {lines_of('code')}, b AS (SELECT ln.*, language, trim(line, chr(32) || chr(9)) AS body FROM ln JOIN code USING (path)) "
