@@ -212,6 +212,8 @@ def test_indexed_search_equals_scan(corpus, query):
     index = trigrams.postings(corpus)
     scan = sorted(map(tuple, search.search_substring(corpus, query).collect()))
     assert sorted(map(tuple, search.search_indexed(corpus, index, query).collect())) == scan
+    unpruned = search.search_indexed(corpus, index, query, broadcast_limit=0)
+    assert sorted(map(tuple, unpruned.collect())) == scan
     allowed = trigrams.candidates(index, query)
     hits = {path for path, _, _ in scan}
     if allowed is not None:
@@ -255,10 +257,12 @@ def test_words(corpus):
 
 
 def test_index_round_trips(corpus, tmp_path, spark):
-    trigrams.write_postings(trigrams.postings(corpus), str(tmp_path / "tri"))
+    trigrams.write_postings(trigrams.postings(corpus), str(tmp_path / "tri"), "abc")
     words.write_postings(words.word_postings(corpus), str(tmp_path / "words"))
     ngrams.write_postings(ngrams.postings(corpus), str(tmp_path / "ngrams"))
-    stored = spark.read.parquet(str(tmp_path / "tri"))
+    stored = trigrams.read_postings(spark, str(tmp_path / "tri"))
+    assert trigrams.read_header(spark, str(tmp_path / "tri")) == {"files": 5, "git_head": "abc"}
+    assert trigrams.lookup(stored, int.from_bytes(b"fox", "big")).count() == 3
     assert stored.count() == trigrams.postings(corpus).count()
     assert {r["doc_id"] for r in trigrams.candidates(stored, "brown").collect()} == {1, 2, 4, 7}
     assert words.lookup(spark.read.parquet(str(tmp_path / "words")), "fox").count() == 2

@@ -1,0 +1,47 @@
+"""Terminal styles and durations for people; no query depends on them."""
+
+from __future__ import annotations
+
+# Escape sequences.
+RESET, BOLD, DIM = "\x1b[0m", "\x1b[1m", "\x1b[2m"
+RED, GREEN, YELLOW, BLUE, MAGENTA, CYAN = (f"\x1b[{n}m" for n in range(31, 37))
+ORANGE = "\x1b[38;5;208m"
+
+LANGUAGE_COLORS = {
+    "zig": YELLOW, "typescript": BLUE, "javascript": YELLOW, "go_lang": CYAN, "rust": ORANGE,
+    "python": BLUE, "c": BLUE, "cpp": BLUE,
+}
+KIND_COLORS = {
+    "function": BLUE, "method": BLUE, "struct_def": YELLOW, "enum_def": YELLOW, "union_def": YELLOW,
+    "trait_def": MAGENTA, "impl_block": CYAN, "type_alias": YELLOW, "macro_def": ORANGE,
+    "test_decl": GREEN, "import": DIM, "comment_block": DIM,
+}
+
+
+def language_color(language: str) -> str:
+    return LANGUAGE_COLORS.get(language, DIM)
+
+
+def kind_color(kind: str) -> str:
+    return KIND_COLORS.get(kind, CYAN)
+
+
+def format_duration(ns: int) -> str:
+    """Short text of a duration; anything under ten milliseconds gets a lightning bolt."""
+    ns = abs(ns)
+    if ns < 1_000:
+        text = f"{ns}ns"
+    elif ns < 1_000_000:
+        text = f"{ns / 1e3:.1f}\u00b5s"
+    elif ns < 1_000_000_000:
+        text = f"{ns / 1e6:.1f}ms"
+    else:
+        text = f"{ns / 1e9:.1f}s"
+    return f"\u26a1 {text}" if ns < 10_000_000 else text
+
+
+def duration_color(ns: int) -> str:
+    for limit, color in ((10_000_000, CYAN), (100_000_000, GREEN), (1_000_000_000, BLUE)):
+        if abs(ns) < limit:
+            return color
+    return YELLOW

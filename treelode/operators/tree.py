@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treelode.functions import paths
+from treelode.functions import display, paths
 from treelode.schema import TREE_SORTS
 
 _FAR = 9223372036854775807
@@ -39,56 +39,61 @@ def nodes(
     rel = paths.relative_to(path, base)
     files = (
         stats.filter(paths.matches_base(path, base))
-        .withColumn("depth", _slashes(rel))
-        .filter(F.lit(True) if depth is None else F.col("depth") <= depth)
+        .filter(F.lit(True) if depth is None else _slashes(rel) <= depth)
         .filter(paths.matches_any_include(path, rel, list(include or ())))
     )
 
+    # A file yields its own node and one per directory above it, in one pass over the
+    # statistics.  Directories repeat for every file below them and are folded map-side,
+    # so a huge directory shuffles one row per task.
     parts = F.split("path", "/")
     n_dirs = F.size(parts) - 1
-    dir_mtime = lambda i: F.coalesce(F.get("dir_mtimes", i), F.lit(0))
-    key_parts = F.transform(
-        parts,
-        lambda name, i: F.when(i < n_dirs, _component(name, True, F.lit(0), dir_mtime(i), sort, dirs_first)).otherwise(
-            _component(name, False, F.col("byte_size"), F.coalesce("mtime_ns", F.lit(0)), sort, dirs_first)
+    by_time = sort == "modified"
+
+    def node(full_path, is_dir, line_count, symbol_count, byte_size, modified, mtimes):
+        fields = [
+            full_path.alias("full_path"), F.lit(is_dir).alias("is_dir"), line_count.cast("int").alias("line_count"),
+            symbol_count.cast("bigint").alias("symbol_count"), byte_size.cast("bigint").alias("byte_size"),
+            F.coalesce(modified, F.lit(0)).cast("bigint").alias("modified_ns"),
+        ]
+        return F.struct(*fields, *([mtimes.alias("mtimes")] if by_time else []))
+
+    zero = F.lit(0)
+    leaf = node(
+        path, False, F.col("line_count"), F.col("symbol_count"), F.col("byte_size"), F.col("mtime_ns"),
+        F.slice("dir_mtimes", F.lit(1), n_dirs),
+    )
+    folders = F.transform(
+        F.when(n_dirs > 0, F.sequence(F.lit(1), n_dirs)).otherwise(F.array().cast("array<int>")),
+        lambda n: node(
+            F.concat(F.array_join(F.slice(parts, F.lit(1), n), "/"), F.lit("/")), True, zero, zero, zero,
+            F.get("dir_mtimes", n - 1), F.slice("dir_mtimes", F.lit(1), n),
         ),
     )
-    base_level = base.count("/") if base else -1
-    leaf = files.select(
-        path.alias("full_path"), "depth",
-        F.greatest(n_dirs - F.lit(base_level + (0 if base else 1)), F.lit(0)).alias("level"),
-        F.lit(False).alias("is_dir"), "line_count", F.col("symbol_count").cast("bigint"), "byte_size",
-        F.coalesce("mtime_ns", F.lit(0)).alias("modified_ns"), key_parts.alias("sort_key"),
+    measures = ["line_count", "symbol_count", "byte_size", "modified_ns"] + (["mtimes"] if by_time else [])
+    found = (
+        files.select(F.explode(F.concat(F.array(leaf), folders)).alias("n")).select("n.*")
+        .groupBy("full_path", "is_dir").agg(*[F.max(m).alias(m) for m in measures])
+        .withColumn("bare", F.rtrim("full_path", F.lit("/")))
+        .filter(paths.matches_base(F.col("bare"), base))
     )
-    ancestors = files.filter(n_dirs > 0).select(
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), n_dirs),
-                lambda n: F.struct(
-                    F.array_join(F.slice(parts, F.lit(1), n), "/").alias("dir"),
-                    (n - 1).alias("level"),
-                    dir_mtime(n - 1).alias("mtime"),
-                    F.slice(key_parts, F.lit(1), n).alias("key"),
-                ),
-            )
-        ).alias("d")
-    ).select("d.*")
-    dir_rel = paths.relative_to(F.col("dir"), base)
-    # One row per directory; combined map-side, so a huge directory shuffles one row per task.
-    folders = (
-        ancestors.filter(paths.matches_base(F.col("dir"), base))
-        .groupBy("dir", "level", "key")
-        .agg(F.max("mtime").alias("mtime"))
-        .withColumn("depth", _slashes(dir_rel))
-        .filter(F.lit(True) if depth is None else F.col("depth") <= depth)
-        .select(
-            F.concat("dir", F.lit("/")).alias("full_path"), "depth",
-            F.greatest(F.col("level") - F.lit(max(base_level, 0)), F.lit(0)).alias("level"),
-            F.lit(True).alias("is_dir"), F.lit(0).alias("line_count"), F.lit(0).cast("bigint").alias("symbol_count"),
-            F.lit(0).cast("bigint").alias("byte_size"), F.col("mtime").alias("modified_ns"), F.col("key").alias("sort_key"),
-        )
+    names = F.split("bare", "/")
+    last = F.size(names) - 1
+    time_at = (lambda i: F.coalesce(F.get("mtimes", i), F.lit(0))) if by_time else (lambda i: zero)
+
+    def component(name, i):
+        folder = _component(name, True, zero, time_at(i), sort, dirs_first)
+        own = _component(name, False, F.col("byte_size"), F.col("modified_ns"), sort, dirs_first)
+        return F.when((i < last) | F.col("is_dir"), folder).otherwise(own)
+
+    above = base.count("/") if base else 0
+    return found.select(
+        "full_path",
+        _slashes(paths.relative_to(F.col("bare"), base)).alias("depth"),
+        (last - F.lit(above)).alias("level"),
+        "is_dir", "line_count", "symbol_count", "byte_size", "modified_ns",
+        F.transform(names, component).alias("sort_key"),
     )
-    return folders.unionByName(leaf)
 
 
 def _slashes(rel: Column) -> Column:
@@ -124,6 +129,18 @@ def labelled(tree: DataFrame) -> DataFrame:
     )
 
 
+def render_text(rows: DataFrame, color: bool = False) -> Iterator[str]:
+    """Indented listing, one line per node, streamed in listing order."""
+    bold, dim, reset = (display.BOLD, display.DIM, display.RESET) if color else ("", "", "")
+    for row in rows.select("depth", "is_dir", "full_path", "line_count", "symbol_count").toLocalIterator():
+        name = row["full_path"].rstrip("/").rsplit("/", 1)[-1]
+        indent = "  " * row["depth"]
+        if row["is_dir"]:
+            yield f"{indent}{bold}{name}/{reset}\n"
+        else:
+            yield f"{indent}{name}  {dim}{row['line_count']}L  {row['symbol_count']} sym{reset}\n"
+
+
 def render_json(rows: DataFrame) -> Iterator[str]:
     """Nested arrays, streamed partition by partition in listing order.
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treelode.functions.regex import TrigramQuery, literal_trigrams
@@ -145,11 +145,33 @@ def merged(base: DataFrame, overlay: DataFrame, replaced: DataFrame) -> DataFram
     return base.join(replaced.select("doc_id"), "doc_id", "left_anti").unionByName(overlay)
 
 
-def write_postings(index: DataFrame, target: str) -> None:
-    """Sorted by (trigram, document): row-group statistics answer a trigram lookup."""
+def lookup(index: DataFrame, tri: int) -> DataFrame:
+    """Posting list of one trigram, by document."""
+    return index.filter(F.col("tri") == tri).select("doc_id", "next_mask", "loc_mask")
+
+
+def file_count(index: DataFrame) -> DataFrame:
+    return index.agg(F.count_distinct("doc_id").alias("files"))
+
+
+def write_postings(index: DataFrame, target: str, git_head: str | None = None) -> None:
+    """Sorted by (trigram, document): row-group statistics answer a trigram lookup.
+
+    A one-row header (document count, commit) is written last, beside the postings.
+    """
     (
         index.repartitionByRange("tri", "doc_id")
         .sortWithinPartitions("tri", "doc_id")
         .write.mode("overwrite")
-        .parquet(target)
+        .parquet(f"{target}/postings")
     )
+    header = file_count(read_postings(index.sparkSession, target)).withColumn("git_head", F.lit(git_head).cast("string"))
+    header.coalesce(1).write.mode("overwrite").parquet(f"{target}/header")
+
+
+def read_postings(spark: SparkSession, target: str) -> DataFrame:
+    return spark.read.parquet(f"{target}/postings")
+
+
+def read_header(spark: SparkSession, target: str) -> dict:
+    return spark.read.parquet(f"{target}/header").first().asDict()

@@ -135,6 +135,15 @@ def index_base_overlay(spark, sf):
     return trigrams.merged(base, overlay, labelled).groupBy("doc_id").agg(F.count(F.lit(1)).alias("trigrams"))
 
 
+def index_file_count(spark, sf):
+    return trigrams.file_count(trigrams.postings(_docs(spark, sf)))
+
+
+def trigram_lookup(spark, sf):
+    wanted = int.from_bytes(b"the", "big")
+    return trigrams.lookup(trigrams.postings(_docs(spark, sf), [wanted]), wanted)
+
+
 def pair_counts(spark, sf):
     return pairs.pair_counts(_docs(spark, sf))
 
@@ -418,7 +427,7 @@ QUERIES: dict[str, Query] = {
         line_stats, corpus_filter, search_substring, search_top50, search_path_filter, search_regex,
         search_regex_alternatives, search_scoped, enclosing_scope, word_index, word_lookup, word_df,
         trigram_postings, trigram_candidates, regex_candidates, search_indexed, search_indexed_regex,
-        index_base_overlay, pair_counts, pair_weights, ngram_postings, ngram_candidates, extract_lines,
+        index_base_overlay, index_file_count, trigram_lookup, pair_counts, pair_weights, ngram_postings, ngram_candidates, extract_lines,
         compact_lines, symbol_bodies, glob_include, base_path, tree_nodes, tree_filtered, tree_depth_zero,
         tree_max_nodes, tree_by_size, language_detect, sensitive_filter, skip_dir_filter, skip_file_filter,
         ignore_rules, nested_ignore_rules, outline_summary, outlines, find_symbol, find_all_symbols, deps_edges,

@@ -431,6 +431,8 @@ ORACLES: dict[str, str] = {
     "index_base_overlay": "WITH docs AS (SELECT doc_id, '' AS path, CASE WHEN doc_id IN (SELECT doc_id FROM labels) "
     f"THEN text || ' Overlaid' ELSE text END AS text FROM documents), {BYTES} "
     "SELECT doc_id, count(DISTINCT t) AS trigrams FROM grams GROUP BY doc_id",
+    "index_file_count": f"WITH {DOCS}, {BYTES} SELECT count(DISTINCT doc_id) AS files FROM grams",
+    "trigram_lookup": f"WITH {DOCS}, {BYTES}, {POSTINGS} SELECT doc_id, next_mask, loc_mask FROM post WHERE tri = {tri('the')}",
     "pair_counts": f"WITH {DOCS}, {PAIRS} SELECT a, b, CAST(n AS BIGINT) AS n FROM counted",
     "pair_weights": f"WITH {DOCS}, {PAIRS}, every AS (SELECT CAST(r // 256 AS INTEGER) AS a, CAST(r % 256 AS INTEGER) AS b FROM range(65536) t(r)) "
     "SELECT e.a, e.b, CAST(coalesce(65024 - (c.n * 60928) // (SELECT max(n) FROM counted), 65024) AS INTEGER) AS w "

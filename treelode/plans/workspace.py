@@ -12,7 +12,7 @@ import os
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treelode.functions.paths import STATE_DIR, is_safe_request
@@ -53,31 +53,48 @@ class Workspace:
     def _write(self, name: str, gen: int, df: DataFrame) -> None:
         df.write.mode("overwrite").parquet(f"{self._table(name)}/gen={gen}")
 
-    def _visible(self, name: str) -> DataFrame:
-        """Rows of the published generations, with their ``gen``."""
+    def _published(self, name: str) -> tuple[DataFrame, DataFrame | None]:
+        """(base generation, later generations or None), each with its ``gen``."""
         commit = self._commit_row()
         if commit is None or commit["gen"] is None:
             raise LookupError("workspace is not indexed")
         table = self.spark.read.parquet(self._table(name))
-        return table.filter(F.col("gen").between(commit["base"], commit["gen"]))
+        base = table.filter(F.col("gen") == commit["base"])
+        if commit["gen"] == commit["base"]:
+            return base, None
+        return base, table.filter((F.col("gen") > commit["base"]) & (F.col("gen") <= commit["gen"]))
+
+    def _recent(self) -> DataFrame | None:
+        """Newest known row of every path touched since the base generation."""
+        _, later = self._published("known")
+        if later is None:
+            return None
+        row = F.max_by(F.struct("mtime_ms", "size", "hash", "content_gen", "deleted"), "gen").alias("r")
+        return later.groupBy("path").agg(row).select("path", "r.*")
 
     def known(self) -> DataFrame:
         """Every walked file as last seen: path, mtime_ms, size, hash, content_gen."""
-        newest = Window.partitionBy("path").orderBy(F.col("gen").desc())
-        commit = self._commit_row()
-        rows = self._visible("known")
-        if commit["gen"] != commit["base"]:
-            rows = rows.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
-        return rows.filter(~F.col("deleted")).drop("deleted", "gen")
+        base, _ = self._published("known")
+        recent = self._recent()
+        rows = base.drop("gen")
+        if recent is not None:
+            rows = rows.join(recent.select("path"), "path", "left_anti").unionByName(recent)
+        return rows.filter(~F.col("deleted")).drop("deleted")
 
     def _current(self, name: str) -> DataFrame:
-        """Rows of a derived table that belong to the content generation of their path."""
-        rows = self._visible(name)
-        commit = self._commit_row()
-        if commit["gen"] == commit["base"]:
-            return rows.drop("gen")
-        live = self.known().select("path", F.col("content_gen").alias("gen"))
-        return rows.join(live, ["path", "gen"], "left_semi").drop("gen")
+        """Rows of a derived table that belong to the content generation of their path.
+
+        The base rows only meet the paths that changed since, a small relation that Spark
+        broadcasts while it is small, so base contents are not shuffled on every read.
+        """
+        base, later = self._published(name)
+        if later is None:
+            return base.drop("gen")
+        recent = self._recent()
+        moved = recent.filter(F.col("deleted") | (F.col("content_gen") != self._commit_row()["base"]))
+        live = recent.filter(~F.col("deleted")).select("path", F.col("content_gen").alias("gen"))
+        kept = base.join(moved.select("path"), "path", "left_anti")
+        return kept.unionByName(later.join(live, ["path", "gen"], "left_semi").select(*kept.columns)).drop("gen")
 
     def files(self) -> DataFrame:
         return listing.as_text(self._current("files"))
@@ -260,7 +277,11 @@ class Workspace:
         return deps.imported_by(self.edges(), path)
 
     def changes(self, since: int = 0) -> DataFrame:
-        return versions.changes_since(versions.retained(self.versions()), since)
+        return versions.changes_since(self.versions(), since)
+
+    def changes_count(self, since: int = 0) -> int:
+        """Retained versions newer than ``since``."""
+        return versions.changes_count(versions.retained(self.versions()), since).first()["changes"]
 
     def at_cursor(self, cursor: int) -> DataFrame:
         return versions.at_cursor(versions.retained(self.versions()), cursor)

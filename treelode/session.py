@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +22,32 @@ DEFAULTS = {
 }
 
 
+@dataclass(frozen=True)
+class Budget:
+    """Ingest limits; a value that is not a whole number falls back to its default."""
+
+    max_ram_mb: int = 3800
+    target_seconds: int = 60
+    batch_min_files: int = 32
+    batch_max_files: int = 256
+
+    @classmethod
+    def from_env(cls, env: Mapping[str, str] = os.environ) -> Budget:
+        names = {
+            "max_ram_mb": "TREELODE_MAX_RAM_MB", "target_seconds": "TREELODE_INDEX_TARGET_SECONDS",
+            "batch_min_files": "TREELODE_BATCH_MIN_FILES", "batch_max_files": "TREELODE_BATCH_MAX_FILES",
+        }
+        given = {field: env.get(name, "") for field, name in names.items()}
+        return cls(**{field: int(text) for field, text in given.items() if text.isdecimal()})
+
+    def conf(self) -> dict[str, str]:
+        """Spark settings the budget stands for: memory, and files per Arrow batch."""
+        return {
+            "spark.driver.memory": f"{self.max_ram_mb}m", "spark.executor.memory": f"{self.max_ram_mb}m",
+            "spark.sql.execution.arrow.maxRecordsPerBatch": str(self.batch_max_files),
+        }
+
+
 def build_session(app: str = "treelode", master: str | None = None, conf: dict[str, str] | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:

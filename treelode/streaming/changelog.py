@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from treelode.operators import agents
 from treelode.schema import VERSIONS
+from treelode.session import Budget
 
 
-def read_log(spark: SparkSession, log_dir: str, max_files: int = 256, schema: str = VERSIONS) -> DataFrame:
+def read_log(spark: SparkSession, log_dir: str, max_files: int = Budget().batch_max_files, schema: str = VERSIONS) -> DataFrame:
     """Versions as they are appended; ``max_files`` bounds one micro-batch, nothing is dropped."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(log_dir)
 
