@@ -172,6 +172,15 @@ def test_changes_and_refresh(ws):
     assert [r["path"] for r in ws.hot_files(2).collect()] == ["src/new.go", "src/main.zig"]
 
 
+def test_index_accelerated_search(ws):
+    ids = [r["doc_id"] for r in ws.files().select("doc_id").collect()]
+    assert len(set(ids)) == 5 and min(ids) > 0
+    index = ws.trigrams()
+    for query, is_regex in (("needle", False), ("ne+dle", True), ("zz", False)):
+        got = ws.search_indexed(index, query, regex=is_regex).collect()
+        assert got == ws.search(query, regex=is_regex).collect()
+
+
 def test_notify(ws):
     base = ws.current_seq()
     with open(f"{ws.root}/src/late.py", "w") as handle:

@@ -28,13 +28,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", document_path().alias("path"), "text"))
 
 
+def epoch_ms(ts: Column) -> Column:
+    """Milliseconds of a zone-less timestamp, whatever the session time zone is."""
+    days = F.unix_date(F.to_date(ts)).cast("bigint")
+    whole = (days * 24 + F.hour(ts)) * 60 + F.minute(ts)
+    return whole * 60_000 + F.floor(F.extract(F.lit("SECOND"), ts) * 1000).cast("bigint")
+
+
 def event_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """versions(path, seq, op, timestamp_ms): users are paths, event types operations."""
     return table(spark, sf_dir, "events").select(
         F.concat(F.lit("user/"), F.col("user_id").cast("string")).alias("path"),
         (F.col("event_id") + 1).alias("seq"),
         F.col("event_type").alias("op"),
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp_ms"),
+        epoch_ms(F.col("ts")).alias("timestamp_ms"),
     )
 
 

@@ -389,7 +389,7 @@ def agent_liveness(spark, sf):
         F.lit(0).cast("bigint").alias("edit_count"),
     )
     beats = adapters.table(spark, sf, "events").select(
-        F.col("user_id").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms")
+        F.col("user_id").alias("id"), adapters.epoch_ms(F.col("ts")).alias("at_ms")
     )
     alive = agents.heartbeat(registered, beats)
     leases = registered.select(F.col("id").alias("agent_id"), F.col("name").alias("path"), F.lit(0).cast("bigint").alias("expiry"))

@@ -142,8 +142,18 @@ class Workspace:
             F.lit(False).alias("deleted"),
         )
 
+    def _last_doc_id(self) -> int:
+        """Document ids only grow; a file that is indexed again gets a new one."""
+        try:
+            stored = self.spark.read.parquet(self._table("files"))
+        except AnalysisException:
+            return 0
+        return stored.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
+
     def _write_generation(self, gen: int, known: DataFrame, to_read: DataFrame, max_bytes: int = corpus.FAST_LIMIT) -> None:
-        self._write("files", gen, listing.read_files(to_read, self.root, max_bytes))
+        wanted = corpus.indexable_paths(to_read, max_bytes)
+        numbered = versions.number_rows(wanted, ["path"], self._last_doc_id(), "doc_id")
+        self._write("files", gen, listing.read_files(numbered, self.root, max_bytes))
         stored = self.spark.read.parquet(f"{self._table('files')}/gen={gen}")
         self._write("declarations", gen, symbols.declarations(listing.as_text(stored)))
         self._write("known", gen, known)
@@ -298,12 +308,12 @@ class Workspace:
     def fuzzy(self, query: str, max_results: int) -> DataFrame:
         return search.fuzzy_top(self._current("files"), query, max_results)
 
-    def numbered_files(self) -> DataFrame:
-        """Files with a dense ``doc_id`` for the trigram index."""
-        return versions.number_rows(self.files().select("path", "text"), ["path"], name="doc_id")
-
     def trigrams(self) -> DataFrame:
-        return trigrams.postings(self.numbered_files())
+        return trigrams.postings(self.files())
+
+    def search_indexed(self, postings: DataFrame, query: str, max_results: int | None = None, regex: bool = False) -> DataFrame:
+        """Search through a trigram index built from this workspace's current files."""
+        return search.top_results(search.search_indexed(self.files(), postings, query, regex), max_results)
 
     def ngrams(self) -> DataFrame:
         return ngrams.postings(self.files())
