@@ -463,8 +463,8 @@ def test_ignore_column_equals_task(spark):
     df = spark.createDataFrame([(n,) for n in names], "path STRING")
     for is_dir in (False, True):
         rows = df.select("path", ignore.is_ignored(F.col("path"), rules, is_dir).alias("i")).collect()
-        assert {r["path"]: r["i"] for r in rows} == {n: ignore.is_ignored_path(n, tuple(rules), is_dir) for n in names}
-    verdict = {n: ignore.is_ignored_path(n, tuple(rules), False) for n in names}
+        assert {r["path"]: r["i"] for r in rows} == {n: ignore.is_ignored_path(n, ignore.compile_rules(rules), is_dir) for n in names}
+    verdict = {n: ignore.is_ignored_path(n, ignore.compile_rules(rules), False) for n in names}
     assert verdict["pub/js/a"] and not verdict["pub/js"] and verdict["buildx/y"] and not verdict["x/pub/js/a"]
     assert verdict["z/a/b"] and not verdict["z/c/de"] and not verdict["n/m/ok"] and verdict["n/m/no"]
 

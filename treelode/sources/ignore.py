@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -93,14 +92,17 @@ def is_excluded(path: Column, rules) -> Column:
     return skipped | pruned | is_ignored(path, rules, False)
 
 
-@lru_cache(maxsize=4096)
-def _compiled(rules: tuple, is_dir: bool):
-    return [(negated, re.compile("(?s:%s)" % body)) for negated, body in _runs(rules, is_dir)]
+def compile_rules(rules) -> dict[bool, list[tuple[bool, re.Pattern]]]:
+    """Rules ready for use inside a listing task, for files and for directories."""
+    return {
+        is_dir: [(negated, re.compile("(?s:%s)" % body)) for negated, body in _runs(rules, is_dir)]
+        for is_dir in (False, True)
+    }
 
 
-def is_ignored_path(path: str, rules: tuple, is_dir: bool) -> bool:
-    """Same verdict inside a listing task."""
-    for negated, pattern in _compiled(rules, is_dir):
+def is_ignored_path(path: str, compiled: dict, is_dir: bool) -> bool:
+    """Same verdict as ``is_ignored``, from compiled rules."""
+    for negated, pattern in compiled[is_dir]:
         if pattern.fullmatch(path):
             return not negated
     return False
