@@ -1,0 +1,182 @@
+"""Top-k, archives, dialogues and languages against brute force, round trips and held-out rows."""
+
+import hashlib
+import math
+import struct
+from collections import defaultdict
+
+import numpy as np
+import pytest
+import zstandard
+
+pytest.importorskip("treelode.llm")
+from conftest import TESTDATA  # noqa: E402
+
+from treelode.llm import chat, langid, topk, warc  # noqa: E402
+from treelode.llm.queries import op6_topk, op7_warc, op8_chat, op10_language_id  # noqa: E402
+
+
+def brute_top(rows, queries, k):
+    good = []
+    for i, v in rows:
+        if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
+            good.append((i, [math.floor(64 * x) for x in v]))
+    asked = [(i, v) for i, v in good if i in queries]
+    out = []
+    for qi, qv in asked:
+        scored = sorted((-sum(a * b for a, b in zip(qv, v)), i) for i, v in good if i != qi)
+        out += [(qi, rank + 1, i, -s) for rank, (s, i) in enumerate(scored[:k])]
+    return sorted(out)
+
+
+def test_top_k_on_the_table(spark):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{TESTDATA}/embeddings.parquet").collect()]
+    got = sorted(tuple(r) for r in op6_topk(spark, str(TESTDATA)).collect())
+    assert got == brute_top(rows, {i for i, _ in rows if i % 20 == 0}, 20)
+
+
+def test_top_k_ties_nulls_and_small_tables(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(i, [1.0, 0.5]) for i in range(60)] + [(100, None), (101, [None, 1.0]), (102, [nan, 1.0]), (103, [inf, 1.0]), (None, [1.0, 1.0])]
+    rows += [(104, []), (105, [-2.0]), (106, [1.0, 0.5, 3.0]), (120, [1e4, -1e4])]
+    columns = "vec_id bigint, embedding array<double>, score string"
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], columns).repartition(5)
+    got = sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id % 20 = 0"), k=7).collect())
+    assert got == brute_top(rows, {0, 20, 40, 100, 120}, 7)
+    few = df.where("vec_id < 3")
+    assert sorted(tuple(r) for r in topk.top_k(few, few, k=7).collect()) == brute_top(rows[:3], {0, 1, 2}, 7)
+    assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_top_k_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.integers(-3, 4, 5).astype(float).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(4)
+    got = sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id % 20 = 0"), k=9).collect())
+    assert got == brute_top(rows, set(range(0, 300, 20)), 9)
+
+
+def expected_warc(rows):
+    best = {}
+    for i, html in rows:
+        p = (html or "").encode()
+        if len(p) >= 1000:
+            best[p] = max(best.get(p, i), i)
+    out = []
+    for i, html in rows:
+        p = (html or "").encode()
+        again = len(p) >= 1000 and best[p] != i
+        out.append((i, len(p), hashlib.sha1(p).hexdigest(), "revisit" if again else "response", best[p] if again else None))
+    return sorted(out)
+
+
+def test_warc_query(spark):
+    rows = [(r.page_id, r.html) for r in spark.read.parquet(f"{TESTDATA}/pages.parquet").collect()]
+    assert sorted(tuple(r) for r in op7_warc(spark, str(TESTDATA)).collect()) == expected_warc(rows)
+
+
+def test_warc_round_trip_keeps_payloads(spark):
+    big = "äöü " * 400
+    rows = [(1, None, big), (2, "http://x/\r\ny", big), (3, "http://x", big + "!"), (4, "u", None), (5, "u", ""), (6, "u", "short"), (7, "u", "short"), (8, "u", "\r\n\r\n" * 500)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "page_id bigint, url string, html string, payload int")
+    got = {r.page_id: r for r in warc.round_trip(df).collect()}
+    assert sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got.values()) == expected_warc([(r[0], r[2]) for r in rows])
+    for i, _, html in rows:
+        if got[i].record_type == "response":
+            assert bytes(got[i].payload) == (html or "").encode()
+    assert warc.round_trip(df.limit(0)).count() == 0
+
+
+def test_warc_reader_rejects_broken_archives():
+    records = [warc.record_bytes(i, "http://a", b"x" * i, hashlib.sha1(b"x" * i).hexdigest(), i, None) for i in range(1, 40)]
+    (data,) = warc.archives(iter(records))
+    assert [r["page_id"] for r in warc.read_archive(data)] == list(range(1, 40))
+    magic, size = struct.unpack_from("<II", data)
+    assert magic == 0x184D2A5D
+    head = data[: 8 + size]
+    for bad in (b"", data[:4], data[8 + size :], data[:-3], head + zstandard.compress(b"WARC/1.0\r\n\r\n")):
+        with pytest.raises(warc.WarcError):
+            list(warc.read_archive(bad))
+    dictionary = zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompress(head[8:]))
+    writer = zstandard.ZstdCompressor(dict_data=dictionary)
+    good = records[5]
+    for bad in (good[:-1], good.replace(b"Content-Length: 6", b"Content-Length: 7"), good.replace(b"xxx", b"xxy"), good.replace(b"WARC-Date", b"WARC-Bate")):
+        with pytest.raises(warc.WarcError):
+            list(warc.read_archive(head + writer.compress(bad)))
+
+
+def brute_chat(turns, part_turns):
+    by = defaultdict(list)
+    for conv, turn, role, text in turns:
+        if conv is not None:
+            by[conv].append((turn if turn is not None else -(1 << 60), (role if role is not None else "unknown").strip().lower(), text or ""))
+    out = {}
+    for conv, rows in by.items():
+        rows.sort()
+        for who in {r[1] for r in rows} - {"system"}:
+            start = 0
+            for part in range(0, len(rows), part_turns):
+                text, masks = "", []
+                for _, role, said in rows[part : part + part_turns]:
+                    name = "assistant" if role == who else "system" if role == "system" else f"user name={role}"
+                    text += f"<|im_start|>{name}\n"
+                    at = len(text)
+                    text += said + "<|im_end|>"
+                    if role == who:
+                        masks.append([at, len(text)])
+                    text += "\n"
+                out[conv, who, part // part_turns] = (start, min(part_turns, len(rows) - part), len(masks), text, masks)
+                start += len(text)
+    return out
+
+
+def check_chat(df, turns, part_turns):
+    got = {(r[0], r.perspective, r.part): (r.start_char, r.n_turns, r.n_masked, r.text, [list(m) for m in r.masks]) for r in df.collect()}
+    assert got == brute_chat(turns, part_turns)
+
+
+def test_chat_query(spark):
+    turns = [tuple(r) for r in spark.read.parquet(f"{TESTDATA}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    check_chat(op8_chat(spark, str(TESTDATA)), turns, chat.PART_TURNS)
+
+
+def test_chat_parts_nulls_and_long_dialogues(spark):
+    turns = [(1, i, f"speaker{i % 3}", f"said {i} é🙂") for i in range(200)]
+    turns += [(2, 0, "system", "only")] + [(3, None, None, None), (3, 1, " User ", "x"), (3, 1, "user", "x"), (3, 1, "bob", ""), (None, 1, "user", "lost")]
+    df = spark.createDataFrame([(*t, "c") for t in turns], "conv_id bigint, turn bigint, role string, text string, part string").repartition(7)
+    check_chat(chat.rotate(df, part_turns=16), turns, 16)
+    assert chat.rotate(df.limit(0)).count() == 0
+
+
+def test_language_query_is_right_on_held_out_rows(spark):
+    truth = {r.doc_id: (r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    rows = op10_language_id(spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == len(truth)
+    import zlib
+
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1
+    held = [r for r in rows if r.held_out]
+    assert sum(truth[r.doc_id][1] == r.lang_pred for r in held) > 0.97 * len(held)
+
+
+def test_language_edge_cases(spark):
+    rows = [(i, "the cat and the dog " * 5, "en") for i in range(10)] + [(i, "der hund und die katze " * 5, "de") for i in range(10, 20)]
+    rows += [(20, None, "en"), (21, "123 !?", "en"), (22, "", None), (23, "und die katze", None), (None, "the dog", "en"), (24, "a\x00b the dog 漢字🙂", None)]
+    df = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id bigint, text string, lang string, score double")
+    got = {r.doc_id: r for r in langid.identify(df).collect()}
+    assert [got[i].lang_pred for i in (20, 21, 22)] == ["und"] * 3 and got[23].lang_pred == "de" and got[None].lang_pred == "en" and got[24].lang_pred == "en"
+    assert got[None].held_out is False
+    assert {r.lang_pred for r in langid.identify(df.withColumn("lang", df.lang.substr(1, 0))).collect()} <= {"", "und"}
+    assert langid.identify(df.limit(0)).count() == 0
+
+
+def test_language_bundle_is_the_sum_of_bound_letters():
+    grams = langid.trigrams(["Ab, a", "", "!", "ab"])
+    vectors = langid.bundles(4, grams, 64)
+    v = {c: langid.letter_vectors(np.array([ord(c)]), 64)[0] for c in " ab"}
+    bind = lambda x, y, z: np.roll(v[x], 2) * np.roll(v[y], 1) * v[z]
+    assert np.array_equal(vectors[3], bind(" ", "a", "b") + bind("a", "b", " "))
+    assert np.array_equal(vectors[0], vectors[3] + bind(" ", "a", " "))
+    assert not vectors[1].any() and not vectors[2].any()
