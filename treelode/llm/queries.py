@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treelode.llm import chat, langid, packing, tokencount, topk, warc
+from treelode.llm import chat, langid, packing, suffixdedup, tokencount, topk, warc
 from treelode.llm.common import table
 
 
@@ -22,6 +22,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixdedup.deduplicate(table(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return cut.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
@@ -45,6 +53,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op6_topk, op7_warc, op8_chat, op9_token_counts, op10_language_id)
+    for f in (op1_packing, op4_suffix_dedup, op6_topk, op7_warc, op8_chat, op9_token_counts, op10_language_id)
 }
 ORACLES: dict[str, str] = {}
