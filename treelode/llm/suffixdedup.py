@@ -7,6 +7,7 @@ with a smaller id, or before it in its own.
   grams, the first if there are several.  Equal windows have equal anchors at the same place, so
   all windows that may be equal meet under their anchor's gram.  A run of windows with one anchor
   travels once, as its bytes: a short document of its own.
+* Runs are dealt out to as many buckets as keep one small, in compressed blocks.
 * A task takes the runs of its grams as a collection, aligned at the anchor, and builds their
   suffix order column by column: each round inserts one symbol per run, the one before its
   suffix.  The column of symbols in the present order is the collection's Burrows-Wheeler
@@ -37,11 +38,14 @@ LENGTH, GRAM = 100, 16
 BUCKETS, HOT_SHARE, HOT_RUNS = 1 << 18, 4096, 200_000
 #: Windows that a hot run keeps together, and salts.
 HOT_WINDOWS, SALTS = 8, 16
-#: Runs ordered together, and bytes of text hashed together.
-BLOCK_RUNS, PART_BYTES = 40_000, 1 << 20
+#: Runs of a bucket, which are ordered together, and bytes of text hashed together.
+BLOCK_RUNS, PART_BYTES = 25_000, 1 << 20
+#: Run bytes that a task deals out to the buckets at once.
+DEAL_BYTES = 24 << 20
 BASE = 0x9E3779B97F4A7C15
 NO_ID = -(1 << 63)
 ROW = "key bigint, salt int, hot boolean, doc bigint, pos bigint, lead int, seg binary"
+RUN = pa.schema([("key", pa.int64()), ("salt", pa.int32()), ("hot", pa.bool_()), ("doc", pa.int64()), ("pos", pa.int64()), ("lead", pa.int32()), ("seg", pa.binary())])
 FOUND = f"start bigint, stop bigint, {ROW}"
 
 
@@ -301,6 +305,51 @@ def found_rows(block: pa.RecordBatch, length: int, before: int) -> Iterator[pa.R
 FOUND_NAMES = [part.split()[0] for part in FOUND.split(", ")]
 
 
+def dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Runs as compressed blocks, one for each bucket that a share of them falls into."""
+    import zstandard
+
+    writer = zstandard.ZstdCompressor(level=3)
+
+    def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        block = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        own = mix64(block.column("key").to_numpy().view(np.uint64) + block.column("salt").to_numpy().astype(np.uint64) * np.uint64(BASE)) % np.uint64(buckets)
+        order = np.argsort(own, kind="stable")
+        block, own = block.take(pa.array(order)), own[order]
+        edges = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]]))
+        blobs = [writer.compress(pa.concat_batches([block.slice(a, b - a)]).serialize()) for a, b in zip(edges[:-1], edges[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(own[edges[:-1]].astype(np.int64)), pa.array(blobs, pa.binary())], ["bucket", "runs"])
+
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= DEAL_BYTES:
+            yield flush(held)
+            held, size = [], 0
+    if held:
+        yield flush(held)
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All runs of one bucket after the other; the input is sorted by bucket."""
+    import zstandard
+
+    reader = zstandard.ZstdDecompressor()
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("runs")):
+            if bucket != now and held:
+                yield pa.concat_batches(held)
+                held = []
+            now = bucket
+            held.append(pa.ipc.read_record_batch(pa.py_buffer(reader.decompress(memoryview(blob.as_buffer()))), RUN))
+    if held:
+        yield pa.concat_batches(held)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """Blocks of about ``rows`` rows that never split a group; the input is sorted by group."""
     held: list[pa.RecordBatch] = []
@@ -347,20 +396,29 @@ def marked_ranges(docs: DataFrame, length: int, gram: int, scratch: Scratch, hot
     hot[table["bucket"].to_numpy()[n > max(64, min(hot_runs, int(n.sum()) // HOT_SHARE))]] = True
     shared = docs.sparkSession.sparkContext.broadcast(hot)  # BUCKETS bytes, whatever the input
 
+    buckets = 1 + int(n.sum()) // BLOCK_RUNS
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data, starts, ids, base in parts_of(batch, length):
-                runs = Runs(data, starts, length, gram)
-                if len(runs.key):
-                    yield run_rows(runs, data, ids, base, length, shared.value, before)
+        def rows() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for data, starts, ids, base in parts_of(batch, length):
+                    runs = Runs(data, starts, length, gram)
+                    if len(runs.key):
+                        yield run_rows(runs, data, ids, base, length, shared.value, before)
+
+        return dealt(rows(), buckets)
+
+    def solve_dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in gathered(batches):
+            yield from found_rows(block, length, before)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in whole_groups(batches, BLOCK_RUNS):
             yield from found_rows(block, length, before)
 
     order = ["key", "salt"]
-    rows = docs.mapInArrow(emit, ROW).repartition(*order).sortWithinPartitions(*order)
-    first = scratch.save(rows.mapInArrow(solve, FOUND), "first")
+    rows = docs.mapInArrow(emit, "bucket bigint, runs binary").repartition("bucket").sortWithinPartitions("bucket")
+    first = scratch.save(rows.mapInArrow(solve_dealt, FOUND), "first")
     again = first.where("start is null").select("key", "salt", "hot", "doc", "pos", "lead", "seg")
     second = again.repartition(*order).sortWithinPartitions(*order).mapInArrow(solve, FOUND)
     columns = ["doc", "start", "stop"]
