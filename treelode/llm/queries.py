@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treelode.llm import chat, langid, packing, suffixdedup, tokencount, topk, warc
+from treelode.llm import chat, jaccard, langid, packing, suffixdedup, tokencount, topk, warc
 from treelode.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
@@ -53,6 +57,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op4_suffix_dedup, op6_topk, op7_warc, op8_chat, op9_token_counts, op10_language_id)
+    for f in (op1_packing, op4_suffix_dedup, op5_jaccard_join, op6_topk, op7_warc, op8_chat, op9_token_counts, op10_language_id)
 }
 ORACLES: dict[str, str] = {}
