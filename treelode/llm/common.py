@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from treelode.session import checkpoint_root
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Text bytes handled at once inside a task, so that working arrays stay small.
 SLICE_BYTES = 4 << 20
 
@@ -45,8 +46,16 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return it as read back: one computation, no lineage before it."""
-        df.write.mode("overwrite").parquet(self.path(name))
+        """Write ``df`` and return it as read back: one computation, no lineage before it.
+
+        Nothing reads the shuffles of the finished write again, so their files go at once.
+        """
+        before = self.spark.conf.get(CLEAN_UP)
+        self.spark.conf.set(CLEAN_UP, "true")
+        try:
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            self.spark.conf.set(CLEAN_UP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

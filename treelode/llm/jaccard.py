@@ -221,7 +221,9 @@ def region_rows(texts: DataFrame, nodes: DataFrame, scratch: Scratch, words: int
 
     ``nodes`` has node, doc, sid, n and marks, one row per distinct set.
     """
-    cells = nodes.select("node", "n", F.explode("marks").alias("cell"))
+    # Dealt out once for both the pivots and the join with them: a node has one row in a cell,
+    # so even a landmark of all nodes has only as many rows as there are nodes.
+    cells = nodes.select("node", "n", F.explode("marks").alias("cell")).repartition("cell")
     priority = F.struct(F.xxhash64("node"), "node", "n")
     pivots = cells.groupBy("cell").agg(F.min(priority).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1")
     pairs = (
