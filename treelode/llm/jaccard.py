@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treelode.llm.common import Scratch, bytes_of, mix64, text_slices
@@ -68,10 +68,10 @@ def shingle_sets(data: np.ndarray, starts: np.ndarray, words: int = WORDS) -> li
         if b - a >= words:
             out[i] = np.unique(joined[a : b - words + 1])
         elif b > a:  # the whole sequence; its length keeps it apart from longer ones
-            short = np.uint64(b - a)
+            short = np.array([b - a], np.uint64)
             for w in word[a:b]:
-                short = mix64(np.array([short * np.uint64(0x9E3779B97F4A7C15) ^ w], np.uint64))[0]
-            out[i] = np.array([short], np.uint64)
+                short = mix64(mix64(short) ^ w)
+            out[i] = short
     return out
 
 
@@ -216,70 +216,68 @@ def drop_balls(rows: DataFrame, scratch: Scratch, percent: int, number: int) ->
     return links, stay.select("region", "node", "shingles")
 
 
-def region_rows(texts: DataFrame, nodes: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
-    """region, node, shingles: each node with its set in the regions of its pivots.
+def memberships(nodes: DataFrame, percent: int) -> DataFrame:
+    """region, node: every node in the regions of its pivots, and each pivot in its own.
 
-    ``nodes`` has node, doc, sid, n and marks, one row per distinct set.
+    ``nodes`` has node, n and marks, one row per distinct set.  A node stays in a cell only if
+    the next smaller or larger set there may be within t by its size.
     """
-    # Dealt out once for both the pivots and the join with them: a node has one row in a cell,
-    # so even a landmark of all nodes has only as many rows as there are nodes.
+    # A node has one row in a cell, so even a landmark of all nodes has no more rows than nodes.
     cells = nodes.select("node", "n", F.explode("marks").alias("cell")).repartition("cell")
-    priority = F.struct(F.xxhash64("node"), "node", "n")
-    pivots = cells.groupBy("cell").agg(F.min(priority).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    pairs = (
-        cells.join(pivots.select("cell", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")), "cell")
-        .where("node <> pivot").groupBy("pivot", "pivot_n", "node", "n").agg(F.count(F.lit(1)).alias("shared"))
-    )
-    pairs = scratch.save(pairs.drop("shared"), "pairs")
-    members = pairs.select("pivot", "node", "n").unionAll(pairs.select("pivot", F.col("pivot").alias("node"), F.col("pivot_n").alias("n")).distinct())
-    # Sizes within t of each other lie in one class or in neighbouring ones: a node without
-    # company there has no close node in this region.
-    size_class = F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
-    members = members.withColumn("class", size_class)
-    company = members.groupBy("pivot", "class").agg(F.count(F.lit(1)).alias("size")).groupBy("pivot").agg(F.map_from_entries(F.collect_list(F.struct("class", "size"))).alias("classes"))
-    near = lambda k: F.coalesce(F.element_at("classes", F.col("class") + k), F.lit(0))
-    kept = members.join(company, "pivot").where(near(0) + near(-1) + near(1) > 1).groupBy("node").agg(F.collect_set("pivot").alias("pivots"))
-    wanted = kept.join(nodes.select("node", "doc", "sid"), "node")
+    by_size = Window.partitionBy("cell").orderBy("n", "node")
+    smaller, larger = F.lag("n").over(by_size), F.lead("n").over(by_size)
+    cells = cells.withColumn("smaller", smaller).withColumn("larger", larger)
+    cells = cells.where(f"100 * smaller >= {percent} * n or 100 * n >= {percent} * larger")
+    pivot = F.min(F.struct(F.xxhash64("node"), "node")).over(Window.partitionBy("cell"))
+    return cells.select(F.explode(F.array(F.col("node"), pivot["node"])).alias("node"), pivot["node"].alias("region")).distinct()
+
+
+def region_rows(texts: DataFrame, nodes: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """region, node, shingles of the given memberships, each set made from its text.
+
+    ``nodes`` has node, doc and sid.
+    """
+    wanted = members.groupBy("node").agg(F.collect_list("region").alias("regions")).join(nodes, "node")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text", 1 << 20):
                 regions, owners, contents = [], [], []
-                rows = zip(shingle_sets(*bytes_of(part.column("text")), words), part.column("sid").to_pylist(), part.column("node").to_pylist(), part.column("pivots").to_pylist())
-                for s, sid, node, pivots_of in rows:
+                rows = zip(shingle_sets(*bytes_of(part.column("text")), words), part.column("sid").to_pylist(), part.column("node").to_pylist(), part.column("regions").to_pylist())
+                for s, sid, node, own in rows:
                     if set_id(s) == sid:  # another text under the same id has a row of its own
-                        regions += pivots_of
-                        owners += [node] * len(pivots_of)
-                        contents += [s.tobytes()] * len(pivots_of)
+                        regions += own
+                        owners += [node] * len(own)
+                        contents += [s.tobytes()] * len(own)
                 yield pa.RecordBatch.from_arrays([pa.array(regions, pa.int64()), pa.array(owners, pa.int64()), pa.array(contents, pa.binary())], ["region", "node", "shingles"])
 
-    joined = texts.join(wanted, "doc").select("text", "sid", "node", "pivots")
+    joined = texts.join(wanted, "doc").select("text", "sid", "node", "regions")
     return joined.mapInArrow(task, "region bigint, node bigint, shingles binary")
 
 
-def links_of(rows: DataFrame, scratch: Scratch, percent: int, region_nodes: int = REGION_NODES) -> DataFrame:
+def links_of(texts: DataFrame, nodes: DataFrame, members: DataFrame, scratch: Scratch, words: int, percent: int, region_nodes: int) -> DataFrame:
     """a, b: links that connect exactly the nodes connected by close pairs."""
-    rows = scratch.save(rows, "regions")
-    sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("size"))
+    size = F.count(F.lit(1)).alias("size")
+    large = members.groupBy("region").agg(size).where(F.col("size") > region_nodes).select("region")
     found: list[DataFrame] = []
-    large = sizes.where(F.col("size") > region_nodes).select("region")
-    number = 0
-    if not large.isEmpty():
-        waiting, rows = rows.join(large, "region", "left_semi"), rows.join(large, "region", "left_anti")
-        waiting = waiting.dropDuplicates(["region", "node"])
-        while number < ROUNDS and not waiting.isEmpty():
-            number += 1
+    if large.isEmpty():
+        rows = region_rows(texts, nodes, members, words)
+    else:
+        rows = region_rows(texts, nodes, members.join(large, "region", "left_anti"), words)
+        waiting = region_rows(texts, nodes, members.join(large, "region", "left_semi"), words).dropDuplicates(["region", "node"])
+        waiting = scratch.save(waiting, "waiting-0")
+        for number in range(1, ROUNDS + 1):
             links, waiting = drop_balls(waiting, scratch, percent, number)
             found.append(links)
             waiting = scratch.save(waiting, f"waiting-{number}")
-            still = waiting.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > region_nodes)
-            if still.isEmpty():
+            scratch.drop(f"waiting-{number - 1}")
+            if waiting.groupBy("region").agg(size).where(F.col("size") > region_nodes).isEmpty():
                 break
         rows = rows.unionByName(waiting)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for nodes, sets in regions_of(batches):
-            pairs = list(join_region(nodes, sets, percent))
+        for own, sets in regions_of(batches):
+            pairs = list(join_region(own, sets, percent))
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
@@ -326,17 +324,20 @@ def join(
     order = docs.sparkSession.sparkContext.broadcast(frequency_sketch(texts, words))  # BUCKETS numbers
     rows = prefixes(texts, order, words, percent).withColumn("node", F.monotonically_increasing_id())
     rows = scratch.save(rows, "sets")
-    filled = rows.where("sid is not null")
+    slim = scratch.save(rows.drop("marks"), "slim")
+    filled = slim.where("sid is not null")
     known = F.when(F.col("doc") != no_id, F.col("doc"))
-    heads = filled.groupBy("sid").agg(F.min("node").alias("node"), F.min(known).alias("least"))
-    nodes = filled.join(heads.select("node"), "node", "left_semi")
-    labels = components(links_of(region_rows(texts, nodes, scratch, words, percent), scratch, percent, region_nodes), scratch)
+    heads = scratch.save(filled.groupBy("sid").agg(F.min("node").alias("node"), F.min(known).alias("least")), "heads")
+    nodes = filled.join(heads.select("node"), "node", "left_semi").select("node", "doc", "sid")
+    members = scratch.save(memberships(rows.join(heads.select("node"), "node", "left_semi"), percent), "members")
+    scratch.drop("sets")
+    labels = components(links_of(texts, nodes, members, scratch, words, percent, region_nodes), scratch)
     labelled = heads.join(labels, "node")
     groups = labelled.groupBy("label").agg(F.min("least").alias("component"))
     linked = labelled.join(groups, "label").select("sid", "component")
     classes = heads.join(linked, "sid", "left").select("sid", F.coalesce("component", "least").alias("component"))
     whole = filled.select("doc", "n", "sid").join(classes, "sid").select("doc", "n", "component")
-    none = rows.where("sid is null").select("doc", "n", known.alias("component"))
+    none = slim.where("sid is null").select("doc", "n", known.alias("component"))
     blank = docs.where(F.coalesce(F.octet_length(text_column), F.lit(0)) == 0).select(
         F.coalesce(F.col(id_column).cast("long"), F.lit(no_id)).alias("doc"), F.lit(0).alias("n"), F.col(id_column).cast("long").alias("component")
     )
