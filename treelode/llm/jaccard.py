@@ -229,7 +229,8 @@ def memberships(nodes: DataFrame, percent: int) -> DataFrame:
     cells = cells.withColumn("smaller", smaller).withColumn("larger", larger)
     cells = cells.where(f"100 * smaller >= {percent} * n or 100 * n >= {percent} * larger")
     pivot = F.min(F.struct(F.xxhash64("node"), "node")).over(Window.partitionBy("cell"))
-    return cells.select(F.explode(F.array(F.col("node"), pivot["node"])).alias("node"), pivot["node"].alias("region")).distinct()
+    cells = cells.withColumn("pivot", pivot).withColumn("region", F.col("pivot.node"))
+    return cells.select("region", F.explode(F.array("node", "region")).alias("node")).distinct()
 
 
 def region_rows(texts: DataFrame, nodes: DataFrame, members: DataFrame, words: int) -> DataFrame:
