@@ -30,6 +30,8 @@ from treelode.llm.common import Scratch, bytes_of, mix64, text_slices
 from treelode.llm.suffixdedup import powers
 
 WORDS, PERCENT = 5, 75
+#: One landmark more for each SPARE shingles, and so one more that close sets must share.
+SPARE = 20
 BUCKETS = 1 << 18
 #: Nodes of a region that one task joins; larger regions take distributed steps, up to ROUNDS.
 REGION_NODES, ROUNDS = 4000, 8
@@ -80,7 +82,9 @@ def bucket_of(shingles: np.ndarray) -> np.ndarray:
 
 
 def prefix_length(n: int, percent: int) -> int:
-    return n - (percent * n + 99) // 100 + 1 if n else 0
+    """Landmarks of a set of n: two sets within t share at least ``1 + m // SPARE`` of them, m
+    being the size of the smaller, since so many of their common shingles come that early."""
+    return n - (percent * n + 99) // 100 + 1 + n // SPARE if n else 0
 
 
 def set_id(shingles: np.ndarray) -> bytes:
@@ -216,21 +220,30 @@ def drop_balls(rows: DataFrame, scratch: Scratch, percent: int, number: int) ->
     return links, stay.select("region", "node", "shingles")
 
 
-def memberships(nodes: DataFrame, percent: int) -> DataFrame:
+def with_company(cells: DataFrame, percent: int) -> DataFrame:
+    """Rows of cells whose next smaller or larger set there may be within t by its size."""
+    by_size = Window.partitionBy("cell").orderBy("n", "node")
+    beside = cells.withColumn("smaller", F.lag("n").over(by_size)).withColumn("larger", F.lead("n").over(by_size))
+    return beside.where(f"100 * smaller >= {percent} * n or 100 * n >= {percent} * larger").select("cell", "node", "n")
+
+
+def memberships(nodes: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """region, node: every node in the regions of its pivots, and each pivot in its own.
 
-    ``nodes`` has node, n and marks, one row per distinct set.  A node stays in a cell only if
-    the next smaller or larger set there may be within t by its size.
+    ``nodes`` has node, n and marks, one row per distinct set.  A node with fewer cells that
+    hold company than close sets share has no close set; taking such nodes out takes company
+    from others, so that is done twice.
     """
     # A node has one row in a cell, so even a landmark of all nodes has no more rows than nodes.
-    cells = nodes.select("node", "n", F.explode("marks").alias("cell")).repartition("cell")
-    by_size = Window.partitionBy("cell").orderBy("n", "node")
-    smaller, larger = F.lag("n").over(by_size), F.lead("n").over(by_size)
-    cells = cells.withColumn("smaller", smaller).withColumn("larger", larger)
-    cells = cells.where(f"100 * smaller >= {percent} * n or 100 * n >= {percent} * larger")
-    pivot = F.min(F.struct(F.xxhash64("node"), "node")).over(Window.partitionBy("cell"))
-    cells = cells.withColumn("pivot", pivot).withColumn("region", F.col("pivot.node"))
-    return cells.select("region", F.explode(F.array("node", "region")).alias("node")).distinct()
+    cells = scratch.save(with_company(nodes.select("node", "n", F.explode("marks").alias("cell")).repartition("cell"), percent), "cells-0")
+    for number in (1, 2):
+        enough = cells.groupBy("node", "n").agg(F.count(F.lit(1)).alias("held"))
+        enough = enough.where(f"held >= 1 + floor(floor({percent} * n / 100) / {SPARE})").select("node")
+        cells = scratch.save(with_company(cells.join(enough, "node").repartition("cell"), percent), f"cells-{number}")
+        scratch.drop(f"cells-{number - 1}")
+    pivots = cells.groupBy("cell").agg(F.min(F.struct(F.xxhash64("node"), "node")).alias("pivot"))
+    placed = cells.join(pivots.select("cell", F.col("pivot.node").alias("region")), "cell")
+    return placed.select("region", F.explode(F.array("node", "region")).alias("node")).distinct()
 
 
 def region_rows(texts: DataFrame, nodes: DataFrame, members: DataFrame, words: int) -> DataFrame:
@@ -330,7 +343,7 @@ def join(
     known = F.when(F.col("doc") != no_id, F.col("doc"))
     heads = scratch.save(filled.groupBy("sid").agg(F.min("node").alias("node"), F.min(known).alias("least")), "heads")
     nodes = filled.join(heads.select("node"), "node", "left_semi").select("node", "doc", "sid")
-    members = scratch.save(memberships(rows.join(heads.select("node"), "node", "left_semi"), percent), "members")
+    members = scratch.save(memberships(rows.join(heads.select("node"), "node", "left_semi"), scratch, percent), "members")
     scratch.drop("sets")
     labels = components(links_of(texts, nodes, members, scratch, words, percent, region_nodes), scratch)
     labelled = heads.join(labels, "node")
