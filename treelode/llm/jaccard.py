@@ -232,7 +232,7 @@ def memberships(nodes: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
 
     ``nodes`` has node, n and marks, one row per distinct set.  A node with fewer cells that
     hold company than close sets share has no close set; taking such nodes out takes company
-    from others, so that is done twice.
+    from others, so that is done twice.  A node leaves regions that hold few of its cells.
     """
     # A node has one row in a cell, so even a landmark of all nodes has no more rows than nodes.
     cells = scratch.save(with_company(nodes.select("node", "n", F.explode("marks").alias("cell")).repartition("cell"), percent), "cells-0")
@@ -243,7 +243,15 @@ def memberships(nodes: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
         scratch.drop(f"cells-{number - 1}")
     pivots = cells.groupBy("cell").agg(F.min(F.struct(F.xxhash64("node"), "node")).alias("pivot"))
     placed = cells.join(pivots.select("cell", F.col("pivot.node").alias("region")), "cell")
-    return placed.select("region", F.explode(F.array("node", "region")).alias("node")).distinct()
+    placed = placed.groupBy("region", "node", "n").agg(F.count(F.lit(1)).alias("held"))
+    # Two close sets share at least as many cells as each of them must.  If each leaves regions
+    # with less than half of that in all, one shared cell's region still holds both.
+    least_first = Window.partitionBy("node").orderBy("held", "region").rowsBetween(Window.unboundedPreceding, 0)
+    left = placed.withColumn("left", F.sum("held").over(least_first))
+    kept = left.where(f"2 * left >= 1 + floor(floor({percent} * n / 100) / {SPARE})").select("region", "node")
+    kept = scratch.save(kept, "kept")
+    shared = kept.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("region")
+    return kept.join(shared, "region")
 
 
 def region_rows(texts: DataFrame, nodes: DataFrame, members: DataFrame, words: int) -> DataFrame:
