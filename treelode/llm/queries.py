@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treelode.llm import chat, jaccard, langid, packing, suffixdedup, tokencount, topk, warc
+from treelode.llm import chat, decontaminate, jaccard, langid, packing, quality, suffixdedup, tokencount, topk, warc
 from treelode.llm.common import table
 
 
@@ -15,13 +15,25 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
+def packed(docs: DataFrame) -> DataFrame:
+    pieces = packing.pack(docs, vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
     return pieces.select(
         "doc_id", "start", F.col("length").cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffixdedup.deduplicate(table(spark, sf_dir, "documents"))
     removed = F.col("n_bytes") - F.octet_length("kept")
@@ -55,8 +67,41 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op4_suffix_dedup, op5_jaccard_join, op6_topk, op7_warc, op8_chat, op9_token_counts, op10_language_id)
+    for f in (
+        op1_packing, op2_decontamination, op3_quality, op4_suffix_dedup, op5_jaccard_join, op6_topk, op7_warc, op8_chat,
+        op9_token_counts, op10_language_id, pipeline,
+    )
+}
+ORACLES: dict[str, str] = {
+    "op6_topk": """
+        WITH v AS (
+          SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS c FROM embeddings
+          WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+          SELECT q.vec_id AS query_id, d.vec_id AS vec_id,
+                 CAST(list_sum(list_transform(list_zip(q.c, d.c), z -> z[1] * z[2])) AS BIGINT) AS score
+          FROM v q JOIN v d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id
+        ), r AS (
+          SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+    """,
+    "op7_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+        d AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS digest FROM p),
+        k AS (SELECT digest, max(page_id) AS keeper FROM d WHERE n >= 1000 GROUP BY digest)
+        SELECT d.page_id, CAST(n AS BIGINT) AS payload_bytes, d.digest AS payload_digest,
+               CASE WHEN keeper IS NULL OR keeper = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN keeper <> d.page_id THEN keeper END AS refers_to
+        FROM d LEFT JOIN k ON d.digest = k.digest AND n >= 1000
+    """,
 }
-ORACLES: dict[str, str] = {}

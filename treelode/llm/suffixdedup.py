@@ -425,10 +425,14 @@ def marked_ranges(docs: DataFrame, length: int, gram: int, scratch: Scratch, hot
     return first.where("start is not null").select(*columns).unionByName(second.select(*columns))
 
 
-def cut(texts: DataFrame, ranges: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """id, ``text`` as bytes kept, and spans: the marked ranges joined to their documents."""
+def cut(texts: DataFrame, ranges: DataFrame, id_column: str, text_column: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, carried columns, ``kept`` bytes, ``n_bytes`` and ``spans``: the marked ranges joined
+    to their documents."""
     lists = ranges.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    kind = texts.schema[id_column].dataType.simpleString()
+    plain = texts.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)))
+    held = ["id", *(f"carry_{i}" for i in range(len(carry)))]
+    kinds = ", ".join(f"{c} {plain.schema[c].dataType.simpleString()}" for c in held)
+    span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -447,29 +451,50 @@ def cut(texts: DataFrame, ranges: DataFrame, id_column: str, text_column: str) -
                     edges = np.diff(np.concatenate([[0], gone.astype(np.int8)]))
                     spans = list(zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist()))
                     out.append((own[~gone[:-1]].tobytes(), len(own), [{"start": a, "stop": b} for a, b in spans]))
-                span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-                columns = [part.column("id"), pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], span)]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "kept", "n_bytes", "spans"])
+                columns = [*(part.column(c) for c in held), pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], span)]
+                yield pa.RecordBatch.from_arrays(columns, [*held, "kept", "n_bytes", "spans"])
 
-    joined = texts.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("doc"))
-    joined = joined.join(lists, "doc", "left").select("id", "text", "ranges")
-    schema = f"id {kind}, kept binary, n_bytes bigint, spans array<struct<start: bigint, stop: bigint>>"
-    return joined.mapInArrow(task, schema).withColumnRenamed("id", id_column)
+    joined = plain.withColumn("doc", F.coalesce(F.col("id").cast("long"), F.lit(NO_ID))).join(lists, "doc", "left").select(*held, "text", "ranges")
+    out = joined.mapInArrow(task, f"{kinds}, kept binary, n_bytes bigint, spans array<struct<start: bigint, stop: bigint>>")
+    return out.toDF(id_column, *carry, "kept", "n_bytes", "spans")
 
 
 def deduplicate(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, gram: int = GRAM, hot_runs: int = HOT_RUNS,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per input row: id, ``kept`` (remaining bytes), ``n_bytes``, ``spans`` removed.
 
     A null text is empty.  A null id counts as smaller than any other.  Repeated rows with one
     id and text are one document, each row getting its result; rows with one id and different
     texts lose the bytes at every place marked in any of them.  Texts shorter than ``length``
-    only keep.  Other columns are ignored; an empty table gives no rows.
+    only keep.  Columns in ``carry`` come along, others are ignored; an empty table gives no
+    rows.
     """
     scratch = Scratch(docs.sparkSession, "suffix")
     plain = docs.where(F.octet_length(text_column) >= length).select(
         F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_column).alias("text")
     )
-    return cut(docs, marked_ranges(plain, length, gram, scratch, hot_runs), id_column, text_column)
+    return cut(docs, marked_ranges(plain, length, gram, scratch, hot_runs), id_column, text_column, carry)
 
+
+def as_text(kept: pa.Array) -> pa.Array:
+    """Remaining bytes as text; what is left of a character cut in two goes."""
+    return pa.array([None if b is None else b.decode("utf-8", "ignore") for b in kept.to_pylist()], pa.string())
+
+
+def deduplicated_documents(docs: DataFrame) -> DataFrame:
+    """The documents with their remaining text and its length; all columns stay."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    cut_rows = deduplicate(docs, carry=others).drop("spans", "n_bytes")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = batch.schema.get_field_index("kept")
+            yield pa.RecordBatch.from_arrays([as_text(c) if i == kept else c for i, c in enumerate(batch.columns)], batch.schema.names)
+
+    kinds = ", ".join(f"`{f.name}` {'string' if f.name == 'kept' else f.dataType.simpleString()}" for f in cut_rows.schema)
+    texts = cut_rows.mapInArrow(task, kinds).withColumnRenamed("kept", "text")
+    if "n_chars" in docs.columns:
+        texts = texts.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return texts.select(*docs.columns)
