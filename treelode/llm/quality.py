@@ -23,7 +23,7 @@ from treelode.llm.jaccard import LOWER, SPACES
 from treelode.llm.suffixdedup import powers
 
 #: Labelled rows that the classifier sees at most: those with the smallest hashes of their ids.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8000
 BUCKETS, GRAM = 1 << 18, 5
 #: Grams a head may use: those whose presence differs most between its classes.
 CHOSEN, STEPS, RATE, DECAY = 2048, 300, 0.1, 1e-5
@@ -94,18 +94,20 @@ def fit_head(grams: list[np.ndarray], shape: np.ndarray, truth: np.ndarray) -> t
     weights, rate = np.zeros(BUCKETS, np.float32), (truth.sum() + 0.5) / (len(truth) + 1)
     if truth.min() == truth.max():
         return weights, np.zeros(SHAPES), float(np.log(rate / (1 - rate)))
-    flat, row = np.concatenate(grams), np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-    yes = np.bincount(flat, truth[row], BUCKETS) + 0.5
-    every = np.bincount(flat, minlength=BUCKETS) + 1.0
+    yes, every = np.full(BUCKETS, 0.5), np.ones(BUCKETS)
+    for g, t in zip(grams, truth):
+        every[g] += 1
+        yes[g] += t
     n_yes, n = truth.sum(), len(truth)
     p, q = yes / (n_yes + 1), (every - yes) / (n - n_yes + 1)
     z = np.abs(p - q) / np.sqrt(every / n * (1 - every / (n + 2)) * (1 / n_yes + 1 / (n - n_yes)) + 1e-12)
     z[every < 4] = 0
     chosen = np.sort(np.argsort(-z, kind="stable")[:CHOSEN])
-    place = np.full(BUCKETS, -1)
+    place = np.full(BUCKETS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    use = place[flat] >= 0
-    col, row = place[flat[use]], row[use]
+    held = [place[g] for g in grams]
+    held = [p[p >= 0] for p in held]
+    col, row = np.concatenate(held), np.repeat(np.arange(n), [len(p) for p in held])
     dense = np.hstack([shape, np.ones((n, 1))])
     w, v = np.zeros(len(chosen)), np.zeros(SHAPES + 1)
     v[-1] = np.log(rate / (1 - rate))
@@ -128,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str
     known = known.agg(*(F.max(F.col(h).cast("double")).alias(h) for h in HEADS))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     found = feature_rows(docs.join(F.broadcast(sample), "doc_id")).toArrow()
-    grams = [np.frombuffer(g.as_buffer(), "<i4").astype(np.int64) for g in found["grams"]]
+    grams = [np.frombuffer(g.as_buffer(), "<i4") for g in found["grams"]]
     shape = np.array(found["shape"].to_pylist()).reshape(len(grams), SHAPES)
     out = {}
     for head in HEADS:
