@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from treelode.session import checkpoint_root
 
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+WRITE_CONF = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+}
 #: Text bytes handled at once inside a task, so that working arrays stay small.
 SLICE_BYTES = 4 << 20
 
@@ -49,13 +52,16 @@ class Scratch:
         """Write ``df`` and return it as read back: one computation, no lineage before it.
 
         Nothing reads the shuffles of the finished write again, so their files go at once.
+        Whole texts travel to Python in small batches.
         """
-        before = self.spark.conf.get(CLEAN_UP)
-        self.spark.conf.set(CLEAN_UP, "true")
+        before = {key: self.spark.conf.get(key) for key in WRITE_CONF}
+        for key, value in WRITE_CONF.items():
+            self.spark.conf.set(key, value)
         try:
             df.write.mode("overwrite").parquet(self.path(name))
         finally:
-            self.spark.conf.set(CLEAN_UP, before)
+            for key, value in before.items():
+                self.spark.conf.set(key, value)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
@@ -98,6 +104,7 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES, ro
         stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, base + limit, side="right"))))
         yield batch.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def offsets_of(array: pa.Array) -> np.ndarray:

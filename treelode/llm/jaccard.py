@@ -99,7 +99,7 @@ def frequency_sketch(texts: DataFrame, words: int) -> np.ndarray:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for part in text_slices(batch, "text", 1 << 20):
+            for part in text_slices(batch, "text", 1 << 19):
                 for s in shingle_sets(*bytes_of(part.column("text")), words):
                     if len(s):
                         np.add.at(counts, bucket_of(s), 1)
@@ -117,7 +117,7 @@ def prefixes(texts: DataFrame, order, words: int, percent: int) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, "text", 1 << 20):
+            for part in text_slices(batch, "text", 1 << 19):
                 sizes, sids, marks = [], [], []
                 for s in shingle_sets(*bytes_of(part.column("text")), words):
                     sizes.append(len(s))
@@ -263,7 +263,7 @@ def region_rows(texts: DataFrame, nodes: DataFrame, members: DataFrame, words: i
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, "text", 1 << 20):
+            for part in text_slices(batch, "text", 1 << 19):
                 regions, owners, contents = [], [], []
                 rows = zip(shingle_sets(*bytes_of(part.column("text")), words), part.column("sid").to_pylist(), part.column("node").to_pylist(), part.column("regions").to_pylist())
                 for s, sid, node, own in rows:

@@ -80,7 +80,7 @@ def feature_rows(labelled: DataFrame) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, "text", 1 << 20):
+            for part in text_slices(batch, "text", 1 << 19):
                 grams, shape = features(*bytes_of(part.column("text")))
                 columns = [pa.array([g.astype("<i4").tobytes() for g in grams]), pa.array(shape.tolist(), pa.list_(pa.float64())), part.column("quality"), part.column("toxic")]
                 yield pa.RecordBatch.from_arrays(columns, ["grams", "shape", *HEADS])
@@ -149,7 +149,7 @@ def evidence(docs: DataFrame, model, keep: list[str]) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, "text", 1 << 20):
+            for part in text_slices(batch, "text", 1 << 19):
                 grams, shape = features(*bytes_of(part.column("text")))
                 odds = []
                 for weights, shape_weights, bias in (model.value[h] for h in HEADS):

@@ -39,9 +39,9 @@ BUCKETS, HOT_SHARE, HOT_RUNS = 1 << 18, 4096, 200_000
 #: Windows that a hot run keeps together, and salts.
 HOT_WINDOWS, SALTS = 8, 16
 #: Runs of a bucket, which are ordered together, and bytes of text hashed together.
-BLOCK_RUNS, PART_BYTES = 25_000, 1 << 20
+BLOCK_RUNS, PART_BYTES = 25_000, 1 << 19
 #: Run bytes that a task deals out to the buckets at once.
-DEAL_BYTES = 24 << 20
+DEAL_BYTES = 16 << 20
 BASE = 0x9E3779B97F4A7C15
 NO_ID = -(1 << 63)
 ROW = "key bigint, salt int, hot boolean, doc bigint, pos bigint, lead int, seg binary"
@@ -425,9 +425,9 @@ def marked_ranges(docs: DataFrame, length: int, gram: int, scratch: Scratch, hot
     return first.where("start is not null").select(*columns).unionByName(second.select(*columns))
 
 
-def cut(texts: DataFrame, ranges: DataFrame, id_column: str, text_column: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """id, carried columns, ``kept`` bytes, ``n_bytes`` and ``spans``: the marked ranges joined
-    to their documents."""
+def cut(texts: DataFrame, ranges: DataFrame, id_column: str, text_column: str, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """id, carried columns, ``kept``, ``n_bytes`` and ``spans``: the marked ranges joined to
+    their documents.  ``kept`` is bytes, or a text without what is left of characters cut in two."""
     lists = ranges.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     plain = texts.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)))
     held = ["id", *(f"carry_{i}" for i in range(len(carry)))]
@@ -450,18 +450,19 @@ def cut(texts: DataFrame, ranges: DataFrame, id_column: str, text_column: str, c
                     gone = np.cumsum(gone) > 0
                     edges = np.diff(np.concatenate([[0], gone.astype(np.int8)]))
                     spans = list(zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist()))
-                    out.append((own[~gone[:-1]].tobytes(), len(own), [{"start": a, "stop": b} for a, b in spans]))
-                columns = [*(part.column(c) for c in held), pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], span)]
+                    kept = own[~gone[:-1]].tobytes()
+                    out.append((kept.decode("utf-8", "ignore") if as_text else kept, len(own), [{"start": a, "stop": b} for a, b in spans]))
+                columns = [*(part.column(c) for c in held), pa.array([o[0] for o in out], pa.string() if as_text else pa.binary()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], span)]
                 yield pa.RecordBatch.from_arrays(columns, [*held, "kept", "n_bytes", "spans"])
 
     joined = plain.withColumn("doc", F.coalesce(F.col("id").cast("long"), F.lit(NO_ID))).join(lists, "doc", "left").select(*held, "text", "ranges")
-    out = joined.mapInArrow(task, f"{kinds}, kept binary, n_bytes bigint, spans array<struct<start: bigint, stop: bigint>>")
+    out = joined.mapInArrow(task, f"{kinds}, kept {'string' if as_text else 'binary'}, n_bytes bigint, spans array<struct<start: bigint, stop: bigint>>")
     return out.toDF(id_column, *carry, "kept", "n_bytes", "spans")
 
 
 def deduplicate(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, gram: int = GRAM, hot_runs: int = HOT_RUNS,
-    carry: tuple[str, ...] = (),
+    carry: tuple[str, ...] = (), as_text: bool = False,
 ) -> DataFrame:
     """One row per input row: id, ``kept`` (remaining bytes), ``n_bytes``, ``spans`` removed.
 
@@ -475,26 +476,13 @@ def deduplicate(
     plain = docs.where(F.octet_length(text_column) >= length).select(
         F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_column).alias("text")
     )
-    return cut(docs, marked_ranges(plain, length, gram, scratch, hot_runs), id_column, text_column, carry)
-
-
-def as_text(kept: pa.Array) -> pa.Array:
-    """Remaining bytes as text; what is left of a character cut in two goes."""
-    return pa.array([None if b is None else b.decode("utf-8", "ignore") for b in kept.to_pylist()], pa.string())
+    return cut(docs, marked_ranges(plain, length, gram, scratch, hot_runs), id_column, text_column, carry, as_text)
 
 
 def deduplicated_documents(docs: DataFrame) -> DataFrame:
     """The documents with their remaining text and its length; all columns stay."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    cut_rows = deduplicate(docs, carry=others).drop("spans", "n_bytes")
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = batch.schema.get_field_index("kept")
-            yield pa.RecordBatch.from_arrays([as_text(c) if i == kept else c for i, c in enumerate(batch.columns)], batch.schema.names)
-
-    kinds = ", ".join(f"`{f.name}` {'string' if f.name == 'kept' else f.dataType.simpleString()}" for f in cut_rows.schema)
-    texts = cut_rows.mapInArrow(task, kinds).withColumnRenamed("kept", "text")
+    texts = deduplicate(docs, carry=others, as_text=True).withColumnRenamed("kept", "text")
     if "n_chars" in docs.columns:
         texts = texts.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return texts.select(*docs.columns)
