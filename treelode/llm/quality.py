@@ -28,6 +28,7 @@ BUCKETS, GRAM = 1 << 18, 5
 #: Grams a head may use: those whose presence differs most between its classes.
 CHOSEN, STEPS, RATE, DECAY = 2048, 300, 0.1, 1e-5
 STRENGTH = 50.0
+SALTS = 32
 #: A document is toxic from this probability on.
 TOXIC_FROM = 0.35
 SHAPES = 8
@@ -189,7 +190,10 @@ def assess(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
     for h in HEADS:
         of_host = (F.lit(strength * prior[h]) + F.col(f"host_s_{h}")) / (strength + F.col("host_n"))
         sites = sites.withColumn(f"path_{h}", (strength * of_host + F.col(f"s_{h}")) / (strength + F.col("n")))
-    moved = scored.join(sites.select("host", "path", *(f"path_{h}" for h in HEADS)), ["host", "path"])
+    # A path may hold a third of all documents: each site row goes to every salt.
+    salted = sites.select("host", "path", *(f"path_{h}" for h in HEADS), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    scored = scored.withColumn("salt", F.pmod(F.xxhash64("doc_id", "e_quality"), F.lit(SALTS)).cast("int"))
+    moved = scored.join(salted, ["host", "path", "salt"])
     odds = {h: F.col(f"e_{h}") + F.log(F.col(f"path_{h}") / (1 - F.col(f"path_{h}"))) - float(np.log(prior[h] / (1 - prior[h]))) for h in HEADS}
     return moved.select(
         "doc_id", "host", "path", *(rate(odds[h]).alias(f"p_{h}") for h in HEADS), *(f"path_{h}" for h in HEADS),
