@@ -83,12 +83,12 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op6_topk": """
         WITH v AS (
-          SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS c FROM embeddings
+          SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS c FROM embeddings
           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-            AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+            AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
         ), s AS (
           SELECT q.vec_id AS query_id, d.vec_id AS vec_id,
-                 CAST(list_sum(list_transform(list_zip(q.c, d.c), z -> z[1] * z[2])) AS BIGINT) AS score
+                 CAST(list_sum([z[1] * z[2] FOR z IN list_zip(q.c, d.c)]) AS BIGINT) AS score
           FROM v q JOIN v d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id
         ), r AS (
           SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
