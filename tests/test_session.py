@@ -1,4 +1,3 @@
-from treelode.functions import display
 from treelode.session import Budget, checkpoint_root, spread
 
 
@@ -21,10 +20,3 @@ def test_spread_only_touches_small_inputs(spark):
 
 def test_checkpoint_folder_comes_from_the_session(spark):
     assert checkpoint_root(spark) == spark.conf.get("spark.checkpoint.dir")
-
-
-def test_display():
-    assert display.format_duration(12) == "\u26a1 12ns" and display.format_duration(1500) == "\u26a1 1.5\u00b5s"
-    assert display.format_duration(25_000_000) == "25.0ms" and display.format_duration(-2_500_000_000) == "2.5s"
-    assert display.duration_color(1) == display.CYAN and display.kind_color("variable") == display.CYAN
-    assert display.language_color("rust") == display.ORANGE and display.language_color("ruby") == display.DIM

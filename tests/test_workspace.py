@@ -25,7 +25,7 @@ FILES = {
 
 @pytest.fixture
 def ws(spark, tree_of, tmp_path):
-    made = Workspace(spark, tree_of(FILES), str(tmp_path / "state"))
+    made = Workspace(spark, tree_of(FILES), str(tmp_path / "state"), max_bytes=512 * 1024)
     made.index()
     return made
 
@@ -39,7 +39,9 @@ def test_walk_prunes_and_reads_hidden_names(spark, tree_of):
     walked = paths_of(listing.walk(spark, root))
     assert "node_modules/dep/index.js" not in walked
     assert ".hidden/x.py" in walked and "src/__init__.py" in walked and "style.css" in walked
-    read = paths_of(listing.read_files(listing.walk(spark, root), root))
+    everything = paths_of(listing.read_files(listing.walk(spark, root), root))
+    assert everything == [".hidden/x.py", "big.md", "src/__init__.py", "src/a.ts", "src/b.ts", "src/main.zig"]
+    read = paths_of(listing.read_files(listing.walk(spark, root), root, 512 * 1024))
     assert read == [".hidden/x.py", "src/__init__.py", "src/a.ts", "src/b.ts", "src/main.zig"]
 
 
@@ -273,3 +275,64 @@ def test_cli(spark, tree_of, tmp_path):
     assert json.loads(run(ws, "index")) == {"started": True, "indexed_files": 2}
     assert json.loads(run(ws, "deps", "a.py"))["imported_by"] == ["b.py"]
     assert json.loads(run(ws, "status"))["watcher_running"] is False
+
+
+def test_large_files_survive_an_edit(spark, tree_of):
+    root = tree_of({"big.py": "x = 1\n" * 50_000 + "def tail():\n"})
+    ws = Workspace(spark, root)
+    ws.index()
+    with open(f"{root}/big.py", "a") as handle:
+        handle.write("def added():\n    pass\n")
+    assert ws.refresh() == 1
+    assert ws.search("def tail").count() == 1 and ws.search("def added").count() == 1
+
+
+def test_refresh_of_a_new_workspace_indexes(spark, tree_of):
+    ws = Workspace(spark, tree_of({"a.py": "def f():\n    pass\n"}))
+    assert ws.refresh() == 1 and ws.indexed_files() == 1
+
+
+def test_many_files_are_read_by_several_tasks(spark, tree_of):
+    from treelode.sources import listing
+
+    root = tree_of({f"d{i % 7}/f{i}.py": f"x = {i}\n" for i in range(2100)})
+    found = listing.walk(spark, root)
+    read = listing.read_files(found, root)
+    assert read.rdd.getNumPartitions() >= 4 and read.count() == 2100
+
+
+def test_refresh_and_notify_take_turns(spark, tree_of):
+    import threading
+
+    root = tree_of({"a.py": "def a():\n    pass\n", "b.py": "def b():\n    pass\n"})
+    ws = Workspace(spark, root)
+    ws.index()
+    for name in "ab":
+        with open(f"{root}/{name}.py", "a") as handle:
+            handle.write(f"def more_{name}():\n    pass\n")
+    errors = []
+
+    def run(call):
+        try:
+            call()
+        except Exception as error:  # noqa: BLE001
+            errors.append(error)
+
+    threads = [threading.Thread(target=run, args=(c,)) for c in (ws.refresh, lambda: ws.notify(["b.py"]))]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert not errors
+    gens = [r.gen for r in spark.read.parquet(f"{ws.state_dir}/commits").collect()]
+    assert len(gens) == len(set(gens))
+    assert ws.search("more_a").count() == ws.search("more_b").count() == 1
+
+
+def test_an_unreadable_directory_is_not_a_deleted_one(spark, tree_of, monkeypatch):
+    from treelode.sources import listing
+
+    def refuse(path):
+        raise PermissionError(path)
+
+    monkeypatch.setattr(listing.os, "scandir", refuse)
+    with pytest.raises(PermissionError):
+        list(listing._list_directory("/somewhere", "", [], []))

@@ -64,10 +64,6 @@ def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
-def parent(path: Column) -> Column:
-    return F.regexp_extract(path, "(?s)\\A(.*)/", 1)
-
-
 def glob_body(pattern: str, star: str = ".*") -> str:
     """Regex body of a glob: runs of ``*`` match anything, all else is literal."""
     return "".join(star if part.startswith("*") else _quote(part) for part in re.findall(r"\*+|[^*]+", pattern))

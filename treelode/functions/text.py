@@ -86,11 +86,6 @@ def null_if_empty(col: Column) -> Column:
     return F.when(col != "", col)
 
 
-def ident_after(col: Column, skip: int) -> Column:
-    """Identifier that starts ``skip`` characters into ``col``, else null."""
-    return null_if_empty(F.regexp_extract(col, "(?s)\\A.{%d}(%s)" % (skip, IDENT), 1))
-
-
 def ident_after_token(col: Column, token: str) -> Column:
     """Identifier right after the *first* occurrence of ``token``, else null."""
     pattern = "(?s)\\A(?>.*?%s)(%s)" % (quote_java(token), IDENT)
@@ -109,10 +104,6 @@ def string_literal(col: Column) -> Column:
     return F.when(col.rlike('"[^"]*"'), double).when(col.rlike("'[^']*'"), single)
 
 
-def ruby_method_name(col: Column) -> Column:
-    return null_if_empty(F.regexp_extract(col, "\\A(%s[?!=]?)" % IDENT, 1))
-
-
 def python_module(line: Column) -> Column:
     """Dotted module of an absolute Python import; null when relative."""
     rest_from = ltrim_blank(F.substring(line, F.lit(6), F.length(line)))

@@ -41,9 +41,12 @@ def reap_stale(agents: DataFrame, leases: DataFrame, timeout_ms: int, now_ms: in
     )
 
 
-def grant(leases: DataFrame, requests: DataFrame, now_ms: int) -> DataFrame:
+def grant(leases: DataFrame, requests: DataFrame, now_ms: int, agents: DataFrame | None = None) -> DataFrame:
     """Decide a batch of ``requests(req, agent_id, path, ttl_ms)``; adds ``granted``.
 
+    With the ``agents`` table, requests of agents that are not in it are refused and hold
+    nothing; a caller that has checked its agents may leave it out.
+
     A path held by an unexpired lease goes to its holder only.  A free path goes to its
     first requester (lowest ``req``), whose later requests in the batch renew it.
     Holders are one row per path, found map-side first, so a contested path costs one
@@ -52,18 +55,24 @@ def grant(leases: DataFrame, requests: DataFrame, now_ms: int) -> DataFrame:
     held = leases.filter(F.col("expiry") > now_ms).select(
         "path", F.lit(0).alias("rank"), F.lit(-1).cast("bigint").alias("req"), "agent_id"
     )
-    asked = requests.select("path", F.lit(1).alias("rank"), F.col("req").cast("bigint").alias("req"), "agent_id")
+    requests = requests.withColumn("_known", F.lit(True))
+    if agents is not None:
+        known = agents.select(F.col("id").alias("agent_id"), F.lit(True).alias("_known")).distinct()
+        requests = requests.drop("_known").join(known, "agent_id", "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
+    asked = requests.filter("_known").select("path", F.lit(1).alias("rank"), F.col("req").cast("bigint").alias("req"), "agent_id")
     holders = (
         held.unionByName(asked).groupBy("path").agg(F.min(F.struct("rank", "req", "agent_id")).alias("h"))
         .select("path", F.col("h.agent_id").alias("holder"))
     )
-    return requests.join(holders, "path").select(
-        "req", "agent_id", "path", "ttl_ms", (F.col("agent_id") == F.col("holder")).alias("granted")
+    return requests.join(holders, "path", "left").select(
+        "req", "agent_id", "path", "ttl_ms",
+        F.coalesce(F.col("_known") & (F.col("agent_id") == F.col("holder")), F.lit(False)).alias("granted"),
     )
 
 
 def apply_grants(leases: DataFrame, decided: DataFrame, now_ms: int) -> DataFrame:
-    """Leases after a decided batch: expired ones on requested paths go, granted ones renew."""
+    """Leases after a decided batch: all expired ones go, granted ones renew."""
+    leases = leases.filter(F.col("expiry") > now_ms)
     renewed = (
         decided.filter("granted").groupBy("agent_id", "path")
         .agg(F.max_by("ttl_ms", "req").alias("ttl_ms"))

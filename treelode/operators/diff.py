@@ -56,8 +56,3 @@ def to_versions(changes: DataFrame) -> DataFrame:
         F.when(gone, 0).otherwise(F.coalesce("size", F.lit(0))).cast("bigint").alias("size"),
         F.lit(None).cast("binary").alias("data"),
     )
-
-
-def upsert(base: DataFrame, changed: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Rows of ``base`` whose path did not change, plus the re-derived rows."""
-    return base.join(changed.select("path"), "path", "left_anti").unionByName(fresh)

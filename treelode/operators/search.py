@@ -9,7 +9,6 @@ from treelode.functions import fuzzy, paths, regex
 from treelode.functions.text import contains_fold
 from treelode.operators import trigrams
 from treelode.operators.lines import lines
-from treelode.session import cut_lineage
 
 DEFAULT_RESULTS = 50
 MAX_RESULTS = 10000
@@ -38,20 +37,17 @@ def search_regex(files: DataFrame, pattern: str, path: str | None = None) -> Dat
 
 
 def search_indexed(
-    files: DataFrame, postings: DataFrame, query: str, is_regex: bool = False, broadcast_limit: int = 2_000_000
+    files: DataFrame, postings: DataFrame, query: str, is_regex: bool = False
 ) -> DataFrame:
     """Same rows as a full scan, read only from the files the trigram index allows.
 
-    ``files`` and ``postings`` share the column ``doc_id``.  The index is consulted first
-    and its answer counted.  Up to ``broadcast_limit`` documents the ids are broadcast,
-    so no text is shuffled.  Beyond that, or for a query without trigrams, the index
-    would not pay for itself and every file is scanned.
+    ``files`` and ``postings`` share the column ``doc_id``.  The files meet the candidates in
+    a semi-join, which Spark broadcasts while the answer is small; a query without trigrams
+    scans every file.
     """
     grams = regex.decompose(query) if is_regex else regex.TrigramQuery(tuple(regex.literal_trigrams(query)))
     if grams.prunes:
-        allowed = cut_lineage(trigrams.candidates_query(postings, grams))
-        if allowed.count() <= broadcast_limit:
-            files = files.join(F.broadcast(allowed), "doc_id", "left_semi")
+        files = files.join(trigrams.candidates_query(postings, grams), "doc_id", "left_semi")
     return search_regex(files, query) if is_regex else search_substring(files, query)
 
 

@@ -111,7 +111,3 @@ def append(log_dir: str, entries: DataFrame, start: int, order_by: list[str]) ->
     numbered = number_rows(entries, order_by, start)
     numbered.write.mode("append").parquet(log_dir)
     return numbered
-
-
-def snapshot_op() -> Column:
-    return F.lit("snapshot")

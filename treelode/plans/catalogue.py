@@ -54,7 +54,7 @@ def corpus_filter(spark, sf):
         F.concat(F.lit("site/"), F.regexp_extract("url", "://([^?#]*)", 1), F.lit(".json")).alias("path"),
         F.col("html").cast("binary").alias("content"),
     )
-    return corpus.indexable(pages, max_bytes=8192).select("path", F.octet_length("content").cast("bigint").alias("byte_size"))
+    return corpus.indexable(pages).select("path", F.octet_length("content").cast("bigint").alias("byte_size"))
 
 
 def search_substring(spark, sf):
@@ -279,7 +279,7 @@ def deps_edges(spark, sf):
 
 
 def deps_forward(spark, sf):
-    return deps.imports_of(deps.edges(_decls(spark, sf)), "src/php/g1/f1.php").withColumn("path", F.lit("src/php/g1/f1.php"))
+    return deps.imports_of(deps.edges(_decls(spark, sf)), "src/go_lang/g0/f103.go").withColumn("path", F.lit("src/go_lang/g0/f103.go"))
 
 
 def deps_reverse(spark, sf):
@@ -406,6 +406,18 @@ def fuzzy_top(spark, sf):
     return search.fuzzy_top(_docs(spark, sf), FUZZY, 50).select("path", F.round(F.col("score").cast("double"), 4).alias("score"))
 
 
+def agent_grants_registered(spark, sf):
+    """The same requests, when only some agents are registered; the others get nothing."""
+    requests = adapters.table(spark, sf, "events").select(
+        F.col("event_id").alias("req"), F.col("user_id").alias("agent_id"),
+        F.concat_ws("/", "event_type", F.floor("value").cast("string")).alias("path"),
+        F.lit(LEASE_TTL_MS).cast("bigint").alias("ttl_ms"),
+    )
+    none = requests.select("agent_id", "path", F.lit(0).cast("bigint").alias("expiry")).filter("expiry > 0")
+    registered = adapters.table(spark, sf, "customer").filter("c_nationkey < 12").select(F.col("c_custkey").alias("id"))
+    return agents.grant(none, requests, 1_000, registered).select("req", "agent_id", "path", "granted")
+
+
 def content_hash(spark, sf):
     """Content identity used by the change cascade; empty texts still hash."""
     return _docs(spark, sf).select("path", corpus.content_hash(F.col("text")).alias("hash"))
@@ -433,7 +445,7 @@ QUERIES: dict[str, Query] = {
         ignore_rules, nested_ignore_rules, outline_summary, outlines, find_symbol, find_all_symbols, deps_edges,
         deps_forward, deps_reverse, deps_reverse_all, importer_counts, changes_since, changes_count,
         latest_version, version_at_cursor, version_cap, hot_files, current_seq, list_files,
-        sequence_assignment, change_diff, agent_leases, agent_grants, agent_liveness, fuzzy_paths, fuzzy_top,
+        sequence_assignment, change_diff, agent_leases, agent_grants, agent_grants_registered, agent_liveness, fuzzy_paths, fuzzy_top,
         content_hash, snapshot_meta,
     )
 }

@@ -394,7 +394,7 @@ ORACLES: dict[str, str] = {
     "line_stats": f"WITH {DOCS} SELECT path, {LANGUAGE} AS language, CAST(len(string_split(text, chr(10))) AS INTEGER) AS line_count, "
     "CAST(octet_length(encode(text)) AS BIGINT) AS byte_size FROM docs",
     "corpus_filter": "WITH p AS (SELECT 'site/' || regexp_extract(url, '://([^?#]*)', 1) || '.json' AS path, html FROM pages) "
-    f"SELECT path, CAST(octet_length(encode(html)) AS BIGINT) AS byte_size FROM p WHERE octet_length(encode(html)) <= 8192 AND NOT {SKIP_FILE}",
+    f"SELECT path, CAST(octet_length(encode(html)) AS BIGINT) AS byte_size FROM p WHERE instr(left(html, 512), chr(0)) = 0 AND NOT {SKIP_FILE}",
     "search_substring": f"WITH {DOCS}, {lines_of('docs')} {FOUND}",
     "search_top50": f"WITH {DOCS}, {lines_of('docs')} {FOUND} ORDER BY path, line_num LIMIT 50",
     "search_path_filter": f"WITH {DOCS}, {lines_of('docs')} {FOUND} AND starts_with(path, 'src1/en/')",
@@ -483,7 +483,7 @@ ORACLES: dict[str, str] = {
     "find_symbol": f"WITH {declarations()} {SYMBOLS} WHERE name = 'Show' ORDER BY path, line_num LIMIT 1",
     "find_all_symbols": f"WITH {declarations()} {SYMBOLS} WHERE name = 'LIMIT'",
     "deps_edges": f"WITH {declarations()}, {EDGES} SELECT path, dep, CAST(pos AS INTEGER) AS pos FROM edges",
-    "deps_forward": f"WITH {declarations()}, {EDGES} SELECT dep, path FROM edges WHERE path = 'src/php/g1/f1.php'",
+    "deps_forward": f"WITH {declarations()}, {EDGES} SELECT dep, path FROM edges WHERE path = 'src/go_lang/g0/f103.go'",
     "deps_reverse": f"WITH {declarations()}, {EDGES} SELECT DISTINCT path FROM edges WHERE dep IN ('vendor/lib3.zig', 'lib3.zig')",
     "deps_reverse_all": f"WITH {declarations()}, {EDGES}, m AS (SELECT unnest(['lib/lib' || n_nationkey || '.zig', 'lib/Util' || n_nationkey || '.php']) AS path FROM nation) "
     "SELECT DISTINCT m.path, e.path AS importer FROM m JOIN edges e ON e.dep = m.path OR e.dep = regexp_extract(m.path, '([^/]*)$', 1)",
@@ -513,6 +513,11 @@ ORACLES: dict[str, str] = {
     f"g AS (SELECT DISTINCT r.agent_id, r.path, CAST({1000 + cat.LEASE_TTL_MS} AS BIGINT) AS expiry FROM req r JOIN w ON w.path = r.path AND w.holder = r.agent_id) "
     "SELECT agent_id, path, expiry FROM g UNION ALL SELECT agent_id, path, CAST(expiry AS BIGINT) FROM held WHERE path NOT IN (SELECT path FROM g)",
     "agent_grants": f"WITH {GRANT} SELECT req, agent_id, path, agent_id = first_value(agent_id) OVER (PARTITION BY path ORDER BY req) AS granted FROM req",
+    "agent_grants_registered": f"WITH {GRANT}, known AS (SELECT c_custkey AS id FROM customer WHERE c_nationkey < 12), "
+    "asked AS (SELECT r.* FROM req r SEMI JOIN known k ON k.id = r.agent_id), "
+    "w AS (SELECT path AS held_path, arg_min(agent_id, req) AS holder FROM asked GROUP BY path) "
+    "SELECT r.req, r.agent_id, r.path, coalesce(r.agent_id = w.holder, false) AS granted FROM req r LEFT JOIN w ON w.held_path = r.path",
+    "content_hash": f"WITH {DOCS} SELECT path, greatest(CAST('0x' || left(md5(text), 15) AS BIGINT), 1) AS hash FROM docs",
     "agent_liveness": "WITH b AS (SELECT user_id AS id, max(epoch_us(ts) // 1000) AS at_ms FROM events GROUP BY user_id) "
     f"SELECT c_custkey AS id, c_name AS name, CASE WHEN 1704153600000 - coalesce(at_ms, 1704067200000) > {cat.REAP_TIMEOUT_MS} "
     "THEN 'crashed' ELSE 'active' END AS state, CAST(coalesce(at_ms, 1704067200000) AS BIGINT) AS last_seen "

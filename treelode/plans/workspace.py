@@ -8,7 +8,9 @@ newest row per path among the generations since the last full index.
 
 from __future__ import annotations
 
+import functools
 import os
+import threading
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
@@ -24,18 +26,36 @@ from treelode.sources import corpus, listing, snapshot
 _COMMITS = "gen BIGINT, base BIGINT, git_head STRING, committed_ms BIGINT"
 
 
+def _one_writer(method):
+    """Writers of one workspace take turns: a generation and its numbers are read, written and
+    committed by one of them at a time."""
+
+    @functools.wraps(method)
+    def alone(self, *args, **kwargs):
+        with self._writer:
+            return method(self, *args, **kwargs)
+
+    return alone
+
+
 class Workspace:
-    def __init__(self, spark: SparkSession, root: str, state_dir: str | None = None):
+    def __init__(self, spark: SparkSession, root: str, state_dir: str | None = None, max_bytes: int | None = None):
         self.spark = spark
         self.root = root
         self.state_dir = state_dir or os.path.join(root, STATE_DIR)
         self.watching = False
+        self.max_bytes = max_bytes
+        self._writer = threading.RLock()
 
     # ── stored tables ────────────────────────────────────────────────────────
 
     def _table(self, name: str) -> str:
         return f"{self.state_dir}/{name}"
 
+    def stream_folder(self, name: str) -> str:
+        """Where a stream over this workspace keeps its progress."""
+        return self._table(f"streams/{name}")
+
     def _commit_row(self):
         try:
             log = self.spark.read.schema(_COMMITS).parquet(self._table("commits"))
@@ -120,6 +140,7 @@ class Workspace:
 
     # ── writing ──────────────────────────────────────────────────────────────
 
+    @_one_writer
     def index(self) -> dict:
         """Walk, read and parse everything; one snapshot version per walked file."""
         commit = self._commit_row()
@@ -150,10 +171,10 @@ class Workspace:
             return 0
         return stored.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
 
-    def _write_generation(self, gen: int, known: DataFrame, to_read: DataFrame, max_bytes: int = corpus.FAST_LIMIT) -> None:
-        wanted = corpus.indexable_paths(to_read, max_bytes)
+    def _write_generation(self, gen: int, known: DataFrame, to_read: DataFrame) -> None:
+        wanted = corpus.indexable_paths(to_read, self.max_bytes)
         numbered = versions.number_rows(wanted, ["path"], self._last_doc_id(), "doc_id")
-        self._write("files", gen, listing.read_files(numbered, self.root, max_bytes))
+        self._write("files", gen, listing.read_files(numbered, self.root, self.max_bytes))
         stored = self.spark.read.parquet(f"{self._table('files')}/gen={gen}")
         self._write("declarations", gen, symbols.declarations(listing.as_text(stored)))
         self._write("known", gen, known)
@@ -167,6 +188,7 @@ class Workspace:
         )
         versions.append(self._table("versions"), made, self.current_seq(), ["path"])
 
+    @_one_writer
     def record_edits(self, edits: DataFrame) -> int:
         """Append edit versions ``(path, agent, op, hash, size, data, ord)`` in ``ord`` order."""
         made = edits.select(
@@ -177,6 +199,7 @@ class Workspace:
         numbered.drop("ord").write.mode("append").parquet(self._table("versions"))
         return self.current_seq()
 
+    @_one_writer
     def refresh(self, strict_hash: bool = True) -> int:
         """Pick up created, modified and deleted files; returns how many changed.
 
@@ -185,7 +208,7 @@ class Workspace:
         """
         commit = self._commit_row()
         head = listing.git_head(self.root)
-        if head != commit["git_head"]:
+        if commit is None or commit["gen"] is None or head != commit["git_head"]:
             before = self.current_seq()
             self.index()
             return self.current_seq() - before
@@ -199,7 +222,7 @@ class Workspace:
             known = self._with_stored_hash(known, fresh)
         touched = diff.needs_hash(known, fresh)
         hashed = listing.read_files(
-            found.join(touched, "path", "left_semi"), self.root
+            found.join(touched, "path", "left_semi"), self.root, self.max_bytes
         ).select("path", corpus.content_hash(F.col("content")).alias("hash"))
         current = fresh.join(hashed, "path", "left").select("path", "mtime_ms", "size", "hash")
         changes = cut_lineage(
@@ -217,7 +240,7 @@ class Workspace:
             gone.alias("deleted"),
         )
         to_read = found.join(real.filter(~gone).select("path"), "path", "left_semi")
-        self._write_generation(gen, delta, to_read, corpus.FULL_LIMIT)
+        self._write_generation(gen, delta, to_read)
         versions.append(self._table("versions"), diff.to_versions(real), self.current_seq(), ["path"])
         self._commit(gen, commit["base"], head)
         return real.count()
@@ -237,6 +260,7 @@ class Workspace:
         """Re-index the named files at once."""
         return self.notify_frame(self.spark.createDataFrame([(p,) for p in changed], "path STRING"))
 
+    @_one_writer
     def notify_frame(self, named: DataFrame) -> int:
         """Re-index ``named(path)``; names outside the root are dropped.
 
@@ -251,7 +275,7 @@ class Workspace:
             return 0
         commit = self._commit_row()
         gen = commit["gen"] + 1
-        self._write_generation(gen, self._as_known(found, gen), found, corpus.FULL_LIMIT)
+        self._write_generation(gen, self._as_known(found, gen), found)
         self._append_snapshots(found.select("path", F.col("length").alias("size")))
         self._commit(gen, commit["base"], commit["git_head"])
         return found.count()

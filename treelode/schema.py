@@ -3,10 +3,6 @@
 FILES = "path STRING, content BINARY, length BIGINT, mtime_ns BIGINT"
 LISTING = "path STRING, is_dir BOOLEAN, length BIGINT, mtime_ns BIGINT, dir_mtimes ARRAY<BIGINT>"
 SYMBOL = "name STRING, kind STRING, line_start INT, line_end INT, detail STRING"
-OUTLINES = (
-    "path STRING, language STRING, line_count INT, byte_size BIGINT, "
-    f"symbols ARRAY<STRUCT<{SYMBOL.replace(' STRING', ': STRING').replace(' INT', ': INT')}>>, imports ARRAY<STRING>"
-)
 DEPS = "path STRING, dep STRING, pos INT"
 WORD_POSTINGS = "word STRING, path STRING, line_num INT"
 TRIGRAM_POSTINGS = "doc_id BIGINT, tri INT, next_mask INT, loc_mask INT"

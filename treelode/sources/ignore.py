@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from treelode.functions import paths
 
-IGNORE_FILE_LIMIT = 64 * 1024
 # Read at the root only, before the root .gitignore, which can therefore override it.
 ROOT_IGNORE_FILE = ".treelodeignore"
 IGNORE_FILE = ".gitignore"

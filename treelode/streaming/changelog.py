@@ -26,10 +26,6 @@ def latest_changes(log: DataFrame, since: int = 0) -> DataFrame:
     return recent.groupBy("path").agg(newest).select("path", "v.op", "v.seq", "v.timestamp_ms")
 
 
-def change_counts(log: DataFrame, since: int = 0) -> DataFrame:
-    return log.filter(F.col("seq") > since).groupBy("op").agg(F.count(F.lit(1)).alias("changes"))
-
-
 class LeaseBook:
     """Leases decided batch by batch from a stream of requests.
 

@@ -3,8 +3,10 @@
 Spark's file source reports neither deletions nor in-place edits, so the stream only sets
 the pace: every trigger runs one refresh, a distributed listing joined to the known state.
 Edit notifications arrive as small text files of paths in a folder and are indexed at
-once.  Both queries write through ``foreachBatch``; a failed batch is simply run again,
-because a refresh that published nothing changes nothing.
+once.  Both queries write through ``foreachBatch``, one at a time (the workspace admits one
+writer); a failed batch is simply run again, because a refresh that published nothing changes
+nothing.  Each query keeps its progress beside the workspace, so a restart does not index old
+notifications again.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ from pyspark.sql.streaming import StreamingQuery
 from treelode.plans.workspace import Workspace
 
 POLL = "2 seconds"
-NOTIFY_LIMIT = 64 * 1024
 
 
 class Watcher:
@@ -28,12 +29,14 @@ class Watcher:
         clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
         self.queries.append(
             clock.writeStream.foreachBatch(lambda batch, epoch: self.on_tick(epoch))
+            .option("checkpointLocation", self.ws.stream_folder("watch"))
             .trigger(processingTime=self.poll).queryName("treelode-watch").start()
         )
         if self.notify_dir:
             names = spark.readStream.schema("value STRING").text(self.notify_dir)
             self.queries.append(
                 names.writeStream.foreachBatch(self.on_notify)
+                .option("checkpointLocation", self.ws.stream_folder("notify"))
                 .trigger(processingTime=self.poll).queryName("treelode-notify").start()
             )
         self.ws.watching = True
