@@ -46,6 +46,7 @@ BASE = 0x9E3779B97F4A7C15
 NO_ID = -(1 << 63)
 ROW = "key bigint, salt int, hot boolean, doc bigint, pos bigint, lead int, seg binary"
 RUN = pa.schema([("key", pa.int64()), ("salt", pa.int32()), ("hot", pa.bool_()), ("doc", pa.int64()), ("pos", pa.int64()), ("lead", pa.int32()), ("seg", pa.binary())])
+DOC = RUN.get_field_index("doc")
 FOUND = f"start bigint, stop bigint, {ROW}"
 
 
@@ -306,10 +307,15 @@ FOUND_NAMES = [part.split()[0] for part in FOUND.split(", ")]
 
 
 def dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Runs as compressed blocks, one for each bucket that a share of them falls into."""
+    """Runs as compressed blocks, one for each bucket that a share of them falls into; document
+    ids are stored as steps."""
     import zstandard
 
-    writer = zstandard.ZstdCompressor(level=3)
+    writer = zstandard.ZstdCompressor(level=6)
+
+    def packed(share: pa.RecordBatch) -> bytes:
+        steps = np.diff(share.column("doc").to_numpy(), prepend=0)
+        return writer.compress(pa.concat_batches([share.set_column(DOC, "doc", pa.array(steps))]).serialize())
 
     def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         block = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
@@ -317,7 +323,7 @@ def dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
         order = np.argsort(own, kind="stable")
         block, own = block.take(pa.array(order)), own[order]
         edges = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]]))
-        blobs = [writer.compress(pa.concat_batches([block.slice(a, b - a)]).serialize()) for a, b in zip(edges[:-1], edges[1:])]
+        blobs = [packed(block.slice(a, b - a)) for a, b in zip(edges[:-1], edges[1:])]
         return pa.RecordBatch.from_arrays([pa.array(own[edges[:-1]].astype(np.int64)), pa.array(blobs, pa.binary())], ["bucket", "runs"])
 
     held: list[pa.RecordBatch] = []
@@ -345,7 +351,8 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.concat_batches(held)
                 held = []
             now = bucket
-            held.append(pa.ipc.read_record_batch(pa.py_buffer(reader.decompress(memoryview(blob.as_buffer()))), RUN))
+            share = pa.ipc.read_record_batch(pa.py_buffer(reader.decompress(memoryview(blob.as_buffer()))), RUN)
+            held.append(share.set_column(DOC, "doc", pa.array(np.cumsum(share.column("doc").to_numpy()))))
     if held:
         yield pa.concat_batches(held)
 
