@@ -151,9 +151,14 @@ def test_scoped_search_keeps_states_with_extra_rows(spark):
     assert kinds["a"] == "function" and kinds["b"] == "test_decl"
 
 
-def test_one_shuffle_for_all_states(files):
-    plan = symbols.declarations(files.filter("path != 'other'"))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1
+def test_no_shuffle_for_all_states(files):
+    for frame in (symbols.declarations(files.filter("path != 'other'")), symbols.scoped_search(files, "a")):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+
+
+def test_summary_equals_counts_of_declarations(files, decls):
+    assert sorted(symbols.summary(files).collect()) == sorted(symbols.symbol_counts(files, decls).collect())
 
 
 def test_outline_row(files, decls):

@@ -3,13 +3,17 @@
 The parsers are line-oriented and table-driven: a line is recognised by its head (the
 declaration prefix), which decides the kind.  What crosses lines (doc strings, block
 comments, Go import blocks, PHP braces, a Rust test attribute on the previous line) is a
-small state machine, written as running windows over one sort of each file's lines.
-Only lines that can change a state or declare a symbol enter that sort, and a file is
-bounded by the corpus size limit, so no window partition grows with the corpus.
+small state machine over the lines of a file.  A file is one row and its lines leave ``explode``
+in order, so the machine runs in the task that reads the file: outlines need no shuffle.
+Only lines that can change a state or declare a symbol get there, and the machine keeps a
+handful of numbers whatever the length of the file.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +24,7 @@ from treelode.functions.text import (
     contains_any,
     contains_fold,
     ident_after_token,
+    line_count,
     null_if_empty,
     php_namespace_path,
     php_strip_alias,
@@ -100,7 +105,7 @@ _MARKS["javascript"] = _MARKS["typescript"]
 NOTHING = r"\z\A."  # a regex that never matches
 
 # A line's effect on the "inside a comment" state.
-LEAVE, ENTER, TOGGLE = 0, 1, 2
+NO_ACTION, LEAVE, ENTER, TOGGLE = -1, 0, 1, 2
 
 _OPENS = r"(?s)\A/\*(?!.*\*/)"
 _REOPENS = r"(?s)\A(?>.*?\*/)[ \t]*/\*(?!.*\*/)"
@@ -118,11 +123,13 @@ def _heads_regex(lang: str) -> str:
     return "\\A(?:%s)" % "|".join(quote_java(h) for h in longest_first)
 
 
-def _by_lang(values: dict[str, str]) -> Column:
-    """Constant per language.  Lines of one file are adjacent, so a regex chosen this way
-    is compiled once per file, not once per line."""
-    cases = " ".join(f"WHEN {sql_text(lang)} THEN {sql_text(value)}" for lang, value in values.items())
-    return F.expr(f"CASE lang {cases} ELSE {sql_text(NOTHING)} END")
+def _find_by_lang(text: str, patterns: dict[str, str]) -> Column:
+    """First match of the language's pattern in a column; empty if none.  Each pattern is a
+    constant, so it is compiled once per task."""
+    cases = " ".join(
+        f"WHEN {sql_text(lang)} THEN regexp_extract({text}, {sql_text(pattern)}, 0)" for lang, pattern in patterns.items()
+    )
+    return F.expr(f"coalesce(CASE lang {cases} END, '')")
 
 
 def _find(text: Column, pattern: Column) -> Column:
@@ -150,9 +157,9 @@ def _comment_action() -> Column:
     )
 
 
-def _visible_text() -> Column:
+def _visible_text(inside: Column) -> Column:
     """What the parser of the language sees of a line; null when it is skipped."""
-    lang, body, inside, act = F.col("lang"), F.col("body"), F.col("inside"), F.col("act")
+    lang, body, act = F.col("lang"), F.col("body"), F.col("act")
     base = F.when(~inside, body).when(
         F.contains(body, F.lit("*/")), F.regexp_extract(body, _AFTER_CLOSE, 1)
     )
@@ -189,7 +196,7 @@ def _php_imports(s: Column) -> Column:
 # escaped quotes is dropped first, so the fold runs over a handful of characters.
 _PHP_BRACES = """
 aggregate(
-  filter(split(regexp_replace(s, %s, '$1'), ''), c -> c != ''),
+  filter(split(regexp_replace(%%s, %s, '$1'), ''), c -> c != ''),
   named_struct('quote', '', 'escaped', false, 'delta', 0, 'lowest', cast(null as int)),
   (a, c) -> named_struct(
     'quote', CASE WHEN a.quote != '' AND NOT a.escaped AND c = a.quote THEN ''
@@ -229,82 +236,130 @@ def _imports() -> Column:
     return F.when(one.isNotNull(), F.array(one))
 
 
-def annotate(files: DataFrame, also_keep: Column | None = None) -> DataFrame:
+# Marks of a line as the machine sees them; one number per line and comment state.
+GO_OPEN, GO_CLOSE, CLASS, ATTRIBUTE, HIDDEN, RUST = 1, 2, 4, 8, 16, 32
+_CLASS_KINDS = ("interface_def", "trait_def", "enum_def", "class_def")
+_PHP_CLASS = "\\A(?:%s)[A-Za-z0-9_]" % "|".join(quote_java(h) for h, k in HEADS["php"].items() if k in _CLASS_KINDS)
+_NEVER_LOW = 1 << 30
+_RUNNING = ["inside", "in_imports", "follows_test", "in_class"]
+
+
+def _marks(s: Column, hidden: Column) -> Column:
+    """What a visible text ``s`` means for the lines after it.  ``hidden``: a Rust line that
+    shows nothing counts as absent."""
+    lang = F.col("lang")
+    php, rust, go = lang == "php", lang == "rust", lang == "go_lang"
+    flags = {
+        GO_OPEN: go & (s == "import ("),
+        GO_CLOSE: go & F.startswith(s, F.lit(")")),
+        # A PHP class line needs a name.
+        CLASS: php & s.rlike(_PHP_CLASS),
+        ATTRIBUTE: rust & ((s == "#[test]") | F.startswith(s, F.lit("#[tokio::test"))),
+        HIDDEN: rust & s.isNull() & hidden,
+        RUST: rust,
+    }
+    total = F.lit(0)
+    for flag, holds in flags.items():
+        total = total + F.when(holds, flag).otherwise(0)
+    return total
+
+
+def _running_state(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """State of every line given the lines of its file before it; see ``annotate``."""
+    file_no = None
+    machine = ("file_no", "line_num", "act", "marks", "marks_in", "delta", "low", "delta_in", "low_in")
+    for batch in batches:
+        columns = [batch.column(name).to_numpy().tolist() for name in machine]
+        out = [[], [], [], []]
+        comments, listings, tests, classes = (values.append for values in out)
+        for no, num, act, marks, marks_in, delta, low, delta_in, low_in in zip(*columns, strict=True):
+            if no != file_no:
+                file_no, comment, listing, depth, opened, lowest = no, False, False, 0, None, _NEVER_LOW
+                absent, last_num, attribute = 0, 0, -1
+            if comment:
+                marks, delta, low = marks_in, delta_in, low_in
+                if marks & RUST:  # lines between two kept ones inside a comment show nothing
+                    absent += num - last_num - 1
+            if marks & HIDDEN:
+                absent += 1
+            if marks & CLASS:
+                opened, lowest = depth, _NEVER_LOW
+            comments(comment)
+            listings(listing)
+            tests(attribute == num - absent - 1)
+            # A PHP class is open until a closing brace falls back to the depth it began at.
+            classes(opened is not None and lowest > opened)
+            if act == TOGGLE:
+                comment = not comment
+            elif act != NO_ACTION:
+                comment = act == ENTER
+            if marks & (GO_OPEN | GO_CLOSE):
+                listing = bool(marks & GO_OPEN)
+            if marks & ATTRIBUTE:
+                attribute = num - absent
+            if low != _NEVER_LOW:
+                lowest = min(lowest, depth + low)
+            depth += delta
+            last_num = num
+        kept = batch.drop_columns([*machine[2:]])
+        yield pa.RecordBatch.from_arrays(
+            [*kept.columns, *(pa.array(values, pa.bool_()) for values in out)], names=[*kept.schema.names, *_RUNNING]
+        )
+
+
+def annotate(files: DataFrame, also_keep: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Lines that matter, with ``entries``: the symbols each one declares.
 
-    ``also_keep`` is a predicate over ``line``; its rows are kept as well and marked
-    ``wanted``, so a search can be combined with the outline in the same pass.
-    Result: path, line_num, line (null unless wanted), wanted, entries.
+    ``also_keep`` is a predicate over ``line`` and ``line_num``; its rows are kept as well and
+    marked ``wanted``, so a search can be combined with the outline in the same pass.
+    ``keep`` names more columns of ``files`` to carry.
+    Result: file_no, path, line_num, line (null unless wanted), wanted, entries, ``keep``; rows
+    of one file are adjacent and in line order.
     """
-    lang, s, head, kind = F.col("lang"), F.col("s"), F.col("head"), F.col("kind")
-    body, act, inside = F.col("body"), F.col("act"), F.col("inside")
+    lang, s, body = F.col("lang"), F.col("s"), F.col("body")
     wanted = F.lit(False) if also_keep is None else also_keep
     parsed = lang.isin(*PARSED_LANGS)
     sources = files.withColumn("lang", paths.language(F.col("path")))
     if also_keep is None:
         sources = sources.filter(parsed)
-    matters = _by_lang({k: _heads_regex(k) + "|" + _MARKS[k] for k in HEADS})
+    sources = sources.withColumn("file_no", F.monotonically_increasing_id())
+    carried = ["file_no", "path", "lang", *keep]
     rows = (
-        lines(sources, keep=("path", "lang"))
-        .select("path", "lang", "line_num", "line", trim_blank(F.col("line")).alias("body"), wanted.alias("wanted"))
-        .filter(F.col("wanted") | (_find(body, matters) != ""))
+        lines(sources, keep=tuple(carried))
+        .select(*carried, "line_num", "line", trim_blank(F.col("line")).alias("body"), wanted.alias("wanted"))
+        .filter(F.col("wanted") | (_find_by_lang("body", {k: _heads_regex(k) + "|" + _MARKS[k] for k in HEADS}) != ""))
         .select(
-            "path", "lang", "line_num", "body", "wanted",
+            *carried, "line_num", "body", "wanted",
             F.startswith("line", F.lit("=")).alias("flush"),
             F.when(F.col("wanted"), F.col("line")).alias("line"),
         )
+        .withColumn("act", _comment_action())
+        .withColumn("s", F.when(parsed, _visible_text(F.lit(False))))
+        .withColumn("s_in", F.when(parsed, _visible_text(F.lit(True))))
     )
 
-    order = Window.partitionBy("path").orderBy("line_num")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    # Braces count on every PHP statement but ``use``.
+    def braces(text: str) -> Column:
+        col = F.col(text)
+        return F.when((lang == "php") & col.rlike("[{}]") & ~_php_is_use(col), F.expr(_PHP_BRACES % text))
 
-    # Inside-a-comment state: parity of toggles since the last line that fixed it.
-    rows = rows.repartition("path").withColumn("act", _comment_action())
     rows = rows.select(
-        "*",
-        F.coalesce(F.sum((act == TOGGLE).cast("int")).over(so_far), F.lit(0)).alias("toggles"),
-        F.coalesce(F.lag("line_num").over(order), F.lit(0)).alias("prev_num"),
+        "*", _marks(s, body != "").alias("marks"),
+        _marks(F.col("s_in"), F.lit(True)).alias("marks_in"), braces("s").alias("b"), braces("s_in").alias("b_in"),
+    ).select(
+        *carried, "line_num", "line", "wanted", "s", "s_in",
+        F.coalesce("act", F.lit(NO_ACTION)).alias("act"), "marks", "marks_in",
+        F.coalesce("b.delta", F.lit(0)).alias("delta"), F.coalesce("b.lowest", F.lit(_NEVER_LOW)).alias("low"),
+        F.coalesce("b_in.delta", F.lit(0)).alias("delta_in"), F.coalesce("b_in.lowest", F.lit(_NEVER_LOW)).alias("low_in"),
     )
-    fixed = F.last(F.when(act.isin(LEAVE, ENTER), act + F.col("toggles")), ignorenulls=True).over(before)
-    prior = F.col("toggles") - act.eqNullSafe(F.lit(TOGGLE)).cast("int")
-    rows = rows.withColumn("inside", ((F.coalesce(fixed, F.lit(0)) + prior) % 2) == 1)
-    rows = rows.withColumn("s", F.when(parsed, _visible_text()))
-    rows = rows.withColumn("head", _find(s, _by_lang({k: _heads_regex(k) for k in HEADS})))
+    through = [*carried, "line_num", "line", "wanted", "s", "s_in"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*through).schema)
+    schema += "".join(f", {name} boolean" for name in _RUNNING)
+    rows = rows.mapInArrow(_running_state, schema)
+    rows = rows.withColumn("s", F.when(F.col("inside"), F.col("s_in")).otherwise(s)).drop("s_in")
+    rows = rows.withColumn("head", _find_by_lang("s", {k: _heads_regex(k) for k in HEADS}))
     rows = rows.withColumn("kind", _head_kind())
-
-    # A PHP class line needs a name; braces count on every other statement but ``use``.
-    php = lang == "php"
-    class_kinds = ("interface_def", "trait_def", "enum_def", "class_def")
-    php_class = php & kind.isin(*class_kinds) & F.substring(s, F.length(head) + 1, F.lit(1)).rlike("[A-Za-z0-9_]")
-    rows = rows.withColumn("braces", F.when(php & s.rlike("[{}]") & ~_php_is_use(s), F.expr(_PHP_BRACES)))
-    rows = rows.withColumn("class_line", F.coalesce(php_class, F.lit(False)).cast("int"))
-
-    # Rust: lines hidden between two kept rows are exactly those inside a comment, so the
-    # position of a row among the visible lines is known.
-    gap = F.when(inside, F.col("line_num") - F.col("prev_num") - 1).otherwise(0)
-    hidden = F.when(lang == "rust", gap + (s.isNull() & (inside | (body != ""))).cast("int")).otherwise(0)
-    go_mark = F.when(lang == "go_lang", F.when(s == "import (", 1).when(F.startswith(s, F.lit(")")), 0))
-    rows = rows.select(
-        "*",
-        F.coalesce(F.last(go_mark, ignorenulls=True).over(before) == 1, F.lit(False)).alias("in_imports"),
-        (F.col("line_num") - F.sum(hidden).over(so_far)).alias("seen"),
-        F.coalesce(F.sum("braces.delta").over(before), F.lit(0)).alias("depth"),
-        F.sum("class_line").over(so_far).alias("class_no"),
-    )
-    is_attr = (lang == "rust") & ((s == "#[test]") | F.startswith(s, F.lit("#[tokio::test")))
-    last_attr = F.last(F.when(is_attr, F.col("seen")), ignorenulls=True).over(before)
-    rows = rows.withColumn("follows_test", F.coalesce(last_attr == F.col("seen") - 1, F.lit(False)))
-
-    # PHP classes: open until a closing brace falls back to the depth they began at.
-    within = Window.partitionBy("path", "class_no").orderBy("line_num")
-    rows = rows.withColumn("low", F.col("depth") + F.col("braces.lowest"))
-    rows = rows.select(
-        "*",
-        F.first("depth").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("opened_at"),
-        F.min("low").over(within.rowsBetween(Window.unboundedPreceding, -1)).alias("lowest"),
-    )
-    return _with_entries(rows).select("path", "line_num", "line", "wanted", "entries")
+    return _with_entries(rows, carried).select("file_no", "path", "line_num", "line", "wanted", "entries", *keep)
 
 
 def _head_kind() -> Column:
@@ -313,10 +368,9 @@ def _head_kind() -> Column:
     return F.expr(f"CASE WHEN head != '' THEN CASE lang {cases} END END")
 
 
-def _with_entries(rows: DataFrame) -> DataFrame:
+def _with_entries(rows: DataFrame, carried: list[str]) -> DataFrame:
     lang, s, head, kind, name = (F.col(c) for c in ("lang", "s", "head", "kind", "name"))
     php, go = lang == "php", lang == "go_lang"
-    in_class = (F.col("class_no") > 0) & F.coalesce(F.col("lowest") > F.col("opened_at"), F.lit(True))
 
     # A line inside a Go import block is an import when it quotes something.
     listed = go & F.col("in_imports")
@@ -339,9 +393,9 @@ def _with_entries(rows: DataFrame) -> DataFrame:
     nameless = php & F.coalesce(kind != "import", F.lit(True)) & (name.isNull() | ((kind == "constant") & (name == "class")))
     fallback = nameless & F.contains(s, F.lit("function "))
     rows = rows.select(
-        "path", "line_num", "line", "wanted", "lang", "s", "head", "php_imports",
+        *carried, "line_num", "line", "wanted", "s", "head", "php_imports",
         F.when(fallback, ident_after_token(s, "function ")).when(~nameless, name).alias("name"),
-        F.when(fallback, F.when(in_class, "method").otherwise("function")).otherwise(kind).alias("kind"),
+        F.when(fallback, F.when(F.col("in_class"), "method").otherwise("function")).otherwise(kind).alias("kind"),
     )
     rows = rows.withColumn("is_import", kind == "import")
     bare = F.col("is_import") & ~((lang == "zig") & (head != "test "))
@@ -428,6 +482,23 @@ def symbol_counts(files: DataFrame, decls: DataFrame) -> DataFrame:
     )
 
 
+def summary(files: DataFrame) -> DataFrame:
+    """``symbol_counts`` straight from texts: sizes and symbols out of one scan, folded per
+    file before anything is shuffled."""
+    sized = files.withColumn("line_count", line_count(F.col("text"))).withColumn(
+        "byte_size", F.octet_length("text").cast("bigint")
+    )
+    rows = annotate(sized, also_keep=F.col("line_num") == 1, keep=("line_count", "byte_size"))
+    return (
+        rows.groupBy("path")
+        .agg(
+            F.max("line_count").alias("line_count"), F.max("byte_size").alias("byte_size"),
+            F.sum(F.size("entries")).alias("symbol_count"),
+        )
+        .select("path", paths.language(F.col("path")).alias("language"), "line_count", "byte_size", "symbol_count")
+    )
+
+
 def outlines(files: DataFrame, decls: DataFrame) -> DataFrame:
     """Whole outline of each file as one row (a file's symbols are bounded by its size)."""
     packed = decls.groupBy("path").agg(
@@ -453,27 +524,47 @@ def outlines(files: DataFrame, decls: DataFrame) -> DataFrame:
     )
 
 
+def _carry_scope(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Wanted lines with the last declaration at or above them in their file."""
+    file_no = None
+    for batch in batches:
+        hits, names, kinds, starts = [], [], [], []
+        declared = (batch.column(c).to_pylist() for c in ("file_no", "line_num", "wanted", "name", "kind"))
+        for row, (no, num, wanted, name, kind) in enumerate(zip(*declared, strict=True)):
+            if no != file_no:
+                file_no, scope = no, (None, None, 0)
+            if kind is not None:
+                scope = (name, kind, num)
+            if wanted:
+                hits.append(row)
+                for values, value in zip((names, kinds, starts), scope, strict=True):
+                    values.append(value)
+        at = pa.array(hits, pa.int64())
+        start = pa.array(starts, pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c).take(at) for c in ("path", "line_num", "line")),
+             pa.array(names, pa.string()), pa.array(kinds, pa.string()), start, start],
+            names=["path", "line_num", "line_text", "scope_name", "scope_kind", "scope_start", "scope_end"],
+        )
+
+
 def scoped_search(files: DataFrame, query: str) -> DataFrame:
     """Substring hits with the symbol declared nearest above them (or on their line).
 
     A symbol spans its declaration line only, so the enclosing symbol is a backward
     as-of match; on a line with two symbols the first one counts.  Hits and symbols
-    come out of the same scan and share one sort per file.
+    come out of the same scan, in order, and nothing is shuffled.
     """
     hit = F.lit(False) if "\n" in query else contains_fold(F.col("line"), query)
-    rows = annotate(files.filter(contains_fold(F.col("text"), query)), also_keep=hit)
-    first = F.when(F.size("entries") > 0, F.struct("line_num", F.get("entries", F.lit(0)).alias("e")))
-    upto = Window.partitionBy("path").orderBy("line_num").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        rows.withColumn("scope", F.last(first, ignorenulls=True).over(upto))
-        .filter("wanted")
-        .select(
-            "path", "line_num", F.col("line").alias("line_text"),
-            F.col("scope.e.name").alias("scope_name"),
-            F.col("scope.e.kind").alias("scope_kind"),
-            F.coalesce("scope.line_num", F.lit(0)).alias("scope_start"),
-            F.coalesce("scope.line_num", F.lit(0)).alias("scope_end"),
-        )
+    first = F.get("entries", F.lit(0))
+    rows = (
+        annotate(files.filter(contains_fold(F.col("text"), query)), also_keep=hit)
+        .select("file_no", "path", "line_num", "line", "wanted", first.alias("e"))
+        .select("file_no", "path", "line_num", "line", "wanted", "e.name", "e.kind")
+    )
+    return rows.mapInArrow(
+        _carry_scope,
+        "path string, line_num int, line_text string, scope_name string, scope_kind string, scope_start int, scope_end int",
     )
 
 

@@ -184,8 +184,7 @@ def base_path(spark, sf):
 
 
 def _tree_stats(spark, sf):
-    code = _code(spark, sf)
-    return symbols.symbol_counts(code, symbols.declarations(code))
+    return symbols.summary(_code(spark, sf))
 
 
 TREE_COLUMNS = ("full_path", "depth", "level", "is_dir", "line_count", "symbol_count", "byte_size")
