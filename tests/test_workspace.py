@@ -3,7 +3,9 @@ import os
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
+from treelode.operators import trigrams
 from treelode.plans import tools
 from treelode.plans.workspace import Workspace
 from treelode.sources import listing, snapshot
@@ -336,3 +338,14 @@ def test_an_unreadable_directory_is_not_a_deleted_one(spark, tree_of, monkeypatc
     monkeypatch.setattr(listing.os, "scandir", refuse)
     with pytest.raises(PermissionError):
         list(listing._list_directory("/somewhere", "", [], []))
+
+
+def test_versions_of_an_unfinished_job_stay_hidden(spark, tree_of):
+    """A batch that no commit names is not read, and its numbers are given out again."""
+    ws = Workspace(spark, tree_of({"a.py": "def alpha():\n    beta = 1\n"}))
+    ws.index()
+    ws._append_versions(ws.versions().withColumn("path", F.lit("ghost")).drop("seq"), ["path"])
+    assert ws.current_seq() == 1 and [r["path"] for r in ws.versions().collect()] == ["a.py"]
+    assert [r["seq"] for r in ws.changes().collect()] == [1]
+    assert [tuple(r) for r in ws.search_word("beta").collect()] == [("a.py", 2)]
+    assert ws.trigrams().count() == trigrams.postings(ws.files()).count()

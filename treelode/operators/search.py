@@ -37,7 +37,7 @@ def search_regex(files: DataFrame, pattern: str, path: str | None = None) -> Dat
 
 
 def search_indexed(
-    files: DataFrame, postings: DataFrame, query: str, is_regex: bool = False
+    files: DataFrame, postings: DataFrame, query: str, is_regex: bool = False, path: str | None = None
 ) -> DataFrame:
     """Same rows as a full scan, read only from the files the trigram index allows.
 
@@ -48,7 +48,7 @@ def search_indexed(
     grams = regex.decompose(query) if is_regex else regex.TrigramQuery(tuple(regex.literal_trigrams(query)))
     if grams.prunes:
         files = files.join(trigrams.candidates_query(postings, grams), "doc_id", "left_semi")
-    return search_regex(files, query) if is_regex else search_substring(files, query)
+    return search_regex(files, query, path) if is_regex else search_substring(files, query, path)
 
 
 def top_results(hits: DataFrame, max_results: int | None = None) -> DataFrame:

@@ -154,17 +154,15 @@ def file_count(index: DataFrame) -> DataFrame:
     return index.agg(F.count_distinct("doc_id").alias("files"))
 
 
-def write_postings(index: DataFrame, target: str, git_head: str | None = None) -> None:
-    """Sorted by (trigram, document): row-group statistics answer a trigram lookup.
+def sorted_runs(index: DataFrame) -> DataFrame:
+    """Postings in one sorted run per task: nothing is shuffled or built twice, and page
+    statistics find a trigram inside each run."""
+    return index.sortWithinPartitions("tri", "doc_id")
 
-    A one-row header (document count, commit) is written last, beside the postings.
-    """
-    (
-        index.repartitionByRange("tri", "doc_id")
-        .sortWithinPartitions("tri", "doc_id")
-        .write.mode("overwrite")
-        .parquet(f"{target}/postings")
-    )
+
+def write_postings(index: DataFrame, target: str, git_head: str | None = None) -> None:
+    """Sorted runs; a one-row header (document count, commit) is written last, beside them."""
+    sorted_runs(index).write.mode("overwrite").parquet(f"{target}/postings")
     header = file_count(read_postings(index.sparkSession, target)).withColumn("git_head", F.lit(git_head).cast("string"))
     header.coalesce(1).write.mode("overwrite").parquet(f"{target}/header")
 

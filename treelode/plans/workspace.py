@@ -2,8 +2,9 @@
 
 State lives below ``state_dir`` as Parquet, in numbered generations.  A full index writes
 a base generation; a refresh writes only what changed.  A row in ``commits`` publishes a
-generation, so a job that dies half-way leaves nothing visible, and readers take the
-newest row per path among the generations since the last full index.
+generation and the batch of versions written with it, so a job that dies half-way leaves
+nothing visible, and readers take the newest row per path among the generations since the
+last full index.  A row also holds the last sequence number given out.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import functools
 import os
 import threading
+import uuid
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
@@ -23,7 +25,7 @@ from treelode.schema import VERSIONS
 from treelode.session import cut_lineage
 from treelode.sources import corpus, listing, snapshot
 
-_COMMITS = "gen BIGINT, base BIGINT, git_head STRING, committed_ms BIGINT"
+_COMMITS = "gen BIGINT, base BIGINT, git_head STRING, committed_ms BIGINT, batch STRING, last_seq BIGINT"
 
 
 def _one_writer(method):
@@ -56,20 +58,39 @@ class Workspace:
         """Where a stream over this workspace keeps its progress."""
         return self._table(f"streams/{name}")
 
-    def _commit_row(self):
+    def _commits(self) -> DataFrame | None:
         try:
-            log = self.spark.read.schema(_COMMITS).parquet(self._table("commits"))
+            return self.spark.read.schema(_COMMITS).parquet(self._table("commits"))
         except AnalysisException:
             return None
-        return log.agg(F.max_by(F.struct("gen", "base", "git_head"), "gen").alias("c")).select("c.*").first()
 
-    def _commit(self, gen: int, base: int, head: str | None) -> None:
-        row = self.spark.range(1).select(
+    def _commit_row(self):
+        log = self._commits()
+        if log is None:
+            return None
+        newest = F.max_by(F.struct("gen", "base", "git_head"), "gen").alias("c")
+        return log.agg(newest, F.max("last_seq").alias("last_seq")).select("c.*", "last_seq").first()
+
+    def _commit(self, gen: int | None, base: int | None, head: str | None, batch: str) -> None:
+        """Publish a generation and a batch of versions in one row."""
+        written = self.spark.read.schema(VERSIONS).parquet(f"{self._table('versions')}/batch={batch}")
+        row = written.agg(F.max("seq").alias("s")).select(
             F.lit(gen).cast("bigint").alias("gen"), F.lit(base).cast("bigint").alias("base"),
             F.lit(head).cast("string").alias("git_head"), F.unix_millis(F.current_timestamp()).alias("committed_ms"),
+            F.lit(batch).alias("batch"), F.coalesce("s", F.lit(self.current_seq())).cast("bigint").alias("last_seq"),
         )
         row.coalesce(1).write.mode("append").parquet(self._table("commits"))
 
+    def _append_versions(self, entries: DataFrame, order_by: list[str]) -> str:
+        """Number new versions and write them as a batch that ``_commit`` publishes."""
+        batch = uuid.uuid4().hex
+        numbered = versions.number_rows(entries, order_by, self.current_seq())
+        numbered.select(*self._version_columns()).write.parquet(f"{self._table('versions')}/batch={batch}")
+        return batch
+
+    def _version_columns(self) -> list[str]:
+        return [field.split()[0] for field in VERSIONS.split(", ")]
+
     def _write(self, name: str, gen: int, df: DataFrame) -> None:
         df.write.mode("overwrite").parquet(f"{self._table(name)}/gen={gen}")
 
@@ -133,10 +154,12 @@ class Workspace:
         return counted.join(self._current("files").select("path", "mtime_ns", "dir_mtimes"), "path")
 
     def versions(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(VERSIONS).parquet(self._table("versions"))
-        except AnalysisException:
+        """Versions of committed batches; what a job left behind before its commit is not seen."""
+        commits = self._commits()
+        if commits is None:
             return self.spark.createDataFrame([], VERSIONS)
+        log = self.spark.read.schema(VERSIONS + ", batch STRING").parquet(self._table("versions"))
+        return log.join(commits.select("batch").distinct(), "batch", "left_semi").drop("batch")
 
     # ── writing ──────────────────────────────────────────────────────────────
 
@@ -148,8 +171,8 @@ class Workspace:
         found = listing.walk(self.spark, self.root)
         self._write_generation(gen, self._as_known(found, gen), found)
         entries = found.select("path", F.col("length").alias("size"))
-        self._append_snapshots(entries)
-        self._commit(gen, gen, listing.git_head(self.root))
+        batch = self._append_snapshots(entries)
+        self._commit(gen, gen, listing.git_head(self.root), batch)
         return self.index_result()
 
     def index_result(self) -> dict:
@@ -176,17 +199,20 @@ class Workspace:
         numbered = versions.number_rows(wanted, ["path"], self._last_doc_id(), "doc_id")
         self._write("files", gen, listing.read_files(numbered, self.root, self.max_bytes))
         stored = self.spark.read.parquet(f"{self._table('files')}/gen={gen}")
-        self._write("declarations", gen, symbols.declarations(listing.as_text(stored)))
+        texts = listing.as_text(stored)
+        self._write("declarations", gen, symbols.declarations(texts))
+        self._write("words", gen, words.sorted_runs(words.word_postings(texts)))
+        self._write("trigrams", gen, trigrams.sorted_runs(trigrams.postings(texts)))
         self._write("known", gen, known)
 
-    def _append_snapshots(self, entries: DataFrame) -> None:
+    def _append_snapshots(self, entries: DataFrame) -> str:
         made = entries.select(
             "path", F.lit(0).cast("bigint").alias("agent"),
             F.unix_millis(F.current_timestamp()).alias("timestamp_ms"), F.lit("snapshot").alias("op"),
             F.lit(0).cast("bigint").alias("hash"), F.col("size").cast("bigint").alias("size"),
             F.lit(None).cast("binary").alias("data"),
         )
-        versions.append(self._table("versions"), made, self.current_seq(), ["path"])
+        return self._append_versions(made, ["path"])
 
     @_one_writer
     def record_edits(self, edits: DataFrame) -> int:
@@ -195,8 +221,10 @@ class Workspace:
             "path", "agent", F.unix_millis(F.current_timestamp()).alias("timestamp_ms"), "op", "hash", "size",
             "data", "ord",
         )
-        numbered = versions.number_rows(made, ["ord", "path"], self.current_seq())
-        numbered.drop("ord").write.mode("append").parquet(self._table("versions"))
+        batch = self._append_versions(made, ["ord", "path"])
+        commit = self._commit_row()
+        gen, base, head = (None, None, None) if commit is None else commit[:3]
+        self._commit(gen, base, head, batch)
         return self.current_seq()
 
     @_one_writer
@@ -241,8 +269,7 @@ class Workspace:
         )
         to_read = found.join(real.filter(~gone).select("path"), "path", "left_semi")
         self._write_generation(gen, delta, to_read)
-        versions.append(self._table("versions"), diff.to_versions(real), self.current_seq(), ["path"])
-        self._commit(gen, commit["base"], head)
+        self._commit(gen, commit["base"], head, self._append_versions(diff.to_versions(real), ["path"]))
         return real.count()
 
     def _with_stored_hash(self, known: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -276,8 +303,8 @@ class Workspace:
         commit = self._commit_row()
         gen = commit["gen"] + 1
         self._write_generation(gen, self._as_known(found, gen), found)
-        self._append_snapshots(found.select("path", F.col("length").alias("size")))
-        self._commit(gen, commit["base"], commit["git_head"])
+        batch = self._append_snapshots(found.select("path", F.col("length").alias("size")))
+        self._commit(gen, commit["base"], commit["git_head"], batch)
         return found.count()
 
     # ── reading ──────────────────────────────────────────────────────────────
@@ -286,7 +313,8 @@ class Workspace:
         return self._current("files").count()
 
     def current_seq(self) -> int:
-        return versions.current_seq(self.versions()).first()["current_seq"]
+        commit = self._commit_row()
+        return 0 if commit is None else commit["last_seq"] or 0
 
     def tree(self, path=None, depth=None, max_nodes=None, include=(), sort="name", dirs_first=True) -> DataFrame:
         return tree.ordered(tree.nodes(self.stats(), path, depth, include, sort, dirs_first), max_nodes)
@@ -297,8 +325,9 @@ class Workspace:
         )
 
     def search(self, query: str, max_results: int | None = None, regex: bool = False, path: str | None = None) -> DataFrame:
-        run = search.search_regex if regex else search.search_substring
-        return search.top_results(run(self.files(), query, path), max_results)
+        """Lines that match, read from the files that the stored trigram index allows."""
+        hits = search.search_indexed(self.files(), self._stored_trigrams(), query, regex, path)
+        return search.top_results(hits, max_results)
 
     def scoped_search(self, query: str, max_results: int | None = None) -> DataFrame:
         hits = symbols.scoped_search(self.files(), query)
@@ -324,16 +353,24 @@ class Workspace:
         return versions.hot_files(self._current("files").select("path"), self.versions(), limit)
 
     def words(self) -> DataFrame:
-        return words.word_postings(self.files())
+        """Stored word postings of the current files."""
+        return self._current("words")
 
     def search_word(self, word: str) -> DataFrame:
-        return words.search_word(self.files(), word)
+        return words.lookup(self.words(), word)
 
     def fuzzy(self, query: str, max_results: int) -> DataFrame:
         return search.fuzzy_top(self._current("files"), query, max_results)
 
     def trigrams(self) -> DataFrame:
-        return trigrams.postings(self.files())
+        """Stored trigram postings of the current files."""
+        return self._stored_trigrams().join(self._current("files").select("doc_id"), "doc_id", "left_semi")
+
+    def _stored_trigrams(self) -> DataFrame:
+        """Postings of all published generations.  A file that is indexed again has a new
+        document id, so the ids of its older texts meet no current file."""
+        base, later = self._published("trigrams")
+        return (base if later is None else base.unionByName(later)).drop("gen")
 
     def search_indexed(self, postings: DataFrame, query: str, max_results: int | None = None, regex: bool = False) -> DataFrame:
         """Search through a trigram index built from this workspace's current files."""
