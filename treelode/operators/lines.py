@@ -50,15 +50,21 @@ def extract_lines(
 
 
 def symbol_bodies(files: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Numbered source of ``ranges(path, line_start, line_end)``, cut within each file row."""
-    bounded = ranges.select("path", "line_start", "line_end")
-    parts = F.split("text", "\n", -1)
-    first = F.greatest(F.col("line_start"), F.lit(1))
-    count = F.greatest(F.col("line_end") - first + 1, F.lit(0))
-    numbered = F.transform(
-        F.slice(parts, first, count),
-        lambda line, i: F.concat(F.format_string("%5d | ", i + first), line, F.lit("\n")),
-    )
-    return files.join(bounded, "path").select(
-        "path", "line_start", "line_end", F.array_join(numbered, "").alias("body")
-    )
+    """Numbered source of ``ranges(path, line_start, line_end)``.
+
+    The ranges of a file are gathered first, so its text meets them in one row and is split
+    once, however many symbols it has.
+    """
+    wanted = ranges.groupBy("path").agg(F.collect_list(F.struct("line_start", "line_end")).alias("ranges"))
+
+    def body(span: Column) -> Column:
+        first = F.greatest(span["line_start"], F.lit(1))
+        count = F.greatest(span["line_end"] - first + 1, F.lit(0))
+        numbered = F.transform(
+            F.slice("parts", first, count),
+            lambda line, i: F.concat(F.format_string("%5d | ", i + first), line, F.lit("\n")),
+        )
+        return F.struct(span["line_start"].alias("line_start"), span["line_end"].alias("line_end"), F.array_join(numbered, "").alias("body"))
+
+    cut = files.join(wanted, "path").select("path", "ranges", F.split("text", "\n", -1).alias("parts"))
+    return cut.select("path", F.explode(F.transform("ranges", body)).alias("b")).select("path", "b.*")

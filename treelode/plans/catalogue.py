@@ -278,7 +278,11 @@ def deps_edges(spark, sf):
 
 
 def deps_forward(spark, sf):
-    return deps.imports_of(deps.edges(_decls(spark, sf)), "src/go_lang/g0/f103.go").withColumn("path", F.lit("src/go_lang/g0/f103.go"))
+    """Imports of the Go file of the first customer."""
+    first = adapters.table(spark, sf, "customer").agg(F.min("c_custkey").alias("k"), F.min_by("c_nationkey", "c_custkey").alias("c"))
+    key = first.first()
+    path = f"src/go_lang/g{key['c']}/f{key['k']}.go"
+    return deps.imports_of(deps.edges(_decls(spark, sf)), path).withColumn("path", F.lit(path))
 
 
 def deps_reverse(spark, sf):

@@ -483,7 +483,8 @@ ORACLES: dict[str, str] = {
     "find_symbol": f"WITH {declarations()} {SYMBOLS} WHERE name = 'Show' ORDER BY path, line_num LIMIT 1",
     "find_all_symbols": f"WITH {declarations()} {SYMBOLS} WHERE name = 'LIMIT'",
     "deps_edges": f"WITH {declarations()}, {EDGES} SELECT path, dep, CAST(pos AS INTEGER) AS pos FROM edges",
-    "deps_forward": f"WITH {declarations()}, {EDGES} SELECT dep, path FROM edges WHERE path = 'src/go_lang/g0/f103.go'",
+    "deps_forward": f"WITH {declarations()}, {EDGES} SELECT dep, path FROM edges WHERE path = "
+    "(SELECT 'src/go_lang/g' || arg_min(c_nationkey, c_custkey) || '/f' || min(c_custkey) || '.go' FROM customer)",
     "deps_reverse": f"WITH {declarations()}, {EDGES} SELECT DISTINCT path FROM edges WHERE dep IN ('vendor/lib3.zig', 'lib3.zig')",
     "deps_reverse_all": f"WITH {declarations()}, {EDGES}, m AS (SELECT unnest(['lib/lib' || n_nationkey || '.zig', 'lib/Util' || n_nationkey || '.php']) AS path FROM nation) "
     "SELECT DISTINCT m.path, e.path AS importer FROM m JOIN edges e ON e.dep = m.path OR e.dep = regexp_extract(m.path, '([^/]*)$', 1)",
