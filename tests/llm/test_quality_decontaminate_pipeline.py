@@ -75,6 +75,33 @@ def test_contamination_against_plain_distance(spark):
     assert decontaminate.contaminated(df.limit(0), it).count() == decontaminate.contaminated(df, it.limit(0)).count() == 0
 
 
+def test_partial_quotes_at_any_offset(spark):
+    rng = random.Random(7)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    docs = []
+    for item, text in items:
+        whole = decontaminate.normal(text)
+        for share in (0.6, 0.8):
+            size = int(len(whole) * share) + 1
+            at = rng.randrange(len(whole) - size + 1)
+            docs.append((len(docs), item, f"Something before. {whole[at : at + size]} and after"))
+    df = spark.createDataFrame(docs, "doc_id bigint, item bigint, text string")
+    it = spark.createDataFrame(items, "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, it).collect()}
+    assert {(d, i) for d, i, _ in docs} <= found
+    assert decontaminate.clean_documents(df, it).count() == 0
+
+
+def test_short_items_and_items_without_an_id(spark):
+    items = [(1, "Which one?"), (None, "the quick brown fox jumps over the lazy dog"), (None, "Six of  one"), (2, None), (3, " "), (4, "art")]
+    docs = [(10, "so: which ONE? this"), (11, "a quick brown fox jumps over the lazy dog"), (12, "six of one, half a dozen"), (13, "which ones? a party"), (14, "art")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    it = spark.createDataFrame(items, "item_id bigint, text string")
+    found = sorted((r.doc_id, r.item_id, r.distance) for r in decontaminate.contaminated(df, it).collect())
+    assert found == [(10, 1, 0), (11, None, found[1][2]), (12, None, 0), (14, 4, 0)] and found[1][2] <= 3
+    assert [r.doc_id for r in decontaminate.clean_documents(df, it).collect()] == [13]
+
+
 def test_items_in_blocks(spark, monkeypatch):
     whole = sorted(map(tuple, op2_decontamination(spark, SMALL).collect()))
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 900)
