@@ -96,3 +96,35 @@ def test_on_the_table(spark):
     df = spark.read.parquet(f"{TESTDATA}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in df.collect()]
     check(df, rows)
+
+
+def brute_by_row(rows, length):
+    """What is left of each text, for rows told apart by id and a hash of their text."""
+    first, keys = {}, [(-(1 << 63) if i is None else i, h) for i, _, h in rows]
+    data = [t.encode() for _, t, _ in rows]
+    for key, b in sorted(zip(keys, data)):
+        for s in range(len(b) - length + 1):
+            first.setdefault(b[s : s + length], (key, s))
+    out = []
+    for key, b in zip(keys, data):
+        gone = np.zeros(len(b), bool)
+        for s in range(len(b) - length + 1):
+            if first[b[s : s + length]] < (key, s):
+                gone[s : s + length] = True
+        out.append(bytes(np.frombuffer(b, np.uint8)[~gone]))
+    return out
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = text(150)
+    rows = [(None, text(rng.randint(0, 40 * i)) + passage + text(rng.randint(0, 300))) for i in range(8)]
+    rows += [(None, text(120)), (None, text(20)), (7, text(90) + passage), (7, text(400)), (7, passage + text(10)), (8, text(300))]
+    for part in (rows, [r for r in rows if r[0] != 7]):
+        hashed = [(r.doc_id, r.text, r.h) for r in spark.createDataFrame(part, "doc_id bigint, text string").withColumn("h", F.xxhash64("text")).collect()]
+        got = sorted(bytes(r.kept) for r in suffixdedup.deduplicate(frame(spark, part)).collect())
+        assert got == sorted(brute_by_row(hashed, 100))
+        assert sum(passage.encode() in k for k in got) == 1

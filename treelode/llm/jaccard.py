@@ -113,7 +113,7 @@ def frequency_sketch(texts: DataFrame, words: int) -> np.ndarray:
 
 
 def prefixes(texts: DataFrame, order, words: int, percent: int) -> DataFrame:
-    """doc, n, sid (null for an empty set) and the landmarks of every row."""
+    """doc, key, n, sid (null for an empty set) and the landmarks of every row."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,10 +126,10 @@ def prefixes(texts: DataFrame, order, words: int, percent: int) -> DataFrame:
                     marks.append(s[np.lexsort((s, order.value[bucket_of(s)]))[:take]].view(np.int64) if len(s) else s.view(np.int64))
                 flat = np.concatenate(marks)
                 offsets = np.concatenate([[0], np.cumsum([len(m) for m in marks])]).astype(np.int32)
-                columns = [part.column("doc"), pa.array(sizes, pa.int32()), pa.array(sids, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc", "n", "sid", "marks"])
+                columns = [part.column("doc"), part.column("key"), pa.array(sizes, pa.int32()), pa.array(sids, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "key", "n", "sid", "marks"])
 
-    return texts.select("doc", "text").mapInArrow(task, "doc bigint, n int, sid binary, marks array<bigint>")
+    return texts.select("doc", "key", "text").mapInArrow(task, "doc bigint, key bigint, n int, sid binary, marks array<bigint>")
 
 
 def common_counts(one: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
@@ -257,7 +257,7 @@ def memberships(nodes: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
 def region_rows(texts: DataFrame, nodes: DataFrame, members: DataFrame, words: int) -> DataFrame:
     """region, node, shingles of the given memberships, each set made from its text.
 
-    ``nodes`` has node, doc and sid.
+    ``nodes`` has node, doc, key and sid.
     """
     wanted = members.groupBy("node").agg(F.collect_list("region").alias("regions")).join(nodes, "node")
 
@@ -267,13 +267,13 @@ def region_rows(texts: DataFrame, nodes: DataFrame, members: DataFrame, words: i
                 regions, owners, contents = [], [], []
                 rows = zip(shingle_sets(*bytes_of(part.column("text")), words), part.column("sid").to_pylist(), part.column("node").to_pylist(), part.column("regions").to_pylist())
                 for s, sid, node, own in rows:
-                    if set_id(s) == sid:  # another text under the same id has a row of its own
+                    if set_id(s) == sid:  # else another text under the same id and key
                         regions += own
                         owners += [node] * len(own)
                         contents += [s.tobytes()] * len(own)
                 yield pa.RecordBatch.from_arrays([pa.array(regions, pa.int64()), pa.array(owners, pa.int64()), pa.array(contents, pa.binary())], ["region", "node", "shingles"])
 
-    joined = texts.join(wanted, "doc").select("text", "sid", "node", "regions")
+    joined = texts.join(wanted, ["doc", "key"]).select("text", "sid", "node", "regions")
     return joined.mapInArrow(task, "region bigint, node bigint, shingles binary")
 
 
@@ -342,7 +342,7 @@ def join(
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     no_id = -(1 << 63)
-    texts = docs.where(F.octet_length(text_column) > 0).select(F.coalesce(F.col(id_column).cast("long"), F.lit(no_id)).alias("doc"), F.col(text_column).alias("text"))
+    texts = docs.where(F.octet_length(text_column) > 0).select(F.coalesce(F.col(id_column).cast("long"), F.lit(no_id)).alias("doc"), F.xxhash64(text_column).alias("key"), F.col(text_column).alias("text"))
     order = docs.sparkSession.sparkContext.broadcast(frequency_sketch(texts, words))  # BUCKETS numbers
     rows = prefixes(texts, order, words, percent).withColumn("node", F.monotonically_increasing_id())
     rows = scratch.save(rows, "sets")
@@ -350,7 +350,7 @@ def join(
     filled = slim.where("sid is not null")
     known = F.when(F.col("doc") != no_id, F.col("doc"))
     heads = scratch.save(filled.groupBy("sid").agg(F.min("node").alias("node"), F.min(known).alias("least")), "heads")
-    nodes = filled.join(heads.select("node"), "node", "left_semi").select("node", "doc", "sid")
+    nodes = filled.join(heads.select("node"), "node", "left_semi").select("node", "doc", "key", "sid")
     members = scratch.save(memberships(rows.join(heads.select("node"), "node", "left_semi"), scratch, percent), "members")
     scratch.drop("sets")
     labels = components(links_of(texts, nodes, members, scratch, words, percent, region_nodes), scratch)

@@ -1,7 +1,8 @@
 """Removal of repeated byte strings by a column-wise suffix order over many documents.
 
 A byte goes when it lies in a string of ``length`` bytes that also starts earlier: in a document
-with a smaller id, or before it in its own.
+with a smaller id, or before it in its own.  Documents that share an id, or have none, are told
+apart and ordered by a hash of their text, their ``twin``.
 
 * Every window of ``length`` bytes has an anchor: the position of the least hash among its short
   grams, the first if there are several.  Equal windows have equal anchors at the same place, so
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treelode.llm.common import Scratch, bytes_of, mix64, per_process, text_slices
@@ -44,8 +45,8 @@ BLOCK_RUNS, PART_BYTES = 25_000, 1 << 19
 DEAL_BYTES = 16 << 20
 BASE = 0x9E3779B97F4A7C15
 NO_ID = -(1 << 63)
-ROW = "key bigint, salt int, hot boolean, doc bigint, pos bigint, lead int, seg binary"
-RUN = pa.schema([("key", pa.int64()), ("salt", pa.int32()), ("hot", pa.bool_()), ("doc", pa.int64()), ("pos", pa.int64()), ("lead", pa.int32()), ("seg", pa.binary())])
+ROW = "key bigint, salt int, hot boolean, doc bigint, twin bigint, pos bigint, lead int, seg binary"
+RUN = pa.schema([("key", pa.int64()), ("salt", pa.int32()), ("hot", pa.bool_()), ("doc", pa.int64()), ("twin", pa.int64()), ("pos", pa.int64()), ("lead", pa.int32()), ("seg", pa.binary())])
 DOC = RUN.get_field_index("doc")
 FOUND = f"start bigint, stop bigint, {ROW}"
 
@@ -113,18 +114,18 @@ def bucket_of(key: np.ndarray) -> np.ndarray:
     return (key.view(np.uint64) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
 
 
-def parts_of(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Bytes, row starts, document ids and offsets inside the documents; a very long text comes
+def parts_of(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Bytes, row starts, document ids, twins and offsets inside the documents; a very long text comes
     in pieces that overlap by ``length - 1`` bytes, so each window is in exactly one."""
     for part in text_slices(batch, "text", PART_BYTES, rows=20_000):
         data, starts = bytes_of(part.column("text"))
-        ids = part.column("doc").to_numpy()
+        ids, twins = part.column("doc").to_numpy(), part.column("twin").to_numpy()
         if part.num_rows == 1 and len(data) > 4 * PART_BYTES:
             for at in range(0, len(data) - length + 1, PART_BYTES):
                 piece = data[at : at + PART_BYTES + length - 1]
-                yield piece, np.array([0, len(piece)]), ids, np.array([at])
+                yield piece, np.array([0, len(piece)]), ids, twins, np.array([at])
         else:
-            yield data, starts, ids, np.zeros(len(ids), np.int64)
+            yield data, starts, ids, twins, np.zeros(len(ids), np.int64)
 
 
 def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -135,7 +136,7 @@ def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(data[index])])
 
 
-def run_rows(runs: Runs, data: np.ndarray, ids: np.ndarray, base: np.ndarray, length: int, hot: np.ndarray, before: int) -> pa.RecordBatch:
+def run_rows(runs: Runs, data: np.ndarray, ids: np.ndarray, twins: np.ndarray, base: np.ndarray, length: int, hot: np.ndarray, before: int) -> pa.RecordBatch:
     """Rows of all runs; those under a hot gram are split at fixed distances from the anchor
     and keyed by the bytes that all windows of such a split share."""
     lead = before - (runs.anchor - runs.first)
@@ -159,10 +160,10 @@ def run_rows(runs: Runs, data: np.ndarray, ids: np.ndarray, base: np.ndarray, le
     flag = np.concatenate([np.full(len(p[0]), p[6]) for p in pieces])
     seg = gather(data, first, last - first + length)
     columns = [
-        pa.array(key), pa.array(salt.astype(np.int32)), pa.array(flag), pa.array(ids[doc]),
+        pa.array(key), pa.array(salt.astype(np.int32)), pa.array(flag), pa.array(ids[doc]), pa.array(twins[doc]),
         pa.array(base[doc] + first - runs.starts[doc]), pa.array(lead.astype(np.int32)), seg,
     ]
-    return pa.RecordBatch.from_arrays(columns, ["key", "salt", "hot", "doc", "pos", "lead", "seg"])
+    return pa.RecordBatch.from_arrays(columns, RUN.names)
 
 
 def mark_equal(group: np.ndarray, age: np.ndarray, lead: np.ndarray, aligned: np.ndarray, length: int, before: int) -> np.ndarray:
@@ -216,7 +217,7 @@ def mark_equal(group: np.ndarray, age: np.ndarray, lead: np.ndarray, aligned: np
     return marked
 
 
-def resolve(key: np.ndarray, salt: np.ndarray, doc: np.ndarray, pos: np.ndarray, lead: np.ndarray, seg: pa.Array, length: int, before: int) -> np.ndarray:
+def resolve(key: np.ndarray, salt: np.ndarray, doc: np.ndarray, twin: np.ndarray, pos: np.ndarray, lead: np.ndarray, seg: pa.Array, length: int, before: int) -> np.ndarray:
     """``marked`` for the runs of whole groups (key, salt)."""
     m = len(key)
     marked = np.zeros((m, before + 1), bool)
@@ -237,10 +238,10 @@ def resolve(key: np.ndarray, salt: np.ndarray, doc: np.ndarray, pos: np.ndarray,
     source = np.repeat(starts[live] - (np.cumsum(size) - size), size) + np.arange(size.sum())
     aligned.ravel()[into] = data[source].astype(np.uint16) + 1
     # Equal ages are one place of one document in repeated rows.
-    by_age = np.lexsort((pos[live], doc[live]))
-    d, p = doc[live][by_age], pos[live][by_age]
+    by_age = np.lexsort((pos[live], twin[live], doc[live]))
+    d, t, p = doc[live][by_age], twin[live][by_age], pos[live][by_age]
     age = np.empty(len(live), np.int64)
-    age[by_age] = np.cumsum(np.concatenate([[0], (d[1:] != d[:-1]) | (p[1:] != p[:-1])]))
+    age[by_age] = np.cumsum(np.concatenate([[0], (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (p[1:] != p[:-1])]))
     # Equal runs: only the oldest of them goes into the order.
     words = aligned.view(np.uint64)
     factor = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, words.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -270,10 +271,10 @@ def resolve(key: np.ndarray, salt: np.ndarray, doc: np.ndarray, pos: np.ndarray,
 
 def found_rows(block: pa.RecordBatch, length: int, before: int) -> Iterator[pa.RecordBatch]:
     """Marked byte ranges of a block of whole groups, and the hot runs that survive it."""
-    key, salt, doc, pos, lead = (block.column(c).to_numpy() for c in ("key", "salt", "doc", "pos", "lead"))
+    key, salt, doc, twin, pos, lead = (block.column(c).to_numpy() for c in ("key", "salt", "doc", "twin", "pos", "lead"))
     hot = block.column("hot").to_numpy(zero_copy_only=False)
     seg = block.column("seg")
-    marked = resolve(key, salt, doc, pos, lead, seg, length, before)
+    marked = resolve(key, salt, doc, twin, pos, lead, seg, length, before)
     padded = np.zeros((len(key), before + 3), np.int8)
     padded[:, 1:-1] = marked
     step = np.diff(padded, axis=1)
@@ -282,7 +283,7 @@ def found_rows(block: pa.RecordBatch, length: int, before: int) -> Iterator[pa.R
     if len(row):
         start = pos[row] + low - lead[row]
         blank = [pa.nulls(len(row), kind) for kind in (pa.int64(), pa.int32(), pa.bool_())]
-        columns = [pa.array(start), pa.array(start + (high - low) + length), *blank, pa.array(doc[row]), pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.int32()), pa.nulls(len(row), pa.binary())]
+        columns = [pa.array(start), pa.array(start + (high - low) + length), *blank, pa.array(doc[row]), pa.array(twin[row]), pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.int32()), pa.nulls(len(row), pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, FOUND_NAMES)
     sizes = np.diff(bytes_of(seg)[1])
     column = np.arange(before + 1)
@@ -298,7 +299,7 @@ def found_rows(block: pa.RecordBatch, length: int, before: int) -> Iterator[pa.R
             cut = gather(data, starts[rows] + low - lead[rows], high - low + length)
             columns = [
                 pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64()), pa.array(key[rows]), pa.array(np.zeros(len(rows), np.int32)), pa.array(np.zeros(len(rows), bool)),
-                pa.array(doc[rows]), pa.array(pos[rows] + low - lead[rows]), pa.array(low.astype(np.int32)), cut,
+                pa.array(doc[rows]), pa.array(twin[rows]), pa.array(pos[rows] + low - lead[rows]), pa.array(low.astype(np.int32)), cut,
             ]
             yield pa.RecordBatch.from_arrays(columns, FOUND_NAMES)
 
@@ -385,13 +386,13 @@ def whole_groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Re
 
 
 def marked_ranges(docs: DataFrame, length: int, gram: int, scratch: Scratch, hot_runs: int = HOT_RUNS) -> DataFrame:
-    """doc, start, stop of byte ranges to remove (they may overlap); ``docs`` has doc and text."""
+    """doc, twin, start, stop of byte ranges to remove (they may overlap); ``docs`` has doc, twin and text."""
     before = length - gram
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for data, starts, _, _ in parts_of(batch, length):
+            for data, starts, *_ in parts_of(batch, length):
                 counts += np.bincount(bucket_of(Runs(data, starts, length, gram).key), minlength=BUCKETS)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], ["bucket", "n"])
@@ -408,10 +409,10 @@ def marked_ranges(docs: DataFrame, length: int, gram: int, scratch: Scratch, hot
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for data, starts, ids, base in parts_of(batch, length):
+                for data, starts, ids, twins, base in parts_of(batch, length):
                     runs = Runs(data, starts, length, gram)
                     if len(runs.key):
-                        yield run_rows(runs, data, ids, base, length, shared.value, before)
+                        yield run_rows(runs, data, ids, twins, base, length, shared.value, before)
 
         return dealt(rows(), buckets)
 
@@ -426,17 +427,25 @@ def marked_ranges(docs: DataFrame, length: int, gram: int, scratch: Scratch, hot
     order = ["key", "salt"]
     rows = docs.mapInArrow(emit, "bucket bigint, runs binary").repartition("bucket").sortWithinPartitions("bucket")
     first = scratch.save(rows.mapInArrow(solve_dealt, FOUND), "first")
-    again = first.where("start is null").select("key", "salt", "hot", "doc", "pos", "lead", "seg")
+    again = first.where("start is null").select(*RUN.names)
     second = again.repartition(*order).sortWithinPartitions(*order).mapInArrow(solve, FOUND)
-    columns = ["doc", "start", "stop"]
+    columns = ["doc", "twin", "start", "stop"]
     return first.where("start is not null").select(*columns).unionByName(second.select(*columns))
 
 
-def cut(texts: DataFrame, ranges: DataFrame, id_column: str, text_column: str, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+def twin_of(docs: DataFrame, id_column: str, text_column: str) -> Column:
+    """What tells the documents of one id apart: a hash of the text, or 0 for every row with an
+    id where no id has two texts, since a hash for each run takes space."""
+    doc, text = F.col(id_column).cast("long"), F.xxhash64(F.col(text_column))
+    several = docs.where(doc.isNotNull()).groupBy(doc.alias("doc")).agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a <> b")
+    return F.when(doc.isNull(), text).otherwise(F.lit(0).cast("long")) if several.isEmpty() else text
+
+
+def cut(texts: DataFrame, ranges: DataFrame, twin: Column, id_column: str, text_column: str, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """id, carried columns, ``kept``, ``n_bytes`` and ``spans``: the marked ranges joined to
     their documents.  ``kept`` is bytes, or a text without what is left of characters cut in two."""
-    lists = ranges.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    plain = texts.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)))
+    lists = ranges.groupBy("doc", "twin").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    plain = texts.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), twin.alias("twin"), *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)))
     held = ["id", *(f"carry_{i}" for i in range(len(carry)))]
     kinds = ", ".join(f"{c} {plain.schema[c].dataType.simpleString()}" for c in held)
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
@@ -462,7 +471,8 @@ def cut(texts: DataFrame, ranges: DataFrame, id_column: str, text_column: str, c
                 columns = [*(part.column(c) for c in held), pa.array([o[0] for o in out], pa.string() if as_text else pa.binary()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], span)]
                 yield pa.RecordBatch.from_arrays(columns, [*held, "kept", "n_bytes", "spans"])
 
-    joined = plain.withColumn("doc", F.coalesce(F.col("id").cast("long"), F.lit(NO_ID))).join(lists, "doc", "left").select(*held, "text", "ranges")
+    plain = plain.withColumn("doc", F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)))
+    joined = plain.join(lists, ["doc", "twin"], "left").select(*held, "text", "ranges")
     out = joined.mapInArrow(task, f"{kinds}, kept {'string' if as_text else 'binary'}, n_bytes bigint, spans array<struct<start: bigint, stop: bigint>>")
     return out.toDF(id_column, *carry, "kept", "n_bytes", "spans")
 
@@ -474,16 +484,16 @@ def deduplicate(
     """One row per input row: id, ``kept`` (remaining bytes), ``n_bytes``, ``spans`` removed.
 
     A null text is empty.  A null id counts as smaller than any other.  Repeated rows with one
-    id and text are one document, each row getting its result; rows with one id and different
-    texts lose the bytes at every place marked in any of them.  Texts shorter than ``length``
-    only keep.  Columns in ``carry`` come along, others are ignored; an empty table gives no
+    id and text are one document, each row getting its result; rows with one id, or none, and
+    different texts are documents of their own.  Texts shorter than ``length`` only keep.  Columns in ``carry`` come along, others are ignored; an empty table gives no
     rows.
     """
     scratch = Scratch(docs.sparkSession, "suffix")
+    twin = twin_of(docs, id_column, text_column)
     plain = docs.where(F.octet_length(text_column) >= length).select(
-        F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_column).alias("text")
+        F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("doc"), twin.alias("twin"), F.col(text_column).alias("text")
     )
-    return cut(docs, marked_ranges(plain, length, gram, scratch, hot_runs), id_column, text_column, carry, as_text)
+    return cut(docs, marked_ranges(plain, length, gram, scratch, hot_runs), twin, id_column, text_column, carry, as_text)
 
 
 def deduplicated_documents(docs: DataFrame) -> DataFrame:
