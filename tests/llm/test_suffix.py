@@ -128,3 +128,17 @@ def test_rows_that_share_an_id_or_have_none(spark):
         got = sorted(bytes(r.kept) for r in suffixdedup.deduplicate(frame(spark, part)).collect())
         assert got == sorted(brute_by_row(hashed, 100))
         assert sum(passage.encode() in k for k in got) == 1
+
+
+def test_low_entropy_texts_are_folded_where_they_are_read(spark):
+    rows = [(1, "a" * 3000), (2, "ab" * 900 + "c" + "a" * 500), (3, "x" + "a" * 2000 + "y"), (4, "ab" * 400), (4, "ab" * 400), (5, "=-" * 90 + "a" * 130)]
+    for hot_runs in (1, 10**9):
+        check(frame(spark, rows, 3), rows, hot_runs=hot_runs)
+    n = 200_000
+    data, zero = np.full(n, 97, np.uint8), np.zeros(1, np.int64)
+    runs = suffixdedup.Runs(data, np.array([0, n]), 100, 16)
+    for salts in (np.zeros(suffixdedup.BUCKETS, np.int32), np.full(suffixdedup.BUCKETS, 16, np.int32)):
+        out = suffixdedup.run_rows(runs, data, zero, zero, zero, 100, salts, 84)
+        assert out.num_rows < 200 and out.nbytes < 100_000
+        marked = [(a, b) for a, b, lead in zip(out.column("pos").to_pylist(), out.column("key").to_pylist(), out.column("lead").to_pylist()) if lead < 0]
+        assert marked == [(1, n)]

@@ -19,7 +19,9 @@ apart and ordered by a hash of their text, their ``twin``.
 
 Grams that hold more than a small share of all runs (found by a sketch of fixed size over all
 texts) are keyed by nearly the whole window instead, and salted: each salt keeps the earliest of
-equal windows, and what survives meets in a second, small round.
+equal windows, and what survives meets in a second, small round.  The number of salts follows
+the sketch.  Where a part of the data holds many runs under one gram (padding, one repeated byte),
+equal ones are folded first: the earliest travels, the ranges of the others are marked there.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +40,10 @@ from treelode.llm.common import Scratch, bytes_of, mix64, per_process, text_slic
 LENGTH, GRAM = 100, 16
 #: Buckets of the sketch, and the runs a bucket may hold: a share of all, and a number.
 BUCKETS, HOT_SHARE, HOT_RUNS = 1 << 18, 4096, 200_000
-#: Windows that a hot run keeps together, and salts.
-HOT_WINDOWS, SALTS = 8, 16
+#: Windows that a hot run keeps together, least salts, and hot runs for each salt.
+HOT_WINDOWS, SALTS, SALT_RUNS = 8, 16, 25_000
+#: Runs of a part under one gram from which equal ones are folded, and bytes gathered at once.
+FOLD_RUNS, GATHER_BYTES = 16, 4 << 20
 #: Runs of a bucket, which are ordered together, and bytes of text hashed together.
 BLOCK_RUNS, PART_BYTES = 25_000, 1 << 19
 #: Run bytes that a task deals out to the buckets at once.
@@ -120,7 +125,7 @@ def parts_of(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, n
     for part in text_slices(batch, "text", PART_BYTES, rows=20_000):
         data, starts = bytes_of(part.column("text"))
         ids, twins = part.column("doc").to_numpy(), part.column("twin").to_numpy()
-        if part.num_rows == 1 and len(data) > 4 * PART_BYTES:
+        if part.num_rows == 1 and len(data) > PART_BYTES:
             for at in range(0, len(data) - length + 1, PART_BYTES):
                 piece = data[at : at + PART_BYTES + length - 1]
                 yield piece, np.array([0, len(piece)]), ids, twins, np.array([at])
@@ -130,17 +135,56 @@ def parts_of(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, n
 
 def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
     """A binary array of the given ranges of ``data``."""
-    ends = np.cumsum(size)
-    index = np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-    offsets = np.concatenate([[0], ends]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(data[index])])
-
-
-def run_rows(runs: Runs, data: np.ndarray, ids: np.ndarray, twins: np.ndarray, base: np.ndarray, length: int, hot: np.ndarray, before: int) -> pa.RecordBatch:
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    out = np.empty(offsets[-1], np.uint8)
+    a = 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + GATHER_BYTES, side="right")) - 1)
+        index = np.repeat(start[a:b] - offsets[a:b], size[a:b]) + np.arange(offsets[a], offsets[b])
+        out[offsets[a] : offsets[b]] = data[index]
+        a = b
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
+
+
+def fold(runs: Runs, data: np.ndarray, columns: list[np.ndarray], age: tuple[np.ndarray, ...], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pieces of runs travel, and which of the others are later than the equal piece that
+    does.  ``columns`` has key, document, first, last and lead of each piece, ``age`` what
+    orders them, the most important last."""
+    key, _, first, last, lead = columns
+    n = len(key)
+    travels, later = np.ones(n, bool), np.zeros(n, bool)
+    within = bucket_of(key)
+    some = np.flatnonzero(np.bincount(within, minlength=BUCKETS)[within] > FOLD_RUNS) if n else np.zeros(0, np.int64)
+    if not len(some):
+        return travels, later
+    size = last - first + length
+    content = runs.hash_of(first[some], first[some] + size[some])
+    order = some[np.lexsort((*(a[some] for a in age), content, size[some], lead[some], key[some]))]
+    content = runs.hash_of(first[order], first[order] + size[order])
+    new = np.ones(len(order), bool)
+    new[1:] = content[1:] != content[:-1]
+    for c in (key, size, lead):
+        new[1:] |= c[order][1:] != c[order][:-1]
+    head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    copies, heads = order[~new], head[~new]
+    same = np.ones(len(copies), bool)
+    for j in range(int(size[copies].max()) if len(copies) else 0):
+        inside = j < size[copies]
+        at, other = np.where(inside, first[copies] + j, 0), np.where(inside, first[heads] + j, 0)
+        same &= data[at] == data[other]
+    copies, heads = copies[same], heads[same]
+    travels[copies] = False
+    later[copies] = np.logical_or.reduce([a[copies] != a[heads] for a in age])
+    return travels, later
+
+
+def run_rows(runs: Runs, data: np.ndarray, ids: np.ndarray, twins: np.ndarray, base: np.ndarray, length: int, salts: np.ndarray, before: int) -> pa.RecordBatch:
     """Rows of all runs; those under a hot gram are split at fixed distances from the anchor
-    and keyed by the bytes that all windows of such a split share."""
+    and keyed by the bytes that all windows of such a split share.  ``salts`` has their number
+    for each bucket, 0 if cold.  Ranges that are marked here have a negative lead and their end
+    as key."""
     lead = before - (runs.anchor - runs.first)
-    is_hot = hot[bucket_of(runs.key)] if len(runs.key) else np.zeros(0, bool)
+    is_hot = salts[bucket_of(runs.key)] > 0 if len(runs.key) else np.zeros(0, bool)
     cold = ~is_hot
     pieces = [(runs.key[cold], np.zeros(cold.sum(), np.int32), runs.doc[cold], runs.first[cold], runs.last[cold], lead[cold], False)]
     if is_hot.any():
@@ -154,14 +198,26 @@ def run_rows(runs: Runs, data: np.ndarray, ids: np.ndarray, twins: np.ndarray, b
         high = np.minimum(last[row], zero + split * HOT_WINDOWS + HOT_WINDOWS - 1)
         common = runs.hash_of(zero + split * HOT_WINDOWS + HOT_WINDOWS - 1, zero + split * HOT_WINDOWS + length)
         own = mix64(common ^ key[row].view(np.uint64) + (split.astype(np.uint64) << np.uint64(40))).view(np.int64)
-        salt = (mix64(ids[doc[row]].view(np.uint64)) % np.uint64(SALTS)).astype(np.int32)
+        place = (base[doc[row]] + low - runs.starts[doc[row]]).astype(np.uint64)
+        dealt_by = mix64(mix64(ids[doc[row]].view(np.uint64)) + twins[doc[row]].view(np.uint64)) + place * np.uint64(BASE)
+        salt = (mix64(dealt_by) % salts[bucket_of(key)][row].astype(np.uint64)).astype(np.int32)
         pieces.append((own, salt, doc[row], low, high, low - zero, True))
     key, salt, doc, first, last, lead = (np.concatenate([p[i] for p in pieces]) for i in range(6))
     flag = np.concatenate([np.full(len(p[0]), p[6]) for p in pieces])
-    seg = gather(data, first, last - first + length)
+    pos = base[doc] + first - runs.starts[doc]
+    travels, later = fold(runs, data, [key, doc, first, last, lead], (pos, twins[doc], ids[doc]), length)
+    # Marked runs that touch make one range.
+    gone = np.flatnonzero(later)
+    gone = gone[np.lexsort((first[gone], doc[gone]))]
+    d, a, b = doc[gone], pos[gone], pos[gone] + last[gone] - first[gone] + length
+    begins = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (a[1:] > b[:-1])])) if len(gone) else gone
+    ends = np.maximum.reduceat(b, begins) if len(gone) else b
+    key, salt, flag, doc, pos, lead, first, last = (c[travels] for c in (key, salt, flag, doc, pos, lead, first, last))
+    seg = gather(data, np.append(first, np.zeros(len(begins), np.int64)), np.append(last - first + length, np.zeros(len(begins), np.int64)))
+    doc = np.append(doc, d[begins])
     columns = [
-        pa.array(key), pa.array(salt.astype(np.int32)), pa.array(flag), pa.array(ids[doc]), pa.array(twins[doc]),
-        pa.array(base[doc] + first - runs.starts[doc]), pa.array(lead.astype(np.int32)), seg,
+        pa.array(np.append(key, ends)), pa.array(np.append(salt, np.zeros(len(begins))).astype(np.int32)), pa.array(np.append(flag, np.zeros(len(begins), bool))),
+        pa.array(ids[doc]), pa.array(twins[doc]), pa.array(np.append(pos, a[begins])), pa.array(np.append(lead, np.full(len(begins), -1)).astype(np.int32)), seg,
     ]
     return pa.RecordBatch.from_arrays(columns, RUN.names)
 
@@ -271,6 +327,13 @@ def resolve(key: np.ndarray, salt: np.ndarray, doc: np.ndarray, twin: np.ndarray
 
 def found_rows(block: pa.RecordBatch, length: int, before: int) -> Iterator[pa.RecordBatch]:
     """Marked byte ranges of a block of whole groups, and the hot runs that survive it."""
+    marked_before = pc.less(block.column("lead"), 0)
+    if pc.any(marked_before).as_py():
+        known, block = block.filter(marked_before), block.filter(pc.invert(marked_before))
+        blank = [pa.nulls(known.num_rows, kind) for kind in (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([known.column("pos"), known.column("key"), *blank[:3], known.column("doc"), known.column("twin"), *blank[3:]], FOUND_NAMES)
+        if not block.num_rows:
+            return
     key, salt, doc, twin, pos, lead = (block.column(c).to_numpy() for c in ("key", "salt", "doc", "twin", "pos", "lead"))
     hot = block.column("hot").to_numpy(zero_copy_only=False)
     seg = block.column("seg")
@@ -400,9 +463,10 @@ def marked_ranges(docs: DataFrame, length: int, gram: int, scratch: Scratch, hot
     counts = docs.mapInArrow(sketch, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     table = counts.toArrow()
     n = table["n"].to_numpy()
-    hot = np.zeros(BUCKETS, bool)
-    hot[table["bucket"].to_numpy()[n > max(64, min(hot_runs, int(n.sum()) // HOT_SHARE))]] = True
-    shared = docs.sparkSession.sparkContext.broadcast(hot)  # BUCKETS bytes, whatever the input
+    salts = np.zeros(BUCKETS, np.int32)
+    hot = n > max(64, min(hot_runs, int(n.sum()) // HOT_SHARE))
+    salts[table["bucket"].to_numpy()[hot]] = np.maximum(SALTS, n[hot] // SALT_RUNS)
+    shared = docs.sparkSession.sparkContext.broadcast(salts)  # BUCKETS numbers, whatever the input
 
     buckets = 1 + int(n.sum()) // BLOCK_RUNS
 
