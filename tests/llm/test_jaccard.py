@@ -109,3 +109,29 @@ def test_region_join_links_every_close_pair():
         for i in nodes:
             for j in range(i):
                 assert not close(i, j) or find(i) == find(j)
+
+
+def test_dense_regions_are_dealt_into_block_pairs(spark):
+    rng = random.Random(9)
+    rows = [(region, node, bytes(8)) for region, n in ((1, 300), (2, 8), (3, 41)) for node in range(n)]
+    dealt = jaccard.block_pairs(spark.createDataFrame(rows, "region bigint, node bigint, shingles binary"), 40).collect()
+    held = {}
+    for r in dealt:
+        held.setdefault(r.region, set()).add(r.node)
+    assert max(map(len, held.values())) < 80 and held[2] == set(range(8))
+    for n in (300, 41):
+        nodes = {frozenset((a, b)) for h in held.values() for a in h for b in h if a < b}
+        assert all(frozenset((a, b)) in nodes for a in range(n) for b in range(a))
+    # A family of one template: too far apart for balls, all in one region.
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(60):
+        own = words[:]
+        own[rng.randrange(20, 40)] = f"own{i}"
+        rows.append((i, " ".join(own)))
+    check(spark.createDataFrame(rows, "doc_id bigint, text string"), rows, region_nodes=6)
+
+
+def test_rows_without_an_id_keep_their_own_sets(spark):
+    rows = [(None, " ".join(f"{k}w{i}" for i in range(30))) for k in range(6)] + [(3, " ".join(f"0w{i}" for i in range(29))), (3, " ".join(f"1w{i}" for i in range(31)))]
+    check(spark.createDataFrame(rows, "doc_id bigint, text string"), rows)

@@ -11,7 +11,8 @@ The distance 1 - J is a metric.  Documents with equal sets are one node from the
   d(x, pivot) >= d - t, and to none if d > 2 t: these windows of the triangle inequality are
   all that is compared.  The ball then leaves, and the rest is joined recursively around its
   next pivot.
-* Regions too large for a task lose their balls in a distributed step first.
+* Regions too large for a task lose their balls in distributed steps first.  What is still too
+  large is dealt into blocks, and each pair of blocks is joined as a region of its own.
 
 The order is by a sketch of fixed size that counts shingles over all documents; any order gives
 the same links, a good one gives small regions.
@@ -277,6 +278,19 @@ def region_rows(texts: DataFrame, nodes: DataFrame, members: DataFrame, words: i
     return joined.mapInArrow(task, "region bigint, node bigint, shingles binary")
 
 
+def block_pairs(rows: DataFrame, region_nodes: int) -> DataFrame:
+    """The rows of regions, those of regions above ``region_nodes`` once for each pair of blocks
+    that holds theirs: two nodes of a region share a pair, and a pair about ``region_nodes`` rows."""
+    sizes = rows.groupBy("region").agg(F.ceil(2 * F.count(F.lit(1)) / F.lit(region_nodes)).cast("int").alias("blocks")).where("blocks > 2")
+    placed = rows.join(sizes, "region", "left")
+    own = F.pmod(F.xxhash64("node", "region"), F.col("blocks")).cast("int")
+    others = F.when(F.col("blocks").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    paired = placed.withColumn("own", own).withColumn("other", F.explode(others))
+    pair = F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other"))
+    # With itself alone a block is part of its pairs with the others.
+    return paired.where("blocks is null or own <> other").select(F.when(F.col("blocks").isNull(), F.col("region")).otherwise(pair).alias("region"), "node", "shingles")
+
+
 def links_of(texts: DataFrame, nodes: DataFrame, members: DataFrame, scratch: Scratch, words: int, percent: int, region_nodes: int) -> DataFrame:
     """a, b: links that connect exactly the nodes connected by close pairs."""
     size = F.count(F.lit(1)).alias("size")
@@ -295,7 +309,7 @@ def links_of(texts: DataFrame, nodes: DataFrame, members: DataFrame, scratch: Sc
             scratch.drop(f"waiting-{number - 1}")
             if waiting.groupBy("region").agg(size).where(F.col("size") > region_nodes).isEmpty():
                 break
-        rows = rows.unionByName(waiting)
+        rows = rows.unionByName(block_pairs(waiting, region_nodes))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, sets in regions_of(batches):
