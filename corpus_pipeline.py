@@ -6,7 +6,7 @@ shared checkpoint folder and hands the rows read back to the next one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treelode.llm import decontaminate, jaccard, quality, suffixdedup
@@ -14,23 +14,38 @@ from treelode.llm.common import Scratch, table
 from treelode.llm.queries import packed
 
 
-def rows_with(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id, null included, is among ``ids``."""
-    wanted = ids.select(F.col("doc_id").alias("wanted")).distinct()
-    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["wanted"]), "left_semi")
+ROW_KEY = "row_key"
+
+
+def row_key(docs: DataFrame) -> Column:
+    """With the id, what tells rows apart that differ in any column."""
+    return F.xxhash64(*(F.col(c) for c in docs.columns))
+
+
+def rows_with(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The documents whose id, null included, and row key are among ``chosen``."""
+    wanted = chosen.select(F.col("doc_id").alias("wanted"), F.col(ROW_KEY).alias("wanted_key")).distinct()
+    same = docs["doc_id"].eqNullSafe(wanted["wanted"]) & (row_key(docs) == wanted["wanted_key"])
+    return docs.join(wanted, same, "left_semi")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality operator keeps; of rows sharing an id, all if one is kept."""
-    return rows_with(docs, quality.assess(docs, table(spark, sf_dir, "labels")).where("keep"))
+    """The rows that the quality operator keeps."""
+    keyed = docs.withColumn(ROW_KEY, row_key(docs))
+    return rows_with(docs, quality.assess(keyed, table(spark, sf_dir, "labels"), carry=(ROW_KEY,)).where("keep"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id; repeated rows of it are one."""
-    heads = jaccard.join(docs).where("doc_id <=> component_id").select("doc_id")
-    heads = Scratch(spark, "heads").save(heads, "heads")
+    """Of each component the row with the smallest id, null ids last; repeated rows are one."""
+    rows = jaccard.grouped(docs, row_key(docs)).withColumnRenamed("key", ROW_KEY)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW_KEY)).alias("first")
+    heads = rows.where("component is not null").groupBy("component").agg(first).select("first.doc_id", f"first.{ROW_KEY}")
+    alone = rows.where("component is null").select("doc_id", ROW_KEY)
+    heads = Scratch(spark, "heads").save(heads.unionByName(alone), "heads")
     kept = rows_with(docs, heads)
-    repeated = not heads.groupBy("doc_id").count().where("count > 1").isEmpty()
+    # Only rows that are the same in all columns can still share an id and a text with a head.
+    held = kept.select("doc_id", F.xxhash64("text").alias("text"))
+    repeated = not held.groupBy("doc_id", "text").count().where("count > 1").isEmpty()
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
 
 

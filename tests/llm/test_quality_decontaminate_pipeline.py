@@ -212,3 +212,29 @@ def test_pipeline_with_nulls_and_repeats(spark, tmp_path):
     spark.createDataFrame([(1, "x" * 30)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     check_pieces(got, {1: text, 3: "", None: "lonely", 4: ""})
+
+
+def test_stages_keep_exactly_the_chosen_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    text = lambda k: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(k))
+    one, two = text(60), text(60)
+    rows = [(None, one), (None, one + " more"), (None, one + " again"), (None, two), (2, two + " more"), (5, one + " five"), (5, text(50)), (6, two + " six"), (6, two), (None, None), (None, "")]
+    lonely = [r for r in rows if r[0] == 5][1]
+    group = text(60)
+    rows += [(None, group), (None, group + " x"), (None, group + " y")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = corpus_pipeline.near_duplicate_stage(spark, df, "").collect()
+    left = sorted(((r.doc_id, r.text) for r in kept), key=str)
+    of_group = [x for x in left if (x[1] or "").startswith(group)]
+    assert len(of_group) == 1 and of_group[0][0] is None
+    assert sorted((x for x in left if x not in of_group), key=str) == sorted([(5, one + " five"), lonely, (2, two + " more"), (None, None), (None, "")], key=str)
+
+    good, bad = "fine words here and there ", "@@@ ### $$$ "
+    docs = [(i, (good if i % 3 else bad) * rng.randint(3, 9), "s", "en") for i in range(90)]
+    docs += [(None, good * 5, "s", "en"), (None, bad * 5, "s", "en"), (200, good * 4, "s", "en"), (200, bad * 4, "s", "en")]
+    labels = [(i, int(i % 3 > 0), 0) for i in range(90)]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.quality_stage(spark, spark.createDataFrame(docs, "doc_id bigint, text string, source string, lang string"), str(tmp_path)).collect()
+    assert sorted(r.text for r in kept) == sorted(t for _, t, *_ in docs if t.startswith("fine"))

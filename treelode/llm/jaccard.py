@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treelode.llm.common import Scratch, bytes_of, mix64, text_slices
@@ -343,20 +343,14 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             return labels
 
 
-def join(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, percent: int = PERCENT, region_nodes: int = REGION_NODES,
+def grouped(
+    docs: DataFrame, key: Column, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, percent: int = PERCENT, region_nodes: int = REGION_NODES,
 ) -> DataFrame:
-    """One row per input row: id, ``n_shingles`` and ``component_id``, the smallest id reachable
-    by links (100 * intersection >= percent * union), itself included.
-
-    Texts with fewer words than a shingle are one shingle; a null text, or one without words,
-    has none and is linked with nothing.  Null ids come last: a component's id is null only if
-    all of its ids are.  Repeated rows and rows that share an id are nodes by their text.
-    Other columns are ignored; an empty table gives no rows.
-    """
+    """The rows of ``join`` with ``key``, a bigint that tells rows of one id and different texts
+    apart, and ``component``: a number for the component, null for rows without shingles."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     no_id = -(1 << 63)
-    texts = docs.where(F.octet_length(text_column) > 0).select(F.coalesce(F.col(id_column).cast("long"), F.lit(no_id)).alias("doc"), F.xxhash64(text_column).alias("key"), F.col(text_column).alias("text"))
+    texts = docs.where(F.octet_length(text_column) > 0).select(F.coalesce(F.col(id_column).cast("long"), F.lit(no_id)).alias("doc"), key.alias("key"), F.col(text_column).alias("text"))
     order = docs.sparkSession.sparkContext.broadcast(frequency_sketch(texts, words))  # BUCKETS numbers
     rows = prefixes(texts, order, words, percent).withColumn("node", F.monotonically_increasing_id())
     rows = scratch.save(rows, "sets")
@@ -370,12 +364,28 @@ def join(
     labels = components(links_of(texts, nodes, members, scratch, words, percent, region_nodes), scratch)
     labelled = heads.join(labels, "node")
     groups = labelled.groupBy("label").agg(F.min("least").alias("component"))
-    linked = labelled.join(groups, "label").select("sid", "component")
-    classes = heads.join(linked, "sid", "left").select("sid", F.coalesce("component", "least").alias("component"))
-    whole = filled.select("doc", "n", "sid").join(classes, "sid").select("doc", "n", "component")
-    none = slim.where("sid is null").select("doc", "n", known.alias("component"))
+    linked = labelled.join(groups, "label").select("sid", "component", "label")
+    classes = heads.join(linked, "sid", "left").select("sid", F.coalesce("component", "least").alias("component"), F.coalesce("label", "node").alias("label"))
+    whole = filled.select("doc", "key", "n", "sid").join(classes, "sid").select("doc", "key", "n", "component", "label")
+    none = slim.where("sid is null").select("doc", "key", "n", known.alias("component"), F.lit(None).cast("long").alias("label"))
     blank = docs.where(F.coalesce(F.octet_length(text_column), F.lit(0)) == 0).select(
-        F.coalesce(F.col(id_column).cast("long"), F.lit(no_id)).alias("doc"), F.lit(0).alias("n"), F.col(id_column).cast("long").alias("component")
+        F.coalesce(F.col(id_column).cast("long"), F.lit(no_id)).alias("doc"), key.alias("key"), F.lit(0).alias("n"), F.col(id_column).cast("long").alias("component"),
+        F.lit(None).cast("long").alias("label"),
     )
     out = whole.unionAll(none).unionAll(blank)
-    return out.select(known.alias(id_column), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
+    return out.select(known.alias(id_column), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"), "key", F.col("label").alias("component"))
+
+
+def join(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, percent: int = PERCENT, region_nodes: int = REGION_NODES,
+) -> DataFrame:
+    """One row per input row: id, ``n_shingles`` and ``component_id``, the smallest id reachable
+    by links (100 * intersection >= percent * union), itself included.
+
+    Texts with fewer words than a shingle are one shingle; a null text, or one without words,
+    has none and is linked with nothing.  Null ids come last: a component's id is null only if
+    all of its ids are.  Repeated rows and rows that share an id are nodes by their text.
+    Other columns are ignored; an empty table gives no rows.
+    """
+    rows = grouped(docs, F.xxhash64(text_column), id_column, text_column, words, percent, region_nodes)
+    return rows.select(id_column, "n_shingles", "component_id")

@@ -164,23 +164,26 @@ def rate(odds: Column) -> Column:
     return 1 / (1 + F.exp(-odds))
 
 
-def assess(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, strength: float = STRENGTH) -> DataFrame:
+def assess(
+    docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, strength: float = STRENGTH,
+    carry: tuple[str, ...] = (),
+) -> DataFrame:
     """One row per input row: doc_id, host, path, ``p_quality``, ``p_toxic``, the path's two
     rates, and ``keep``: quality at least one half, toxic below TOXIC_FROM.
 
     ``host`` defaults to the source, ``path`` to the language inside it; nulls form a host or
     path of their own.  A null or empty text has the evidence of an empty text.  Labels with a
     null id are ignored, repeated ones count by their largest value; without labels everything
-    is kept.  Repeated rows are kept; an empty table gives no rows.
+    is kept.  Repeated rows are kept; columns in ``carry`` come along; an empty table gives no rows.
     """
     spark = docs.sparkSession
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     model = spark.sparkContext.broadcast(fit(docs.select("doc_id", "text"), labels))  # BUCKETS weights
     placed = docs.select(
-        "doc_id", F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), "text"
+        "doc_id", F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), "text", *carry
     )
-    scored = Scratch(spark, "quality").save(evidence(placed, model, ["doc_id", "host", "path"]), "evidence")
+    scored = Scratch(spark, "quality").save(evidence(placed, model, ["doc_id", "host", "path", *carry]), "evidence")
     own = [rate(F.col(f"e_{h}")) for h in HEADS]
     paths = scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), *(F.sum(p).alias(f"s_{h}") for p, h in zip(own, HEADS)))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), *(F.sum(f"s_{h}").alias(f"host_s_{h}") for h in HEADS))
@@ -197,5 +200,5 @@ def assess(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
     odds = {h: F.col(f"e_{h}") + F.log(F.col(f"path_{h}") / (1 - F.col(f"path_{h}"))) - float(np.log(prior[h] / (1 - prior[h]))) for h in HEADS}
     return moved.select(
         "doc_id", "host", "path", *(rate(odds[h]).alias(f"p_{h}") for h in HEADS), *(f"path_{h}" for h in HEADS),
-        ((odds["quality"] >= 0) & (rate(odds["toxic"]) < TOXIC_FROM)).alias("keep"),
+        ((odds["quality"] >= 0) & (rate(odds["toxic"]) < TOXIC_FROM)).alias("keep"), *carry,
     )
