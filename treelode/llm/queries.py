@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treelode.llm import chat, decontaminate, jaccard, langid, packing, quality, suffixdedup, tokencount, topk, warc
+from treelode.llm import (
+    chat, decontaminate, jaccard, langid, linededup, packing, quality, resample, suffixdedup, tokencount, topk, warc, whiten,
+)
 from treelode.llm.common import table
 
 
@@ -67,6 +69,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = linededup.deduplicate(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,7 +92,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_packing, op2_decontamination, op3_quality, op4_suffix_dedup, op5_jaccard_join, op6_topk, op7_warc, op8_chat,
-        op9_token_counts, op10_language_id, pipeline,
+        op9_token_counts, op10_language_id, op11_line_dedup, op12_resampling, op13_whitening, pipeline,
     )
 }
 ORACLES: dict[str, str] = {
@@ -104,4 +119,57 @@ ORACLES: dict[str, str] = {
                CASE WHEN keeper <> d.page_id THEN keeper END AS refers_to
         FROM d LEFT JOIN k ON d.digest = k.digest AND n >= 1000
     """,
+    "op11_line_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        l AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d),
+        k AS (
+          SELECT *, translate(trim(line, E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+        ), f AS (
+          SELECT key, min(doc_id) AS holder FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2
+        ), m AS (SELECT k.*, holder IS NOT NULL AND doc_id <> holder AS gone FROM k LEFT JOIN f ON k.key = f.key)
+        SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+        FROM m GROUP BY r
+    """,
+    "op12_resampling": r"""
+        WITH tab AS (
+          SELECT [list_reduce([i, 0, 1, 2, 3, 4, 5, 6, 7], lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+                  FOR i IN range(256)] AS tab
+        ), texts AS (
+          SELECT row_number() OVER () AS r, doc_id, text, false AS target FROM documents
+          UNION ALL SELECT row_number() OVER (), NULL, text, true FROM benchmark
+        ), w AS (
+          SELECT r, doc_id, target, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+          FROM texts
+        ), f AS (
+          SELECT r, target, unnest(words || [words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))]) AS feature FROM w
+        ), n AS (SELECT target, r, feature, count(*) AS n FROM f GROUP BY ALL),
+        h AS (SELECT DISTINCT feature, hex(encode(feature)) AS code FROM n),
+        b AS (
+          SELECT feature, xor(list_reduce(
+            [4294967295] || [CAST('0x' || substr(code, 2 * i + 1, 2) AS BIGINT) FOR i IN range(len(code) // 2)],
+            lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket
+          FROM h, tab
+        ), c AS (
+          SELECT bucket, sum(n) FILTER (NOT target) AS s, sum(n) FILTER (target) AS t FROM n JOIN b USING (feature) GROUP BY bucket
+        ), g AS (
+          SELECT bucket, CAST(floor(1000 * ln(
+            (coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM c) + 10000)::DOUBLE
+            / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT sum(t) FROM c) + 10000)::DOUBLE))) AS BIGINT) AS gain
+          FROM c
+        ), p AS (
+          SELECT r, sum(n)::BIGINT AS n_features, CAST(floor(sum(n * gain)::DOUBLE / sum(n)::DOUBLE) AS BIGINT) AS weight
+          FROM n JOIN b USING (feature) JOIN g USING (bucket) WHERE NOT target GROUP BY r
+        ), x AS (
+          SELECT w.r, doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                 CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+          FROM w LEFT JOIN p USING (r) WHERE NOT target
+        ), y AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM x),
+        z AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place FROM y)
+        SELECT doc_id, n_features, weight, score,
+               CASE WHEN n_words >= 20 AND place <= (SELECT count(*) FROM y WHERE n_words >= 20) * 25 // 100 THEN place END AS rank
+        FROM z
+    """,
 }
