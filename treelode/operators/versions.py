@@ -80,12 +80,23 @@ def list_files(versions: DataFrame) -> DataFrame:
     return versions.select("path").distinct()
 
 
-def retained(versions: DataFrame, keep: int = MAX_VERSIONS) -> DataFrame:
-    """The newest ``keep`` versions of each path.
+def stored_payloads(edits: DataFrame, folder: str) -> DataFrame:
+    """Write ``data`` of the edits below ``folder`` in the tasks that hold it, with its place; returns
+    the other columns and ``place``, so that no payload is ever shuffled."""
+    spark = edits.sparkSession
+    marked = edits.withColumn("place", F.monotonically_increasing_id())
+    marked.write.parquet(folder)
+    return spark.read.schema(marked.schema).parquet(folder).drop("data")
+
+
+def retained(versions: DataFrame, keep: int | None = MAX_VERSIONS) -> DataFrame:
+    """The newest ``keep`` versions of each path; all of them without ``keep``.
 
     Spark pushes the rank limit below the shuffle, so a path with very many versions
     sends at most ``keep`` rows per map task.
     """
+    if keep is None:
+        return versions
     newest = Window.partitionBy("path").orderBy(F.col("seq").desc())
     return versions.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= keep).drop("_rank")
 

@@ -1,17 +1,13 @@
 """A workspace: one indexed source tree and its change log.
 
-State lives below ``state_dir`` as Parquet, in numbered generations.  A full index writes
-a base generation; a refresh writes only what changed.  A row in ``commits`` publishes a
-generation and the batch of versions written with it, so a job that dies half-way leaves
-nothing visible, and readers take the newest row per path among the generations since the
-last full index.  A row also holds the last sequence number given out.
+State lives below ``state_dir`` in the runs of a ``TextStore``.  A full index writes a complete
+run; a refresh writes only what changed.  A commit row publishes a run and the batch of versions
+written with it, and holds the last sequence number given out.
 """
 
 from __future__ import annotations
 
-import functools
 import os
-import threading
 import uuid
 from collections.abc import Iterable
 
@@ -20,129 +16,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treelode.functions.paths import STATE_DIR, is_safe_request
-from treelode.operators import deps, diff, ngrams, search, symbols, tree, trigrams, versions, words
+from treelode.operators import deps, diff, search, symbols, tree, versions
+from treelode.plans.store import COMMITS, TextStore, one_writer
 from treelode.schema import VERSIONS
 from treelode.session import cut_lineage
-from treelode.sources import corpus, listing, snapshot
+from treelode.sources import corpus, listing, snapshot, storage
 
-_COMMITS = "gen BIGINT, base BIGINT, git_head STRING, committed_ms BIGINT, batch STRING, last_seq BIGINT"
 
-
-def _one_writer(method):
-    """Writers of one workspace take turns: a generation and its numbers are read, written and
-    committed by one of them at a time."""
-
-    @functools.wraps(method)
-    def alone(self, *args, **kwargs):
-        with self._writer:
-            return method(self, *args, **kwargs)
-
-    return alone
-
-
-class Workspace:
+class Workspace(TextStore):
     def __init__(self, spark: SparkSession, root: str, state_dir: str | None = None, max_bytes: int | None = None):
-        self.spark = spark
+        super().__init__(spark, state_dir or os.path.join(root, STATE_DIR))
         self.root = root
-        self.state_dir = state_dir or os.path.join(root, STATE_DIR)
         self.watching = False
         self.max_bytes = max_bytes
-        self._writer = threading.RLock()
 
     # ── stored tables ────────────────────────────────────────────────────────
 
-    def _table(self, name: str) -> str:
-        return f"{self.state_dir}/{name}"
-
     def stream_folder(self, name: str) -> str:
         """Where a stream over this workspace keeps its progress."""
         return self._table(f"streams/{name}")
 
     def _commits(self) -> DataFrame | None:
         try:
-            return self.spark.read.schema(_COMMITS).parquet(self._table("commits"))
+            return self.spark.read.schema(COMMITS).parquet(self._table("commits"))
         except AnalysisException:
             return None
 
-    def _commit_row(self):
-        log = self._commits()
-        if log is None:
-            return None
-        newest = F.max_by(F.struct("gen", "base", "git_head"), "gen").alias("c")
-        return log.agg(newest, F.max("last_seq").alias("last_seq")).select("c.*", "last_seq").first()
-
-    def _commit(self, gen: int | None, base: int | None, head: str | None, batch: str) -> None:
-        """Publish a generation and a batch of versions in one row."""
+    def _commit_with(self, gen: int | None, runs: list | None, head: str | None, batch: str, last_doc: int) -> None:
+        """Publish runs and a batch of versions in one row."""
         written = self.spark.read.schema(VERSIONS).parquet(f"{self._table('versions')}/batch={batch}")
-        row = written.agg(F.max("seq").alias("s")).select(
-            F.lit(gen).cast("bigint").alias("gen"), F.lit(base).cast("bigint").alias("base"),
-            F.lit(head).cast("string").alias("git_head"), F.unix_millis(F.current_timestamp()).alias("committed_ms"),
-            F.lit(batch).alias("batch"), F.coalesce("s", F.lit(self.current_seq())).cast("bigint").alias("last_seq"),
-        )
-        row.coalesce(1).write.mode("append").parquet(self._table("commits"))
+        last = written.agg(F.max("seq")).first()[0]
+        self._commit(gen, runs, head, batch, self.current_seq() if last is None else last, last_doc)
 
     def _append_versions(self, entries: DataFrame, order_by: list[str]) -> str:
-        """Number new versions and write them as a batch that ``_commit`` publishes."""
+        """Number new versions and write them as a batch that a commit publishes.
+
+        Payloads are written first, where they lie; only the other columns are sorted and numbered,
+        and find their payload by its place.
+        """
         batch = uuid.uuid4().hex
+        if "data" in entries.columns:
+            entries = versions.stored_payloads(entries, f"{self._table('payloads')}/batch={batch}")
+        else:
+            entries = entries.withColumn("place", F.lit(None).cast("bigint"))
         numbered = versions.number_rows(entries, order_by, self.current_seq())
-        numbered.select(*self._version_columns()).write.parquet(f"{self._table('versions')}/batch={batch}")
+        columns = [field.split()[0] for field in VERSIONS.split(", ")]
+        numbered.select(*columns).write.parquet(f"{self._table('versions')}/batch={batch}")
         return batch
 
-    def _version_columns(self) -> list[str]:
-        return [field.split()[0] for field in VERSIONS.split(", ")]
-
-    def _write(self, name: str, gen: int, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self._table(name)}/gen={gen}")
-
-    def _published(self, name: str) -> tuple[DataFrame, DataFrame | None]:
-        """(base generation, later generations or None), each with its ``gen``."""
-        commit = self._commit_row()
-        if commit is None or commit["gen"] is None:
-            raise LookupError("workspace is not indexed")
-        table = self.spark.read.parquet(self._table(name))
-        base = table.filter(F.col("gen") == commit["base"])
-        if commit["gen"] == commit["base"]:
-            return base, None
-        return base, table.filter((F.col("gen") > commit["base"]) & (F.col("gen") <= commit["gen"]))
-
-    def _recent(self) -> DataFrame | None:
-        """Newest known row of every path touched since the base generation."""
-        _, later = self._published("known")
-        if later is None:
-            return None
-        row = F.max_by(F.struct("mtime_ms", "size", "hash", "content_gen", "deleted"), "gen").alias("r")
-        return later.groupBy("path").agg(row).select("path", "r.*")
-
-    def known(self) -> DataFrame:
-        """Every walked file as last seen: path, mtime_ms, size, hash, content_gen."""
-        base, _ = self._published("known")
-        recent = self._recent()
-        rows = base.drop("gen")
-        if recent is not None:
-            rows = rows.join(recent.select("path"), "path", "left_anti").unionByName(recent)
-        return rows.filter(~F.col("deleted")).drop("deleted")
-
-    def _current(self, name: str) -> DataFrame:
-        """Rows of a derived table that belong to the content generation of their path.
-
-        The base rows only meet the paths that changed since, a small relation that Spark
-        broadcasts while it is small, so base contents are not shuffled on every read.
-        """
-        base, later = self._published(name)
-        if later is None:
-            return base.drop("gen")
-        recent = self._recent()
-        moved = recent.filter(F.col("deleted") | (F.col("content_gen") != self._commit_row()["base"]))
-        live = recent.filter(~F.col("deleted")).select("path", F.col("content_gen").alias("gen"))
-        kept = base.join(moved.select("path"), "path", "left_anti")
-        return kept.unionByName(later.join(live, ["path", "gen"], "left_semi").select(*kept.columns)).drop("gen")
-
-    def files(self) -> DataFrame:
-        return listing.as_text(self._current("files"))
-
-    def declarations(self) -> DataFrame:
-        return self._current("declarations")
-
     def symbols(self) -> DataFrame:
         return symbols.symbols(self.declarations())
 
@@ -150,29 +71,42 @@ class Workspace:
         return deps.edges(self.declarations())
 
     def stats(self) -> DataFrame:
-        counted = symbols.symbol_counts(self.files(), self.declarations())
-        return counted.join(self._current("files").select("path", "mtime_ns", "dir_mtimes"), "path")
-
-    def versions(self) -> DataFrame:
-        """Versions of committed batches; what a job left behind before its commit is not seen."""
+        view = self.view()
+        files = view.current("files")
+        counted = symbols.symbol_counts(listing.as_text(files), view.current("declarations"))
+        return counted.join(files.select("path", "mtime_ns", "dir_mtimes"), "path")
+
+    def _log(self) -> DataFrame:
+        """Versions of committed batches, with their batch; what a job left behind before its commit
+        is not seen."""
         commits = self._commits()
         if commits is None:
-            return self.spark.createDataFrame([], VERSIONS)
+            return self.spark.createDataFrame([], VERSIONS + ", batch STRING")
         log = self.spark.read.schema(VERSIONS + ", batch STRING").parquet(self._table("versions"))
-        return log.join(commits.select("batch").distinct(), "batch", "left_semi").drop("batch")
+        return log.join(commits.select("batch").distinct(), "batch", "left_semi")
+
+    def versions(self) -> DataFrame:
+        return self._log().drop("batch", "place")
+
+    def with_payloads(self, log: DataFrame) -> DataFrame:
+        """Rows of the log with ``data``, null where a version has none."""
+        if not storage.children(self.spark, self._table("payloads")):
+            return log.withColumn("data", F.lit(None).cast("binary")).drop("batch", "place")
+        held = self.spark.read.schema("place BIGINT, data BINARY, batch STRING").parquet(self._table("payloads"))
+        return log.join(held, ["batch", "place"], "left").drop("batch", "place")
 
     # ── writing ──────────────────────────────────────────────────────────────
 
-    @_one_writer
+    @one_writer
     def index(self) -> dict:
         """Walk, read and parse everything; one snapshot version per walked file."""
         commit = self._commit_row()
         gen = 0 if commit is None or commit["gen"] is None else commit["gen"] + 1
         found = listing.walk(self.spark, self.root)
-        self._write_generation(gen, self._as_known(found, gen), found)
+        last_doc = self._write_generation(gen, self._as_known(found, gen), found, commit)
         entries = found.select("path", F.col("length").alias("size"))
         batch = self._append_snapshots(entries)
-        self._commit(gen, gen, listing.git_head(self.root), batch)
+        self._commit_with(gen, [(gen, gen, 0)], listing.git_head(self.root), batch, last_doc)
         return self.index_result()
 
     def index_result(self) -> dict:
@@ -186,35 +120,22 @@ class Workspace:
             F.lit(False).alias("deleted"),
         )
 
-    def _last_doc_id(self) -> int:
-        """Document ids only grow; a file that is indexed again gets a new one."""
-        try:
-            stored = self.spark.read.parquet(self._table("files"))
-        except AnalysisException:
-            return 0
-        return stored.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
-
-    def _write_generation(self, gen: int, known: DataFrame, to_read: DataFrame) -> None:
-        wanted = corpus.indexable_paths(to_read, self.max_bytes)
-        numbered = versions.number_rows(wanted, ["path"], self._last_doc_id(), "doc_id")
-        self._write("files", gen, listing.read_files(numbered, self.root, self.max_bytes))
-        stored = self.spark.read.parquet(f"{self._table('files')}/gen={gen}")
-        texts = listing.as_text(stored)
-        self._write("declarations", gen, symbols.declarations(texts))
-        self._write("words", gen, words.sorted_runs(words.word_postings(texts)))
-        self._write("trigrams", gen, trigrams.sorted_runs(trigrams.postings(texts)))
-        self._write("known", gen, known)
+    def _write_generation(self, gen: int, known: DataFrame, to_read: DataFrame, commit) -> int:
+        """Write a run; returns the last document number given out."""
+        last = 0 if commit is None else commit["last_doc"] or 0
+        numbered = self._numbered(corpus.indexable_paths(to_read, self.max_bytes), last)
+        self._write_run(gen, known, listing.read_files(numbered, self.root, self.max_bytes))
+        return self._last_doc_of(gen, last)
 
     def _append_snapshots(self, entries: DataFrame) -> str:
         made = entries.select(
             "path", F.lit(0).cast("bigint").alias("agent"),
             F.unix_millis(F.current_timestamp()).alias("timestamp_ms"), F.lit("snapshot").alias("op"),
             F.lit(0).cast("bigint").alias("hash"), F.col("size").cast("bigint").alias("size"),
-            F.lit(None).cast("binary").alias("data"),
         )
         return self._append_versions(made, ["path"])
 
-    @_one_writer
+    @one_writer
     def record_edits(self, edits: DataFrame) -> int:
         """Append edit versions ``(path, agent, op, hash, size, data, ord)`` in ``ord`` order."""
         made = edits.select(
@@ -223,11 +144,11 @@ class Workspace:
         )
         batch = self._append_versions(made, ["ord", "path"])
         commit = self._commit_row()
-        gen, base, head = (None, None, None) if commit is None else commit[:3]
-        self._commit(gen, base, head, batch)
+        gen, runs, head, last_doc = (None, None, None, 0) if commit is None else (commit["gen"], commit["runs"], commit["git_head"], commit["last_doc"])
+        self._commit_with(gen, runs, head, batch, last_doc)
         return self.current_seq()
 
-    @_one_writer
+    @one_writer
     def refresh(self, strict_hash: bool = True) -> int:
         """Pick up created, modified and deleted files; returns how many changed.
 
@@ -241,7 +162,7 @@ class Workspace:
             self.index()
             return self.current_seq() - before
         gen = commit["gen"] + 1
-        known = self.known()
+        known = self.view().known()
         found = listing.walk(self.spark, self.root)
         fresh = found.select(
             "path", F.expr("mtime_ns div 1000000").alias("mtime_ms"), F.col("length").alias("size"), "mtime_ns", "dir_mtimes"
@@ -268,15 +189,17 @@ class Workspace:
             gone.alias("deleted"),
         )
         to_read = found.join(real.filter(~gone).select("path"), "path", "left_semi")
-        self._write_generation(gen, delta, to_read)
-        self._commit(gen, commit["base"], head, self._append_versions(diff.to_versions(real), ["path"]))
+        last_doc = self._write_generation(gen, delta, to_read, commit)
+        batch = self._append_versions(diff.to_versions(real).drop("data"), ["path"])
+        self._commit_with(gen, [*commit["runs"], (gen, gen, 0)], head, batch, last_doc)
+        self.compact()
         return real.count()
 
     def _with_stored_hash(self, known: DataFrame, fresh: DataFrame) -> DataFrame:
         """Fill unknown hashes of same-sized, re-stamped files from the stored content."""
         moved = known.join(fresh.select("path", F.col("mtime_ms").alias("_m"), F.col("size").alias("_s")), "path")
         moved = moved.filter((F.col("_m") != F.col("mtime_ms")) & (F.col("_s") == F.col("size")) & (F.col("hash") == 0))
-        stored = self._current("files").join(moved.select("path"), "path", "left_semi").select(
+        stored = self.view().current("files").join(moved.select("path"), "path", "left_semi").select(
             "path", corpus.content_hash(F.col("content")).alias("_stored")
         )
         return known.join(stored, "path", "left").withColumn(
@@ -287,7 +210,7 @@ class Workspace:
         """Re-index the named files at once."""
         return self.notify_frame(self.spark.createDataFrame([(p,) for p in changed], "path STRING"))
 
-    @_one_writer
+    @one_writer
     def notify_frame(self, named: DataFrame) -> int:
         """Re-index ``named(path)``; names outside the root are dropped.
 
@@ -301,16 +224,20 @@ class Workspace:
         if found.isEmpty():
             return 0
         commit = self._commit_row()
+        if commit is None or commit["gen"] is None:  # the named files are among all others
+            self.index()
+            return found.count()
         gen = commit["gen"] + 1
-        self._write_generation(gen, self._as_known(found, gen), found)
+        last_doc = self._write_generation(gen, self._as_known(found, gen), found, commit)
         batch = self._append_snapshots(found.select("path", F.col("length").alias("size")))
-        self._commit(gen, commit["base"], commit["git_head"], batch)
+        self._commit_with(gen, [*commit["runs"], (gen, gen, 0)], commit["git_head"], batch, last_doc)
+        self.compact()
         return found.count()
 
     # ── reading ──────────────────────────────────────────────────────────────
 
     def indexed_files(self) -> int:
-        return self._current("files").count()
+        return self.view().current("files").count()
 
     def current_seq(self) -> int:
         commit = self._commit_row()
@@ -324,11 +251,6 @@ class Workspace:
             self.files().filter(F.col("path") == path), self.declarations().filter(F.col("path") == path)
         )
 
-    def search(self, query: str, max_results: int | None = None, regex: bool = False, path: str | None = None) -> DataFrame:
-        """Lines that match, read from the files that the stored trigram index allows."""
-        hits = search.search_indexed(self.files(), self._stored_trigrams(), query, regex, path)
-        return search.top_results(hits, max_results)
-
     def scoped_search(self, query: str, max_results: int | None = None) -> DataFrame:
         hits = symbols.scoped_search(self.files(), query)
         return hits.orderBy("path", "line_num").limit(search.clamp_results(max_results))
@@ -342,43 +264,24 @@ class Workspace:
     def changes(self, since: int = 0) -> DataFrame:
         return versions.changes_since(self.versions(), since)
 
-    def changes_count(self, since: int = 0) -> int:
-        """Retained versions newer than ``since``."""
-        return versions.changes_count(versions.retained(self.versions()), since).first()["changes"]
+    def changes_count(self, since: int = 0, keep: int | None = None) -> int:
+        """Versions newer than ``since``; with ``keep``, among the newest ones of each path."""
+        return versions.changes_count(versions.retained(self.versions(), keep), since).first()["changes"]
 
-    def at_cursor(self, cursor: int) -> DataFrame:
-        return versions.at_cursor(versions.retained(self.versions()), cursor)
+    def at_cursor(self, cursor: int, keep: int | None = None) -> DataFrame:
+        """Each path as of ``cursor``, payload included; with ``keep``, among its newest versions."""
+        return self.with_payloads(versions.at_cursor(versions.retained(self._log(), keep), cursor))
 
     def hot_files(self, limit: int) -> DataFrame:
-        return versions.hot_files(self._current("files").select("path"), self.versions(), limit)
-
-    def words(self) -> DataFrame:
-        """Stored word postings of the current files."""
-        return self._current("words")
-
-    def search_word(self, word: str) -> DataFrame:
-        return words.lookup(self.words(), word)
+        return versions.hot_files(self.view().current("files").select("path"), self.versions(), limit)
 
     def fuzzy(self, query: str, max_results: int) -> DataFrame:
-        return search.fuzzy_top(self._current("files"), query, max_results)
-
-    def trigrams(self) -> DataFrame:
-        """Stored trigram postings of the current files."""
-        return self._stored_trigrams().join(self._current("files").select("doc_id"), "doc_id", "left_semi")
-
-    def _stored_trigrams(self) -> DataFrame:
-        """Postings of all published generations.  A file that is indexed again has a new
-        document id, so the ids of its older texts meet no current file."""
-        base, later = self._published("trigrams")
-        return (base if later is None else base.unionByName(later)).drop("gen")
+        return search.fuzzy_top(self.view().current("files"), query, max_results)
 
     def search_indexed(self, postings: DataFrame, query: str, max_results: int | None = None, regex: bool = False) -> DataFrame:
         """Search through a trigram index built from this workspace's current files."""
         return search.top_results(search.search_indexed(self.files(), postings, query, regex), max_results)
 
-    def ngrams(self) -> DataFrame:
-        return ngrams.postings(self.files())
-
     # ── snapshots ────────────────────────────────────────────────────────────
 
     @property
@@ -388,7 +291,7 @@ class Workspace:
     def snapshot(self, write: bool = False) -> dict:
         if write:
             snapshot.write(
-                self._current("files"), self.declarations(), self.root, self.snapshot_path, listing.git_head(self.root)
+                self.view().current("files"), self.declarations(), self.root, self.snapshot_path, listing.git_head(self.root)
             )
         if snapshot.read_meta(self.spark, self.snapshot_path) is None:
             return {"exists": False, "path": self.snapshot_path, "wrote": write}

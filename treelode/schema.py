@@ -10,7 +10,7 @@ NGRAM_POSTINGS = "path STRING, hash BIGINT"
 PAIR_WEIGHTS = "a INT, b INT, w INT"
 VERSIONS = (
     "path STRING, seq BIGINT, agent BIGINT, timestamp_ms BIGINT, op STRING, "
-    "hash BIGINT, size BIGINT, data BINARY"
+    "hash BIGINT, size BIGINT, place BIGINT"
 )
 KNOWN = "path STRING, mtime_ms BIGINT, size BIGINT, hash BIGINT"
 AGENTS = "id BIGINT, name STRING, state STRING, cursor BIGINT, last_seen BIGINT, edit_count BIGINT"
