@@ -10,6 +10,7 @@ from treelode.functions import paths
 from treelode.functions.wyhash import SECRET, hash_bytes
 from treelode.operators.pairs import LAYOUT_PAIRS, LETTER_PAIRS
 from treelode.plans import adapters, catalogue as cat
+from treelode.plans.stored import OVERLAY
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -529,3 +530,23 @@ ORACLES: dict[str, str] = {
 ORACLES.update({
     f"symbols_{lang}": f"WITH {declarations('orders', (lang,))} {SYMBOLS}" for lang in EXPECTED
 })
+
+# ── stored state ─────────────────────────────────────────────────────────────
+
+STORED = (
+    "docs AS (SELECT doc_id, source || '/' || lang || '/' || doc_id || '.md' AS path, CASE WHEN doc_id IN (SELECT doc_id FROM labels) "
+    f"THEN coalesce(text, '') || '{OVERLAY}' ELSE text END AS text FROM documents "
+    "WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))"
+)
+ORACLES.update({
+    "search_stored": f"WITH {STORED}, {lines_of('docs')} SELECT path, line_num AS line, line AS text FROM ln "
+    f"WHERE instr({fold('line')}, {lit(cat.TRIGRAM_QUERY)}) > 0",
+    "search_stored_regex": f"WITH {STORED}, {lines_of('docs')} SELECT path, line_num AS line, line AS text FROM ln "
+    "WHERE regexp_matches(line, 'the (on|er)es') OR regexp_matches(line, 'tionre.*ment')",
+    "word_index_stored": f"WITH {STORED}, {lines_of('docs')} SELECT path, line_num FROM ln "
+    f"WHERE list_contains(regexp_extract_all(line, '[A-Za-z0-9_]{{2,}}'), {lit(cat.WORD)})",
+    "ngrams_stored": f"WITH {STORED}, {NGRAMS} SELECT DISTINCT path FROM ngram WHERE hash IN ({covering()})",
+    "trigrams_stored": f"WITH {STORED}, {BYTES}, {POSTINGS} SELECT d.path, tri, next_mask, loc_mask FROM post JOIN docs d USING (doc_id)",
+    "edit_log": "SELECT row_number() OVER (ORDER BY epoch_us(ts) // 1000, event_id) AS seq, 'user/' || user_id AS path, event_type AS op, "
+    "event_type || ' ' || CAST(CAST(value AS DECIMAL(20, 4)) AS VARCHAR) AS payload FROM events",
+})

@@ -37,8 +37,9 @@ COMMITS = (
 )
 FILES = "doc_id BIGINT, path STRING, content BINARY, length BIGINT, mtime_ns BIGINT, dir_mtimes ARRAY<BIGINT>, gen BIGINT, span BIGINT"
 KNOWN = "path STRING, mtime_ms BIGINT, size BIGINT, hash BIGINT, content_gen BIGINT, deleted BOOLEAN, gen BIGINT"
-#: Tables of a run; those of the second group hold posting blocks.
-BY_PATH, BLOCKS = ("files", "declarations", "words"), ("trigrams", "ngrams")
+#: Indexes of a run; those of the second group hold posting blocks.
+BY_PATH, BLOCKS = ("declarations", "words"), ("trigrams", "ngrams")
+INDEXES = (*BY_PATH, *BLOCKS)
 #: Documents in one folder of texts, as a power of two.
 SPAN_BITS = 16
 #: Runs of one level that become one run of the next, and ranges a search hands to a scan.
@@ -157,9 +158,10 @@ def newest(known: DataFrame) -> DataFrame:
 
 
 class TextStore:
-    def __init__(self, spark: SparkSession, state_dir: str):
+    def __init__(self, spark: SparkSession, state_dir: str, indexes: tuple[str, ...] = INDEXES):
         self.spark = spark
         self.state_dir = state_dir
+        self.indexes = indexes
         self._writer = threading.RLock()
 
     def _table(self, name: str) -> str:
@@ -215,10 +217,14 @@ class TextStore:
 
     def _write_indexes(self, run: int, texts: DataFrame) -> None:
         gen = F.lit(run).cast("bigint").alias("gen")
-        self._write("declarations", run, symbols.declarations(texts).select("*", gen))
-        self._write("words", run, words.sorted_runs(words.word_postings(texts)).select("*", gen))
-        self._write("trigrams", run, postings.sorted_runs(postings.build(texts)))
-        self._write("ngrams", run, postings.sorted_runs(postings.build(texts, postings.ngram_terms())))
+        made = {
+            "declarations": lambda: symbols.declarations(texts).select("*", gen),
+            "words": lambda: words.sorted_runs(words.word_postings(texts)).select("*", gen),
+            "trigrams": lambda: postings.sorted_runs(postings.build(texts)),
+            "ngrams": lambda: postings.sorted_runs(postings.build(texts, postings.ngram_terms())),
+        }
+        for name in self.indexes:
+            self._write(name, run, made[name]())
 
     def _write_run(self, run: int, known: DataFrame, files: DataFrame) -> None:
         stored = self._write_texts(run, F.lit(run), files)
@@ -294,10 +300,14 @@ class TextStore:
         of = lambda name: view.read(name, runs).join(live, ["path", "gen"], "left_semi")
         self._write("known", run, known)
         texts = self._write_texts(run, F.col("gen"), of("files").repartitionByRange("doc_id"))
-        self._write("declarations", run, of("declarations").repartitionByRange("path").sortWithinPartitions("path"))
-        self._write("words", run, of("words").repartitionByRange("word", "path").sortWithinPartitions("word", "path", "line_num"))
-        for name in BLOCKS:
-            self._write(name, run, postings.key_ranges(postings.live_blocks(view.read(name, runs), texts)))
+        for name in self.indexes:
+            if name == "declarations":
+                made = of(name).repartitionByRange("path").sortWithinPartitions("path")
+            elif name == "words":
+                made = of(name).repartitionByRange("word", "path").sortWithinPartitions("word", "path", "line_num")
+            else:
+                made = postings.key_ranges(postings.live_blocks(view.read(name, runs), texts))
+            self._write(name, run, made)
 
     @one_writer
     def vacuum(self, keep_ms: int = 3_600_000) -> list[str]:
@@ -313,7 +323,7 @@ class TextStore:
         recent = log.where(F.col("commit") >= first)
         used = {r[0] for r in recent.select(F.explode("runs.run")).distinct().collect()}
         doomed = [
-            f"{name}/{folder}" for name in (*BY_PATH, *BLOCKS, "known") for folder in storage.children(self.spark, self._table(name))
+            f"{name}/{folder}" for name in ("files", *INDEXES, "known") for folder in storage.children(self.spark, self._table(name))
             if folder.startswith("run=") and int(folder[4:]) not in used
         ]
         doomed += [f"scratch/{f}" for f in storage.children(self.spark, self._table("scratch")) if int(f.split("-")[0]) < since]
