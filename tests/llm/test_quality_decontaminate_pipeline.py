@@ -173,6 +173,30 @@ def test_quality_edge_cases(spark):
     assert quality.assess(docs.limit(0), odd).count() == 0
 
 
+def test_the_labelled_sample_is_bounded_by_rows(spark, monkeypatch):
+    import pyarrow as pa
+
+    held = []
+    fit_head = quality.fit_head
+    monkeypatch.setattr(quality, "fit_head", lambda grams, shape, truth: held.append(len(truth)) or fit_head(grams, shape, truth))
+    docs = spark.createDataFrame([(1, f"text number {i} of one id") for i in range(300)] + [(2, "the same text")] * 200, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id bigint, quality int, toxic int")
+    quality.fit(docs, labels, rows=50)
+    assert held == [50, 50] and pa is not None
+
+
+def test_rows_without_words_are_linked_with_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(None, "...", "en", "a"), (None, "...", None, "a"), (7, None, "en", "b"), (7, "", "en", "b"), (7, "", "en", "b")]
+    rows = [(i, None if t is None else t.replace(".", " "), x, s, 0) for i, t, x, s in rows]
+    text = " ".join(f"w{i}" for i in range(40))
+    rows += [(1, text, "en", "a", 5), (1, text, "en", "a", 5), (2, text + " more", "en", "a", 6), (3, text, None, "en", 5), (4, text, "en", None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, rows[:5] + [rows[5]]))
+
+
 def test_pipeline_stages_take_effect(spark):
     import corpus_pipeline
 

@@ -142,3 +142,14 @@ def test_low_entropy_texts_are_folded_where_they_are_read(spark):
         assert out.num_rows < 200 and out.nbytes < 100_000
         marked = [(a, b) for a, b, lead in zip(out.column("pos").to_pylist(), out.column("key").to_pylist(), out.column("lead").to_pylist()) if lead < 0]
         assert marked == [(1, n)]
+
+
+def test_a_row_repeated_for_a_third_of_the_table_travels_once(spark):
+    from treelode.llm.common import one_each
+
+    rows = [(5, "abcdefgh" * 40)] * 500 + [(i, f"{i:03d} " * 60) for i in range(10, 60)] + [(6, "abcdefgh" * 20 + "tail")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    assert one_each(df, "doc_id", "text").count() == 52
+    got = suffixdedup.deduplicate(df).collect()
+    assert len(got) == len(rows) and len({bytes(r.kept) for r in got if r.doc_id == 5}) == 1
+    assert {len(r.kept) for r in got if r.doc_id == 5} == {8} and {bytes(r.kept) for r in got if r.doc_id == 6} == {b"tail"}

@@ -19,7 +19,7 @@ from treelode.llm.queries import op6_topk, op7_warc, op8_chat, op10_language_id
 def brute_top(rows, queries, k):
     good = []
     for i, v in rows:
-        if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
             good.append((i, [math.floor(64 * x) for x in v]))
     asked = [(i, v) for i, v in good if i in queries]
     out = []
@@ -48,6 +48,18 @@ def test_top_k_ties_nulls_and_small_tables(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=6) * scale).tolist()) for i, scale in zip(range(120), [1.0, 4e6, 1e7, 1.0, 1.5e7, 1.0] * 20)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    assert 1 << 62 < max(abs(s) for *_, s in brute_top(rows, set(range(0, 120, 20)), 7)) < 1 << 63
+    got = sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id % 20 = 0"), k=7).collect())
+    assert got == brute_top(rows, set(range(0, 120, 20)), 7)
+    huge = spark.createDataFrame([(i, [(-1.0) ** i * 1e200]) for i in range(5)], "vec_id bigint, embedding array<double>")
+    found = {r.vec_id: r.score for r in topk.top_k(huge, huge.where("vec_id = 0"), k=4).collect()}
+    assert found == {1: -(2**63 - 1), 3: -(2**63 - 1), 2: 2**63 - 1, 4: 2**63 - 1}
+
+
 def test_top_k_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
     rng = np.random.default_rng(1)
@@ -88,6 +100,30 @@ def test_warc_round_trip_keeps_payloads(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_pages_without_an_id_keep_their_records(spark):
+    big, other = "b" * 1200, "o" * 1200
+    rows = [(None, "u", big), (None, "v", big), (7, "u", big), (9, "w", big), (None, "u", other), (None, "x", other), (None, None, None), (3, "u", "short")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(df).collect()), key=repr)
+    revisit = (1200, "revisit", 9)
+    assert got == sorted([(None, *revisit), (None, *revisit), (7, *revisit), (9, 1200, "response", None)] + [(None, 1200, "response", None)] * 2 + [(None, 0, "response", None), (3, 5, "response", None)], key=repr)
+
+
+def test_warc_reader_copies_little():
+    import time
+
+    def seconds(n):
+        rng = np.random.default_rng(n)
+        records = [warc.record_bytes(i, "http://a", p := rng.bytes(300), hashlib.sha1(p).hexdigest(), 300, None) for i in range(n)]
+        (data,) = warc.archives(iter(records))
+        start = time.process_time()
+        assert sum(1 for _ in warc.read_archive(data)) == n
+        return time.process_time() - start
+
+    seconds(500)
+    assert seconds(16_000) < 4 * 4 * max(seconds(4000), 0.02)
+
+
 def test_warc_reader_rejects_broken_archives():
     records = [warc.record_bytes(i, "http://a", b"x" * i, hashlib.sha1(b"x" * i).hexdigest(), i, None) for i in range(1, 40)]
     (data,) = warc.archives(iter(records))

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from treelode.session import checkpoint_root
 
@@ -76,6 +77,16 @@ class Scratch:
             pass
 
 
+def one_each(rows: DataFrame, *key: str) -> DataFrame:
+    """``rows`` with one row of each ``key``.  Only keys that repeat are shuffled with their texts,
+    folded where they lie."""
+    repeated = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key)
+    if repeated.isEmpty():
+        return rows
+    several = rows.join(repeated, list(key), "left_semi").dropDuplicates(list(key))
+    return rows.join(repeated, list(key), "left_anti").select(*rows.columns).unionByName(several.select(*rows.columns))
+
+
 def per_process(key: tuple, make):
     """A value that one Python worker builds once and keeps for its later tasks.
 

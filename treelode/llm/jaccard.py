@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treelode.llm.common import Scratch, bytes_of, mix64, text_slices
+from treelode.llm.common import Scratch, bytes_of, mix64, one_each, text_slices
 from treelode.llm.suffixdedup import powers
 
 WORDS, PERCENT = 5, 75
@@ -361,7 +361,7 @@ def grouped(
     nodes = filled.join(heads.select("node"), "node", "left_semi").select("node", "doc", "key", "sid")
     members = scratch.save(memberships(rows.join(heads.select("node"), "node", "left_semi"), scratch, percent), "members")
     scratch.drop("sets")
-    labels = components(links_of(texts, nodes, members, scratch, words, percent, region_nodes), scratch)
+    labels = components(links_of(one_each(texts, "doc", "key"), nodes, members, scratch, words, percent, region_nodes), scratch)
     labelled = heads.join(labels, "node")
     groups = labelled.groupBy("label").agg(F.min("least").alias("component"))
     linked = labelled.join(groups, "label").select("sid", "component", "label")

@@ -130,7 +130,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str
     known = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id")
     known = known.agg(*(F.max(F.col(h).cast("double")).alias(h) for h in HEADS))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = feature_rows(docs.join(F.broadcast(sample), "doc_id")).toArrow()
+    # An id may stand on many rows: the bound holds for the rows, by id and text.
+    labelled = docs.withColumn("twin", F.xxhash64("text")).join(F.broadcast(sample), "doc_id")
+    chosen = labelled.select("doc_id", "twin").distinct().orderBy(F.xxhash64("doc_id", "twin"), "doc_id", "twin").limit(rows)
+    found = labelled.join(F.broadcast(chosen), ["doc_id", "twin"]).dropDuplicates(["doc_id", "twin"])
+    found = feature_rows(found.drop("twin")).toArrow()
     grams = [np.frombuffer(g.as_buffer(), "<i4") for g in found["grams"]]
     shape = np.array(found["shape"].to_pylist()).reshape(len(grams), SHAPES)
     out = {}

@@ -116,7 +116,7 @@ ORACLES: dict[str, str] = {
         k AS (SELECT digest, max(page_id) AS keeper FROM d WHERE n >= 1000 GROUP BY digest)
         SELECT d.page_id, CAST(n AS BIGINT) AS payload_bytes, d.digest AS payload_digest,
                CASE WHEN keeper IS NULL OR keeper = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
-               CASE WHEN keeper <> d.page_id THEN keeper END AS refers_to
+               CASE WHEN keeper IS DISTINCT FROM d.page_id THEN keeper END AS refers_to
         FROM d LEFT JOIN k ON d.digest = k.digest AND n >= 1000
     """,
     "op11_line_dedup": r"""

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treelode.llm.common import Scratch, bytes_of, mix64, per_process, text_slices
+from treelode.llm.common import Scratch, bytes_of, mix64, one_each, per_process, text_slices
 
 LENGTH, GRAM = 100, 16
 #: Buckets of the sketch, and the runs a bucket may hold: a share of all, and a number.
@@ -557,7 +557,7 @@ def deduplicate(
     plain = docs.where(F.octet_length(text_column) >= length).select(
         F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("doc"), twin.alias("twin"), F.col(text_column).alias("text")
     )
-    return cut(docs, marked_ranges(plain, length, gram, scratch, hot_runs), twin, id_column, text_column, carry, as_text)
+    return cut(docs, marked_ranges(one_each(plain, "doc", "twin"), length, gram, scratch, hot_runs), twin, id_column, text_column, carry, as_text)
 
 
 def deduplicated_documents(docs: DataFrame) -> DataFrame:

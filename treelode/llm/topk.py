@@ -24,16 +24,17 @@ from pyspark.sql import functions as F
 #: Query vectors that travel with a task at once, and candidates scored at once.
 QUERY_BLOCK, CANDIDATE_BLOCK = 4096, 1024
 BINS = 128
+HIGHEST, SIGN = np.int64(2**63 - 1), np.uint64(1 << 63)
 
 
 def whole_vectors(vectors: DataFrame, id_column: str, vector_column: str, scale: int) -> DataFrame:
     """``vec_id long, v array<bigint>``: floor(scale * x) of every component.
 
-    Rows with a null id, a null or empty vector, or a null or non-finite component are left out.
+    Rows with a null id, a null vector, or a null or non-finite component are left out.
     """
     v = F.col(vector_column)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.where(F.col(id_column).isNotNull() & v.isNotNull() & (F.size(v) > 0) & finite).select(
+    return vectors.where(F.col(id_column).isNotNull() & v.isNotNull() & finite).select(
         F.col(id_column).cast("long").alias("vec_id"),
         F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))).alias("v"),
     )
@@ -48,32 +49,46 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def scored(batches: Iterator[pa.RecordBatch], queries: np.ndarray, exact_float: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate ids and their scores against all queries, block after block."""
-    right = queries.T.astype(np.float64) if exact_float else queries.T
+def scored(batches: Iterator[pa.RecordBatch], queries: np.ndarray, bound: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate ids and their scores against all queries, block after block.
+
+    No score is larger than ``bound``.  Beyond 53 bits sums are taken in whole numbers, modulo
+    2 ** 64; those that may not fit a long are cut to its range.
+    """
+    right, whole = queries.T.astype(np.float64), queries.T
     for batch in batches:
         for start in range(0, batch.num_rows, CANDIDATE_BLOCK):
             part = batch.slice(start, CANDIDATE_BLOCK)
             left = matrix(part.column("v"), queries.shape[1])
-            scores = left.astype(np.float64) @ right if exact_float else left @ right
-            yield part.column("vec_id").to_numpy(), scores.astype(np.int64)
+            scores = (left.astype(np.float64) @ right).astype(np.int64) if bound < 1 << 52 else left @ whole
+            if bound >= 1 << 62:
+                rough = left.astype(np.float64) @ right
+                scores = np.where(rough >= 2.0**63, HIGHEST, np.where(rough <= -(2.0**63), -HIGHEST, scores))
+            yield part.column("vec_id").to_numpy(), scores
+
+
+def ordered(scores: np.ndarray) -> np.ndarray:
+    """Scores as unsigned numbers in the same order, so that the difference of any two fits."""
+    return scores.view(np.uint64) ^ SIGN
 
 
-def select_block(candidates: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, bound: int) -> DataFrame:
+def select_block(candidates: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, bound: float) -> DataFrame:
     """The k best candidates of each query of one block: query_id, vec_id, score (ties included)."""
     n = len(ids)
-    exact_float = bound < 1 << 53
+    lowest = ordered(np.array([-(2**63) if bound >= 2.0**62 else -int(bound) - 1], np.int64))[0]
+    span = 2**64 - int(lowest) if bound >= 2.0**62 else 2 * int(bound) + 2
 
     def histogram(low: np.ndarray, width: int, need: np.ndarray):
-        """A task that counts scores in [low, low + BINS * width) of each query, from the top."""
+        """A task that counts ordered scores in [low, low + BINS * width) of each query, from the top."""
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = np.zeros((n, BINS), np.int64)
             column = np.arange(n)
-            for own, scores in scored(batches, queries, exact_float):
-                at = (scores - low) // width
-                good = (scores >= low) & (at < BINS) & (own[:, None] != ids[None, :])
-                flat = (column[None, :] * BINS + at)[good]
+            for own, scores in scored(batches, queries, bound):
+                key = ordered(scores)
+                at = (key - low) // np.uint64(width)
+                good = (key >= low) & (at < BINS) & (own[:, None] != ids[None, :])
+                flat = (column[None, :] * BINS + at.astype(np.int64))[good]
                 counts += np.bincount(flat, minlength=n * BINS).reshape(n, BINS)
             from_top = counts[:, ::-1].cumsum(1)[:, ::-1]
             useful = (counts > 0) & (from_top - counts < need[:, None])
@@ -82,10 +97,10 @@ def select_block(candidates: DataFrame, ids: np.ndarray, queries: np.ndarray, k:
 
         return task
 
-    low = np.full(n, -bound, np.int64)
+    low = np.full(n, lowest, np.uint64)
     need = np.full(n, k, np.int64)
     width = 1
-    while width * BINS < 2 * bound + 1:
+    while width * BINS < span:
         width *= BINS
     done = np.zeros(n, bool)  # fewer than k candidates: everything is kept
     while True:
@@ -101,11 +116,11 @@ def select_block(candidates: DataFrame, ids: np.ndarray, queries: np.ndarray, k:
         at = np.where(reach.any(1), BINS - 1 - reach[:, ::-1].argmax(1), 0)
         over = np.where(reach.any(1), from_top[np.arange(n), at] - counts[np.arange(n), at], 0)
         need = np.where(done, need, need - over)
-        low = np.where(done, -bound, low + at * width)
+        low = np.where(done, lowest, low + at.astype(np.uint64) * np.uint64(width))
         if width == 1 or done.all():
             break
         width //= BINS
-    kth = low
+    kth = (low ^ SIGN).view(np.int64)
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ties: list[tuple[np.ndarray, np.ndarray]] = []
@@ -120,7 +135,7 @@ def select_block(candidates: DataFrame, ids: np.ndarray, queries: np.ndarray, k:
             rank = np.arange(len(q)) - np.searchsorted(q, q)
             return q[rank < k], v[rank < k]
 
-        for own, scores in scored(batches, queries, exact_float):
+        for own, scores in scored(batches, queries, bound):
             other = own[:, None] != ids[None, :]
             r, q = np.nonzero(other & ((scores > kth) | done))
             if len(r):
@@ -146,20 +161,21 @@ def top_k(
 
     ``queries`` is a stated set of rows of the same shape; it goes through tasks in blocks of
     ``QUERY_BLOCK``.  A candidate with the query's own id takes no part.  Ties go to the smaller
-    id.  Rows with a null id, a null or empty vector, or a null or non-finite component take no
-    part on either side.  Vectors of different lengths are compared as if filled with zeros.
+    id.  Rows with a null id, a null vector, or a null or non-finite component take no part on
+    either side; an empty vector scores 0.  Scores beyond a long are cut to it.  Vectors of different lengths are compared as if filled with zeros.
     Repeated candidate rows count one by one; a repeated query id is asked once for each distinct
     vector.  Fewer candidates than k give them all; empty tables give no rows.
     """
     candidates = whole_vectors(vectors, id_column, vector_column, scale)
     asked = whole_vectors(queries, id_column, vector_column, scale).distinct()
-    most = candidates.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))), F.max(F.size("v"))).unionAll(
-        asked.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))), F.max(F.size("v")))
-    ).toDF("a", "d").agg(F.max("a"), F.max("d")).first()
+    norm = F.aggregate("v", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
+    size = lambda df: df.agg(F.max(F.sqrt(norm)), F.max(F.size("v"))).first()
+    (longest, wide), (longest_asked, wide_asked) = size(candidates), size(asked)
     empty = vectors.sparkSession.createDataFrame([], "query_id bigint, vec_id bigint, score bigint")
     parts = []
-    if most[0] is not None:
-        width, bound = int(most[1]), max(1, int(most[1]) * int(most[0]) ** 2)
+    if longest is not None and longest_asked is not None:
+        width = max(1, wide, wide_asked)
+        bound = max(1.0, longest * longest_asked * (1 + 1e-9))  # no inner product is larger
         rows: list[tuple] = []
 
         def flush() -> None:

@@ -11,7 +11,6 @@ revisits that refer to it and hold no payload.
 from __future__ import annotations
 
 import hashlib
-import os
 import struct
 import uuid
 from collections.abc import Iterator
@@ -31,20 +30,24 @@ REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 16 << 20
 #: The dictionary of an archive is trained on its first records, up to this many.
 TRAIN_RECORDS, DICTIONARY_BYTES, LEVEL = 200, 64 << 10, 6
+#: Compressed bytes that the reader hands to a frame at once.
+PIECE_BYTES = 8 << 10
 
 
 class WarcError(ValueError):
     """An archive or record that breaks the format."""
 
 
-def record_bytes(page_id: int, url: str | None, payload: bytes, digest: str, n_bytes: int, refers_to: int | None) -> bytes:
-    """One record; a revisit keeps the HTTP head and drops the payload."""
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, n_bytes: int, refers_to: int | None) -> bytes:
+    """One record; a revisit keeps the HTTP head and drops the payload.  A page without an id gets
+    a generated record id."""
     kind = "response" if refers_to is None else "revisit"
     body = b"" if refers_to is not None else payload
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode()
     target = "".join(c if " " < c != "\x7f" else "%{:02X}".format(ord(c)) for c in (url or ""))
+    record_id = f"<urn:uuid:{uuid.uuid4()}>" if page_id is None else f"<urn:page:{page_id}>"
     head = [
-        ("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{page_id}>"), ("WARC-Date", "1970-01-01T00:00:00Z"),
+        ("WARC-Type", kind), ("WARC-Record-ID", record_id), ("WARC-Date", "1970-01-01T00:00:00Z"),
         ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("WARC-Block-Digest", f"sha1:{hashlib.sha1(http + body).hexdigest()}"),
     ]
@@ -126,7 +129,7 @@ def parse_record(data: bytes) -> dict:
     http, body = parse_head(block, block.find(b"\r\n") + 2)
     payload = block[body:]
     digest = head.get("warc-payload-digest", "").removeprefix("sha1:")
-    page = lambda value: int(value.removeprefix("<urn:page:").removesuffix(">"))
+    page = lambda value: int(value[len("<urn:page:") : -1]) if value.startswith("<urn:page:") else None
     if head["warc-type"] == "response":
         if len(payload) != int(http["content-length"]):
             raise WarcError("payload length differs from the header")
@@ -157,31 +160,37 @@ def read_archive(data: bytes) -> Iterator[dict]:
     reader = zstd.ZstdDecompressor(dict_data=zstd.ZstdCompressionDict(raw))
     view, at = memoryview(data), 8 + size
     while at < len(data):
-        frame = reader.decompressobj()
-        try:
-            record = frame.decompress(view[at:])
-        except zstd.ZstdError as error:
-            raise WarcError(f"broken frame at {at}: {error}") from error
-        if not frame.eof:
-            raise WarcError(f"truncated frame at {at}")
-        at = len(data) - len(frame.unused_data)
-        yield parse_record(record)
+        # In small pieces, since what lies behind a frame is copied when the frame ends.
+        frame, parts, begin = reader.decompressobj(), [], at
+        while not frame.eof:
+            if at >= len(data):
+                raise WarcError(f"truncated frame at {begin}")
+            try:
+                parts.append(frame.decompress(view[at : at + PIECE_BYTES]))
+            except zstd.ZstdError as error:
+                raise WarcError(f"broken frame at {begin}: {error}") from error
+            at = min(len(data), at + PIECE_BYTES)
+        at -= len(frame.unused_data)
+        yield parse_record(b"".join(parts))
 
 
 def decided(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """page_id, url, payload, digest, n_bytes and refers_to (null for responses)."""
+    """page_id, url, payload, digest, n_bytes and refers_to (null for responses).
+
+    Which pages are revisits is decided over (page, digest) rows; payloads meet the decisions by
+    page, so equal payloads gather nowhere.
+    """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    rows = pages.where(F.col("page_id").isNotNull()).select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")
-    )
+    page, url = F.col("page_id").cast("long"), F.col("url").cast("string")
+    rows = pages.select(page.alias("page_id"), url.alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("n_bytes", F.octet_length("payload").cast("long"))
-    keeper = (
-        rows.where(F.col("n_bytes") >= revisit_bytes).groupBy("digest")
-        .agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    )
-    joined = rows.join(keeper, "digest", "left")
-    again = (F.col("n_bytes") >= revisit_bytes) & (F.col("keeper") != F.col("page_id"))
-    return joined.select("page_id", "url", "payload", "digest", "n_bytes", F.when(again, F.col("keeper")).alias("refers_to"))
+    rows = rows.withColumn("place", F.coalesce("page_id", F.xxhash64("url", "digest")))
+    slim = rows.where(F.col("n_bytes") >= revisit_bytes).select("page_id", "place", "digest")
+    keeper = slim.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1 and keeper is not null")
+    again = slim.join(keeper.select("digest", "keeper"), "digest").where(~F.col("page_id").eqNullSafe(F.col("keeper")))
+    again = again.groupBy("place", "digest", F.col("page_id").isNull().alias("nameless")).agg(F.max("keeper").alias("refers_to"))
+    joined = rows.withColumn("nameless", F.col("page_id").isNull()).join(again, ["place", "digest", "nameless"], "left")
+    return joined.select("page_id", "url", "payload", "digest", "n_bytes", "refers_to")
 
 
 def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
@@ -189,8 +198,9 @@ def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_B
 
     Tasks write under a name of their own and rename when whole, so a task that is run again
     leaves no half-written archive; only the files of the returned rows belong to the result.
-    Null html is an empty payload, a null url an empty target, rows with a null page_id are
-    left out, and other columns are ignored.
+    Null html is an empty payload and a null url an empty target.  A page without an id is written
+    under a generated record id and read back without one; it refers to an equal page with an id, if
+    there is one.  Other columns are ignored.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,12 +250,19 @@ def read_archives(spark, folder: str, names: DataFrame) -> DataFrame:
     return files.mapInArrow(task, ddl).select(*columns)
 
 
+def store_uri(spark, folder: str) -> str:
+    """The folder with the scheme of the store it lies in, as Arrow's file systems want it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return f"file://{whole[5:]}" if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
 def round_trip(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """Write all pages into archives in the shared folder and read every record back."""
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
     folder = scratch.path("archives")
-    written = scratch.save(write_archives(pages, folder if "://" in folder else f"file://{os.path.abspath(folder)}", revisit_bytes), "names")
+    written = scratch.save(write_archives(pages, store_uri(spark, folder), revisit_bytes), "names")
     if written.isEmpty():
         return spark.createDataFrame([], "page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
     return read_archives(spark, folder, written)
