@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from treelode.operators import agents, diff, versions
 from treelode.plans.workspace import Workspace
-from treelode.streaming.changelog import LeaseBook, latest_changes, read_log
+from treelode.streaming.changelog import latest_changes, read_log
 from treelode.streaming.watch import Watcher
 
 LOG = "path STRING, seq BIGINT, op STRING, timestamp_ms BIGINT, size BIGINT"
@@ -122,23 +122,6 @@ def test_streaming_latest_changes(spark, log, tmp_path):
     assert as_dict(spark.table("latest_changes"), "path", "op", "seq") == {"a": ("replace", 3), "b": ("tombstone", 4)}
 
 
-def test_streaming_leases(spark, tmp_path):
-    source, schema = str(tmp_path / "req"), "req BIGINT, agent_id BIGINT, path STRING, ttl_ms BIGINT"
-    spark.createDataFrame([(1, 1, "a", 100), (2, 2, "a", 100)], schema).coalesce(1).write.mode("append").parquet(source)
-    clock = iter([1000, 1050, 2000])
-    book = LeaseBook(spark, str(tmp_path / "book"), lambda: next(clock))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    run = lambda: book.start(stream, str(tmp_path / "cp"), {"availableNow": True}).awaitTermination(120)
-    run()
-    spark.createDataFrame([(3, 2, "a", 100)], schema).coalesce(1).write.mode("append").parquet(source)
-    run()
-    spark.createDataFrame([(4, 2, "a", 100)], schema).coalesce(1).write.mode("append").parquet(source)
-    run()
-    decisions = spark.read.parquet(str(tmp_path / "book" / "decisions"))
-    assert as_dict(decisions, "req", "granted") == {1: (True,), 2: (False,), 3: (False,), 4: (True,)}
-    assert [tuple(r) for r in book.leases(2).collect()] == [(2, "a", 2100)]
-
-
 def test_watcher_picks_up_an_edit(spark, tree_of, tmp_path):
     ws = Workspace(spark, tree_of({"a.py": "def a(): pass\n"}), str(tmp_path / "state"))
     ws.index()

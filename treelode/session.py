@@ -19,6 +19,8 @@ DEFAULTS = {
     # that one batch of whole files stays in the tens of megabytes.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.parquet.filterPushdown": "true",
+    # Keyed state with timers needs it.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

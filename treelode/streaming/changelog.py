@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treelode.operators import agents
 from treelode.schema import VERSIONS
 from treelode.session import Budget
 
@@ -24,33 +23,3 @@ def latest_changes(log: DataFrame, since: int = 0) -> DataFrame:
     recent = log.filter(F.col("seq") > since)
     newest = F.max(F.struct("seq", "op", "timestamp_ms")).alias("v")
     return recent.groupBy("path").agg(newest).select("path", "v.op", "v.seq", "v.timestamp_ms")
-
-
-class LeaseBook:
-    """Leases decided batch by batch from a stream of requests.
-
-    State is one Parquet folder per batch; a replayed batch rewrites the same folder from
-    the same predecessor, which makes the decision repeatable.
-    """
-
-    def __init__(self, spark: SparkSession, state_dir: str, clock):
-        self.spark, self.state_dir, self.clock = spark, state_dir, clock
-
-    def leases(self, epoch: int) -> DataFrame:
-        if epoch < 0:
-            return self.spark.createDataFrame([], "agent_id BIGINT, path STRING, expiry BIGINT")
-        return self.spark.read.parquet(f"{self.state_dir}/leases/epoch={epoch}")
-
-    def on_requests(self, batch: DataFrame, epoch: int) -> None:
-        """Decide ``(req, agent_id, path, ttl_ms)`` rows of one micro-batch."""
-        now = self.clock()
-        held = self.leases(epoch - 1)
-        decided = agents.grant(held, batch, now)
-        decided.write.mode("overwrite").parquet(f"{self.state_dir}/decisions/epoch={epoch}")
-        stored = self.spark.read.parquet(f"{self.state_dir}/decisions/epoch={epoch}")
-        after = agents.apply_grants(held, stored, now)
-        after.write.mode("overwrite").parquet(f"{self.state_dir}/leases/epoch={epoch}")
-
-    def start(self, requests: DataFrame, checkpoint: str, trigger: dict | None = None):
-        writer = requests.writeStream.foreachBatch(self.on_requests).option("checkpointLocation", checkpoint)
-        return writer.trigger(**(trigger or {"processingTime": "2 seconds"})).start()
