@@ -226,6 +226,43 @@ def test_snapshot_truncated(ws, spark):
         snapshot.load(spark, ws.snapshot_path, ws.root)
 
 
+def test_a_job_that_dies_between_sections_leaves_the_last_snapshot(ws, spark, tmp_path, monkeypatch):
+    target, second = ws.snapshot_path, str(tmp_path / "second")
+    ws.snapshot(write=True)
+    before = snapshot.checked(spark, target, ws.root)
+    assert snapshot.copy_to(spark, target, second) == list(snapshot.SECTIONS)
+    assert snapshot.copy_to(spark, target, second) == []
+    changed = ws.files().withColumn("content", F.concat("content", F.lit(b"\n// more")))
+    with monkeypatch.context() as patch:
+        patch.setattr(snapshot.pairs, "pair_weights", lambda counts: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            snapshot.write(changed, ws.declarations(), ws.root, target)
+    assert snapshot.checked(spark, target, ws.root) == before
+    snapshot.write(changed.withColumn("length", F.octet_length("content").cast("bigint")), ws.declarations(), ws.root, target)
+    after = snapshot.checked(spark, target, ws.root)
+    kept = {s["name"]: s["folder"] for s in map(lambda r: r.asDict(), before["sections"])}
+    moved = [s["name"] for s in after["sections"] if kept[s["name"]] != s["folder"]]
+    assert set(moved) == {"content", "tree", "freq"}
+    assert set(snapshot.copy_to(spark, target, second)) == {"content", "tree", "freq"}
+    assert snapshot.checked(spark, second)["total_bytes"] == after["total_bytes"]
+
+
+def test_snapshot_drops_files_that_are_gone(ws, spark):
+    ws.snapshot(write=True)
+    os.remove(f"{ws.root}/src/a.ts")
+    files, decls = snapshot.load(spark, ws.snapshot_path, ws.root)
+    assert "src/a.ts" not in paths_of(files) and len(paths_of(files)) == 4 and "src/a.ts" not in paths_of(decls)
+
+
+def test_notify_of_a_new_workspace_indexes_it(spark, tree_of, tmp_path):
+    ws = Workspace(spark, tree_of({"a.py": "def a():\n    pass\n", "b.py": "x = 1\n"}), str(tmp_path / "state"))
+    assert ws.notify(["a.py"]) == 1 and ws.indexed_files() == 2
+    other = Workspace(spark, tree_of({"c.py": "x = 1\n"}, "other"), str(tmp_path / "edits"))
+    other.record_edits(spark.createDataFrame([("c.py", 1, "replace", 1, 1, b"d", 1)], "path STRING, agent BIGINT, op STRING, hash BIGINT, size BIGINT, data BINARY, ord BIGINT"))
+    assert other.notify(["c.py"]) == 1 and other.indexed_files() == 1 and other.current_seq() == 2
+    assert bytes(other.at_cursor(1).first()["data"]) == b"d"
+
+
 def test_secondary_checkpoint(spark, tmp_path):
     target = tmp_path / "cp.json"
     target.write_text('{"tier2_processed":12,"tier2_queued":30,"root_hash":1}')

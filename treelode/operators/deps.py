@@ -41,6 +41,27 @@ def imported_by_all(deps: DataFrame, files: DataFrame) -> DataFrame:
     return offered.join(distinct_edges, "dep").select("path", "importer").distinct()
 
 
+def factored(deps: DataFrame, files: DataFrame) -> DataFrame:
+    """(dep, side, path): under each import string its importers and the files it may name.
+
+    It says the same as ``imported_by_all`` in as many rows as there are edges and files, however
+    popular an import is; ``expand`` makes pairs of it for the paths that are asked for.
+    """
+    keys = F.array_distinct(F.array("path", basename(F.col("path"))))
+    named = files.select(F.explode(keys).alias("dep"), F.lit("file").alias("side"), "path")
+    importers = deps.select("dep", F.lit("importer").alias("side"), "path").distinct()
+    # Strings that only one side knows lead nowhere.
+    both = importers.join(named.select("dep").distinct(), "dep", "left_semi")
+    return both.unionByName(named.join(importers.select("dep").distinct(), "dep", "left_semi"))
+
+
+def expand(pairs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(path, importer) of the asked paths, out of the factored form."""
+    wanted = pairs.where("side = 'file'").join(asked.select("path").distinct(), "path", "left_semi").select("dep", "path")
+    importers = pairs.where("side = 'importer'").select("dep", F.col("path").alias("importer"))
+    return wanted.join(importers, "dep").select("path", "importer").distinct()
+
+
 def importer_counts(deps: DataFrame) -> DataFrame:
     """Distinct importing files per raw import string."""
     return deps.select("path", "dep").distinct().groupBy("dep").agg(F.count(F.lit(1)).alias("importers"))

@@ -538,6 +538,7 @@ STORED = (
     f"THEN coalesce(text, '') || '{OVERLAY}' ELSE text END AS text FROM documents "
     "WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))"
 )
+MODULES = "m AS (SELECT unnest(['lib/lib' || n_nationkey || '.zig', 'lib/Util' || n_nationkey || '.php']) AS path FROM nation)"
 ORACLES.update({
     "search_stored": f"WITH {STORED}, {lines_of('docs')} SELECT path, line_num AS line, line AS text FROM ln "
     f"WHERE instr({fold('line')}, {lit(cat.TRIGRAM_QUERY)}) > 0",
@@ -547,6 +548,12 @@ ORACLES.update({
     f"WHERE list_contains(regexp_extract_all(line, '[A-Za-z0-9_]{{2,}}'), {lit(cat.WORD)})",
     "ngrams_stored": f"WITH {STORED}, {NGRAMS} SELECT DISTINCT path FROM ngram WHERE hash IN ({covering()})",
     "trigrams_stored": f"WITH {STORED}, {BYTES}, {POSTINGS} SELECT d.path, tri, next_mask, loc_mask FROM post JOIN docs d USING (doc_id)",
+    "snapshot_roundtrip": f"WITH {code_files()}, {declarations()}, {STATS} SELECT path, language, line_count, byte_size, symbol_count FROM stats",
+    "deps_factored": f"WITH {declarations()}, {EDGES}, {MODULES}, k AS (SELECT DISTINCT unnest([path, regexp_extract(path, '([^/]*)$', 1)]) AS dep, path FROM m) "
+    "SELECT DISTINCT dep, 'importer' AS side, path FROM edges WHERE dep IN (SELECT dep FROM k) "
+    "UNION ALL SELECT dep, 'file' AS side, path FROM k WHERE dep IN (SELECT dep FROM edges)",
+    "deps_expanded": f"WITH {declarations()}, {EDGES}, {MODULES} "
+    "SELECT DISTINCT m.path, e.path AS importer FROM m JOIN edges e ON e.dep = m.path OR e.dep = regexp_extract(m.path, '([^/]*)$', 1)",
     "edit_log": "SELECT row_number() OVER (ORDER BY epoch_us(ts) // 1000, event_id) AS seq, 'user/' || user_id AS path, event_type AS op, "
     "event_type || ' ' || CAST(CAST(value AS DECIMAL(20, 4)) AS VARCHAR) AS payload FROM events",
 })
