@@ -10,7 +10,7 @@ import pytest
 from treelode.functions import fuzzy, paths, regex
 from treelode.functions.text import contains_fold, fold
 from treelode.functions.wyhash import hash_bytes
-from treelode.operators import lines, ngrams, pairs, search, trigrams, words
+from treelode.operators import lines, ngrams, pairs, search, symbols, trigrams, words
 from treelode.sources import ignore
 from pyspark.sql import functions as F
 
@@ -56,7 +56,7 @@ def tokens(p):
                 low, high = simple[m[0]]
             else:
                 low = int(m[1] or 0)
-                high = low if not m[2] else int(m[3]) if m[3] else 256
+                high = low if not m[2] else int(m[3]) if m[3] else 10**6
             end = m.end()
         out.append((element, low, high))
         i = end
@@ -152,10 +152,29 @@ def test_dialect_is_bytewise(spark):
     assert tuple(row) == (False, True, True, True, True)
 
 
-def test_pattern_budget():
-    with pytest.raises(ValueError):
-        regex.to_java("(a|b)+" * 40)
-    assert regex.to_java("(a|b)" * 40)
+def test_groups_translate_without_copies(spark):
+    assert len(regex.to_java("(a|b)+" * 40)) < 1000
+    nested = "((a|bc)*(d|)+x|y(z|(p|q){2,3}))+" * 12
+    assert len(regex.to_java(nested)) < 40 * len(nested)
+    text = "a" * 5000 + "bc" + "k" * 300
+    row = spark.createDataFrame([(text,)], "t STRING").select(
+        regex.rlike(F.col("t"), "(" + "a" * 5000 + "|x)bc"), regex.rlike(F.col("t"), "ck{280,}$"), regex.rlike(F.col("t"), "ck{301,}$")
+    ).first()
+    assert tuple(row) == (True, True, False)
+    assert regex.to_java("([x|b)" * 40 + "]" * 40)
+
+
+def test_long_names_are_whole(spark):
+    name = "n" * 700
+    files = spark.createDataFrame([("a.py", f"import {'m' * 600}.{name}\ndef {name}(): pass\n"), ("d/" + "p" * 900 + "/needle.md", "")], "path string, text string")
+    found = symbols.declarations(files).collect()
+    assert {n for r in found for n in [r["name"]] if r["kind"] == "function"} == {name}
+    assert [r["imports"] for r in found if r["imports"]] == [[f"{'m' * 600}/{name}.py"]]
+    assert [r["path"] for r in search.fuzzy_top(files, "needle", 5).collect()] == ["d/" + "p" * 900 + "/needle.md"]
+    assert fuzzy.score_batch("p" * 600, ["d/" + "p" * 900])[0] > 0
+    mixed = ["src/main.py", "x" * 3000, "main", "lib/" + "y" * 40_000 + "/main.rs", "src/Main.go"] * 50
+    whole = fuzzy.score_batch("main", mixed)
+    assert np.array_equal(whole, np.concatenate([fuzzy.score_batch("main", [m]) for m in mixed]), equal_nan=True)
 
 
 def test_fold_is_ascii_only(spark):

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 MATCH, MISMATCH, GAP_OPEN, GAP_EXTEND = 16.0, -8.0, -3.0, -1.0
 DELIMITER, FILENAME, CONSECUTIVE, CASE, PREFIX = 8.0, 6.0, 4.0, 2.0, 6.0
 THRESHOLD, ENTRY_BONUS = 0.3, 0.05
-MAX_QUERY, MAX_PATH = 128, 512
+#: Cells of the alignment that one step holds: paths are taken in groups of similar length.
+CELLS = 1 << 22
 
 # File names that mark an entry point.
 ENTRY_POINTS = (
@@ -25,22 +26,30 @@ f32 = np.float32
 
 
 def score_batch(query: str, values: list[str]) -> np.ndarray:
-    """Scores of many paths at once; NaN where a path does not match.
-
-    The alignment walks query and path positions one by one, and every step is a vector
-    operation over all paths of the batch.
-    """
+    """Scores of many paths at once; NaN where a path does not match."""
     q = query.encode("utf-8", "surrogateescape")
     raw = [v.encode("utf-8", "surrogateescape") for v in values]
     size = np.array([len(r) for r in raw], dtype=np.int64)
     out = np.full(len(raw), np.nan, dtype=f32)
-    usable = (size > 0) & (size <= MAX_PATH)
-    if not q or len(q) > MAX_QUERY or not usable.any():
+    if not q:
         return out
-    rows = np.flatnonzero(usable)
-    size = size[rows]
+    rows = np.argsort(size, kind="stable")
+    rows = rows[size[rows] > 0]
+    while len(rows):
+        # The longest path of a group sets its width.
+        fits = int(np.searchsorted(size[rows] * np.arange(1, len(rows) + 1), CELLS, side="right"))
+        group, rows = rows[: max(1, fits)], rows[max(1, fits) :]
+        out[group] = _aligned(q, [raw[i] for i in group])
+    return out
+
+
+def _aligned(q: bytes, raw: list[bytes]) -> np.ndarray:
+    """The alignment walks query and path positions one by one, and every step is a vector
+    operation over all paths of the group."""
+    size = np.array([len(r) for r in raw], dtype=np.int64)
+    rows = np.arange(len(raw))
     width = int(size.max())
-    joined = b"".join(raw[i].ljust(width, b"\0") for i in rows)
+    joined = b"".join(r.ljust(width, b"\0") for r in raw)
     chars = np.frombuffer(joined, np.uint8).reshape(len(rows), width).T  # one row per position
     lower = np.where((chars >= 65) & (chars <= 90), chars + 32, chars)
     fname = np.array([raw[i].rfind(b"/") + 1 for i in rows])
@@ -82,8 +91,7 @@ def score_batch(query: str, values: list[str]) -> np.ndarray:
     good = (best > 0) & (matched >= (len(q) + 1) // 2) & (best >= f32(len(q)) * f32(MATCH) * f32(THRESHOLD))
     entry = np.array([raw[i][raw[i].rfind(b"/") + 1:].decode("utf-8", "replace") in ENTRY_POINTS for i in rows])
     best = np.where(entry, best + best * f32(ENTRY_BONUS), best).astype(f32)
-    out[rows] = np.where(good, best / np.sqrt(size.astype(f32)), f32(np.nan))
-    return out
+    return np.where(good, best / np.sqrt(size.astype(f32)), f32(np.nan))
 
 
 def score(path: Column, query: str) -> Column:

@@ -8,8 +8,7 @@ import string
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Identifiers stop at 256 characters.
-IDENT = "[A-Za-z0-9_]{1,256}"
+IDENT = "[A-Za-z0-9_]+"
 
 
 def fold(col: Column) -> Column:
@@ -120,8 +119,8 @@ def python_module(line: Column) -> Column:
 
 
 def python_module_path(module: Column) -> Column:
-    """``a.b`` to ``a/b.py``; the module part is kept to 509 characters."""
-    return F.concat(F.replace(F.substring(module, 1, 509), F.lit("."), F.lit("/")), F.lit(".py"))
+    """``a.b`` to ``a/b.py``."""
+    return F.concat(F.replace(module, F.lit("."), F.lit("/")), F.lit(".py"))
 
 
 def php_strip_alias(col: Column) -> Column:

@@ -11,11 +11,10 @@ from treelode.operators import trigrams
 from treelode.operators.lines import lines
 
 DEFAULT_RESULTS = 50
-MAX_RESULTS = 10000
 
 
 def clamp_results(n: int | None) -> int:
-    return DEFAULT_RESULTS if n is None else max(1, min(n, MAX_RESULTS))
+    return DEFAULT_RESULTS if n is None else max(1, n)
 
 
 def search_substring(files: DataFrame, query: str, path: str | None = None) -> DataFrame:
@@ -69,10 +68,10 @@ def _result(hits: DataFrame) -> DataFrame:
 def fuzzy_paths(files: DataFrame, query: str) -> DataFrame:
     """Paths every part of the query matches, with the summed score.
 
-    Length and extension are tested before any path is handed to the score.
+    The extension is tested before any path is handed to the score.
     """
     parts, ext = fuzzy.parse_query(query)
-    named = files.select("path").filter((F.octet_length("path") > 0) & (F.octet_length("path") <= fuzzy.MAX_PATH))
+    named = files.select("path").filter(F.octet_length("path") > 0)
     if ext is not None:
         named = named.filter(F.endswith("path", F.lit(ext)))
     if not parts:

@@ -20,6 +20,7 @@ from treelode.schema import TREE_SORTS
 
 TOOLS = ("tree", "outline", "search", "deps", "index", "status", "snapshot", "changes")
 PROTOCOL = "2025-06-18"
+MAX_RESULTS = 10000  # what one answer of the search tool may hold
 
 
 class ToolError(Exception):
@@ -127,7 +128,8 @@ def _search(ws: Workspace, args: dict) -> Iterator[str]:
     if path is not None:
         _checked_path(path)
     try:
-        hits = ws.search(query, _int(args, "max_results"), _bool(args, "regex"), path)
+        most = _int(args, "max_results")
+        hits = ws.search(query, None if most is None else min(most, MAX_RESULTS), _bool(args, "regex"), path)
     except ValueError as exc:
         raise ToolError("REGEX_INVALID", "regex search failed") from exc
     yield '{"matches":['
