@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -191,12 +192,13 @@ def _php_imports(s: Column) -> Column:
     return F.when(body != "", F.when(F.contains(body, F.lit("{")), grouped).otherwise(single))
 
 
-# struct(delta, lowest) of a line ``s``: brace balance outside string literals, and the
-# lowest running balance right after a closing brace.  Everything but quotes, braces and
-# escaped quotes is dropped first, so the fold runs over a handful of characters.
+# What remains of a line when all but quotes, braces and escaped ones is dropped, and
+# struct(delta, lowest) of such a remainder: brace balance outside string literals, and the
+# lowest running balance right after a closing brace.
+_PHP_PUNCTUATION = r"""(?s)(\\['"{}\\])|\\.|[^'"{}\\]"""
 _PHP_BRACES = """
 aggregate(
-  filter(split(regexp_replace(%%s, %s, '$1'), ''), c -> c != ''),
+  filter(split(%s, ''), c -> c != ''),
   named_struct('quote', '', 'escaped', false, 'delta', 0, 'lowest', cast(null as int)),
   (a, c) -> named_struct(
     'quote', CASE WHEN a.quote != '' AND NOT a.escaped AND c = a.quote THEN ''
@@ -206,7 +208,19 @@ aggregate(
     'lowest', CASE WHEN a.quote = '' AND c = '}' THEN least(a.lowest, a.delta - 1) ELSE a.lowest END
   )
 )
-""" % sql_text(r"""(?s)(\\['"{}\\])|\\.|[^'"{}\\]""")
+"""
+# The remainders of nearly all lines, so that few are folded character by character.
+_COMMON_BRACES = {"{": (1, None), "}": (-1, -1), "{}": (0, 0), "}{": (0, -1), "}}": (-2, -2)}
+
+
+def _php_balance(left: str) -> Column:
+    """struct(delta, lowest) of a remainder column; null where it is null."""
+    common = " ".join(
+        f"WHEN {sql_text(text)} THEN named_struct('delta', {delta}, 'lowest', cast({'null' if low is None else low} as int))"
+        for text, (delta, low) in _COMMON_BRACES.items()
+    )
+    folded = _PHP_BRACES % left
+    return F.expr(f"CASE WHEN {left} IS NULL THEN NULL ELSE CASE {left} {common} ELSE transform(array({folded}), f -> named_struct('delta', f.delta, 'lowest', f.lowest))[0] END END")
 
 
 def _name() -> Column:
@@ -264,47 +278,82 @@ def _marks(s: Column, hidden: Column) -> Column:
     return total
 
 
+def _before(value: np.ndarray, event: np.ndarray, first: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """At each row ``value`` of the last earlier event row of its file, else the file's ``start``.
+
+    ``first`` is where the file of each row begins; ``start`` has one entry per row."""
+    last = np.maximum.accumulate(np.where(event, np.arange(len(event)), -1))
+    last = np.concatenate([[-1], last[:-1]])
+    return np.where(last >= first, value[np.maximum(last, 0)], start)
+
+
+def _sums_before(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sum of the earlier rows of the same file."""
+    total = np.concatenate([[0], np.cumsum(values)])
+    return total[:-1] - total[first]
+
+
 def _running_state(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """State of every line given the lines of its file before it; see ``annotate``."""
-    file_no = None
-    machine = ("file_no", "line_num", "act", "marks", "marks_in", "delta", "low", "delta_in", "low_in")
+    """State of every line given the lines of its file before it; see ``annotate``.
+
+    A batch is taken at once with running sums and maxima.  What a file that goes on in the next
+    batch has reached is handed over: comment, listing, depth, depth and lowest of the open class,
+    absent lines, last line, attribute.
+    """
+    machine = ("line_num", "act", "marks", "marks_in", "delta", "low", "delta_in", "low_in")
+    begin = (False, False, 0, 0, False, _NEVER_LOW, 0, 0, -1)
+    file_no, carried = None, begin
     for batch in batches:
-        columns = [batch.column(name).to_numpy().tolist() for name in machine]
-        out = [[], [], [], []]
-        comments, listings, tests, classes = (values.append for values in out)
-        for no, num, act, marks, marks_in, delta, low, delta_in, low_in in zip(*columns, strict=True):
-            if no != file_no:
-                file_no, comment, listing, depth, opened, lowest = no, False, False, 0, None, _NEVER_LOW
-                absent, last_num, attribute = 0, 0, -1
-            if comment:
-                marks, delta, low = marks_in, delta_in, low_in
-                if marks & RUST:  # lines between two kept ones inside a comment show nothing
-                    absent += num - last_num - 1
-            if marks & HIDDEN:
-                absent += 1
-            if marks & CLASS:
-                opened, lowest = depth, _NEVER_LOW
-            comments(comment)
-            listings(listing)
-            tests(attribute == num - absent - 1)
-            # A PHP class is open until a closing brace falls back to the depth it began at.
-            classes(opened is not None and lowest > opened)
-            if act == TOGGLE:
-                comment = not comment
-            elif act != NO_ACTION:
-                comment = act == ENTER
-            if marks & (GO_OPEN | GO_CLOSE):
-                listing = bool(marks & GO_OPEN)
-            if marks & ATTRIBUTE:
-                attribute = num - absent
-            if low != _NEVER_LOW:
-                lowest = min(lowest, depth + low)
-            depth += delta
-            last_num = num
-        kept = batch.drop_columns([*machine[2:]])
-        yield pa.RecordBatch.from_arrays(
-            [*kept.columns, *(pa.array(values, pa.bool_()) for values in out)], names=[*kept.schema.names, *_RUNNING]
+        n = batch.num_rows
+        if n == 0:
+            continue
+        no = batch.column("file_no").to_numpy()
+        num, act, marks, marks_in, delta, low, delta_in, low_in = (batch.column(c).to_numpy().astype(np.int64) for c in machine)
+        opens = np.concatenate([[True], no[1:] != no[:-1]])
+        first = np.maximum.accumulate(np.where(opens, np.arange(n), 0))
+        given = carried if no[0] == file_no else begin
+        start = [np.where(first == 0, g, b) for g, b in zip(given, begin)]
+        comment0, listing0, depth0, opened0, has_class0, lowest0, absent0, last0, attribute0 = start
+
+        # Inside a comment: what the last ENTER or LEAVE said, turned by each TOGGLE since.
+        toggles = _sums_before(act == TOGGLE, first)
+        sets = (act == ENTER) | (act == LEAVE)
+        said = _before((act == ENTER) ^ (toggles & 1).astype(bool), sets, first, comment0.astype(bool))
+        inside = said.astype(bool) ^ (toggles & 1).astype(bool)
+        marks, delta, low = np.where(inside, marks_in, marks), np.where(inside, delta_in, delta), np.where(inside, low_in, low)
+
+        # Rust lines that show nothing count as absent, kept or not.
+        last_num = np.where(opens, last0, np.concatenate([[0], num[:-1]]))
+        gone = np.where(inside & (marks & RUST > 0), num - last_num - 1, 0) + (marks & HIDDEN > 0)
+        absent = absent0 + _sums_before(gone, first) + gone
+        attribute = _before(num - absent, marks & ATTRIBUTE > 0, first, attribute0)
+        listing = _before(marks & GO_OPEN > 0, marks & (GO_OPEN | GO_CLOSE) > 0, first, listing0.astype(bool)).astype(bool)
+
+        # A PHP class is open until a closing brace falls back to the depth it began at.
+        depth = depth0 + _sums_before(delta, first)
+        is_class = marks & CLASS > 0
+        began = np.maximum.accumulate(np.where(is_class | opens, np.arange(n), 0))  # of the class, or of the file
+        by_class = is_class[began]
+        opened = np.where(by_class, depth[began], opened0)
+        has_class = by_class | has_class0.astype(bool)
+        reached = np.where(low == _NEVER_LOW, _NEVER_LOW, depth + low)
+        stretch = (_NEVER_LOW << 1) * (n - began)
+        running = np.minimum.accumulate(reached + stretch) - stretch
+        before = np.where(began == np.arange(n), _NEVER_LOW, np.concatenate([[_NEVER_LOW], running[:-1]]))
+        before = np.where(by_class, before, np.minimum(before, lowest0))
+        in_class = has_class & (before > opened)
+
+        end = n - 1
+        file_no = no[end]
+        carried = (
+            bool(inside[end] ^ True) if act[end] == TOGGLE else bool(act[end] == ENTER) if act[end] != NO_ACTION else bool(inside[end]),
+            bool(marks[end] & GO_OPEN) if marks[end] & (GO_OPEN | GO_CLOSE) else bool(listing[end]),
+            depth[end] + delta[end], opened[end], bool(has_class[end]), min(before[end], reached[end]), absent[end], num[end],
+            num[end] - absent[end] if marks[end] & ATTRIBUTE else attribute[end],
         )
+        kept = batch.drop_columns([*machine[1:]])
+        found = (inside, listing, attribute == num - absent - 1, in_class)
+        yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(f) for f in found)], names=[*kept.schema.names, *_RUNNING])
 
 
 def annotate(files: DataFrame, also_keep: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -322,31 +371,34 @@ def annotate(files: DataFrame, also_keep: Column | None = None, keep: tuple[str,
     sources = files.withColumn("lang", paths.language(F.col("path")))
     if also_keep is None:
         sources = sources.filter(parsed)
-    sources = sources.withColumn("file_no", F.monotonically_increasing_id())
+    # A file that opens no block comment is never inside one: what lines would mean there is not asked.
+    hides = F.contains("text", F.lit("/*")) | (lang == "ruby") & F.contains("text", F.lit("=begin"))
+    sources = sources.withColumn("file_no", F.monotonically_increasing_id()).withColumn("hides", hides)
     carried = ["file_no", "path", "lang", *keep]
     rows = (
-        lines(sources, keep=tuple(carried))
-        .select(*carried, "line_num", "line", trim_blank(F.col("line")).alias("body"), wanted.alias("wanted"))
+        lines(sources, keep=(*carried, "hides"))
+        .select(*carried, "hides", "line_num", "line", trim_blank(F.col("line")).alias("body"), wanted.alias("wanted"))
         .filter(F.col("wanted") | (_find_by_lang("body", {k: _heads_regex(k) + "|" + _MARKS[k] for k in HEADS}) != ""))
         .select(
-            *carried, "line_num", "body", "wanted",
+            *carried, "hides", "line_num", "body", "wanted",
             F.startswith("line", F.lit("=")).alias("flush"),
             F.when(F.col("wanted"), F.col("line")).alias("line"),
         )
-        .withColumn("act", _comment_action())
+        .withColumn("act", F.when(F.col("hides") | (lang == "python"), _comment_action()))
         .withColumn("s", F.when(parsed, _visible_text(F.lit(False))))
-        .withColumn("s_in", F.when(parsed, _visible_text(F.lit(True))))
+        .withColumn("s_in", F.when(parsed & F.col("hides"), _visible_text(F.lit(True))))
     )
 
     # Braces count on every PHP statement but ``use``.
-    def braces(text: str) -> Column:
+    def punctuation(text: str) -> Column:
         col = F.col(text)
-        return F.when((lang == "php") & col.rlike("[{}]") & ~_php_is_use(col), F.expr(_PHP_BRACES % text))
+        braced = (lang == "php") & (F.contains(col, F.lit("{")) | F.contains(col, F.lit("}"))) & ~_php_is_use(col)
+        return F.when(braced, F.regexp_replace(col, _PHP_PUNCTUATION, "$1"))
 
     rows = rows.select(
-        "*", _marks(s, body != "").alias("marks"),
-        _marks(F.col("s_in"), F.lit(True)).alias("marks_in"), braces("s").alias("b"), braces("s_in").alias("b_in"),
-    ).select(
+        "*", _marks(s, body != "").alias("marks"), F.when(F.col("hides"), _marks(F.col("s_in"), F.lit(True))).otherwise(0).alias("marks_in"),
+        punctuation("s").alias("left"), F.when(F.col("hides"), punctuation("s_in")).alias("left_in"),
+    ).select("*", _php_balance("left").alias("b"), _php_balance("left_in").alias("b_in")).select(
         *carried, "line_num", "line", "wanted", "s", "s_in",
         F.coalesce("act", F.lit(NO_ACTION)).alias("act"), "marks", "marks_in",
         F.coalesce("b.delta", F.lit(0)).alias("delta"), F.coalesce("b.lowest", F.lit(_NEVER_LOW)).alias("low"),

@@ -43,9 +43,9 @@ def nodes(
         .filter(paths.matches_any_include(path, rel, list(include or ())))
     )
 
-    # A file yields its own node and one per directory above it, in one pass over the
-    # statistics.  Directories repeat for every file below them and are folded map-side,
-    # so a huge directory shuffles one row per task.
+    # A file yields its own node, which nothing else yields, and one per directory above it.
+    # Directories repeat for every file below them and are folded map-side, so a huge directory
+    # shuffles one row per task; files are not grouped at all.
     parts = F.split("path", "/")
     n_dirs = F.size(parts) - 1
     by_time = sort == "modified"
@@ -71,9 +71,12 @@ def nodes(
         ),
     )
     measures = ["line_count", "symbol_count", "byte_size", "modified_ns"] + (["mtimes"] if by_time else [])
-    found = (
-        files.select(F.explode(F.concat(F.array(leaf), folders)).alias("n")).select("n.*")
+    above_files = (
+        files.select(F.explode(folders).alias("n")).select("n.*")
         .groupBy("full_path", "is_dir").agg(*[F.max(m).alias(m) for m in measures])
+    )
+    found = (
+        files.select(leaf.alias("n")).select("n.full_path", "n.is_dir", *(f"n.{m}" for m in measures)).unionByName(above_files)
         .withColumn("bare", F.rtrim("full_path", F.lit("/")))
         .filter(paths.matches_base(F.col("bare"), base))
     )
