@@ -172,4 +172,25 @@ ORACLES: dict[str, str] = {
                CASE WHEN n_words >= 20 AND place <= (SELECT count(*) FROM y WHERE n_words >= 20) * 25 // 100 THEN place END AS rank
         FROM z
     """,
+    "op5_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+          FROM documents
+        ), s AS (
+          SELECT doc_id, list_sort(list_distinct(CASE
+            WHEN len(words) = 0 THEN []::VARCHAR[] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+            ELSE [array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)] END)) AS sh
+          FROM w
+        ), d AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n, CASE WHEN len(sh) > 0 THEN md5(array_to_string(sh, chr(10))) END AS key, sh FROM s),
+        u AS (SELECT key, min(doc_id) AS head, any_value(n) AS n, any_value(sh) AS sh FROM d WHERE key IS NOT NULL GROUP BY key),
+        x AS (SELECT key, n, unnest(sh) AS g FROM u),
+        p AS (
+          SELECT a.key AS a, b.key AS b FROM x a JOIN x b ON a.g = b.g AND a.key < b.key GROUP BY a.key, b.key, a.n, b.n
+          HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+        ), e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+        reach(key, other) AS (SELECT key, key FROM u UNION SELECT r.key, e.b FROM reach r JOIN e ON e.a = r.other),
+        c AS (SELECT reach.key, min(u.head) AS component_id FROM reach JOIN u ON u.key = reach.other GROUP BY reach.key)
+        SELECT doc_id, n AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM d LEFT JOIN c USING (key)
+    """,
 }
