@@ -185,6 +185,16 @@ def test_chat_parts_nulls_and_long_dialogues(spark):
     assert chat.rotate(df.limit(0)).count() == 0
 
 
+def test_no_text_passes_the_window_of_a_dialogue(spark):
+    turns = [(1, i, f"speaker{i % 2}", f"said {i}") for i in range(3000)] + [(c, i, "user", "x") for c in range(2, 40) for i in range(5)]
+    df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").repartition(7)
+    rotated = chat.rotate(df, part_turns=16)
+    check_chat(rotated, turns, 16)
+    plan = rotated._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Window") :].split("Relation")[0]
+    assert "text" not in below and "masks" not in below
+
+
 def test_language_query_is_right_on_held_out_rows(spark):
     truth = {r.doc_id: (r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     rows = op10_language_id(spark, "/root/testdata/sf0.01").collect()

@@ -6,8 +6,8 @@ to learn: the content of the assistant's turns and the end mark after it.
 
 Dialogues come out in parts of at most ``part_turns`` turns, each one text, with the character
 offset at which it starts; a dialogue of usual length is one part.  Turns are dealt out by range
-over (conversation, turn), so one endless dialogue is spread over many tasks: places and offsets
-inside it come from sums per range, not from one window.
+over (conversation, turn), so one endless dialogue is spread over many tasks: places inside it come from
+sums per range.  Offsets come from one slim row per part; no text passes that window.
 """
 
 from __future__ import annotations
@@ -91,9 +91,11 @@ def rotate(
     parts = seen.select(
         "conv", "who", "part", "chars", F.size("turns").alias("n_turns"), F.array_join(pieces, "").alias("text"), fold.alias("masks"),
     )
+    # Offsets come from rows without texts; every part then meets its own, under a key of its own.
+    parts = Scratch(turns.sparkSession, "chat").save(parts, "parts")
     earlier = Window.partitionBy("conv", "who").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return parts.select(
+    starts = parts.select("conv", "who", "part", F.coalesce(F.sum("chars").over(earlier), F.lit(0)).cast("long").alias("start_char"))
+    return parts.join(starts, ["conv", "who", "part"]).select(
         F.col("conv").alias(conv_column), F.col("who").alias("perspective"), F.col("part").cast("int").alias("part"),
-        F.coalesce(F.sum("chars").over(earlier), F.lit(0)).cast("long").alias("start_char"), F.col("n_turns"),
-        F.size("masks").alias("n_masked"), "text", "masks",
+        "start_char", F.col("n_turns"), F.size("masks").alias("n_masked"), "text", "masks",
     )
