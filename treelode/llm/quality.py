@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treelode.llm.common import Scratch, bytes_of, mix64, text_slices
+from treelode.llm.common import bytes_of, give_back, mix64, Scratch, text_slices
 from treelode.llm.jaccard import LOWER, SPACES
 from treelode.llm.suffixdedup import powers
 
@@ -134,7 +134,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str
     labelled = docs.withColumn("twin", F.xxhash64("text")).join(F.broadcast(sample), "doc_id")
     chosen = labelled.select("doc_id", "twin").distinct().orderBy(F.xxhash64("doc_id", "twin"), "doc_id", "twin").limit(rows)
     found = labelled.join(F.broadcast(chosen), ["doc_id", "twin"]).dropDuplicates(["doc_id", "twin"])
-    found = feature_rows(found.drop("twin")).toArrow()
+    try:
+        return fit_heads(feature_rows(found.drop("twin")).toArrow())
+    finally:
+        give_back()
+
+
+def fit_heads(found: pa.Table) -> dict[str, tuple]:
+    """Both heads from the gathered features; nothing of them is held afterwards."""
     grams = [np.frombuffer(g.as_buffer(), "<i4") for g in found["grams"]]
     shape = np.array(found["shape"].to_pylist()).reshape(len(grams), SHAPES)
     out = {}
