@@ -15,8 +15,7 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # A source file may be up to 512 KiB of text: keep Arrow batches small enough
-    # that one batch of whole files stays in the tens of megabytes.
+    # Rows of Arrow batches are often whole files.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.parquet.filterPushdown": "true",
     # Keyed state with timers needs it.
