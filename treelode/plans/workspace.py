@@ -21,6 +21,7 @@ from treelode.plans.store import COMMITS, TextStore, one_writer
 from treelode.schema import VERSIONS
 from treelode.session import cut_lineage
 from treelode.sources import corpus, listing, snapshot, storage
+from treelode.sources.directories import Directories
 
 
 class Workspace(TextStore):
@@ -36,6 +37,11 @@ class Workspace(TextStore):
         """Where a stream over this workspace keeps its progress."""
         return self._table(f"streams/{name}")
 
+    @property
+    def directories(self) -> Directories:
+        """The tree as it was last listed."""
+        return Directories(self.spark, self.root, self._table("directories"))
+
     def _commits(self) -> DataFrame | None:
         try:
             return self.spark.read.schema(COMMITS).parquet(self._table("commits"))
@@ -102,11 +108,13 @@ class Workspace(TextStore):
         """Walk, read and parse everything; one snapshot version per walked file."""
         commit = self._commit_row()
         gen = 0 if commit is None or commit["gen"] is None else commit["gen"] + 1
-        found = listing.walk(self.spark, self.root)
+        tree_rows = listing.list_tree(self.spark, self.root)
+        found = listing.files_of(tree_rows)
         last_doc = self._write_generation(gen, self._as_known(found, gen), found, commit)
         entries = found.select("path", F.col("length").alias("size"))
         batch = self._append_snapshots(entries)
         self._commit_with(gen, [(gen, gen, 0)], listing.git_head(self.root), batch, last_doc)
+        self.directories.replace(tree_rows)
         return self.index_result()
 
     def index_result(self) -> dict:
@@ -149,10 +157,12 @@ class Workspace(TextStore):
         return self.current_seq()
 
     @one_writer
-    def refresh(self, strict_hash: bool = True) -> int:
+    def refresh(self, strict_hash: bool = True, signals: DataFrame | None = None) -> int:
         """Pick up created, modified and deleted files; returns how many changed.
 
-        With ``strict_hash`` a file whose stored hash is still unknown is hashed from the
+        Only directories that moved since the last listing are listed again; ``signals`` says which,
+        where a stream has found out.  The listing is kept after the commit, so what a failed job
+        left undone is found again.  With ``strict_hash`` a file whose stored hash is still unknown is hashed from the
         content stored in the index, so touching a file is not reported as a change.
         """
         commit = self._commit_row()
@@ -161,9 +171,19 @@ class Workspace(TextStore):
             before = self.current_seq()
             self.index()
             return self.current_seq() - before
+        if not self.directories.chain():  # a state that was written without one
+            self.directories.replace(listing.list_tree(self.spark, self.root).where("false"))
+        moved = self.directories.moved(signals)
+        if moved is None:
+            return 0
+        changed = self._record(commit, head, moved.files, moved.paths, strict_hash)
+        self.directories.add(moved.rows)
+        return changed
+
+    def _record(self, commit, head: str | None, found: DataFrame, paths: DataFrame, strict_hash: bool) -> int:
+        """Write what differs between the index and ``found``, among the files in ``paths``."""
         gen = commit["gen"] + 1
-        known = self.view().known()
-        found = listing.walk(self.spark, self.root)
+        known = self.view().known().join(paths, "path", "left_semi")
         fresh = found.select(
             "path", F.expr("mtime_ns div 1000000").alias("mtime_ms"), F.col("length").alias("size"), "mtime_ns", "dir_mtimes"
         )

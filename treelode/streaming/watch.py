@@ -1,12 +1,12 @@
 """Watching a workspace with Structured Streaming.
 
-Spark's file source reports neither deletions nor in-place edits, so the stream only sets
-the pace: every trigger runs one refresh, a distributed listing joined to the known state.
-Edit notifications arrive as small text files of paths in a folder and are indexed at
-once.  Both queries write through ``foreachBatch``, one at a time (the workspace admits one
-writer); a failed batch is simply run again, because a refresh that published nothing changes
-nothing.  Each query keeps its progress beside the workspace, so a restart does not index old
-notifications again.
+Spark's file source reports neither deletions nor in-place edits.  The stream of what moved in a
+tree comes from ``sources.directories`` instead: each trigger compares the kept listing with the
+tree, bucket by bucket, and only directories that moved are listed again.  Edit notifications
+arrive as small text files of paths in a folder and are indexed at once.  Both queries write
+through ``foreachBatch``, one at a time (the workspace admits one writer); a failed batch is simply
+run again, because what it left undone still differs from the kept listing.  Each query keeps its
+progress beside the workspace, so a restart does not index old notifications again.
 """
 
 from __future__ import annotations
@@ -26,10 +26,9 @@ class Watcher:
 
     def start(self) -> "Watcher":
         spark = self.ws.spark
-        clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
         self.queries.append(
-            clock.writeStream.foreachBatch(lambda batch, epoch: self.on_tick(epoch))
-            .option("checkpointLocation", self.ws.stream_folder("watch"))
+            self.ws.directories.signal_stream().writeStream.foreachBatch(self.on_tick)
+            .option("checkpointLocation", self.ws.stream_folder("moved"))
             .trigger(processingTime=self.poll).queryName("treelode-watch").start()
         )
         if self.notify_dir:
@@ -42,8 +41,8 @@ class Watcher:
         self.ws.watching = True
         return self
 
-    def on_tick(self, epoch: int) -> None:
-        self.ws.refresh()
+    def on_tick(self, batch: DataFrame, epoch: int) -> None:
+        self.ws.refresh(signals=batch)
 
     def on_notify(self, batch: DataFrame, epoch: int) -> None:
         self.ws.notify_frame(batch.selectExpr("value AS path"))
