@@ -293,77 +293,96 @@ def _sums_before(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[:-1] - total[first]
 
 
+#: State before the first line of a file: inside a comment, in an import listing, brace depth, depth
+#: at which the open class began, whether there is one, lowest depth since, lines that count as
+#: absent, last line seen, place of the last test attribute.
+STATE = ("comment", "listing", "depth", "opened", "has_class", "lowest", "absent", "last", "attribute")
+BEGIN = (0, 0, 0, 0, 0, _NEVER_LOW, 0, 0, -1)
+_MACHINE = ("line_num", "act", "marks", "marks_in", "delta", "low", "delta_in", "low_in")
+
+
+def _advance(batch: pa.RecordBatch, opens: np.ndarray, first: np.ndarray, start: list[np.ndarray]) -> tuple[tuple, tuple]:
+    """What the machine knows at every row of a batch (``_RUNNING``), and its ``STATE`` after each row.
+
+    ``opens`` marks the first row of each file, ``first`` is its place, and ``start`` the state its
+    file begins in, one entry per row.  Everything comes from running sums and maxima.
+    """
+    n = batch.num_rows
+    num, act, marks, marks_in, delta, low, delta_in, low_in = (batch.column(c).to_numpy().astype(np.int64) for c in _MACHINE)
+    comment0, listing0, depth0, opened0, has_class0, lowest0, absent0, last0, attribute0 = start
+
+    # Inside a comment: what the last ENTER or LEAVE said, turned by each TOGGLE since.
+    odd = (_sums_before(act == TOGGLE, first) & 1).astype(bool)
+    sets = (act == ENTER) | (act == LEAVE)
+    inside = _before((act == ENTER) ^ odd, sets, first, comment0.astype(bool)).astype(bool) ^ odd
+    marks, delta, low = np.where(inside, marks_in, marks), np.where(inside, delta_in, delta), np.where(inside, low_in, low)
+
+    # Rust lines that show nothing count as absent, kept or not.
+    last_num = np.where(opens, last0, np.concatenate([[0], num[:-1]]))
+    gone = np.where(inside & (marks & RUST > 0), num - last_num - 1, 0) + (marks & HIDDEN > 0)
+    absent = absent0 + _sums_before(gone, first) + gone
+    marked = marks & ATTRIBUTE > 0
+    attribute = _before(num - absent, marked, first, attribute0)
+    starts, turns = (marks & GO_OPEN > 0).astype(np.int64), marks & (GO_OPEN | GO_CLOSE) > 0
+    listing = _before(starts, turns, first, listing0)
+
+    # A PHP class is open until a closing brace falls back to the depth it began at.
+    depth = depth0 + _sums_before(delta, first)
+    is_class = marks & CLASS > 0
+    began = np.maximum.accumulate(np.where(is_class | opens, np.arange(n), 0))  # of the class, or of the file
+    by_class = is_class[began]
+    opened = np.where(by_class, depth[began], opened0)
+    has_class = by_class | has_class0.astype(bool)
+    reached = np.where(low == _NEVER_LOW, _NEVER_LOW, depth + low)
+    stretch = (_NEVER_LOW << 1) * (n - began)
+    running = np.minimum.accumulate(reached + stretch) - stretch
+    before = np.where(began == np.arange(n), _NEVER_LOW, np.concatenate([[_NEVER_LOW], running[:-1]]))
+    before = np.where(by_class, before, np.minimum(before, lowest0))
+
+    known = (inside, listing == 1, attribute == num - absent - 1, has_class & (before > opened))
+    after = (
+        np.where(act == TOGGLE, ~inside, np.where(act == NO_ACTION, inside, act == ENTER)), np.where(turns, starts, listing),
+        depth + delta, opened, has_class, np.minimum(before, reached), absent, num, np.where(marked, num - absent, attribute),
+    )
+    return known, after
+
+
+def _stretches(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """File number of each row, whether it is the first of its file here, and where that one is."""
+    no = batch.column("file_no").to_numpy()
+    opens = np.concatenate([[True], no[1:] != no[:-1]])
+    return no, opens, np.maximum.accumulate(np.where(opens, np.arange(len(no)), 0))
+
+
 def _running_state(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """State of every line given the lines of its file before it; see ``annotate``.
 
-    A batch is taken at once with running sums and maxima.  What a file that goes on in the next
-    batch has reached is handed over: comment, listing, depth, depth and lowest of the open class,
-    absent lines, last line, attribute.
+    A batch is taken at once; what a file that goes on in the next batch has reached is handed
+    over.  Files begin in the state of their ``entry`` where rows carry one.
     """
-    machine = ("line_num", "act", "marks", "marks_in", "delta", "low", "delta_in", "low_in")
-    begin = (False, False, 0, 0, False, _NEVER_LOW, 0, 0, -1)
-    file_no, carried = None, begin
+    file_no, carried = None, BEGIN
     for batch in batches:
-        n = batch.num_rows
-        if n == 0:
+        if batch.num_rows == 0:
             continue
-        no = batch.column("file_no").to_numpy()
-        num, act, marks, marks_in, delta, low, delta_in, low_in = (batch.column(c).to_numpy().astype(np.int64) for c in machine)
-        opens = np.concatenate([[True], no[1:] != no[:-1]])
-        first = np.maximum.accumulate(np.where(opens, np.arange(n), 0))
-        given = carried if no[0] == file_no else begin
-        start = [np.where(first == 0, g, b) for g, b in zip(given, begin)]
-        comment0, listing0, depth0, opened0, has_class0, lowest0, absent0, last0, attribute0 = start
-
-        # Inside a comment: what the last ENTER or LEAVE said, turned by each TOGGLE since.
-        toggles = _sums_before(act == TOGGLE, first)
-        sets = (act == ENTER) | (act == LEAVE)
-        said = _before((act == ENTER) ^ (toggles & 1).astype(bool), sets, first, comment0.astype(bool))
-        inside = said.astype(bool) ^ (toggles & 1).astype(bool)
-        marks, delta, low = np.where(inside, marks_in, marks), np.where(inside, delta_in, delta), np.where(inside, low_in, low)
-
-        # Rust lines that show nothing count as absent, kept or not.
-        last_num = np.where(opens, last0, np.concatenate([[0], num[:-1]]))
-        gone = np.where(inside & (marks & RUST > 0), num - last_num - 1, 0) + (marks & HIDDEN > 0)
-        absent = absent0 + _sums_before(gone, first) + gone
-        attribute = _before(num - absent, marks & ATTRIBUTE > 0, first, attribute0)
-        listing = _before(marks & GO_OPEN > 0, marks & (GO_OPEN | GO_CLOSE) > 0, first, listing0.astype(bool)).astype(bool)
-
-        # A PHP class is open until a closing brace falls back to the depth it began at.
-        depth = depth0 + _sums_before(delta, first)
-        is_class = marks & CLASS > 0
-        began = np.maximum.accumulate(np.where(is_class | opens, np.arange(n), 0))  # of the class, or of the file
-        by_class = is_class[began]
-        opened = np.where(by_class, depth[began], opened0)
-        has_class = by_class | has_class0.astype(bool)
-        reached = np.where(low == _NEVER_LOW, _NEVER_LOW, depth + low)
-        stretch = (_NEVER_LOW << 1) * (n - began)
-        running = np.minimum.accumulate(reached + stretch) - stretch
-        before = np.where(began == np.arange(n), _NEVER_LOW, np.concatenate([[_NEVER_LOW], running[:-1]]))
-        before = np.where(by_class, before, np.minimum(before, lowest0))
-        in_class = has_class & (before > opened)
-
-        end = n - 1
-        file_no = no[end]
-        carried = (
-            bool(inside[end] ^ True) if act[end] == TOGGLE else bool(act[end] == ENTER) if act[end] != NO_ACTION else bool(inside[end]),
-            bool(marks[end] & GO_OPEN) if marks[end] & (GO_OPEN | GO_CLOSE) else bool(listing[end]),
-            depth[end] + delta[end], opened[end], bool(has_class[end]), min(before[end], reached[end]), absent[end], num[end],
-            num[end] - absent[end] if marks[end] & ATTRIBUTE else attribute[end],
-        )
-        kept = batch.drop_columns([*machine[1:]])
-        found = (inside, listing, attribute == num - absent - 1, in_class)
-        yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(f) for f in found)], names=[*kept.schema.names, *_RUNNING])
-
-
-def annotate(files: DataFrame, also_keep: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Lines that matter, with ``entries``: the symbols each one declares.
-
-    ``also_keep`` is a predicate over ``line`` and ``line_num``; its rows are kept as well and
-    marked ``wanted``, so a search can be combined with the outline in the same pass.
-    ``keep`` names more columns of ``files`` to carry.
-    Result: file_no, path, line_num, line (null unless wanted), wanted, entries, ``keep``; rows
-    of one file are adjacent and in line order.
+        no, opens, first = _stretches(batch)
+        begin: tuple = BEGIN
+        if "entry" in batch.schema.names:
+            entry = batch.column("entry")
+            begin = tuple(entry.field(name).to_numpy() for name in STATE)
+        given = [no[0] == file_no and first == 0] * len(STATE)
+        start = [np.where(goes_on, g, b) for goes_on, g, b in zip(given, carried, begin)]
+        start = [np.broadcast_to(column, len(no)) for column in start]
+        known, after = _advance(batch, opens, first, start)
+        file_no, carried = no[-1], tuple(column[-1] for column in after)
+        kept = batch.drop_columns([c for c in (*_MACHINE[1:], "entry") if c in batch.schema.names])
+        yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(f) for f in known)], names=[*kept.schema.names, *_RUNNING])
+
+
+def machine_rows(files: DataFrame, also_keep: Column | None, keep: tuple[str, ...], hides: Column | None = None) -> DataFrame:
+    """Lines that can declare a symbol or change a state, as ``_advance`` takes them: what each
+    does to the state where it is visible (``s``) and where a comment is open (``s_in``).
+
+    ``hides`` tells which files ever have an open comment; by default those that hold its mark.
     """
     lang, s, body = F.col("lang"), F.col("s"), F.col("body")
     wanted = F.lit(False) if also_keep is None else also_keep
@@ -372,7 +391,8 @@ def annotate(files: DataFrame, also_keep: Column | None = None, keep: tuple[str,
     if also_keep is None:
         sources = sources.filter(parsed)
     # A file that opens no block comment is never inside one: what lines would mean there is not asked.
-    hides = F.contains("text", F.lit("/*")) | (lang == "ruby") & F.contains("text", F.lit("=begin"))
+    if hides is None:
+        hides = F.contains("text", F.lit("/*")) | (lang == "ruby") & F.contains("text", F.lit("=begin"))
     sources = sources.withColumn("file_no", F.monotonically_increasing_id()).withColumn("hides", hides)
     carried = ["file_no", "path", "lang", *keep]
     rows = (
@@ -395,7 +415,7 @@ def annotate(files: DataFrame, also_keep: Column | None = None, keep: tuple[str,
         braced = (lang == "php") & (F.contains(col, F.lit("{")) | F.contains(col, F.lit("}"))) & ~_php_is_use(col)
         return F.when(braced, F.regexp_replace(col, _PHP_PUNCTUATION, "$1"))
 
-    rows = rows.select(
+    return rows.select(
         "*", _marks(s, body != "").alias("marks"), F.when(F.col("hides"), _marks(F.col("s_in"), F.lit(True))).otherwise(0).alias("marks_in"),
         punctuation("s").alias("left"), F.when(F.col("hides"), punctuation("s_in")).alias("left_in"),
     ).select("*", _php_balance("left").alias("b"), _php_balance("left_in").alias("b_in")).select(
@@ -404,11 +424,33 @@ def annotate(files: DataFrame, also_keep: Column | None = None, keep: tuple[str,
         F.coalesce("b.delta", F.lit(0)).alias("delta"), F.coalesce("b.lowest", F.lit(_NEVER_LOW)).alias("low"),
         F.coalesce("b_in.delta", F.lit(0)).alias("delta_in"), F.coalesce("b_in.lowest", F.lit(_NEVER_LOW)).alias("low_in"),
     )
+
+
+def annotate(
+    files: DataFrame, also_keep: Column | None = None, keep: tuple[str, ...] = (), entry: bool = False
+) -> DataFrame:
+    """Lines that matter, with ``entries``: the symbols each one declares.
+
+    ``also_keep`` is a predicate over ``line`` and ``line_num``; its rows are kept as well and
+    marked ``wanted``, so a search can be combined with the outline in the same pass.
+    ``keep`` names more columns of ``files`` to carry.  With ``entry`` each row of ``files`` is a
+    block of a file and its column ``entry`` the state it begins in; see ``operators.blocks``.
+    Result: file_no, path, line_num, line (null unless wanted), wanted, entries, ``keep``; rows
+    of one file are adjacent and in line order.
+    """
+    hides = None
+    if entry:
+        hides = (F.col("entry.comment") == 1) | F.contains("text", F.lit("/*")) | F.contains("text", F.lit("=begin"))
+    given = ("entry",) if entry else ()
+    rows = machine_rows(files, also_keep, (*keep, *given), hides)
+    if entry:
+        rows = rows.withColumn("line_num", (F.col("line_num") + F.col("entry.lines")).cast("int"))
+    carried = ["file_no", "path", "lang", *keep]
     through = [*carried, "line_num", "line", "wanted", "s", "s_in"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*through).schema)
     schema += "".join(f", {name} boolean" for name in _RUNNING)
-    rows = rows.mapInArrow(_running_state, schema)
-    rows = rows.withColumn("s", F.when(F.col("inside"), F.col("s_in")).otherwise(s)).drop("s_in")
+    rows = rows.select(*through, *given, *_MACHINE[1:]).mapInArrow(_running_state, schema)
+    rows = rows.withColumn("s", F.when(F.col("inside"), F.col("s_in")).otherwise(F.col("s"))).drop("s_in")
     rows = rows.withColumn("head", _find_by_lang("s", {k: _heads_regex(k) for k in HEADS}))
     rows = rows.withColumn("kind", _head_kind())
     return _with_entries(rows, carried).select("file_no", "path", "line_num", "line", "wanted", "entries", *keep)
@@ -484,8 +526,12 @@ def _zig_const_kind(s: Column) -> Column:
 
 def declarations(files: DataFrame) -> DataFrame:
     """One row per symbol with its raw imports; ``ord`` is the order within its line."""
+    return exploded(annotate(files))
+
+
+def exploded(annotated: DataFrame) -> DataFrame:
     return (
-        annotate(files)
+        annotated
         # The outer form keeps Catalyst from repeating the parse in an inferred filter.
         .select("path", "line_num", F.posexplode_outer("entries").alias("ord", "e"))
         .filter("ord IS NOT NULL")
