@@ -175,5 +175,29 @@ def code_files(spark: SparkSession, sf_dir: str, source: str, langs=tuple(TEMPLA
     return rows.select(F.explode(F.array(*made)).alias("f")).select("f.path", "f.text")
 
 
+def large_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of ``operators.blocks``: one file per order priority and language, which holds the texts
+    of its orders by key, each cut in two, so that every state crosses blocks.  Nothing is shuffled."""
+    k, c, flag = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.expr(SOURCES["orders"][2])
+
+    def fill(template: str) -> Column:
+        return F.replace(F.replace(F.lit(template), F.lit("{k}"), k), F.lit("{c}"), c)
+
+    made = []
+    for lang, template in TEMPLATES.items():
+        whole = {held: template_text(lang, held)[:-1].split("\n") for held in (True, False)}
+        middle = len(template.lines) // 2
+        for half, part in enumerate((slice(0, middle), slice(middle, None))):
+            texts = {held: fill("\n".join(found[part])) for held, found in whole.items()}
+            made.append(F.struct(
+                F.concat(F.lit(f"large/{lang}/"), "o_orderpriority", F.lit(template.ext)).alias("path"),
+                (F.col("o_orderkey").cast("bigint") * 2 + half).alias("block"),
+                F.lit(len(whole[True][part])).cast("bigint").alias("n_lines"), F.lit(False).alias("alone"),
+                F.when(flag, texts[True]).otherwise(texts[False]).alias("text"),
+            ))
+    rows = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", *_flag_columns(SOURCES["orders"][2])))
+    return rows.select(F.explode(F.array(*made)).alias("b")).select("b.*")
+
+
 def _flag_columns(flag: str) -> list[str]:
     return [flag.split(" ")[0]]

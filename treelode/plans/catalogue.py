@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from treelode.functions import paths, regex
 from treelode.functions.text import line_count
-from treelode.operators import agents, deps, diff, lines, ngrams, pairs, search, symbols, tree, trigrams, versions, words
+from treelode.operators import agents, blocks, deps, diff, lines, ngrams, pairs, search, symbols, tree, trigrams, versions, words
 from treelode.plans import adapters
 from treelode.sources import corpus, ignore
 
@@ -26,6 +26,7 @@ FUZZY = "src1 en *.md"
 IGNORE = "*1.md\n/src3/\nfr/\n!src2/fr/\n/src5/d*/*7.md\n!*11.md\nsrc6/en\n"
 CURSOR_FRACTION = 2
 LINE_RANGE = (2, 4)
+LARGE_RANGE = (1_000, 2_500)
 REAP_TIMEOUT_MS = 3_600_000
 LEASE_TTL_MS = 60_000
 SCOPE_QUERY = "RUN"
@@ -254,6 +255,16 @@ def _symbols_of(lang: str) -> Query:
     return query
 
 
+def symbols_of_large_files(spark, sf):
+    """Files that are as many rows as a table: the state of each block comes from those before it."""
+    return symbols.symbols(blocks.declarations(adapters.large_files(spark, sf)))
+
+
+def lines_of_large_files(spark, sf):
+    """A range in the middle of every such file."""
+    return blocks.extract_lines(adapters.large_files(spark, sf), *LARGE_RANGE)
+
+
 def outline_summary(spark, sf):
     return _tree_stats(spark, sf)
 
@@ -445,7 +456,7 @@ QUERIES: dict[str, Query] = {
         index_base_overlay, index_file_count, trigram_lookup, pair_counts, pair_weights, ngram_postings, ngram_candidates, extract_lines,
         compact_lines, symbol_bodies, glob_include, base_path, tree_nodes, tree_filtered, tree_depth_zero,
         tree_max_nodes, tree_by_size, language_detect, sensitive_filter, skip_dir_filter, skip_file_filter,
-        ignore_rules, nested_ignore_rules, outline_summary, outlines, find_symbol, find_all_symbols, deps_edges,
+        ignore_rules, nested_ignore_rules, symbols_of_large_files, lines_of_large_files, outline_summary, outlines, find_symbol, find_all_symbols, deps_edges,
         deps_forward, deps_reverse, deps_reverse_all, importer_counts, changes_since, changes_count,
         latest_version, version_at_cursor, version_cap, hot_files, current_seq, list_files,
         sequence_assignment, change_diff, agent_leases, agent_grants, agent_grants_registered, agent_liveness, fuzzy_paths, fuzzy_top,

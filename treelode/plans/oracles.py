@@ -531,6 +531,49 @@ ORACLES.update({
     f"symbols_{lang}": f"WITH {declarations('orders', (lang,))} {SYMBOLS}" for lang in EXPECTED
 })
 
+# Files of many orders: the lines of a template follow those of the orders before.  Only the Python
+# template hands a state on: an order without its flag leaves a string open when it began outside
+# of one, and an order that begins inside shows the two declarations below.
+LARGE_INSIDE = [(5, "function", "in_doc_{k}", "def in_doc_{k}():"), (11, "function", "tail_{k}", "def tail_{k}(): return 1")]
+LARGE = (
+    f"o1 AS (SELECT *, {adapters.SOURCES['orders'][2]} AS flag, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS rn FROM orders), "
+    "o2 AS (SELECT *, max(CASE WHEN flag THEN rn END) OVER (PARTITION BY o_orderpriority ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS shown FROM o1), "
+    "o AS (SELECT *, (rn - 1 - coalesce(shown, 0)) % 2 = 1 AS inside FROM o2)"
+)
+
+
+def large_symbols() -> str:
+    parts = []
+    for lang in EXPECTED:
+        template = adapters.TEMPLATES[lang]
+        found = [(line, kind, name, detail, need, False) for line, _, kind, name, detail, _, need in EXPECTED[lang]]
+        if lang == "python":
+            found += [(*row, None, True) for row in LARGE_INSIDE]
+        for line, kind, name, detail, need, inside in found:
+            tests = [] if need is None else ["flag" if need else "NOT flag"]
+            tests += [] if lang != "python" else ["inside" if inside else "NOT inside"]
+            at = f"CAST((rn - 1) * {len(template.lines)} + {line} AS INTEGER)"
+            parts.append(
+                f"SELECT 'large/{lang}/' || o_orderpriority || '{template.ext}' AS path, {fill(name, 'orders')} AS name, '{kind}' AS kind, "
+                f"{at} AS line_start, {at} AS line_end, {fill(detail, 'orders')} AS detail FROM o{' WHERE ' + ' AND '.join(tests) if tests else ''}"
+            )
+    return f"WITH {LARGE} " + " UNION ALL ".join(parts)
+
+
+def large_lines() -> str:
+    first, last = cat.LARGE_RANGE
+    parts = []
+    for lang, template in adapters.TEMPLATES.items():
+        text = f"CASE WHEN flag THEN {fill(adapters.template_text(lang, True), 'orders')} ELSE {fill(adapters.template_text(lang, False), 'orders')} END"
+        parts.append(
+            f"SELECT 'large/{lang}/' || o_orderpriority || '{template.ext}' AS path, CAST((rn - 1) * {len(template.lines)} + i AS INTEGER) AS line_num, "
+            f"string_split({text}, chr(10))[i] AS line FROM o, range(1, {len(template.lines) + 1}) t(i)"
+        )
+    return f"WITH {LARGE}, a AS ({' UNION ALL '.join(parts)}) SELECT * FROM a WHERE line_num BETWEEN {first} AND {last}"
+
+
+ORACLES.update({"symbols_of_large_files": large_symbols(), "lines_of_large_files": large_lines()})
+
 # ── stored state ─────────────────────────────────────────────────────────────
 
 STORED = (

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treelode.functions import regex as dialect
-from treelode.operators import postings, search, symbols, words
+from treelode.operators import blocks, postings, search, symbols, words
 from treelode.operators.numbering import with_dense_numbers
 from treelode.sources import corpus, listing, storage
 
@@ -158,10 +158,13 @@ def newest(known: DataFrame) -> DataFrame:
 
 
 class TextStore:
-    def __init__(self, spark: SparkSession, state_dir: str, indexes: tuple[str, ...] = INDEXES):
+    def __init__(
+        self, spark: SparkSession, state_dir: str, indexes: tuple[str, ...] = INDEXES, block_bytes: int = blocks.BLOCK_BYTES
+    ):
         self.spark = spark
         self.state_dir = state_dir
         self.indexes = indexes
+        self.block_bytes = block_bytes
         self._writer = threading.RLock()
 
     def _table(self, name: str) -> str:
@@ -215,10 +218,18 @@ class TextStore:
         self._write("files", run, placed.select(*columns).sortWithinPartitions("span", "doc_id"), "span")
         return self.spark.read.schema(FILES).parquet(f"{self._table('files')}/run={run}")
 
+    def _declared(self, texts: DataFrame) -> DataFrame:
+        """Symbols of stored texts; those of more than ``block_bytes`` are parsed in blocks."""
+        large = F.col("length") > self.block_bytes
+        if texts.where(large).isEmpty():
+            return symbols.declarations(texts)
+        in_blocks = blocks.declarations(blocks.cut(texts.where(large), self.block_bytes))
+        return symbols.declarations(texts.where(~large)).unionByName(in_blocks)
+
     def _write_indexes(self, run: int, texts: DataFrame) -> None:
         gen = F.lit(run).cast("bigint").alias("gen")
         made = {
-            "declarations": lambda: symbols.declarations(texts).select("*", gen),
+            "declarations": lambda: self._declared(texts).select("*", gen),
             "words": lambda: words.sorted_runs(words.word_postings(texts)).select("*", gen),
             "trigrams": lambda: postings.sorted_runs(postings.build(texts)),
             "ngrams": lambda: postings.sorted_runs(postings.build(texts, postings.ngram_terms())),
