@@ -1,6 +1,8 @@
 """Quality against labels, contamination against plain edit distance, the pipeline stage by stage."""
 
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -138,8 +140,6 @@ def test_quality_of_rows_that_were_not_fitted(spark):
 
 
 def test_sparse_paths_shrink_to_their_host(spark):
-    import math
-
     rng = random.Random(4)
     docs = [(i, "fine words here and there " * rng.randint(3, 6) if i % 3 else "@@@ ### $$$ " * rng.randint(3, 9), f"host{i % 2}", "big" if i < 90 else "tiny") for i in range(92)]
     labels = [(i, int(i % 3 > 0), 0) for i in range(0, 92, 2)]
@@ -262,3 +262,23 @@ def test_stages_keep_exactly_the_chosen_rows(spark, tmp_path):
     spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     kept = corpus_pipeline.quality_stage(spark, spark.createDataFrame(docs, "doc_id bigint, text string, source string, lang string"), str(tmp_path)).collect()
     assert sorted(r.text for r in kept) == sorted(t for _, t, *_ in docs if t.startswith("fine"))
+
+
+def test_features_against_plain_text(spark):
+    """Shapes exactly, and 5-grams up to the few that share a bucket, of whole texts beside each other."""
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + ["", "a", "A b  b\n9", "\u00e9 \u00e9 x"]
+    data = [t.encode() for t in texts]
+    starts = np.concatenate([[0], np.cumsum([len(d) for d in data])])
+    grams, shape = quality.features(np.frombuffer(b"".join(data), np.uint8), starts)
+    for one, found, own in zip(data, grams, shape):
+        low = bytes(c + 32 if 65 <= c <= 90 else c for c in one)
+        plain = {low[i : i + 5] for i in range(len(low) - 4)}
+        assert 0.97 * len(plain) <= len(found) <= len(plain)
+        words = [w for w in re.split(rb"[\x20\x09-\x0d]+", low) if w]
+        n, w = max(1, len(one)), max(1, len(words))
+        signs = sum(c < 128 and c not in b"\t\n\x0b\x0c\r ,." and not chr(c).isalnum() for c in low)
+        want = [
+            sum(65 <= c <= 90 for c in one) / n, sum(48 <= c <= 57 for c in one) / n, signs / n, sum(c >= 128 for c in one) / n,
+            one.count(b"\n") / n, sum(a == b for a, b in zip(words, words[1:])) / w, len(set(words)) / w, math.log1p(len(words)) / 10,
+        ]
+        assert own.tolist() == pytest.approx(want, abs=1e-12)

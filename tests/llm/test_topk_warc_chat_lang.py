@@ -226,3 +226,45 @@ def test_language_bundle_is_the_sum_of_bound_letters():
     assert np.array_equal(vectors[3], bind(" ", "a", "b") + bind("a", "b", " "))
     assert np.array_equal(vectors[0], vectors[3] + bind(" ", "a", " "))
     assert not vectors[1].any() and not vectors[2].any()
+
+
+def test_language_of_every_row_against_plain_sums(spark):
+    """Learning, bundling and cosines again, one trigram at a time in doubles."""
+    import collections
+    import zlib
+
+    dimensions, letters, bound = 256, {}, {}
+
+    def letter(c):
+        if c not in letters:
+            letters[c] = np.random.Generator(np.random.PCG64(ord(c))).integers(0, 2, dimensions) * 2.0 - 1
+        return letters[c]
+
+    def bundle(text):
+        words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        line = f" {' '.join(words)} " if words else ""
+        total = np.zeros(dimensions)
+        for gram, n in collections.Counter(line[i : i + 3] for i in range(len(line) - 2) if line[i + 1] != " ").items():
+            if gram not in bound:
+                bound[gram] = np.roll(letter(gram[0]), 2) * np.roll(letter(gram[1]), 1) * letter(gram[2])
+            total += n * bound[gram]
+        return total
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.collect()
+    vectors = {r.doc_id: bundle(r.text or "") for r in rows}
+    learned = collections.defaultdict(lambda: np.zeros(dimensions))
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.lang is not None and r.text is not None:
+            learned[r.lang] += vectors[r.doc_id]
+    got = {r.doc_id: r for r in langid.identify(docs, dimensions).collect()}
+    assert len(got) == len(rows)
+    for doc, vector in vectors.items():
+        size = np.linalg.norm(vector)
+        if not size:
+            continue
+        cosines = {lang: float(vector @ v / size / np.linalg.norm(v)) for lang, v in learned.items()}
+        best = max(cosines.values())
+        assert got[doc].score == pytest.approx(min(1, max(0, best)), abs=1e-4)
+        assert cosines[got[doc].lang_pred] >= best - 1e-5
+        assert got[doc].held_out == (zlib.crc32(str(doc).encode()) % 3 == 1)
