@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from treelode.operators import deps, lines, symbols
 
@@ -174,3 +175,15 @@ def test_symbol_bodies_and_ranges(files, spark):
     got = {r["line_start"]: r["body"] for r in lines.symbol_bodies(files, ranges).collect()}
     assert got[2] == "    2 | from a.b import c\n    3 | from . import d\n"
     assert got[14] == '   14 | x = """ y """\n   15 | def back():\n   16 | \n'
+
+
+def test_joins_of_files_with_their_symbols_send_nothing_to_the_driver(spark, tmp_path):
+    table = str(tmp_path / "files")
+    text = F.concat(F.lit("def f"), F.col("id").cast("string"), F.lit("(): pass\n"))
+    spark.range(50).select(F.concat(F.col("id").cast("string"), F.lit(".py")).alias("path"), text.alias("text")).write.parquet(table)
+    files = spark.read.parquet(table)
+    decls = symbols.declarations(files)
+    made = lines.symbol_bodies(files, symbols.symbols(decls)), symbols.outlines(files, decls)
+    for df in made:
+        assert df.count() == 50
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()

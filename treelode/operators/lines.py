@@ -53,7 +53,9 @@ def symbol_bodies(files: DataFrame, ranges: DataFrame) -> DataFrame:
     """Numbered source of ``ranges(path, line_start, line_end)``.
 
     The ranges of a file are gathered first, so its text meets them in one row and is split
-    once, however many symbols it has.
+    once, however many symbols it has.  They are as many rows as there are files, whatever size
+    Spark expects of them (rows that a plan makes are not in its estimate), so neither side is
+    ever sent to the driver.
     """
     wanted = ranges.groupBy("path").agg(F.collect_list(F.struct("line_start", "line_end")).alias("ranges"))
 
@@ -66,5 +68,5 @@ def symbol_bodies(files: DataFrame, ranges: DataFrame) -> DataFrame:
         )
         return F.struct(span["line_start"].alias("line_start"), span["line_end"].alias("line_end"), F.array_join(numbered, "").alias("body"))
 
-    cut = files.join(wanted, "path").select("path", "ranges", F.split("text", "\n", -1).alias("parts"))
+    cut = files.join(wanted.hint("merge"), "path").select("path", "ranges", F.split("text", "\n", -1).alias("parts"))
     return cut.select("path", F.explode(F.transform("ranges", body)).alias("b")).select("path", "b.*")

@@ -613,7 +613,8 @@ def outlines(files: DataFrame, decls: DataFrame) -> DataFrame:
     )
     return (
         file_stats(files)
-        .join(packed, "path", "left")
+        # One row per file on either side: nothing for the driver, whatever size Spark expects.
+        .join(packed.hint("merge"), "path", "left")
         .select(
             "path", "language", "line_count", "byte_size",
             F.coalesce(syms, F.array()).alias("symbols"),
