@@ -187,3 +187,13 @@ def test_joins_of_files_with_their_symbols_send_nothing_to_the_driver(spark, tmp
     for df in made:
         assert df.count() == 50
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_trees_and_factored_imports_parse_files_once(spark, tmp_path):
+    from treelode.plans import catalogue, stored
+
+    sf = "/root/testdata/sf0.001"
+    for query in (catalogue.tree_nodes, catalogue.tree_by_size, catalogue.tree_filtered):
+        assert query(spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    for query in (stored.deps_factored, stored.deps_expanded):
+        assert "MapInArrow" not in query(spark, sf)._jdf.queryExecution().optimizedPlan().toString()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treelode.functions.paths import basename
+from treelode.session import cut_lineage
 
 
 def edges(decls: DataFrame) -> DataFrame:
@@ -49,10 +50,10 @@ def factored(deps: DataFrame, files: DataFrame) -> DataFrame:
     """
     keys = F.array_distinct(F.array("path", basename(F.col("path"))))
     named = files.select(F.explode(keys).alias("dep"), F.lit("file").alias("side"), "path")
-    importers = deps.select("dep", F.lit("importer").alias("side"), "path").distinct()
-    # Strings that only one side knows lead nowhere.
-    both = importers.join(named.select("dep").distinct(), "dep", "left_semi")
-    return both.unionByName(named.join(importers.select("dep").distinct(), "dep", "left_semi"))
+    # Strings that only one side knows lead nowhere.  What is left is kept, so that files are parsed once.
+    importers = deps.select("dep", F.lit("importer").alias("side"), "path").join(named.select("dep").distinct(), "dep", "left_semi")
+    both = cut_lineage(importers.distinct())
+    return both.unionByName(named.join(both.select("dep").distinct(), "dep", "left_semi"))
 
 
 def expand(pairs: DataFrame, asked: DataFrame) -> DataFrame:

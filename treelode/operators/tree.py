@@ -21,11 +21,14 @@ def nodes(
     include=(),
     sort: str = "name",
     dirs_first: bool = True,
+    listed: DataFrame | None = None,
 ) -> DataFrame:
     """Files that pass the filters plus the directories above them.
 
     ``stats`` has path, line_count, symbol_count, byte_size and optionally mtime_ns and
     ``dir_mtimes`` (one entry per ancestor directory, outermost first).
+    Directories take a second pass over the same files; ``listed`` may give their paths (and
+    ``dir_mtimes``) from where they cost less than in ``stats``.
     Result: full_path, depth (relative to the base), level (nesting), is_dir,
     line_count, symbol_count, byte_size, modified_ns, sort_key.
     """
@@ -33,15 +36,14 @@ def nodes(
         raise ValueError("sort must be one of: " + ", ".join(TREE_SORTS))
     base = (base or "").strip(" /")
     path = F.col("path")
-    for name, default in (("mtime_ns", "cast(0 as bigint)"), ("dir_mtimes", "cast(array() as array<bigint>)")):
-        if name not in stats.columns:
-            stats = stats.withColumn(name, F.expr(default))
-    rel = paths.relative_to(path, base)
-    files = (
-        stats.filter(paths.matches_base(path, base))
-        .filter(F.lit(True) if depth is None else _slashes(rel) <= depth)
-        .filter(paths.matches_any_include(path, rel, list(include or ())))
-    )
+
+    def shown(rows):
+        for name, default in (("mtime_ns", "cast(0 as bigint)"), ("dir_mtimes", "cast(array() as array<bigint>)")):
+            if name not in rows.columns:
+                rows = rows.withColumn(name, F.expr(default))
+        return passing(rows, base, depth, include)
+
+    files, above = shown(stats), shown(stats if listed is None else listed)
 
     # A file yields its own node, which nothing else yields, and one per directory above it.
     # Directories repeat for every file below them and are folded map-side, so a huge directory
@@ -72,7 +74,7 @@ def nodes(
     )
     measures = ["line_count", "symbol_count", "byte_size", "modified_ns"] + (["mtimes"] if by_time else [])
     above_files = (
-        files.select(F.explode(folders).alias("n")).select("n.*")
+        above.select(F.explode(folders).alias("n")).select("n.*")
         .groupBy("full_path", "is_dir").agg(*[F.max(m).alias(m) for m in measures])
     )
     found = (
@@ -89,16 +91,28 @@ def nodes(
         own = _component(name, False, F.col("byte_size"), F.col("modified_ns"), sort, dirs_first)
         return F.when((i < last) | F.col("is_dir"), folder).otherwise(own)
 
-    above = base.count("/") if base else 0
+    outside = base.count("/") if base else 0
     return found.select(
         "full_path",
         _slashes(paths.relative_to(F.col("bare"), base)).alias("depth"),
-        (last - F.lit(above)).alias("level"),
+        (last - F.lit(outside)).alias("level"),
         "is_dir", "line_count", "symbol_count", "byte_size", "modified_ns",
         F.transform(names, component).alias("sort_key"),
     )
 
 
+def passing(files: DataFrame, base: str | None = None, depth: int | None = None, include=()) -> DataFrame:
+    """The files a tree with these filters shows; asked of texts, others need not be parsed."""
+    base = (base or "").strip(" /")
+    path = F.col("path")
+    rel = paths.relative_to(path, base)
+    return (
+        files.filter(paths.matches_base(path, base))
+        .filter(F.lit(True) if depth is None else _slashes(rel) <= depth)
+        .filter(paths.matches_any_include(path, rel, list(include or ())))
+    )
+
+
 def _slashes(rel: Column) -> Column:
     return F.length(rel) - F.length(F.replace(rel, F.lit("/"), F.lit("")))
 

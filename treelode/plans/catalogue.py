@@ -191,26 +191,31 @@ def _tree_stats(spark, sf):
 TREE_COLUMNS = ("full_path", "depth", "level", "is_dir", "line_count", "symbol_count", "byte_size")
 
 
+def _tree(spark, sf, sort="name", **shown):
+    """Nodes of the source files; only files that the tree shows are parsed, and those once."""
+    code = tree.passing(_code(spark, sf), **shown)
+    return tree.nodes(symbols.summary(code), sort=sort, listed=code.select("path"), **shown)
+
+
 def tree_nodes(spark, sf):
-    return tree.nodes(_tree_stats(spark, sf)).select(*TREE_COLUMNS)
+    return _tree(spark, sf).select(*TREE_COLUMNS)
 
 
 def tree_filtered(spark, sf):
-    nodes = tree.nodes(_tree_stats(spark, sf), base="src/rust", depth=1, include=["f*7.rs", "rust/g1*/*"])
-    return nodes.select(*TREE_COLUMNS)
+    return _tree(spark, sf, base="src/rust", depth=1, include=["f*7.rs", "rust/g1*/*"]).select(*TREE_COLUMNS)
 
 
 def tree_depth_zero(spark, sf):
-    return tree.nodes(_tree_stats(spark, sf), base="src/php/g3", depth=0).select(*TREE_COLUMNS)
+    return _tree(spark, sf, base="src/php/g3", depth=0).select(*TREE_COLUMNS)
 
 
 def tree_max_nodes(spark, sf):
-    top = tree.ordered(tree.nodes(_tree_stats(spark, sf)), max_nodes=200)
+    top = tree.ordered(_tree(spark, sf), max_nodes=200)
     return tree.labelled(top).select("full_path", "level", "text")
 
 
 def tree_by_size(spark, sf):
-    top = tree.ordered(tree.nodes(_tree_stats(spark, sf), sort="size"), max_nodes=200)
+    top = tree.ordered(_tree(spark, sf, sort="size"), max_nodes=200)
     return top.select("full_path", "byte_size")
 
 
