@@ -157,3 +157,19 @@ def test_merged_levels(spark, store):
         levels.append([r["level"] for r in store.view().runs])
     assert levels[3] == [0, 0, 0, 0] and levels[4] == [0, 1] and levels[8] == [0, 1, 1]
     assert len(texts_of(store)) == 9
+
+
+def test_merging_unpacks_bounded_slices_of_a_shard(spark):
+    import numpy as np
+
+    from treelode.operators import postings
+
+    counts = np.array([3, 9, 1, 1, 30, 2], np.int32)
+    assert list(postings.slices(counts, 10)) == [(0, 1), (1, 3), (3, 4), (4, 5), (5, 6)]
+    files = spark.createDataFrame([(i, f"alpha beta {i} gamma") for i in range(40)], "doc_id BIGINT, text STRING")
+    blocks = postings.build(files)
+    kept = postings.live_blocks(blocks, files.where("doc_id % 3 = 0"))
+    want = postings.rows(blocks).where("doc_id % 3 = 0")
+    assert sorted(postings.rows(kept).collect()) == sorted(want.collect())
+    grouped = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "part" in grouped and postings.PARTS > 1
