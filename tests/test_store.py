@@ -173,3 +173,33 @@ def test_merging_unpacks_bounded_slices_of_a_shard(spark):
     assert sorted(postings.rows(kept).collect()) == sorted(want.collect())
     grouped = kept._jdf.queryExecution().optimizedPlan().toString()
     assert "part" in grouped and postings.PARTS > 1
+
+
+def test_lists_are_unpacked_together(monkeypatch):
+    rng = np.random.default_rng(9)
+    term = np.concatenate([np.arange(500), np.full(40_000, 7), rng.integers(-(1 << 62), 1 << 62, 3000)])
+    doc = np.concatenate([rng.integers(0, 1 << 18, 500), np.arange(40_000), rng.integers(0, 1 << 18, 3000)])
+    term, doc = np.unique(np.stack([term, doc]), axis=1)
+    masks = rng.integers(0, 256, (len(doc), 2)).astype(np.uint8)
+    blocks = postings.make_blocks(term, doc, masks)
+    single, alone = postings.decode_docs, []
+    monkeypatch.setattr(postings, "decode_docs", lambda data, bitmap: alone.append(bitmap) or single(data, bitmap))
+    found = []
+    for lo in range(0, blocks.num_rows, 1000):
+        found += zip(*(x.tolist() for x in postings.unpacked(blocks.slice(lo, 1000))))
+    assert sorted(found) == sorted(zip(term.tolist(), doc.tolist(), masks.tolist()))
+    # A list that is not a bitmap costs no call of its own.
+    assert alone and all(alone) and len(alone) == sum(blocks.column("bitmap").to_pylist())
+
+
+def test_a_merge_unpacks_lists_once(spark, tmp_path, monkeypatch):
+    ranged = []
+    monkeypatch.setattr(postings, "key_ranges", lambda blocks, real=postings.key_ranges: ranged.append(blocks) or real(blocks))
+    store = TextStore(spark, str(tmp_path / "once"), ("ngrams",))
+    store.put(frame(spark, [("a", "alpha beta"), ("b", "beta gamma")]))
+    store.put(frame(spark, [("a", "delta epsilon")]))
+    store.compact(everything=True)
+    plans = [b._jdf.queryExecution().optimizedPlan().toString() for b in ranged]
+    assert plans and not any("FlatMapCoGroups" in p for p in plans)
+    assert {r[0] for r in store.ngram_candidates("epsilon").collect()} == {"a"}
+    assert store.ngram_candidates("alpha").count() == 0
