@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from treelode.functions import regex
-from treelode.operators import ngrams, postings, search, trigrams
+from treelode.operators import ngrams, postings, search, trigrams, words
 from treelode.operators.numbering import with_dense_numbers
 from treelode.plans.store import TextStore, any_of, id_ranges
 
@@ -203,3 +203,39 @@ def test_a_merge_unpacks_lists_once(spark, tmp_path, monkeypatch):
     assert plans and not any("FlatMapCoGroups" in p for p in plans)
     assert {r[0] for r in store.ngram_candidates("epsilon").collect()} == {"a"}
     assert store.ngram_candidates("alpha").count() == 0
+
+
+def test_word_lists_hold_every_hit(monkeypatch):
+    rng = random.Random(1)
+    parts = ["a", "bc", "_9", " ", "\n", "é", "X", ".", "  the ", "z\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(300)] + ["", "ab", "a", ""]
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    monkeypatch.setattr(words, "HITS", 7)
+    # Numbers that fit one sort key, and numbers that do not.
+    for lo, hi, spread, step in ((0, 304, 1, 1), (50, 200, 40_001, 1), (0, 304, 1 << 40, 30_000_000)):
+        found, doc, line = words.hits(offsets[lo : hi + 1], data)
+        want = {(w, (i + lo) * spread, (n + 1) * step) for i, t in enumerate(texts[lo:hi]) for n, part in enumerate(t.split("\n")) for w in re.findall(r"[A-Za-z0-9_]{2,}", part)}
+        twice = lambda x: np.concatenate([x, x])
+        rows = words.make_lists(found.dictionary, twice(found.indices.to_numpy()), twice((doc + lo) * spread), twice(line * step))
+        at, d, n = words.unpacked(rows)
+        got = list(zip((rows.column("word")[i].as_py() for i in at.tolist()), d.tolist(), n.tolist()))
+        assert len(got) == len(want) and set(got) == want and max(rows.column("n").to_pylist()) <= 7
+
+
+def test_words_are_stored_as_lists(spark, tmp_path):
+    store = TextStore(spark, str(tmp_path / "lists"), ("words",))
+    truth = {f"f{i}": f"the needle of {i}\nand the hay, the hay" for i in range(60)}
+    store.put(frame(spark, list(truth.items())).coalesce(1))
+    lists = store.view().blocks("words")
+    assert lists.where("word = 'the'").count() == 1 and lists.agg(F.sum("n")).first()[0] == sum(len(set(re.findall(r"\w{2,}", line))) for t in truth.values() for line in t.split("\n"))
+    changed = {"f3": "no such thing", "f4": "the end"}
+    store.put(frame(spark, list(changed.items())), frame(spark, [("f5", "")]).select("path"))
+    truth = {**{p: t for p, t in truth.items() if p != "f5"}, **changed}
+    want = sorted({(w, p, n) for p, t in truth.items() for n, line in enumerate(t.split("\n"), 1) for w in re.findall(r"\w{2,}", line)})
+    assert sorted(map(tuple, store.words().collect())) == want
+    store.compact(everything=True)
+    assert sorted(map(tuple, store.words().collect())) == want
+    # What was replaced or dropped is left out of the merged lists.
+    assert store.view().blocks("words").agg(F.sum("n")).first()[0] == len(want)
+    assert sorted(map(tuple, store.search_word("the").collect())) == [(p, n) for w, p, n in want if w == "the"]
