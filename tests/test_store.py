@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from treelode.functions import regex
 from treelode.operators import ngrams, postings, search, trigrams, words
 from treelode.operators.numbering import with_dense_numbers
+from treelode.plans import stored
 from treelode.plans.store import TextStore, any_of, id_ranges
+from treelode.sources import snapshot
 
 
 def frame(spark, rows):
@@ -239,3 +241,10 @@ def test_words_are_stored_as_lists(spark, tmp_path):
     # What was replaced or dropped is left out of the merged lists.
     assert store.view().blocks("words").agg(F.sum("n")).first()[0] == len(want)
     assert sorted(map(tuple, store.search_word("the").collect())) == [(p, n) for w, p, n in want if w == "the"]
+
+
+def test_snapshots_of_the_same_symbols_parse_once(spark, monkeypatch):
+    parsed, real = [], snapshot.write
+    monkeypatch.setattr(snapshot, "write", lambda files, decls, *rest: parsed.append("MapInArrow" in decls._jdf.queryExecution().optimizedPlan().toString()) or real(files, decls, *rest))
+    rows = stored.snapshot_roundtrip(spark, "/root/testdata/sf0.001")
+    assert rows.count() > 0 and parsed == [True, False]
