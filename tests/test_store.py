@@ -194,17 +194,18 @@ def test_lists_are_unpacked_together(monkeypatch):
     assert alone and all(alone) and len(alone) == sum(blocks.column("bitmap").to_pylist())
 
 
-def test_a_merge_unpacks_lists_once(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("index", ["ngrams", "trigrams"])
+def test_a_merge_unpacks_lists_once(spark, tmp_path, monkeypatch, index):
     ranged = []
     monkeypatch.setattr(postings, "key_ranges", lambda blocks, real=postings.key_ranges: ranged.append(blocks) or real(blocks))
-    store = TextStore(spark, str(tmp_path / "once"), ("ngrams",))
+    store = TextStore(spark, str(tmp_path / "once"), (index,))
     store.put(frame(spark, [("a", "alpha beta"), ("b", "beta gamma")]))
     store.put(frame(spark, [("a", "delta epsilon")]))
     store.compact(everything=True)
     plans = [b._jdf.queryExecution().optimizedPlan().toString() for b in ranged]
     assert plans and not any("FlatMapCoGroups" in p for p in plans)
-    assert {r[0] for r in store.ngram_candidates("epsilon").collect()} == {"a"}
-    assert store.ngram_candidates("alpha").count() == 0
+    find = store.ngram_candidates if index == "ngrams" else store.matches
+    assert {r["path"] for r in find("epsilon").collect()} == {"a"} and find("alpha").count() == 0
 
 
 def test_word_lists_hold_every_hit(monkeypatch):
