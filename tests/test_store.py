@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from treelode.functions import regex
-from treelode.operators import ngrams, postings, search, trigrams, words
-from treelode.operators.numbering import with_dense_numbers
+from treelode.operators import ngrams, numbering, postings, search, trigrams, words
+from treelode.operators.numbering import as_bits, marked_in, with_dense_numbers
 from treelode.plans import stored
 from treelode.plans.store import TextStore, any_of, id_ranges
 from treelode.sources import snapshot
@@ -249,3 +249,66 @@ def test_snapshots_of_the_same_symbols_parse_once(spark, monkeypatch):
     monkeypatch.setattr(snapshot, "write", lambda files, decls, *rest: parsed.append("MapInArrow" in decls._jdf.queryExecution().optimizedPlan().toString()) or real(files, decls, *rest))
     rows = stored.snapshot_roundtrip(spark, "/root/testdata/sf0.001")
     assert rows.count() > 0 and parsed == [True, False]
+
+
+def test_sets_of_numbers_go_as_bits(spark, monkeypatch):
+    ids = [-65, -64, -1, 0, 1, 62, 63, 64, 700, (1 << 40) + 63]
+    rows = spark.createDataFrame([(i,) for i in (*ids, -2, 2, 65, 1 << 40, None)], "doc_id bigint")
+    held = as_bits(spark.createDataFrame([(i,) for i in (*ids, *ids, None)], "doc_id bigint"))
+    assert held.count() == len({i >> 6 for i in ids})
+    for sent in (1 << 20, 2):
+        monkeypatch.setattr(numbering, "SENT", sent)
+        assert sorted(tuple(r) for r in marked_in(rows, held, "met").collect()) == [(i, True) for i in sorted(ids)]
+
+
+def test_no_text_is_joined_by_its_path(spark, tmp_path):
+    store = TextStore(spark, str(tmp_path / "narrow"), ("trigrams",))
+    truth = {f"f{i}": f"the ones of {i}\nand the eres" for i in range(300)}
+    store.put(frame(spark, list(truth.items())))
+    changed = {f"f{i}": f"nothing here\nthe ones again {i}" for i in range(0, 300, 3)}
+    store.put(frame(spark, list(changed.items())), frame(spark, [("f1", "")]).select("path"))
+    truth = {p: t for p, t in {**truth, **changed}.items() if p != "f1"}
+    hits = store.matches("the (on|er)es", regex=True)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    joins = re.findall(r"Join [^\n]*", plan)
+    assert len(joins) == 1 and "word" in joins[0] and "path" not in joins[0]
+    assert sorted(map(tuple, hits.collect())) == brute_lines(truth, lambda line: re.search("the (on|er)es", line))
+    store.compact(everything=True)
+    assert sorted(map(tuple, store.matches("the (on|er)es", regex=True).collect())) == sorted(map(tuple, hits.collect()))
+
+
+def test_postings_are_sorted_as_single_numbers(monkeypatch):
+    rng = np.random.default_rng(12)
+    doc = np.repeat(np.unique(rng.integers(0, 1 << 20, 900)) + (1 << 40), 3)
+    term = np.tile([0, 77, (1 << 24) - 1], len(doc) // 3)
+    mixed = rng.permutation(len(doc))
+    masks = rng.integers(0, 256, (len(doc), 2)).astype(np.uint8)
+    with monkeypatch.context() as patch:
+        patch.setattr(np, "lexsort", None)
+        packed = postings.make_blocks(term[mixed], doc[mixed], masks[mixed])
+    far = np.where(np.arange(len(doc)) % 2 > 0, doc, doc - (1 << 40))
+    for numbers, blocks in ((doc, packed), (far, postings.make_blocks(term[mixed], far[mixed], masks[mixed]))):
+        t, d, m = postings.unpacked(blocks)
+        assert sorted(zip(t.tolist(), d.tolist(), m.tolist())) == sorted(zip(term.tolist(), numbers.tolist(), masks.tolist()))
+        lists = list(zip(blocks.column("shard").to_pylist(), blocks.column("term").to_pylist()))
+        assert lists == sorted(set(lists))
+
+
+def test_masks_of_bytes_one_by_one(monkeypatch):
+    rng = random.Random(8)
+    texts = [bytes(rng.choice(b"aAb \t\n\r\x00\xff") for _ in range(rng.choice((0, 1, 2, 3, 4, 9, 300)))) for _ in range(400)]
+    want = {}
+    for i, text in enumerate(texts):
+        low = text.lower()
+        for at in range(len(low) - 2):
+            if low[at : at + 3].strip(b" \t\n\r"):
+                key = (i, int.from_bytes(low[at : at + 3], "big"))
+                follows = 1 << low[at + 3] % 8 if at + 3 < len(low) else 0
+                before = want.get(key, (0, 0))
+                want[key] = (before[0] | follows, before[1] | 1 << at % 8)
+    offsets = np.cumsum([3, *map(len, texts)])
+    data = np.frombuffer(b"zzz" + b"".join(texts) + b"yyy", np.uint8)
+    with monkeypatch.context() as patch:
+        patch.setattr(np, "argsort", None)
+        got = trigrams.masks(offsets, data)
+    assert {(d, t): (n, p) for d, t, n, p in zip(*(x.tolist() for x in got))} == want and len(got[0]) == len(want)

@@ -494,3 +494,21 @@ def test_line_rules(spark):
     assert [(r["line_num"], r["line"]) for r in kept] == [(4, " z /* \r")]
     assert search.search_substring(df, "a\n").count() == 0
     assert search.search_substring(df, "").count() == 7
+
+
+def test_whole_texts_are_tested_before_lines(spark):
+    rng = random.Random(11)
+    pieces = ["the ", "ones", "eres", "x", " ", "\t", "é", "9", "\n", "\n\n", "\r", "\u2028"]
+    texts = ["", "\n", "x\n", None] + ["".join(rng.choice(pieces) for _ in range(rng.randrange(14))) for _ in range(400)]
+    files = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, text string").cache()
+    patterns = ["the (on|er)es|x.*é", "^", "^$", "^x|9$", "x$", "[^a-z]{3,}", "s.x", "\\S\\s\\s", "\\D+9", "", "^.$|é", "x|9|the|on|er|\\ts|q|z|é$"]
+    for pattern in patterns:
+        plain = lines.lines(files).filter(F.decode(F.col("line").cast("binary"), "ISO-8859-1").rlike(regex.to_java(pattern)))
+        want = plain.select("path", "line_num", "line").collect()
+        got = search.search_regex(files, pattern)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)), pattern
+    # Only texts that match are split: the test of the text stands below the split.
+    plan = search.search_regex(files, "s.x")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan[plan.index("Generate") :].split("InMemoryRelation")[0]
+    # What takes any byte ends with the line, so no match runs through the text.
+    assert regex.in_text(regex.to_java("a.*b[^c]\\S$")).count("[^\\n") == 4
