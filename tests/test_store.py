@@ -312,3 +312,54 @@ def test_masks_of_bytes_one_by_one(monkeypatch):
         patch.setattr(np, "argsort", None)
         got = trigrams.masks(offsets, data)
     assert {(d, t): (n, p) for d, t, n, p in zip(*(x.tolist() for x in got))} == want and len(got[0]) == len(want)
+
+
+def test_postings_meet_their_paths_as_lists(spark):
+    rng = random.Random(11)
+    texts = [(i * 997, f"p/{i}.md", "all the same " + "".join(rng.choices("abcd ", k=rng.randint(0, 40)))) for i in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, path string, text string")
+    made = postings.build(docs)
+    files = docs.where("doc_id % 5 != 0").select("doc_id", "path")
+    got = postings.rows(made, files)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    want = postings.rows(made).join(files, "doc_id").select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 1000
+    # Lists are dealt out, postings are not.
+    assert "Join" not in plan and plan.index("MapInArrow") < plan.index("Exchange")
+    shuffled = re.search(r"Exchange hashpartitioning\(shard[^\n]*", plan)[0]
+    assert "part" in shuffled and plan.count("Exchange") == 1
+    assert postings.rows(made, files.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("dealt", [0, 1 << 28])
+def test_writes_and_merges_leave_one_copy(spark, store, monkeypatch, dealt):
+    from treelode.plans import store as module
+    from treelode.sources import storage
+
+    monkeypatch.setattr(module, "DEALT", dealt)
+    truth = {}
+    for step in range(4):
+        changed = {f"f{i}": f"step {step} of {i}\nneedle" for i in range(step * 10, step * 10 + 25)}
+        truth.update(changed)
+        store.put(frame(spark, list(changed.items())))
+        assert storage.children(spark, store._table("scratch")) == []
+    store.put(frame(spark, []), frame(spark, [("f3", "")]).select("path"))
+    truth.pop("f3")
+    store.compact(everything=True)
+    assert storage.children(spark, store._table("scratch")) == [] and texts_of(store) == truth
+    assert {r[0] for r in store.search_word("needle").collect()} == set(truth)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    went = store.vacuum(keep_ms=0)
+    assert {w.split("/")[1] for w in went if w.startswith("files/")} and texts_of(store) == truth
+    assert len([f for f in storage.children(spark, store._table("files")) if f.startswith("run=")]) == 1
+
+
+def test_stored_postings_keep_no_replaced_run(spark, monkeypatch):
+    from conftest import TESTDATA
+    from treelode.sources import storage
+
+    seen = []
+    monkeypatch.setattr(stored, "TextStore", lambda *a, **b: seen.append(TextStore(*a, **b)) or seen[-1])
+    assert stored.trigrams_stored(spark, str(TESTDATA)).count() > 0
+    for table in ("files", "trigrams", "known"):
+        assert len([f for f in storage.children(spark, seen[0]._table(table)) if f.startswith("run=")]) == 1
